@@ -15,6 +15,7 @@ from .pfor import read_token_files, write_token_files
 from .secret_scan import scan
 from .token_count import count_tokens
 from .topk import top_k
+from .toxicity import score
 
 
 OP7_SQL = """
@@ -69,6 +70,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_token_files": op2_token_files,
         "op3_secret_scan": op3_secret_scan,
+        "op4_toxicity": op4_toxicity,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_exact_top_k": op7_exact_top_k,
         "op8_token_counts": op8_token_counts,
