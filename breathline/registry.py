@@ -1,15 +1,553 @@
-"""All registered queries of the signal operators, and their SQL."""
+"""All registered queries of the signal operators.
+
+The driver's tables stand in for recordings: events are scalar samples by user,
+embeddings are 32-bin complex frames by label, line items are six-axis samples by
+supplier. The SQL of each query is in :mod:`breathline.oracles`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from . import oracles
+from .constants import DOPPLER_HZ_PER_MPS, FRAME_RESP_BAND, HEART_BAND
+from .operators import bins as B
+from .operators import cleaning as C
+from .operators import folds as L
+from .operators import phase as P
+from .operators import timing as T
+from .plans import vitals as V
+from .schemas import A121_COLUMNS, IMU_COLUMNS, RADAR_COLUMNS, detect_sensor
+from .sources import recordings as S
+from .streaming import live
+
+KEY = "session_id"
+
+
+def R(c: str | Column) -> Column:
+    """Six decimals, without a negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + 0.0
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# -- stand-ins -------------------------------------------------------------------
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select(F.col("user_id").alias(KEY), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("t_ms"), F.col("value").alias("x"))
+
+
+def frames(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    return e.select(F.col("label").cast("long").alias(KEY), F.col("vec_id").alias("seq"), F.slice("v", 1, 32).alias("re"), F.slice("v", 33, 32).alias("im"))
+
+
+def long_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return B.explode_bins(frames(spark, sf))
+
+
+def axes(spark: SparkSession, sf: str) -> DataFrame:
+    item = table(spark, sf, "lineitem")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+    seq = F.row_number().over(W.partitionBy("l_suppkey").orderBy(*order)).cast("long")
+    return item.select(
+        F.col("l_suppkey").alias(KEY), seq.alias("seq"), (seq * 50.0).alias("Time_ms"), F.col("l_discount").alias("ax"), F.col("l_tax").alias("ay"), (F.col("l_quantity") / 50).alias("az"),
+        (F.col("l_extendedprice") / 1000).alias("gx"), F.col("l_quantity").alias("gy"), (F.col("l_linenumber") * 1.0).alias("gz"),
+    )
+
+
+def bin_series(spark: SparkSession, sf: str) -> DataFrame:
+    """One series a session: the real part of bin 0."""
+    return frames(spark, sf).select(KEY, "seq", F.col("re")[0].alias("x"))
+
+
+def measurements(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates, confidences and qualities for the trackers, made from events."""
+    s = samples(spark, sf)
+    x = F.col("x")
+    return s.select(KEY, "seq", (0.7 + (x % 100) / 50).alias("hz"), (0.5 + (x % 7) / 10).alias("dt_s"), (x % 31).alias("confidence"), ((x % 11) / 10).alias("quality"), (F.col("seq") % 23 != 0).alias("present"))
+
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    Q[f.__name__] = f
+    return f
+
+
+# -- scans, parsing, stores ---------------------------------------------------------
+
+
+@query
+def scan_events(spark, sf):
+    return samples(spark, sf).where(T.finite("x") & (F.col("x") >= 100))
+
+
+@query
+def radar_line_parse(spark, sf):
+    e = table(spark, sf, "events")
+    line = F.when(F.col("event_id") % 7 == 0, F.concat_ws(",", "event_id", "value")).when(F.col("event_id") % 11 == 0, F.concat_ws(",", F.lit("x"), "value", "user_id")).otherwise(F.concat_ws(",", "event_id", "user_id", "value"))
+    return S.parse_lines(e.select(F.col("user_id").alias(KEY), line.alias("line")), "radar")
+
+
+@query
+def imu_line_parse(spark, sf):
+    a = axes(spark, sf)
+    line = F.when(F.col("seq") % 13 == 0, F.lit("1,2,oops,4,5,6")).otherwise(F.concat_ws(",", "seq", "gy", "gz", "seq", "gy", "gz"))
+    return S.parse_lines(a.select(KEY, "Time_ms", line.alias("line")).withColumnRenamed("Time_ms", "host"), "imu", time_ms=F.col("host")).drop("host")
+
+
+@query
+def json_array_roundtrip(spark, sf):
+    d = frames(spark, sf).withColumn("back", S.decode_array(S.encode_array("re")))
+    return d.select("seq", F.size("back").alias("n"), R(F.aggregate("back", F.lit(0.0), lambda s, x: s + x)).alias("total"), R(F.col("back")[3]).alias("fourth"))
+
+
+@query
+def sensor_detect(spark, sf):
+    found = [(name, detect_sensor(columns)) for name, columns in (("r", RADAR_COLUMNS), ("f", [*A121_COLUMNS, "extra"]), ("i", IMU_COLUMNS), ("both", RADAR_COLUMNS + IMU_COLUMNS))]
+    return spark.createDataFrame(found, "name string, sensor string")
+
+
+def sessions(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.lower("o_orderpriority").alias("sensor"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("started_at"), (F.col("o_custkey") % 9).alias("sample_count"))
+
+
+@query
+def session_list_topk(spark, sf):
+    return S.newest_sessions(sessions(spark, sf))
+
+
+@query
+def catalogue_union(spark, sf):
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    entry = lambda df, sensor, name: df.select(F.lit("file").alias("source"), F.lit(sensor).alias("sensor"), F.col(name).alias("label"), F.lit("").alias("samples"), F.concat(F.lit("/raw/"), name).alias("path"))
+    return S.catalogue(sessions(spark, sf), entry(c, "radar", "c_name"), entry(s, "imu", "s_name"))
+
+
+@query
+def session_load(spark, sf):
+    s = samples(spark, sf).select(KEY, "seq", F.col("t_ms").alias("timestamp_ms"), (F.col("x") * 10).alias("raw_adc"), F.col("x").alias("voltage_mv"))
+    return S.load_session(s, 7, "radar").withColumn("Timestamp_ms", R("Timestamp_ms"))
+
+
+@query
+def session_join_samples(spark, sf):
+    o, i = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    joined = i.join(o, i.l_orderkey == o.o_orderkey)
+    return joined.groupBy(F.col("o_orderpriority").alias("sensor")).agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_sessions"), R(F.avg("l_quantity")).alias("mean_x"))
+
+
+@query
+def session_stats(spark, sf):
+    x = F.col("x")
+    return samples(spark, sf).groupBy(KEY).agg(F.count("*").alias("n"), R(F.avg(x)).alias("mean_x"), R(F.sqrt(F.avg(x * x))).alias("rms_x"), R(F.stddev_pop(x)).alias("std_x"), R(F.percentile(x, 0.65)).alias("p65_x"))
+
+
+@query
+def latest_by_request(spark, sf):
+    r = samples(spark, sf).withColumn("request_id", F.col("seq") % 5)
+    return S.latest_results(r.groupBy(KEY, "request_id").agg(F.max("x").alias("x")), F.lit(4))
+
+
+@query
+def rank_ports(spark, sf):
+    n = table(spark, sf, "nation")
+    text = F.when(F.col("n_nationkey") % 3 == 0, "USB-Enhanced CH342 Interface A").when(F.col("n_nationkey") % 3 == 1, "Waveshare A121 Serial-B").otherwise("Modem")
+    return S.rank_ports(n.select(F.col("n_name").alias("device"), text.alias("description"))).select("device", F.col("score").cast("long").alias("score"))
+
+
+@query
+def oversample_average(spark, sf):
+    raw = samples(spark, sf).select(KEY, "seq", F.floor(F.col("x") * 8).cast("long").alias("raw"))
+    return C.oversample_average(raw, block=16)
+
+
+@query
+def imu_scaling(spark, sf):
+    a = axes(spark, sf)
+    return S.scale_imu_counts(a.select(KEY, "seq", *(F.pmod(F.col("seq") * k, F.lit(256)).alias(f"{n}_{e}") for k, (n, e) in enumerate(((n, e) for n in ("ax", "ay", "az", "gx", "gy", "gz") for e in ("lo", "hi")), 3)))).select(KEY, "seq", *(R(n).alias(n) for n in ("ax", "ay", "az", "gx", "gy", "gz")))
+
+
+@query
+def tilt_and_displacement(spark, sf):
+    d = C.tilt_and_displacement(axes(spark, sf), 20, 10)
+    return d.select(KEY, "block", R("displacement").alias("displacement"), R("tilt_deg").alias("tilt_deg"))
+
+
+# -- timing ------------------------------------------------------------------------------
+
+
+@query
+def sample_rate_simple(spark, sf):
+    s = samples(spark, sf)
+    a, b, c = T.rate_of_all_gaps(s, 500.0), T.rate_in_stored_order(s, 100.0), T.rate_of_positive_gaps(s, 500.0)
+    return a.withColumnRenamed("fs", "fs_all").join(b.withColumnRenamed("fs", "fs_stored"), KEY).join(c.withColumnRenamed("fs", "fs_positive"), KEY).select(KEY, *((F.round(n, 12) + 0.0).alias(n) for n in ("fs_all", "fs_stored", "fs_positive")))
+
+
+@query
+def sample_rate_robust(spark, sf):
+    return T.robust_rate(samples(spark, sf)).select(KEY, (F.round("fs", 12) + 0.0).alias("fs"), R("bursty").alias("bursty"))
+
+
+@query
+def even_time_axis(spark, sf):
+    s = samples(spark, sf)
+    return T.time_axis(s, T.robust_rate(s)).select(KEY, "seq", (F.round("time_s", 3) + 0.0).alias("time_s"))
+
+
+@query
+def time_rebase(spark, sf):
+    return T.rebased(samples(spark, sf)).select(KEY, "seq", R("since_min").alias("since_min"), R("since_first").alias("since_first"))
+
+
+@query
+def trailing_window(spark, sf):
+    return T.trailing_window(samples(spark, sf), 86_400.0 * 5).select(KEY, "seq", "x")
+
+
+@query
+def analysis_cutoff(spark, sf):
+    s = samples(spark, sf)
+    return T.since_cutoff(s.withColumn("t_ms", F.col("x")), 489.0).select(KEY, "seq", "x")
+
+
+@query
+def tail_n(spark, sf):
+    return T.tail(samples(spark, sf), 12).select(KEY, "seq", "x")
+
+
+@query
+def plot_range(spark, sf):
+    return T.plot_range(samples(spark, sf), "x").select(KEY, R("y_min").alias("y_min"), R("y_max").alias("y_max"))
+
+
+@query
+def running_integral(spark, sf):
+    a = axes(spark, sf).withColumn("t", F.col("Time_ms") / 1000)
+    once = T.running_integral(a, "ax", "t", "velocity")
+    return T.running_integral(once, "velocity", "t", "path").select(KEY, "seq", R("velocity").alias("velocity"), R("path").alias("path"))
+
+
+# -- cleaning ------------------------------------------------------------------------------
+
+
+def gappy(spark, sf):
+    return samples(spark, sf).withColumn("x", F.when(F.col("seq") % 5 == 0, None).when(F.col("seq") % 17 == 1, float("nan")).otherwise(F.col("x"))).select(KEY, "seq", "x")
+
+
+@query
+def interp_gaps(spark, sf):
+    return C.interp_gaps(gappy(spark, sf)).withColumn("x", R("x"))
+
+
+@query
+def despike_mad(spark, sf):
+    s = samples(spark, sf).select(KEY, "seq", "x")
+    return C.despike(s, limit=1.0).withColumn("x", R("x"))
+
+
+@query
+def detrend_linear(spark, sf):
+    return C.detrend(samples(spark, sf).select(KEY, "seq", "x")).withColumn("x", R("x"))
+
+
+@query
+def clean_signal(spark, sf):
+    return C.clean_signal(gappy(spark, sf)).withColumn("x", R("x"))
+
+
+# -- bins ---------------------------------------------------------------------------------
+
+
+@query
+def frame_peak(spark, sf):
+    f = B.project_frame(frames(spark, sf))
+    return f.select("seq", "peak_bin", *(R(n).alias(n) for n in ("peak_distance_m", "peak_amplitude", "peak_phase_rad", "mean_amplitude")))
+
+
+@query
+def complex_mean(spark, sf):
+    return long_frames(spark, sf).groupBy(KEY, "bin").agg(R(F.avg("re")).alias("re"), R(F.avg("im")).alias("im"))
+
+
+@query
+def vector_magnitude(spark, sf):
+    return axes(spark, sf).select(KEY, "seq", R(B.magnitude("ax", "ay", "az")).alias("accel"), R(B.magnitude("gx", "gy", "gz")).alias("gyro"))
+
+
+@query
+def nearest_bin(spark, sf):
+    return B.nearest_bin(long_frames(spark, sf), F.lit(0.45), [KEY, "seq"])
+
+
+@query
+def near_range_mask(spark, sf):
+    return B.beyond_leakage(long_frames(spark, sf), [KEY, "seq"]).groupBy(KEY).agg(F.sum(F.col("searched").cast("long")).alias("n"))
+
+
+@query
+def gate_bins(spark, sf):
+    peak = B.project_frame(frames(spark, sf)).select(KEY, "seq", F.col("peak_distance_m").alias("selected_m"))
+    return B.gated(long_frames(spark, sf), peak, 0.05001, [KEY, "seq"]).select(KEY, "seq", "bin", R("re").alias("re"))
+
+
+@query
+def knn_bins(spark, sf):
+    peak = B.project_frame(frames(spark, sf)).select(KEY, "seq", F.col("peak_bin").alias("selected_bin"))
+    return B.nearest_k(long_frames(spark, sf).join(peak, [KEY, "seq"]), k=3, keys=[KEY, "seq"]).select(KEY, "seq", "bin")
+
+
+@query
+def bin_median(spark, sf):
+    return B.bin_medians(long_frames(spark, sf)).select(KEY, "bin", R("median_amplitude").alias("median_amplitude"))
+
+
+@query
+def target_select(spark, sf):
+    f = frames(spark, sf)
+    med = B.bin_medians(B.explode_bins(f)).withColumn("energy_ratio", F.col("bin") % 7 * 1.0)
+    latest = B.project_frame(f).groupBy(KEY).agg(F.max_by("peak_distance_m", "seq").alias("peak_m"))
+    return B.select_target(med, latest).select(KEY, "target_bin", R("score").alias("score"))
+
+
+@query
+def candidate_weights(spark, sf):
+    med = B.bin_medians(long_frames(spark, sf)).withColumn("selected_bin", F.lit(9))
+    return B.shares(B.nearest_k(med), "median_amplitude").select(KEY, "bin", R("weight").alias("weight"))
+
+
+@query
+def session_plan(spark, sf):
+    p = table(spark, sf, "part")
+    config = p.select("p_partkey", F.lit(0.2).alias("start_m"), (0.3 + F.col("p_size") / 25).alias("end_m"), (1 + F.col("p_partkey") % 32).cast("long").alias("sweeps"), (5.0 + F.col("p_size")).alias("rate_hz"), F.lit(921600).cast("long").alias("baud"), F.lit(1).cast("long").alias("step"))
+    return B.session_plan(config).select("p_partkey", "start_point", "step_length", "num_points", "sweeps_per_frame", R("planned_end_m").alias("planned_end_m"))
+
+
+@query
+def circle_fit(spark, sf):
+    c = B.circle_fit(long_frames(spark, sf))
+    return c.select(KEY, "bin", *(R(n).alias(n) for n in ("cx", "cy", "radius", "rms", "quality")), "plausible")
+
+
+@query
+def covariance(spark, sf):
+    c = P.covariance(axes(spark, sf), ["ax", "ay", "az"])
+    return c.select(KEY, *(R(n).alias(n) for n in c.columns if n != KEY))
+
+
+@query
+def presence_quality(spark, sf):
+    s = samples(spark, sf).select("seq", (1 + F.col("x") / 500).alias("amp"), (F.col("x") % 6).alias("ratio"), (F.col("seq") % 4).alias("bins"), (F.col("x") % 20).alias("rc"), (F.col("x") % 40).alias("hc"))
+    score, present = B.presence("amp", "bins", "ratio")
+    s = s.withColumns({"score": score, "present": present})
+    return s.select("seq", R("score").alias("score"), "present", R(B.signal_quality("amp", "rc", "hc", "ratio", "present")).alias("quality"))
+
+
+@query
+def band_limits(spark, sf):
+    s = samples(spark, sf).select("seq", (F.col("x") / 100).alias("low"), (F.col("x") / 100 + (F.col("seq") % 5) / 10).alias("high"), (F.col("x") / 50).alias("fs"), (F.col("x") / 400).alias("resp"), (F.col("x") / 150).alias("heart"))
+    lo, hi = B.clamp_band("low", "high", HEART_BAND, 0.8)
+    blo, bhi = B.band_for_rate("fs")
+    return s.select("seq", R(lo).alias("low"), R(hi).alias("high"), R(blo).alias("band_low"), R(bhi).alias("band_high"), B.near_harmonic("heart", "resp").alias("near"))
+
+
+@query
+def target_and_gate(spark, sf):
+    s = samples(spark, sf)
+    d = s.select("seq", F.when(F.col("seq") % 3 == 0, 0.0).when(F.col("seq") % 3 == 1, F.col("x") / 100).alias("a"), (F.col("seq") % 2 * 0.5).alias("b"), F.lit(0.7).alias("c"), (F.col("x") % 40).cast("int").alias("i0"), (F.col("x") % 37).cast("int").alias("i1"))
+    d = d.withColumn("target", B.target_or("a", "b", "c"))
+    start, stop, centre = B.selected_range("i0", "i1", 32)
+    d = d.withColumns({"start": start, "stop": stop, "centre": centre}).withColumns({"lo": F.col("start") * 0.02, "hi": F.col("stop") * 0.02})
+    return d.select("seq", R("target").alias("target"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "centre", R(B.gate_half_width("target", "lo", "hi", 0.05)).alias("half_width"))
+
+
+@query
+def rates_and_speed(spark, sf):
+    return samples(spark, sf).select("seq", R(F.col("x") / DOPPLER_HZ_PER_MPS).alias("speed_mps"), R(F.col("x") / 100 * 60).alias("bpm"))
+
+
+# -- phase and short spectra ------------------------------------------------------------------
+
+
+def angles(spark, sf):
+    return long_frames(spark, sf).select(KEY, "bin", "seq", F.atan2("im", "re").alias("angle"), "re", "im")
+
+
+def _unwrapped(f):
+    return lambda spark, sf: f(angles(spark, sf), keys=[KEY, "bin"]).select(KEY, "bin", "seq", R("phase").alias("phase"))
+
+
+Q["unwrap_live"], Q["unwrap_mod"], Q["unwrap"] = map(_unwrapped, (P.unwrap_live, P.unwrap_mod, P.unwrap))
+
+
+@query
+def differential_phase(spark, sf):
+    return P.differential_phase(long_frames(spark, sf)).select(KEY, "bin", "seq", R("phase").alias("phase"))
+
+
+def _power(spark, sf):
+    return P.dft_power(bin_series(spark, sf), "x")
+
+
+def _even_rates(df):
+    return df.select(KEY).distinct().withColumn("fs", F.lit(2.0))
+
+
+@query
+def dft_band_peak(spark, sf):
+    return P.band_top(_power(spark, sf), _even_rates(bin_series(spark, sf)), FRAME_RESP_BAND).select(KEY, R("peak_hz").alias("peak_hz"), R("power").alias("power"))
+
+
+@query
+def band_energy_ratio(spark, sf):
+    return P.energy_ratio(_power(spark, sf), F.lit(8.0)).select(KEY, R("energy_ratio").alias("energy_ratio"))
+
+
+@query
+def acf_peak(spark, sf):
+    s = C.detrend(bin_series(spark, sf))
+    return P.lag_peak(P.autocorrelation(s, "x", 1, 13), 2, 12).select(KEY, "lag", R("acf").alias("acf"), R("refined_lag").alias("refined_lag"))
+
+
+@query
+def harmonic_notch(spark, sf):
+    p = _power(spark, sf).withColumn("hz", F.col("k") * 2.0 / F.col("n"))
+    return p.select(KEY, "k", R(P.notch("power", "hz", [0.25, 0.5])).alias("notched"))
+
+
+@query
+def smooth_bins(spark, sf):
+    return P.smoothed(bin_series(spark, sf), "x").select(KEY, "seq", R("smooth").alias("smooth"))
+
+
+@query
+def local_maxima(spark, sf):
+    return P.local_maxima(bin_series(spark, sf), "x").select(KEY, "seq", R("x").alias("x"))
+
+
+# -- folds, filters ---------------------------------------------------------------------------
+
+
+@query
+def ema_amplitude(spark, sf):
+    return L.ema_last(samples(spark, sf), "x", 2.0).select(KEY, R("ema").alias("ema"))
+
+
+@query
+def kalman_track(spark, sf):
+    return L.kalman_track(measurements(spark, sf)).withColumn("tracked_hz", R("tracked_hz"))
+
+
+@query
+def rate_stabiliser(spark, sf):
+    return L.stabilise_rate(measurements(spark, sf).withColumn("hz", F.col("hz") / 3)).withColumn("shown_hz", R("shown_hz"))
+
+
+@query
+def complementary_filter(spark, sf):
+    a = axes(spark, sf).withColumn("dt_s", F.lit(0.05))
+    return L.gravity_trace(a).select(KEY, "seq", *(R(n).alias(n) for n in ("g_x", "g_y", "g_z")))
+
+
+@query
+def bandpass_causal(spark, sf):
+    return L.filter_trace(samples(spark, sf), "causal", 2.0, (0.1, 0.4)).withColumn("y", R("y"))
+
+
+@query
+def bandpass_causal_clean(spark, sf):
+    return L.filter_trace(samples(spark, sf), "causal_clean", 2.0, (0.1, 0.4)).withColumn("y", R("y"))
+
+
+@query
+def bandpass_zero_phase(spark, sf):
+    return L.filter_trace(samples(spark, sf), "zero_phase", 2.0, (0.1, 0.4)).withColumn("y", R("y"))
+
+
+@query
+def spectrum_peaks(spark, sf):
+    return L.spectrum_peaks(samples(spark, sf), 2.0, (0.1, 0.7))
+
+
+# -- analysers ---------------------------------------------------------------------------------
+
+
+def radar_samples(spark, sf):
+    return axes(spark, sf).select(KEY, "seq", F.col("Time_ms").alias("Timestamp_ms"), F.col("gy").alias("Voltage_mV"))
+
+
+@query
+def radar_vitals(spark, sf):
+    return V.radar_vitals(radar_samples(spark, sf))
+
+
+@query
+def radar_stats(spark, sf):
+    return V.radar_stats(radar_samples(spark, sf))
+
+
+@query
+def imu_vitals(spark, sf):
+    return V.imu_vitals(axes(spark, sf))
+
+
+@query
+def imu_stats(spark, sf):
+    return V.imu_stats(axes(spark, sf))
+
+
+def frame_samples(spark, sf):
+    f = B.project_frame(frames(spark, sf))
+    return f.select(
+        KEY, "seq", (F.col("seq") * 50.0).alias("Timestamp_ms"), F.col("seq").alias("Frame"), F.col("peak_distance_m").alias("PeakDistance_m"), F.col("peak_amplitude").alias("PeakAmplitude"),
+        F.col("peak_phase_rad").alias("PeakPhase_rad"), F.col("mean_amplitude").alias("MeanAmplitude"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.lit(0.2) + k * F.lit(0.02)).alias("Distances_m"),
+        F.col("amplitude").alias("Amplitude"), F.col("phase").alias("Phase"), F.col("re").alias("Real"), F.col("im").alias("Imag"),
+    )
+
+
+@query
+def frame_vitals(spark, sf):
+    return V.frame_vitals(frame_samples(spark, sf))
+
+
+@query
+def frame_stats(spark, sf):
+    return V.frame_stats(frame_samples(spark, sf))
+
+
+@query
+def live_trace(spark, sf):
+    f = frames(spark, sf)
+    distances = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.lit(0.2) + k * F.lit(0.02))
+    return live.recorded_traces(f.select(KEY, (F.col("seq") * 50.0).alias("timestamp_ms"), F.col("seq").alias("frame"), distances.alias("distances"), F.col("re").alias("real"), F.col("im").alias("imag")))
+
+
+@query
+def session_vitals(spark, sf):
+    """The flagship: robust rate natively, then spectra of each session in one grouped pass."""
+    s = samples(spark, sf)
+    rates = T.robust_rate(s).select(KEY, (F.round("fs", 12) + 0.0).alias("sample_rate_hz"))
+    stats = s.groupBy(KEY).agg(F.count("*").alias("n"), R(F.avg("x")).alias("mean_x"))
+    return stats.join(rates, KEY).join(L.spectrum_peaks(s, 2.0, FRAME_RESP_BAND), KEY)
+
+
+flagship = session_vitals
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.SQL.items() if k in Q}
