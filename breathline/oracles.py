@@ -1 +1,213 @@
-SQL: dict[str, str] = {}
+"""SQL of the registered queries, for DuckDB over the same tables."""
+
+from __future__ import annotations
+
+from .functions import dsp
+
+S = "SELECT user_id AS session_id, event_id AS seq, epoch_us(ts)::DOUBLE / 1000 AS t_ms, value AS x FROM events"
+F = "SELECT label::BIGINT AS session_id, vec_id AS seq, list_slice(embedding::DOUBLE[], 1, 32) AS re, list_slice(embedding::DOUBLE[], 33, 64) AS im FROM embeddings"
+LONG = "SELECT session_id, seq, bin::INTEGER AS bin, 0.2::DOUBLE + bin * 0.02::DOUBLE AS distance_m, re[bin + 1] AS re, im[bin + 1] AS im FROM (SELECT *, unnest(range(0, 32)) AS bin FROM f)"
+AXES = """SELECT l_suppkey AS session_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS seq,
+  l_discount AS ax, l_tax AS ay, l_quantity / 50 AS az, l_extendedprice / 1000 AS gx, l_quantity AS gy, l_linenumber::DOUBLE AS gz FROM lineitem"""
+SERIES = "SELECT session_id, seq, re[1] AS x FROM f"
+MAG = "SELECT *, list_transform(range(1, 33), lambda k: sqrt(re[k] * re[k] + im[k] * im[k])) AS a FROM f"
+PEAK = "SELECT *, list_position(a, list_max(a)) - 1 AS peak_bin FROM mag"
+ROBUST = """g AS (SELECT *, (t_ms - lag(t_ms) OVER (PARTITION BY session_id ORDER BY seq)) / 1000 AS gap FROM s),
+a AS (SELECT session_id, count(*) AS n, (max_by(t_ms, seq) - min_by(t_ms, seq)) / 1000 AS elapsed, median(gap) FILTER (gap > 0) AS middle, count(*) FILTER (gap <= 0) AS back FROM g GROUP BY session_id),
+b AS (SELECT session_id, any_value(n) AS n, any_value(elapsed) AS elapsed, any_value(middle) AS middle, any_value(back) AS back,
+  count(*) FILTER (gap > 0 AND gap < greatest(0.002, 0.2 * middle)) AS short, avg(gap) FILTER (gap > 0.25 * middle AND gap < 4 * middle) AS usual, avg(gap) FILTER (gap > 0) AS ahead
+  FROM g JOIN a USING (session_id) GROUP BY session_id),
+c AS (SELECT *, CASE WHEN elapsed > 0 THEN (n - 1) / elapsed ELSE 0 END AS total, coalesce((back + short)::DOUBLE / nullif(n - 1, 0), 0) AS bursty FROM b),
+rate AS (SELECT session_id, bursty, CASE WHEN n < 2 THEN 20 WHEN middle IS NULL THEN CASE WHEN total > 0 THEN total ELSE 20 END
+  WHEN total > 0 AND (bursty > 0.05 OR abs(1 / middle - total) / total > 0.25) THEN total ELSE 1 / coalesce(usual, ahead) END AS fs FROM c)"""
+GAPPY = "SELECT session_id, seq, CASE WHEN seq % 5 = 0 OR seq % 17 = 1 THEN NULL ELSE x END AS x FROM s"
+FILLED = """i AS (SELECT *, row_number() OVER w AS i FROM gappy WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+j AS (SELECT *, CASE WHEN x IS NOT NULL THEN i END AS p FROM i),
+k AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS v0, last_value(p IGNORE NULLS) OVER b AS i0, first_value(x IGNORE NULLS) OVER n AS v1, first_value(p IGNORE NULLS) OVER n AS i1 FROM j
+  WINDOW b AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT session_id, seq, coalesce(x, v0 + (v1 - v0) * (i - i0) / (i1 - i0), v0, v1, 0) AS x FROM k)"""
+
+
+def despiked(source: str, limit: float) -> str:
+    return f"""m1 AS (SELECT session_id, median(x) AS m, count(*) AS n, avg(x) AS mean FROM {source} GROUP BY session_id),
+m2 AS (SELECT session_id, median(abs(x - m)) * 1.4826 AS d FROM {source} JOIN m1 USING (session_id) GROUP BY session_id),
+spiked AS (SELECT session_id, seq, CASE WHEN n < 8 THEN x - mean WHEN d > 1e-12 THEN least(greatest(x, m - {limit} * d), m + {limit} * d) ELSE x END AS x FROM {source} JOIN m1 USING (session_id) JOIN m2 USING (session_id))"""
+
+
+def detrended(source: str) -> str:
+    return f"""n0 AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1.0::DOUBLE AS i FROM {source}),
+line AS (SELECT session_id, regr_slope(x, i) AS slope, regr_intercept(x, i) AS base, count(*) AS n FROM n0 GROUP BY session_id),
+flat AS (SELECT session_id, seq, CASE WHEN n < 3 THEN x ELSE x - (base + slope * i) END AS x FROM n0 JOIN line USING (session_id))"""
+
+
+POWER = """t AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n, x - avg(x) OVER (PARTITION BY session_id) AS y FROM series),
+h AS (SELECT session_id, i, n, y * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS y FROM t),
+e AS (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM h),
+power AS (SELECT session_id, k, any_value(n) AS n, sum(y * cos(2 * pi() * ((i * k) % n) / n)) ** 2 + sum(y * sin(2 * pi() * ((i * k) % n) / n)) ** 2 AS power FROM e GROUP BY session_id, k)"""
+
+
+def unwrapped(step: str, base: str = "0") -> str:
+    return f"""WITH f AS ({F}), l AS ({LONG}), a AS (SELECT session_id, bin, seq, atan2(im, re) AS angle FROM l),
+d AS (SELECT *, angle - lag(angle) OVER w AS d, first_value(angle) OVER w AS first FROM a WINDOW w AS (PARTITION BY session_id, bin ORDER BY seq))
+SELECT session_id, bin, seq, round(sum(coalesce({step}, 0)) OVER (PARTITION BY session_id, bin ORDER BY seq) + {base}, 6) + 0.0 AS phase FROM d"""
+
+
+MOD = "(d + pi() - floor((d + pi()) / (2 * pi())) * (2 * pi()) - pi())"
+
+
+def rounded(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
+
+
+SQL: dict[str, str] = {
+    "scan_events": f"WITH s AS ({S}) SELECT * FROM s WHERE x >= 100",
+    "radar_line_parse": """WITH l AS (SELECT user_id AS session_id, string_split(CASE WHEN event_id % 7 = 0 THEN concat_ws(',', event_id, value) WHEN event_id % 11 = 0 THEN concat_ws(',', 'x', value, user_id)
+  ELSE concat_ws(',', event_id, user_id, value) END, ',') AS p FROM events),
+q AS (SELECT session_id, list_transform(p, lambda v: try_cast(v AS DOUBLE)) AS p FROM l)
+SELECT session_id, p[1] AS "Timestamp_ms", p[2] AS "RawADC", p[3] AS "Voltage_mV" FROM q WHERE len(p) = 3 AND len(list_filter(p, lambda v: v IS NULL)) = 0""",
+    "imu_line_parse": f"""WITH a AS ({AXES}) SELECT session_id, seq * 50.0::DOUBLE AS "Time_ms", seq::DOUBLE AS ax, gy AS ay, gz AS az, seq::DOUBLE AS gx, gy, gz FROM a WHERE seq % 13 <> 0""",
+    "json_array_roundtrip": f"WITH f AS ({F}), r AS (SELECT seq, list_transform(re, lambda x: round(x, 8)) AS b FROM f) SELECT seq, len(b)::INTEGER AS n, round(list_reduce(list_prepend(0.0::DOUBLE, b), lambda a, x: a + x), 6) + 0.0 AS total, b[4] + 0.0 AS fourth FROM r",
+    "sensor_detect": "SELECT * FROM (VALUES ('r', 'radar'), ('f', 'a121'), ('i', 'imu'), ('both', 'radar')) t(name, sensor)",
+    "session_list_topk": "SELECT o_orderkey AS id, lower(o_orderpriority) AS sensor, strftime(o_orderdate, '%Y-%m-%d') AS started_at, o_custkey % 9 AS sample_count FROM orders ORDER BY id DESC LIMIT 500",
+    "catalogue_union": """WITH o AS (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 500)
+SELECT 'file' AS source, 'radar' AS sensor, c_name AS label, '' AS samples, '/raw/' || c_name AS path FROM customer
+UNION ALL SELECT 'file', 'imu', s_name, '', '/raw/' || s_name FROM supplier
+UNION ALL SELECT 'store', lower(o_orderpriority), strftime(o_orderdate, '%Y-%m-%d'), coalesce(nullif(o_custkey % 9, 0)::VARCHAR, ''), 'session #' || o_orderkey::VARCHAR FROM o""",
+    "session_load": f'WITH s AS ({S}) SELECT session_id, seq, t_ms AS "Timestamp_ms", x * 10 AS "RawADC", x AS "Voltage_mV" FROM s WHERE session_id = 7',
+    "session_join_samples": "SELECT o_orderpriority AS sensor, count(*) AS n, count(DISTINCT o_orderkey) AS n_sessions, round(avg(l_quantity), 6) + 0.0 AS mean_x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "session_stats": f"WITH s AS ({S}) SELECT session_id, count(*) AS n, round(avg(x), 6) + 0.0 AS mean_x, round(sqrt(avg(x * x)), 6) + 0.0 AS rms_x, round(stddev_pop(x), 6) + 0.0 AS std_x, round(quantile_cont(x, 0.65), 6) + 0.0 AS p65_x FROM s GROUP BY 1",
+    "latest_by_request": f"WITH s AS ({S}) SELECT session_id, seq % 5 AS request_id, max(x) AS x FROM s WHERE seq % 5 = 4 GROUP BY 1, 2",
+    "rank_ports": "SELECT n_name AS device, CASE WHEN n_nationkey % 3 = 0 THEN 30 ELSE 10 END::BIGINT AS score FROM nation WHERE n_nationkey % 3 < 2",
+    "oversample_average": f"""WITH s AS ({S}), r AS (SELECT session_id, floor(x * 8)::BIGINT AS raw, (row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1) // 16 AS block FROM s),
+g AS (SELECT session_id, block, floor(sum(raw) / 16) AS m FROM r GROUP BY 1, 2 HAVING count(*) = 16) SELECT session_id, block, m::BIGINT AS raw_adc, floor(m * 3100 / 4095)::BIGINT AS voltage_mv FROM g""",
+    "imu_scaling": f"""WITH a AS ({AXES}), r AS (SELECT session_id, seq, list_transform(range(0, 6), lambda j: ((seq * (2 * j + 4)) % 256) * 256 + (seq * (2 * j + 3)) % 256) AS r FROM a),
+v AS (SELECT session_id, seq, list_transform(r, lambda x: CASE WHEN x >= 32768 THEN x - 65536 ELSE x END) AS r FROM r)
+SELECT session_id, seq, round(r[1] * 0.061::DOUBLE / 1000, 6) + 0.0 AS ax, round(r[2] * 0.061::DOUBLE / 1000, 6) + 0.0 AS ay, round(r[3] * 0.061::DOUBLE / 1000, 6) + 0.0 AS az,
+  round(r[4] * 8.75::DOUBLE / 1000, 6) + 0.0 AS gx, round(r[5] * 8.75::DOUBLE / 1000, 6) + 0.0 AS gy, round(r[6] * 8.75::DOUBLE / 1000, 6) + 0.0 AS gz FROM v""",
+    "tilt_and_displacement": f"""WITH a AS ({AXES}), b AS (SELECT session_id, avg(az) AS base FROM a WHERE seq <= 20 GROUP BY 1),
+m AS (SELECT session_id, (seq - 21) // 10 AS block, avg(ay) AS ay, avg(az) AS az FROM a WHERE seq > 20 GROUP BY 1, 2 HAVING count(*) = 10)
+SELECT session_id, block, round(az - base, 6) + 0.0 AS displacement, round(degrees(atan2(ay, az)), 6) + 0.0 AS tilt_deg FROM m JOIN b USING (session_id)""",
+    "sample_rate_simple": f"""WITH s AS ({S}), g AS (SELECT *, (t_ms - lag(t_ms) OVER (PARTITION BY session_id ORDER BY seq)) / 1000 AS gap FROM s)
+SELECT session_id, round(CASE WHEN max(t_ms) > min(t_ms) THEN (count(*) - 1) / ((max(t_ms) - min(t_ms)) / 1000) ELSE 500 END, 12) + 0.0 AS fs_all,
+  round(CASE WHEN max_by(t_ms, seq) > min_by(t_ms, seq) THEN (count(*) - 1) / ((max_by(t_ms, seq) - min_by(t_ms, seq)) / 1000) ELSE 100 END, 12) + 0.0 AS fs_stored,
+  round(coalesce(1 / avg(gap) FILTER (gap > 0), 500), 12) + 0.0 AS fs_positive FROM g GROUP BY 1""",
+    "sample_rate_robust": f"WITH s AS ({S}), {ROBUST} SELECT session_id, round(fs, 12) + 0.0 AS fs, round(bursty, 6) + 0.0 AS bursty FROM rate",
+    "even_time_axis": f"""WITH s AS ({S}), {ROBUST},
+z AS (SELECT session_id, seq, fs, row_number() OVER w - 1 AS i, count(*) OVER p AS n, avg((gap <= 0)::INT) OVER p AS back, sum(coalesce(gap > 0 AND gap < greatest(0.002, 0.2 * middle), false)::INT) OVER p / (count(*) OVER p - 1) AS short,
+  (t_ms - first_value(t_ms) OVER w) / 1000 AS wall, (max_by(t_ms, seq) OVER p - min_by(t_ms, seq) OVER p) / 1000 AS span FROM g JOIN a USING (session_id) JOIN rate USING (session_id)
+  WINDOW w AS (PARTITION BY session_id ORDER BY seq), p AS (PARTITION BY session_id))
+SELECT session_id, seq, round(CASE WHEN n >= 3 AND fs > 0 AND (back > 0.05 OR short > 0.05) AND span > 0 THEN i / fs * (span / greatest((n - 1) / fs, 1e-9)) ELSE wall END, 3) + 0.0 AS time_s FROM z""",
+    "time_rebase": f"WITH s AS ({S}) SELECT session_id, seq, round((t_ms - min(t_ms) OVER (PARTITION BY session_id)) / 1000, 6) + 0.0 AS since_min, round((t_ms - first_value(t_ms) OVER (PARTITION BY session_id ORDER BY seq)) / 1000, 6) + 0.0 AS since_first FROM s",
+    "trailing_window": f"WITH s AS ({S}), l AS (SELECT session_id, max_by(t_ms, seq) AS last FROM s GROUP BY 1) SELECT session_id, seq, x FROM s JOIN l USING (session_id) WHERE t_ms >= last - 432000000",
+    "analysis_cutoff": f"WITH s AS ({S}), l AS (SELECT session_id, max(x) >= 489 AS late, max(seq) AS last FROM s GROUP BY 1) SELECT session_id, seq, x FROM s JOIN l USING (session_id) WHERE x >= 489 OR NOT late AND seq = last",
+    "tail_n": f"WITH s AS ({S}) SELECT session_id, seq, x FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 12",
+    "plot_range": f"""WITH s AS ({S}), i AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY session_id) AS n FROM s),
+t AS (SELECT *, CASE WHEN n > 20 THEN least(greatest(n // 20, 1), 50) ELSE 0 END AS trim FROM i), r AS (SELECT session_id, min(x) AS lo, max(x) AS hi FROM t WHERE i > trim AND i <= n - trim GROUP BY 1)
+SELECT session_id, round((lo + hi) / 2 - 0.65::DOUBLE * greatest(hi - lo, 1e-3), 6) + 0.0 AS y_min, round((lo + hi) / 2 + 0.65::DOUBLE * greatest(hi - lo, 1e-3), 6) + 0.0 AS y_max FROM r""",
+    "running_integral": f"""WITH a AS ({AXES}), b AS (SELECT session_id, seq, seq * 50.0::DOUBLE / 1000 AS t, ax FROM a),
+c AS (SELECT *, coalesce((ax + lag(ax) OVER w) / 2 * (t - lag(t) OVER w), 0) AS d FROM b WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+v AS (SELECT *, sum(d) OVER (PARTITION BY session_id ORDER BY seq) AS velocity FROM c),
+e AS (SELECT *, coalesce((velocity + lag(velocity) OVER w) / 2 * (t - lag(t) OVER w), 0) AS d2 FROM v WINDOW w AS (PARTITION BY session_id ORDER BY seq))
+SELECT session_id, seq, round(velocity, 9) + 0.0 AS velocity, round(sum(d2) OVER (PARTITION BY session_id ORDER BY seq), 9) + 0.0 AS path FROM e""",
+    "interp_gaps": f"WITH s AS ({S}), gappy AS ({GAPPY}), {FILLED} SELECT session_id, seq, round(x, 6) + 0.0 AS x FROM filled",
+    "despike_mad": f"WITH s AS ({S}), {despiked('s', 1.0)} SELECT session_id, seq, round(x, 6) + 0.0 AS x FROM spiked",
+    "detrend_linear": f"WITH s AS ({S}), {detrended('s')} SELECT session_id, seq, round(x, 6) + 0.0 AS x FROM flat",
+    "clean_signal": f"WITH s AS ({S}), gappy AS ({GAPPY}), {FILLED}, {despiked('filled', 7.0)}, {detrended('spiked')} SELECT session_id, seq, round(x, 6) + 0.0 AS x FROM flat",
+    "frame_peak": f"""WITH f AS ({F}), mag AS ({MAG}), p AS ({PEAK})
+SELECT seq, peak_bin::INTEGER AS peak_bin, round(0.2::DOUBLE + peak_bin * 0.02::DOUBLE, 6) + 0.0 AS peak_distance_m, round(list_max(a), 6) + 0.0 AS peak_amplitude, round(atan2(im[peak_bin + 1], re[peak_bin + 1]), 6) + 0.0 AS peak_phase_rad, round(list_avg(a), 6) + 0.0 AS mean_amplitude FROM p""",
+    "complex_mean": f"WITH f AS ({F}), l AS ({LONG}) SELECT session_id, bin, round(avg(re), 6) + 0.0 AS re, round(avg(im), 6) + 0.0 AS im FROM l GROUP BY 1, 2",
+    "vector_magnitude": f"WITH a AS ({AXES}) SELECT session_id, seq, round(sqrt(ax * ax + ay * ay + az * az), 6) + 0.0 AS accel, round(sqrt(gx * gx + gy * gy + gz * gz), 6) + 0.0 AS gyro FROM a",
+    "nearest_bin": f"WITH f AS ({F}), l AS ({LONG}) SELECT session_id, seq, bin FROM l QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY abs(distance_m - 0.45::DOUBLE), bin) = 1",
+    "near_range_mask": f"WITH f AS ({F}), l AS ({LONG}) SELECT session_id, count(*) AS n FROM l WHERE distance_m >= 0.28::DOUBLE GROUP BY 1",
+    "gate_bins": f"""WITH f AS ({F}), l AS ({LONG}), mag AS ({MAG}), p AS ({PEAK})
+SELECT session_id, l.seq, bin, round(l.re, 6) + 0.0 AS re FROM l JOIN p USING (session_id, seq) WHERE abs(distance_m - (0.2::DOUBLE + peak_bin * 0.02::DOUBLE)) <= 0.05001::DOUBLE""",
+    "knn_bins": f"""WITH f AS ({F}), l AS ({LONG}), mag AS ({MAG}), p AS ({PEAK})
+SELECT session_id, seq, bin FROM l JOIN p USING (session_id, seq) QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY abs(bin - peak_bin), bin) <= 3""",
+    "bin_median": f"WITH f AS ({F}), l AS ({LONG}) SELECT session_id, bin, round(median(sqrt(re * re + im * im)), 6) + 0.0 AS median_amplitude FROM l GROUP BY 1, 2",
+    "target_select": f"""WITH f AS ({F}), l AS ({LONG}), mag AS ({MAG}), p AS ({PEAK}),
+b AS (SELECT session_id, bin, distance_m, distance_m >= 0.28::DOUBLE AS far, median(sqrt(re * re + im * im)) AS a, (bin % 7)::DOUBLE AS ratio FROM l GROUP BY 1, 2, 3),
+c AS (SELECT *, CASE WHEN max(far::INT) OVER (PARTITION BY session_id) = 1 THEN far ELSE true END AS searched FROM b),
+lp AS (SELECT session_id, max_by(0.2::DOUBLE + peak_bin * 0.02::DOUBLE, seq) AS peak_m FROM p GROUP BY 1),
+fl AS (SELECT session_id, median(a) + 1e-12 AS floor FROM c WHERE searched GROUP BY 1),
+d AS (SELECT session_id, bin, searched, peak_m, distance_m, CASE WHEN searched THEN a / floor ELSE 0 END + 0.15::DOUBLE * least(greatest(ratio, 0), 5) AS score FROM c JOIN lp USING (session_id) JOIN fl USING (session_id)),
+e AS (SELECT *, max(score) OVER (PARTITION BY session_id) AS best, first_value(bin) OVER (PARTITION BY session_id ORDER BY abs(distance_m - peak_m), bin) AS near FROM d),
+g AS (SELECT session_id, bin, score + CASE WHEN bin = near AND searched AND peak_m > 0 THEN 0.5 * best ELSE 0 END AS score FROM e)
+SELECT session_id, bin AS target_bin, round(score, 6) + 0.0 AS score FROM g QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, bin) = 1""",
+    "candidate_weights": f"""WITH f AS ({F}), l AS ({LONG}), b AS (SELECT session_id, bin, median(sqrt(re * re + im * im)) AS a FROM l WHERE bin BETWEEN 8 AND 10 GROUP BY 1, 2)
+SELECT session_id, bin, round(a / (sum(a) OVER (PARTITION BY session_id) + 1e-12), 6) + 0.0 AS weight FROM b""",
+    "session_plan": """WITH c AS (SELECT p_partkey, 0.2::DOUBLE AS s, 0.3::DOUBLE + p_size::DOUBLE / 25 AS e, 1 + p_partkey % 32 AS sweeps, 5.0::DOUBLE + p_size AS hz FROM part),
+d AS (SELECT *, least(floor(921600 / (48 * greatest(hz, 1))), 4095)::BIGINT AS cap, greatest(e - s, 0.0025::DOUBLE) AS span FROM c),
+g AS (SELECT *, greatest(1, ceil(span / (0.0025::DOUBLE * (greatest(cap // sweeps, 2) - 1)))) AS least_step FROM d),
+h AS (SELECT *, CASE WHEN least_step <= 4 THEN least_step WHEN least_step <= 6 THEN 6 WHEN least_step <= 8 THEN 8 WHEN least_step <= 12 THEN 12 WHEN least_step <= 24 THEN 24 ELSE ceil(least_step / 24) * 24 END::BIGINT AS step_length FROM g),
+p AS (SELECT *, greatest(ceil(span / (0.0025::DOUBLE * step_length)) + 1, 2)::BIGINT AS num_points, greatest(round(s / 0.0025::DOUBLE), 0)::BIGINT AS start_point FROM h)
+SELECT p_partkey, start_point, step_length, num_points, greatest(least(sweeps, greatest(cap // num_points, 1)), 1)::BIGINT AS sweeps_per_frame, round((start_point + (num_points - 1) * step_length) * 0.0025::DOUBLE, 6) + 0.0 AS planned_end_m FROM p""",
+    "circle_fit": f"""WITH f AS ({F}), l AS ({LONG}), m AS (SELECT *, avg(re) OVER w AS mx, avg(im) OVER w AS my FROM l WINDOW w AS (PARTITION BY session_id, bin)),
+u AS (SELECT *, re - mx AS u, im - my AS v FROM m), q AS (SELECT *, u * u + v * v AS r2 FROM u),
+s AS (SELECT session_id, bin, count(*) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(u * u) AS suu, sum(v * v) AS svv, sum(u * v) AS suv, sum(u * r2) AS su, sum(v * r2) AS sv, avg(r2) AS r2, median(sqrt(re * re + im * im)) AS typical FROM q GROUP BY 1, 2),
+d AS (SELECT *, suu * svv - suv * suv AS det FROM s),
+c AS (SELECT *, CASE WHEN det > 1e-12 THEN (svv * su - suv * sv) / det / 2 ELSE 0 END AS cu, CASE WHEN det > 1e-12 THEN (suu * sv - suv * su) / det / 2 ELSE 0 END AS cv FROM d),
+r AS (SELECT *, sqrt(greatest(cu * cu + cv * cv + CASE WHEN det > 1e-12 THEN r2 ELSE 0 END, 0)) AS radius, mx + cu AS cx, my + cv AS cy FROM c),
+o AS (SELECT session_id, bin, sqrt(avg((sqrt((re - cx) * (re - cx) + (im - cy) * (im - cy)) - radius) ** 2)) AS off FROM l JOIN r USING (session_id, bin) GROUP BY 1, 2),
+z AS (SELECT *, off / (radius + 1e-12) AS rms FROM r JOIN o USING (session_id, bin)),
+y AS (SELECT *, n >= 8 AND det > 1e-12 AND radius > 0.05 * typical AND radius < 20 * typical AND rms < 0.45 AS plausible FROM z)
+SELECT session_id, bin, {rounded('cx', 'cy', 'radius', 'rms')}, round(CASE WHEN plausible THEN least(greatest(1 - rms / 0.45::DOUBLE, 0), 1) ELSE 0.25 END, 6) + 0.0 AS quality, plausible FROM y""",
+    "covariance": f"WITH a AS ({AXES}) SELECT session_id, " + ", ".join(f"round(covar_samp({p}, {q}), 6) + 0.0 AS cov_{p}_{q}" for p, q in (("ax", "ax"), ("ax", "ay"), ("ax", "az"), ("ay", "ay"), ("ay", "az"), ("az", "az"))) + " FROM a GROUP BY 1",
+    "presence_quality": f"""WITH s AS ({S}), a AS (SELECT seq, 1 + x / 500 AS amp, x % 6 AS ratio, seq % 4 AS bins, x % 20 AS rc, x % 40 AS hc FROM s),
+b AS (SELECT *, least(greatest((amp - 1) * 35 + least(bins, 5) * 6 + least(greatest(ratio, 0), 5) * 10, 0), 100) AS score FROM a),
+c AS (SELECT *, score >= 20 AND (amp >= 1.08::DOUBLE OR ratio >= 1.30::DOUBLE) AS present FROM b)
+SELECT seq, round(score, 6) + 0.0 AS score, present, round(least(greatest(0.18::DOUBLE * ln(1 + greatest(amp - 1, 0)) + 0.22::DOUBLE * least(rc / 5, 1) + 0.22::DOUBLE * least(hc / 5, 1) + 0.20::DOUBLE * least(greatest(ratio, 0) / 4, 1) + CASE WHEN present THEN 0.18::DOUBLE ELSE 0 END, 0), 1), 6) + 0.0 AS quality FROM c""",
+    "band_limits": f"""WITH s AS ({S}), a AS (SELECT seq, x / 100 AS low, x / 100 + (seq % 5)::DOUBLE / 10 AS high, x / 50 AS fs, x / 400 AS resp, x / 150 AS heart FROM s),
+b AS (SELECT *, greatest(low, 0.65::DOUBLE) AS lo, least(high, 3.0::DOUBLE) AS hi, least(1.0::DOUBLE, 0.5::DOUBLE * fs * 0.92::DOUBLE) AS top FROM a),
+c AS (SELECT *, hi - lo < 0.8::DOUBLE AS narrow, least(greatest((lo + hi) / 2, 1.05::DOUBLE), 2.6::DOUBLE) AS mid FROM b),
+d AS (SELECT *, fs > 0 AND top - 0.1::DOUBLE >= 0.02::DOUBLE AS ok FROM c)
+SELECT seq, round(CASE WHEN narrow THEN greatest(0.65::DOUBLE, mid - 0.4::DOUBLE) ELSE lo END, 6) + 0.0 AS low, round(CASE WHEN narrow THEN least(3.0::DOUBLE, mid + 0.4::DOUBLE) ELSE hi END, 6) + 0.0 AS high,
+  round(CASE WHEN ok THEN 0.1::DOUBLE END, 6) + 0.0 AS band_low, round(CASE WHEN ok THEN top END, 6) + 0.0 AS band_high,
+  heart > 0 AND resp > 0 AND len(list_filter(range(2, 8), lambda k: k * resp >= 0.5525::DOUBLE AND k * resp <= 3.15::DOUBLE AND abs(heart - k * resp) <= greatest(0.03::DOUBLE, 0.02::DOUBLE * (k * resp)))) > 0 AS near FROM d""",
+    "target_and_gate": f"""WITH s AS ({S}), a AS (SELECT seq, CASE seq % 3 WHEN 0 THEN 0 WHEN 1 THEN x / 100 END AS a, (seq % 2) * 0.5::DOUBLE AS b, trunc(x % 40)::INT AS i0, trunc(x % 37)::INT AS i1 FROM s),
+b AS (SELECT seq, coalesce(nullif(a, 0), nullif(b, 0), 0.7::DOUBLE) AS target, least(greatest(i0, 0), 31) AS start, i1 FROM a),
+c AS (SELECT *, least(greatest(i1, start + 1), 32) AS stop FROM b)
+SELECT seq, round(target, 6) + 0.0 AS target, start::INT AS start, stop::INT AS stop, least(greatest((start + stop - 1) // 2, 0), 31)::INT AS centre, round(greatest(abs(target - start * 0.02::DOUBLE), abs(stop * 0.02::DOUBLE - target), 0.0025::DOUBLE), 6) + 0.0 AS half_width FROM c""",
+    "rates_and_speed": f"WITH s AS ({S}) SELECT seq, round(x / 70.16::DOUBLE, 6) + 0.0 AS speed_mps, round(x / 100 * 60, 6) + 0.0 AS bpm FROM s",
+    "unwrap_live": unwrapped("CASE WHEN d > pi() THEN d - 2 * pi() WHEN d < -pi() THEN d + 2 * pi() ELSE d END"),
+    "unwrap_mod": unwrapped(MOD),
+    "unwrap": unwrapped(f"CASE WHEN abs(d) < pi() THEN d WHEN {MOD} = -pi() AND d > 0 THEN pi() ELSE {MOD} END", "first"),
+    "differential_phase": f"""WITH f AS ({F}), l AS ({LONG}), u AS (SELECT session_id, bin, seq, re / (sqrt(re * re + im * im) + 1e-12) AS a, im / (sqrt(re * re + im * im) + 1e-12) AS b FROM l),
+p AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb, row_number() OVER w - 1.0::DOUBLE AS i FROM u WINDOW w AS (PARTITION BY session_id, bin ORDER BY seq)),
+t AS (SELECT session_id, bin, seq, i, sum(coalesce(atan2(b * pa - a * pb, a * pa + b * pb), 0)) OVER (PARTITION BY session_id, bin ORDER BY seq) AS x FROM p),
+line AS (SELECT session_id, bin, regr_slope(x, i) AS slope, regr_intercept(x, i) AS base FROM t GROUP BY 1, 2)
+SELECT session_id, bin, seq, round(x - coalesce(base + slope * i, 0), 6) + 0.0 AS phase FROM t JOIN line USING (session_id, bin)""",
+    "dft_band_peak": f"WITH f AS ({F}), series AS ({SERIES}), {POWER}, z AS (SELECT *, k * 2.0::DOUBLE / n AS hz FROM power) SELECT session_id, round(hz, 6) + 0.0 AS peak_hz, round(power, 6) + 0.0 AS power FROM z WHERE hz BETWEEN 0.1::DOUBLE AND 1.0::DOUBLE QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY power DESC, k) = 1",
+    "band_energy_ratio": f"""WITH f AS ({F}), series AS ({SERIES}), {POWER}, z AS (SELECT *, k * 8.0::DOUBLE / n AS hz FROM power),
+v AS (SELECT *, hz >= 0.1::DOUBLE AND hz <= 3.0::DOUBLE AS vital, hz >= 0.03::DOUBLE AND hz <= 3.68::DOUBLE AS wide FROM z)
+SELECT session_id, round(CASE WHEN max(n) < 16 OR count(*) FILTER (vital) = 0 OR count(*) FILTER (wide AND NOT vital) = 0 THEN 1 ELSE avg(power) FILTER (vital) / (avg(power) FILTER (wide AND NOT vital) + 1e-18) END, 6) + 0.0 AS energy_ratio FROM v GROUP BY 1""",
+    "acf_peak": f"""WITH f AS ({F}), series AS ({SERIES}), {detrended('series')}, d AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i, x FROM flat),
+en AS (SELECT session_id, sum(x * x) + 1e-12 AS e FROM d GROUP BY 1),
+c AS (SELECT p.session_id, q.i - p.i AS lag, sum(p.x * q.x) AS s FROM d p JOIN d q ON p.session_id = q.session_id AND q.i - p.i BETWEEN 1 AND 13 GROUP BY 1, 2),
+a AS (SELECT session_id, lag, s / e AS acf FROM c JOIN en USING (session_id)), n AS (SELECT *, lag(acf) OVER w AS y0, lead(acf) OVER w AS y2 FROM a WINDOW w AS (PARTITION BY session_id ORDER BY lag)),
+b AS (SELECT *, coalesce(acf > y0 AND acf > y2, false) AS top FROM n WHERE lag BETWEEN 2 AND 12 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY coalesce(acf > y0 AND acf > y2, false) DESC, acf DESC, lag) = 1)
+SELECT session_id, lag::INTEGER AS lag, round(acf, 6) + 0.0 AS acf, round(lag + coalesce(CASE WHEN abs(y0 - 2 * acf + y2) > 1e-12 THEN 0.5 * (y0 - y2) / (y0 - 2 * acf + y2) ELSE 0 END, 0), 6) + 0.0 AS refined_lag FROM b""",
+    "harmonic_notch": f"WITH f AS ({F}), series AS ({SERIES}), {POWER}, z AS (SELECT *, k * 2.0::DOUBLE / n AS hz FROM power) SELECT session_id, k::INTEGER AS k, round(power * (1 - 0.5 * exp(-0.5 * ((hz - 0.25) / 0.02) ** 2)) * (1 - 0.5 * exp(-0.5 * ((hz - 0.5) / 0.02) ** 2)), 6) + 0.0 AS notched FROM z",
+    "smooth_bins": f"""WITH f AS ({F}), series AS ({SERIES}) SELECT session_id, seq, round(0.12::DOUBLE * coalesce(lag(x, 2) OVER w, 0) + 0.20::DOUBLE * coalesce(lag(x, 1) OVER w, 0) + 0.36::DOUBLE * x + 0.20::DOUBLE * coalesce(lead(x, 1) OVER w, 0) + 0.12::DOUBLE * coalesce(lead(x, 2) OVER w, 0), 6) + 0.0 AS smooth
+FROM series WINDOW w AS (PARTITION BY session_id ORDER BY seq)""",
+    "local_maxima": f"WITH f AS ({F}), series AS ({SERIES}) SELECT session_id, seq, round(x, 6) + 0.0 AS x FROM series WINDOW w AS (PARTITION BY session_id ORDER BY seq) QUALIFY x > lag(x) OVER w AND x > lead(x) OVER w",
+    "ema_amplitude": f"""WITH RECURSIVE s AS ({S}), i AS MATERIALIZED (SELECT session_id, x, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM s),
+r AS (SELECT session_id, i, x AS e FROM i WHERE i = 1 UNION ALL SELECT i.session_id, i.i, exp(-1.0::DOUBLE / 40) * e + (1 - exp(-1.0::DOUBLE / 40)) * x FROM r JOIN i ON i.session_id = r.session_id AND i.i = r.i + 1)
+SELECT session_id, round(max_by(e, i), 6) + 0.0 AS ema FROM r GROUP BY 1""",
+}
+
+
+def _causal(order: int, fs: float, band: tuple[float, float]) -> str:
+    """The difference equation of a causal band-pass from rest, as a recursion."""
+    b, a = (x.tolist() for x in dsp.coefficients(order, band, fs, "band"))
+    n = len(b)
+    y = " + ".join([f"({b[0]!r}::DOUBLE) * i.x", *(f"({b[k]!r}::DOUBLE) * x{k} - ({a[k]!r}::DOUBLE) * y{k}" for k in range(1, n))])
+    columns = ", ".join(f"x{k}, y{k}" for k in range(1, n))
+    rest = ", ".join("0::DOUBLE, 0::DOUBLE" for _ in range(1, n))
+    move = ", ".join(["i.x", f"{y}", *(f"x{k - 1}, y{k - 1}" for k in range(2, n))])
+    return f"""WITH RECURSIVE s AS ({S}), i AS MATERIALIZED (SELECT session_id, seq, x, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM s),
+r(session_id, seq, i, {columns}) AS (SELECT session_id, 0::BIGINT, 0::BIGINT, {rest} FROM (SELECT DISTINCT session_id FROM i)
+UNION ALL SELECT i.session_id, i.seq, i.i, {move} FROM r JOIN i ON i.session_id = r.session_id AND i.i = r.i + 1)
+SELECT session_id, seq, round(y1, 6) + 0.0 AS y FROM r WHERE i > 0"""
+
+
+SQL["bandpass_causal"] = _causal(2, 2.0, (0.1, 0.4))

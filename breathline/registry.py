@@ -109,7 +109,7 @@ def imu_line_parse(spark, sf):
 @query
 def json_array_roundtrip(spark, sf):
     d = frames(spark, sf).withColumn("back", S.decode_array(S.encode_array("re")))
-    return d.select("seq", F.size("back").alias("n"), R(F.aggregate("back", F.lit(0.0), lambda s, x: s + x)).alias("total"), R(F.col("back")[3]).alias("fourth"))
+    return d.select("seq", F.size("back").alias("n"), R(F.aggregate("back", F.lit(0.0), lambda s, x: s + x)).alias("total"), (F.col("back")[3] + 0.0).alias("fourth"))
 
 
 @query
@@ -138,7 +138,7 @@ def catalogue_union(spark, sf):
 @query
 def session_load(spark, sf):
     s = samples(spark, sf).select(KEY, "seq", F.col("t_ms").alias("timestamp_ms"), (F.col("x") * 10).alias("raw_adc"), F.col("x").alias("voltage_mv"))
-    return S.load_session(s, 7, "radar").withColumn("Timestamp_ms", R("Timestamp_ms"))
+    return S.load_session(s, 7, "radar")
 
 
 @query
@@ -236,7 +236,7 @@ def plot_range(spark, sf):
 def running_integral(spark, sf):
     a = axes(spark, sf).withColumn("t", F.col("Time_ms") / 1000)
     once = T.running_integral(a, "ax", "t", "velocity")
-    return T.running_integral(once, "velocity", "t", "path").select(KEY, "seq", R("velocity").alias("velocity"), R("path").alias("path"))
+    return T.running_integral(once, "velocity", "t", "path").select(KEY, "seq", *((F.round(n, 9) + 0.0).alias(n) for n in ("velocity", "path")))
 
 
 # -- cleaning ------------------------------------------------------------------------------

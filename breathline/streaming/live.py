@@ -26,14 +26,16 @@ def _outputs(key: str, rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame([{"session_id": key, **r} for r in rows], columns=_COLUMNS)
 
 
-def live_traces(stream: DataFrame, idle: str = "10 minutes", **options) -> DataFrame:
+def live_traces(stream: DataFrame, idle: str | None = "10 minutes", **options) -> DataFrame:
     """Traces of every session of a stream of frames, in append mode.
 
     State is one processor a session (filters of all bins, no history); it is dropped
-    when a session is idle. Frames of a micro-batch are ordered by number first; late
+    when a session is idle, which keeps the query triggering. With ``idle`` None it
+    stays, and a run over what is available ends. Frames of a micro-batch are ordered by number first; late
     and repeated ones are dropped by the state's monotone rule.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -43,12 +45,13 @@ def live_traces(stream: DataFrame, idle: str = "10 minutes", **options) -> DataF
         rows = pd.concat(list(batches)).sort_values(["frame", "timestamp_ms"], kind="stable")
         out = trace.feed(rows[FRAME_COLUMNS].to_dict("records"))
         state.update((pickle.dumps(trace),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield _outputs(key[0], out)
 
     own = stream.select(F.col("session_id").cast("string").alias("session_id"), *FRAME_COLUMNS)
-    return own.groupBy("session_id").applyInPandasWithState(step, TRACE_SCHEMA, "trace binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return own.groupBy("session_id").applyInPandasWithState(step, TRACE_SCHEMA, "trace binary", "append", timeout)
 
 
 def recorded_traces(frames: DataFrame, **options) -> DataFrame:
