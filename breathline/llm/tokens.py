@@ -15,11 +15,12 @@ and are left to the library.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Distinct pieces kept by a worker; the table is emptied when it is full.
-MAX_PIECES = 400_000
+MAX_PIECES = 1_000_000
 #: Longer pieces are encoded each time they occur.
 MAX_PIECE_CHARS = 200
 
@@ -41,6 +42,19 @@ def encoder(name: str, path: str | None = None) -> "PieceEncoder":
     return _encoders[key]
 
 
+def release() -> None:
+    """Give back the tables that an earlier stage left in this worker; other stages call it."""
+    import ctypes
+    import gc
+
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 class _Numbers(dict):
     """Piece -> its number; an unknown piece gets the next one and is noted."""
 
@@ -72,9 +86,10 @@ class PieceEncoder:
         self.keeps_space = bool(self._ids(["\n"])[0])
         self.separator = "\n" if self.keeps_space else " 0 "
         self.separator_ids = self._ids([self.separator])[0]
-        self._reset()
+        self._start()
 
-    def _reset(self) -> None:
+    def _start(self) -> None:
+        """An empty table."""
         self.known = 0
         self.pending: list[tuple[bool, str]] = []
         self.bare, self.spaced = _Numbers(self, False), _Numbers(self, True)
@@ -125,33 +140,45 @@ class PieceEncoder:
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
         for at in range(0, len(joined), 20_000):
             groups = [joined[i : i + 200] for i in range(at, min(at + 20_000, len(joined)), 200)]
-            for own, ids in zip(groups, self._ids([self.separator.join(p for _, p in g) for g in groups])):
+            for own, ids in zip(groups, self._ids([self.separator.join([p for _, p in g]) for g in groups])):
                 ids = np.array(ids, np.uint32)
-                found = np.split(ids, np.flatnonzero(ids == self.separator_ids[0]))
-                if len(found) != len(own):
+                cuts = np.flatnonzero(ids == self.separator_ids[0])
+                if len(cuts) + 1 != len(own):
                     alone.extend(own)
                     continue
-                for n, ((number, _), x) in enumerate(zip(own, found)):
-                    self._put(number, x[1:] if n else x)
+                starts = np.concatenate([[0], cuts + 1])
+                self._put(np.array([n for n, _ in own]), ids, starts, np.append(cuts, len(ids)) - starts)
         for at in range(0, len(alone), 2_000):
             part = alone[at : at + 2_000]
-            for (number, _), ids in zip(part, self._ids([p for _, p in part])):
-                self._put(number, ids)
-        for number, *parts in signed:
-            self._put(number, np.concatenate([self.pool[self.starts[i] : self.starts[i] + self.lengths[i]] for i in parts]))
-
-    def _put(self, number: int, ids) -> None:
-        n = len(ids)
-        while self.filled + n > len(self.pool):
+            found = self._ids([p for _, p in part])
+            lengths = np.array(list(map(len, found)))
+            self._put(np.array([n for n, _ in part]), np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum(lengths) - lengths, lengths)
+        if signed:
+            numbers, words, signs = np.array(signed).T
+            ids, lengths = self._gather(np.stack([words, signs], axis=1).ravel())
+            lengths = lengths.reshape(-1, 2).sum(axis=1)
+            self._put(numbers, ids, np.cumsum(lengths) - lengths, lengths)
+
+    def _put(self, numbers: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Pieces ``numbers`` have the ids at ``starts`` in ``ids``."""
+        end = self.filled + len(ids)
+        while end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        self.pool[self.filled : self.filled + n] = ids
-        self.starts[number], self.lengths[number] = self.filled, n
-        self.filled += n
+        self.pool[self.filled : end] = ids
+        self.starts[numbers], self.lengths[numbers] = self.filled + starts, lengths
+        self.filled = end
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and how many each has."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(total)], lengths
 
     def look_up(self, texts: list[str]) -> list[list[int]]:
         """For each text the table's numbers of its pieces, in order."""
         if self.known > self.max_pieces:
-            self._reset()
+            self._start()
         out = []
         bare, spaced, feed = self.bare, self.spaced.__getitem__, self.line_feed
         for text in texts:
@@ -174,11 +201,7 @@ class PieceEncoder:
         """All ids of the texts in a row (uint32), and the number of ids of each."""
         looked = self.look_up(texts)
         sizes = np.fromiter(map(len, looked), np.int64, len(looked))
-        at = np.fromiter((i for own in looked for i in own), np.int64, int(sizes.sum()))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)]
-        by_piece = np.concatenate([[0], ends])
+        ids, lengths = self._gather(np.fromiter(chain.from_iterable(looked), np.int64, int(sizes.sum())))
+        by_piece = np.concatenate([[0], np.cumsum(lengths)])
         last = np.cumsum(sizes)
         return ids, by_piece[last] - by_piece[last - sizes]
