@@ -126,7 +126,7 @@ def _kernel(batches, keys: list[str], linked):
         ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
         forest, data = _Forest(ids), linked.prepare(group)
         across = bool(side.any())
-        for row in range(len(ids) - 1):
+        for row in range(len(ids)):
             if across and side[row]:
                 continue
             rest = forest.root != forest.root[row]
