@@ -45,9 +45,9 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most < 2**62:
-        return a @ b.T
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    if most >= 2**57:
+        raise ValueError("components are too large for scores of 64 bits")
+    return a @ b.T
 
 
 def _blocks(batches):
@@ -88,7 +88,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
     """query_id, rank, vec_id, score: the k best candidates of each query row.
 
     Candidates are all rows with another vec_id and as many components. Repeated
-    rows count each. Queries without a candidate give no rows.
+    rows count each. Queries without a candidate give no rows. Vectors so large that
+    parts of a score may pass 57 bits are an error.
     """
     spark = vectors.sparkSession
     own = quantised(vectors, scale)

@@ -1,0 +1,199 @@
+"""Language ID, secrets, toxicity, quality, decontamination, search."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from helpers import same_rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from breathline.llm import decontam, langid, quality_lm, queries, secret_scan, topk, toxicity
+
+
+@pytest.mark.parametrize("name", ["op7_exact_top_k", "op10_decontamination"])
+def test_equals_sql(name, spark, sf, duck):
+    rows = queries.queries()[name](spark, sf).collect()
+    result = duck.execute(queries.oracle_sql()[name])
+    assert rows and same_rows(rows, [c[0] for c in result.description], result.fetchall())
+
+
+# -- language ID ---------------------------------------------------------------
+
+
+def test_language_of_held_out_texts(documents):
+    truth = {r.doc_id: r.lang for r in documents.select("doc_id", "lang").collect()}
+    rows = langid.classify(documents).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    own = [r for r in rows if r.held_out]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in own]) > 0.9
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_edges(odd, odd_rows, empty):
+    rows = langid.classify(odd).collect()
+    assert len(rows) == len(odd_rows)
+    assert {r.lang_pred for r in rows if r.doc_id in (0, 1, 2, 3)} == {"und"}
+    assert langid.classify(empty).count() == 0 and langid.keep_identified(empty).count() == 0
+    assert langid.keep_identified(odd).columns == odd.columns
+
+
+# -- secrets ------------------------------------------------------------------------
+
+
+def brute_spans(text):
+    patterns = [
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+        ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ]
+    found = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, p, good) in enumerate(patterns) for m in p.finditer(text) if good(m)]
+    return ",".join(s for *_, s in sorted(found))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["password", "Token", "API_KEY", "secret", "=", ": ", '"', " ", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "deadbeefdead", "x", "é", "ſecret=abcdefgh", "\n"]), max_size=14).map("".join))
+def test_base_spans(text):
+    assert secret_scan._joined(secret_scan.base_spans(text)) == brute_spans(text)
+
+
+def test_random_strings_are_found_and_identifiers_left():
+    enc = secret_scan.encoding("byte_bpe_50k.tiktoken")
+    kinds = lambda t: {k for _, k, _ in secret_scan.find_spans(t, enc)[1]}
+    assert kinds("key is q8Zt3vXw0LkP5rJ2mNc7 here") == {3}
+    for fine in ("a plain internationalisation sentence", "id 123e4567-e89b-12d3-a456-426614174000", "from 2024-01-01/2024-12-31 on", "d41D8CD98F00B204E9800998ECF8427E".upper(), "see https://example.com/a1b2c3d4e5f6g7h8i9j0", "mail a8f3k2l9x0z4q7w1e5@example.com"):
+        assert 3 not in kinds(fine), fine
+    assert secret_scan.find_spans("é password=q8Zt3vXw0LkP5rJ2mNc7", enc)[1] == [(2, 0, 31)]
+
+
+def test_scan_and_redact(spark, odd, odd_rows, empty):
+    assert secret_scan.scan(odd).count() == len(odd_rows) and secret_scan.scan(empty).count() == 0
+    docs = spark.createDataFrame([(1, "a password=abcdef123 b", "s", 22), (2, "clean", "s", 5), (3, None, "s", 0)], "doc_id long, text string, source string, n_chars long")
+    r = {x.doc_id: x for x in secret_scan.scan(docs).collect()}
+    assert (r[1].n_assign, r[1].spans) == (1, "assign:2:20") and r[1].base_sha256 == hashlib.sha256(b"assign:2:20").hexdigest()
+    assert r[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    out = {x.doc_id: x for x in secret_scan.redact(docs).collect()}
+    assert out[1].text == "a [SECRET] b" and out[1].n_chars == 12 and out[2].text == "clean" and out[3].text is None
+
+
+# -- toxicity --------------------------------------------------------------------------
+
+
+def test_toxicity_separates_and_learns_only_from_its_rows(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices(("ba", "ke", "lo", "mi", "tu"), k=3))
+    docs, labels = [], []
+    for d in range(900):
+        bad = d % 9 == 0
+        docs.append((d, " ".join([word() for _ in range(60)] + (["grubble", "snarkish"] if bad else []))))
+        if d % 2 or bad:
+            labels.append((d, int(bad)))
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.score(df, lab).collect()
+    own = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert np.mean([r.predicted == int(r.doc_id % 9 == 0) for r in own]) > 0.97
+    turned = lab.rdd.map(lambda r: (r.doc_id, 1 - r.toxic if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 else r.toxic)).toDF("doc_id long, toxic int")
+    again = {r.doc_id: r.score for r in toxicity.score(df, turned).collect()}
+    assert all(again[r.doc_id] == r.score for r in rows)
+
+
+def test_toxicity_edges(spark, odd, odd_rows, empty):
+    labels = spark.createDataFrame([(6, 1), (7, None), (None, 1), (4, 0)], "doc_id long, toxic int")
+    rows = toxicity.score(odd, labels).collect()
+    assert len(rows) == len(odd_rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    assert toxicity.score(empty, labels.limit(0)).count() == 0
+
+
+# -- quality model ---------------------------------------------------------------------
+
+
+def test_kneser_ney_probabilities_sum_to_one(spark):
+    """Over all bytes after any context, and they favour what was counted."""
+    texts = [b"abracadabra", b"abacus", b"cabbage"]
+    order = 3
+    grams, n = np.unique(quality_lm.ngrams(texts, order)[0], return_counts=True)
+    counts = spark.createDataFrame(list(zip(grams.tolist(), n.tolist())), "gram long, n long")
+    levels = quality_lm.model(counts, order)
+    for context in (b"ab", b"zz", b"ca"):
+        asked = spark.createDataFrame([((context[0] << 16) + (context[1] << 8) + b,) for b in range(256)], "gram long")
+        p = {r.gram & 255: np.exp(r.logp) for r in quality_lm.log_probabilities(asked, levels, order).collect()}
+        assert sum(p.values()) == pytest.approx(1)
+    assert p[ord("b")] > p[ord("q")]
+
+
+def test_quality(spark, sf, documents, odd, odd_rows, empty):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    rows = quality_lm.classify(documents, labels).collect()
+    kept = lambda q: np.mean([r.kept for r in rows if truth.get(r.doc_id) == q])
+    assert kept(1) > 0.95 and kept(1) > kept(0)
+    got = quality_lm.classify(odd, labels).collect()
+    assert len(got) == len(odd_rows) and all((r.perplexity is None) == (r.doc_id in (0, 1)) for r in got)
+    assert quality_lm.classify(empty, labels.limit(0)).count() == 0
+
+
+# -- decontamination -----------------------------------------------------------------------
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=9), max_size=5), st.lists(st.sampled_from([b"a", b"b", b"c", b"z"]), max_size=25), st.integers(1, 6))
+def test_automaton_equals_windows(items, doc, window):
+    hit, found = set(), set()
+    for k, item in enumerate(items):
+        n = min(len(item), window)
+        own = {tuple(item[i : i + n]) for i in range(len(item) - n + 1)} if item else set()
+        for i in range(len(doc) - n + 1):
+            if tuple(doc[i : i + n]) in own:
+                hit.update(range(i, i + n))
+                found.add(str(k))
+    spans, names = decontam.SuffixAutomaton([(str(k), i) for k, i in enumerate(items)], window).match(doc)
+    assert names == found and {i for a, b in spans for i in range(a, b)} == hit
+
+
+def test_decontaminate(spark, odd, odd_rows, empty):
+    passage = " ".join(f"w{i}" for i in range(14))
+    bench = spark.createDataFrame([(1, passage), (2, "Short item"), (3, None), (None, "...")], "item_id long, text string")
+    filler = " ".join(f"f{i}" for i in range(600))
+    docs = spark.createDataFrame([(1, f"{filler} {passage.upper()} end", 0), (2, passage, 0), (3, filler, 7), (4, None, None)], "doc_id long, text string, n_chars long")
+    for size in (10**6, 3):
+        m = {r.doc_id: r for r in decontam.match(docs, bench).collect()}
+        assert (m[1].n_hit, m[1].contaminated, m[1].items) == (14, False, ["1"]) and m[2].contaminated
+    out = {r.doc_id: r for r in decontam.decontaminate(docs, bench).collect()}
+    assert set(out) == {1, 3, 4} and out[1].text == f"{filler}  end" and out[1].n_chars == len(out[1].text) and out[3].n_chars == 7
+    assert decontam.match(odd, bench).count() == len(odd_rows) and decontam.match(empty, bench).count() == 0
+    assert decontam.match(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_groups_of_items(spark, monkeypatch):
+    items = [(i, f"alpha{i} beta{i} gamma{i}") for i in range(9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, " x ".join(t for _, t in items)), (2, "alpha1 beta1")], "doc_id long, text string")
+    whole = sorted(map(tuple, decontam.match(docs, bench).collect()))
+    full = decontam.automata
+    monkeypatch.setattr(decontam, "automata", lambda b, w: full(b, w, 7))
+    assert len(decontam.automata(bench, 13)) > 1
+    assert sorted(map(tuple, decontam.match(docs, bench).collect())) == whole
+
+
+# -- search -----------------------------------------------------------------------------------
+
+
+def test_top_k_edges(spark):
+    nan = float("nan")
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)]
+    rows += [(500, None), (550, [1.0, None]), (600, [nan] * 6), (650, [float("inf")] * 6), (None, [1.0] * 6), (700, [1.0, 2.0]), (750, [1e5] * 6), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, df.vec_id % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    for q, v in good:
+        if q % 50 == 0:
+            own = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in good if c != q and len(w) == len(v))[:5]
+            assert sorted(got.get(q, [])) == [(k + 1, c, -s) for k, (s, c) in enumerate(own)]
+    assert 700 not in got and topk.top_k(df.limit(0), df.vec_id % 50 == 0).count() == 0
