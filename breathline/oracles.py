@@ -190,6 +190,15 @@ SELECT session_id, lag::INTEGER AS lag, round(acf, 6) + 0.0 AS acf, round(lag +
     "smooth_bins": f"""WITH f AS ({F}), series AS ({SERIES}) SELECT session_id, seq, round(0.12::DOUBLE * coalesce(lag(x, 2) OVER w, 0) + 0.20::DOUBLE * coalesce(lag(x, 1) OVER w, 0) + 0.36::DOUBLE * x + 0.20::DOUBLE * coalesce(lead(x, 1) OVER w, 0) + 0.12::DOUBLE * coalesce(lead(x, 2) OVER w, 0), 6) + 0.0 AS smooth
 FROM series WINDOW w AS (PARTITION BY session_id ORDER BY seq)""",
     "local_maxima": f"WITH f AS ({F}), series AS ({SERIES}) SELECT session_id, seq, round(x, 6) + 0.0 AS x FROM series WINDOW w AS (PARTITION BY session_id ORDER BY seq) QUALIFY x > lag(x) OVER w AND x > lead(x) OVER w",
+    "latest_profile": f"""WITH f AS ({F}), l AS ({LONG}), m AS (SELECT session_id, max(seq) AS seq FROM l GROUP BY 1),
+a AS (SELECT session_id, bin, distance_m, distance_m >= 0.28::DOUBLE AS far, sqrt(re * re + im * im) AS amplitude FROM l JOIN m USING (session_id, seq))
+SELECT session_id, bin, round(distance_m, 6) + 0.0 AS distance_m, round(amplitude, 6) + 0.0 AS amplitude, round(max(amplitude) OVER (PARTITION BY session_id), 6) + 0.0 AS top_amplitude FROM a
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY far DESC, amplitude DESC, bin) = 1""",
+    "raw_iq_trace": f"""WITH f AS ({F}), l AS ({LONG}), s AS (SELECT session_id, seq, seq * 50.0::DOUBLE AS t_ms, re, im, atan2(im, re) AS angle FROM l WHERE bin = 9),
+r AS (SELECT * FROM s QUALIFY t_ms >= max(t_ms) OVER (PARTITION BY session_id) - 10000),
+d AS (SELECT *, angle - lag(angle) OVER w AS d, first_value(angle) OVER w AS first, t_ms - first_value(t_ms) OVER w AS ms, count(*) OVER (PARTITION BY session_id) AS n FROM r WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+p AS (SELECT *, first + sum(coalesce(CASE WHEN abs(d) < pi() THEN d WHEN {MOD} = -pi() AND d > 0 THEN pi() ELSE {MOD} END, 0)) OVER (PARTITION BY session_id ORDER BY seq) AS phase FROM d)
+SELECT session_id, seq, round(ms / 1000, 6) + 0.0 AS time_s, round(re, 6) + 0.0 AS raw_i, round(im, 6) + 0.0 AS raw_q, round(phase - median(phase) OVER (PARTITION BY session_id), 6) + 0.0 AS raw_phase FROM p WHERE n >= 2""",
     "ema_amplitude": f"""WITH RECURSIVE s AS ({S}), i AS MATERIALIZED (SELECT session_id, x, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM s),
 r AS (SELECT session_id, i, x AS e FROM i WHERE i = 1 UNION ALL SELECT i.session_id, i.i, exp(-1.0::DOUBLE / 40) * e + (1 - exp(-1.0::DOUBLE / 40)) * x FROM r JOIN i ON i.session_id = r.session_id AND i.i = r.i + 1)
 SELECT session_id, round(max_by(e, i), 6) + 0.0 AS ema FROM r GROUP BY 1""",

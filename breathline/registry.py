@@ -20,6 +20,7 @@ from .operators import cleaning as C
 from .operators import folds as L
 from .operators import phase as P
 from .operators import timing as T
+from .plans import views
 from .plans import vitals as V
 from .schemas import A121_COLUMNS, IMU_COLUMNS, RADAR_COLUMNS, detect_sensor
 from .sources import recordings as S
@@ -436,6 +437,17 @@ def local_maxima(spark, sf):
     return P.local_maxima(bin_series(spark, sf), "x").select(KEY, "seq", R("x").alias("x"))
 
 
+@query
+def latest_profile(spark, sf):
+    return views.latest_profile(long_frames(spark, sf)).select(KEY, "bin", R("distance_m").alias("distance_m"), R("amplitude").alias("amplitude"), R("top_amplitude").alias("top_amplitude"))
+
+
+@query
+def raw_iq_trace(spark, sf):
+    s = long_frames(spark, sf).where("bin = 9").withColumn("t_ms", F.col("seq") * 50.0)
+    return views.raw_iq_trace(s, 10.0).select(KEY, "seq", *(R(n).alias(n) for n in ("time_s", "raw_i", "raw_q", "raw_phase")))
+
+
 # -- folds, filters ---------------------------------------------------------------------------
 
 
@@ -492,6 +504,16 @@ def radar_vitals(spark, sf):
     return V.radar_vitals(radar_samples(spark, sf))
 
 
+@query
+def radar_view(spark, sf):
+    return views.radar_view(radar_samples(spark, sf))
+
+
+@query
+def imu_view(spark, sf):
+    return views.imu_view(axes(spark, sf), None)
+
+
 @query
 def radar_stats(spark, sf):
     return V.radar_stats(radar_samples(spark, sf))
