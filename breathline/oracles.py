@@ -66,7 +66,7 @@ SQL: dict[str, str] = {
 q AS (SELECT session_id, list_transform(p, lambda v: try_cast(v AS DOUBLE)) AS p FROM l)
 SELECT session_id, p[1] AS "Timestamp_ms", p[2] AS "RawADC", p[3] AS "Voltage_mV" FROM q WHERE len(p) = 3 AND len(list_filter(p, lambda v: v IS NULL)) = 0""",
     "imu_line_parse": f"""WITH a AS ({AXES}) SELECT session_id, seq * 50.0::DOUBLE AS "Time_ms", seq::DOUBLE AS ax, gy AS ay, gz AS az, seq::DOUBLE AS gx, gy, gz FROM a WHERE seq % 13 <> 0""",
-    "json_array_roundtrip": f"WITH f AS ({F}), r AS (SELECT seq, list_transform(re, lambda x: round(x, 8)) AS b FROM f) SELECT seq, len(b)::INTEGER AS n, round(list_reduce(list_prepend(0.0::DOUBLE, b), lambda a, x: a + x), 6) + 0.0 AS total, b[4] + 0.0 AS fourth FROM r",
+    "json_array_roundtrip": f"WITH f AS ({F}), r AS (SELECT seq, list_transform(re, lambda x: round(x, 8)) AS b FROM f) SELECT seq, len(b)::INTEGER AS n, round(list_reduce(list_prepend(0.0::DOUBLE, b), lambda a, x: a + x), 10) + 0.0 AS total, b[4] + 0.0 AS fourth FROM r",
     "sensor_detect": "SELECT * FROM (VALUES ('r', 'radar'), ('f', 'a121'), ('i', 'imu'), ('both', 'radar')) t(name, sensor)",
     "session_list_topk": "SELECT o_orderkey AS id, lower(o_orderpriority) AS sensor, strftime(o_orderdate, '%Y-%m-%d') AS started_at, o_custkey % 9 AS sample_count FROM orders ORDER BY id DESC LIMIT 500",
     "catalogue_union": """WITH o AS (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 500)

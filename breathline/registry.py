@@ -110,7 +110,7 @@ def imu_line_parse(spark, sf):
 @query
 def json_array_roundtrip(spark, sf):
     d = frames(spark, sf).withColumn("back", S.decode_array(S.encode_array("re")))
-    return d.select("seq", F.size("back").alias("n"), R(F.aggregate("back", F.lit(0.0), lambda s, x: s + x)).alias("total"), (F.col("back")[3] + 0.0).alias("fourth"))
+    return d.select("seq", F.size("back").alias("n"), (F.round(F.aggregate("back", F.lit(0.0), lambda s, x: s + x), 10) + 0.0).alias("total"), (F.col("back")[3] + 0.0).alias("fourth"))
 
 
 @query
