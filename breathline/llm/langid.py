@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tokens import release
+
 #: The sample: texts of a language in order of a hash, up to so many, each cut
 #: to so many characters, up to so many bytes in all; and at most so many languages,
 #: the most frequent ones. All documented bounds of the fitted classifier.
@@ -93,6 +95,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, min_
     sent = docs.sparkSession.sparkContext.broadcast(learned)  # bounded, see learn()
 
     def run(batches):
+        release()
         own = Classifier(sent.value)
         for batch in batches:
             found = [own.classify(t) for t in batch.column("text").to_pylist()]
@@ -114,6 +117,7 @@ def keep_identified(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def run(batches):
+        release()
         own = Classifier(sent.value)
         for batch in batches:
             keep = [own.classify(t)[2] >= min_margin for t in batch.column("text").to_pylist()]

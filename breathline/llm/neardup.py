@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, shuffle_partitions, slices
 from .components import components
 from .hashing import mix, word_hashes
+from .tokens import release
 
 COORDINATES, MATCHES = 64, 34
 PREFIX = COORDINATES - MATCHES + 1
@@ -121,6 +122,7 @@ def _link_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 def _kernel(batches, keys: list[str], linked):
     """Spanning links of every group; ``linked(group, row, others)`` tells which of ``others`` a row meets."""
+    release()
     a, b, n = [], [], 0
     for key, group in _grouped(batches, keys):
         ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
@@ -211,6 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
 
     def describe(batches):
+        release()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n, fingerprint, sig = [], [], []
