@@ -20,6 +20,7 @@ from .tokens import release
 #: to so many characters, up to so many bytes in all; and at most so many languages,
 #: the most frequent ones. All documented bounds of the fitted classifier.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 400, 300, 1 << 17, 64
+SAMPLE_PARTS = 64
 #: Bytes of text that are compressed on their own.
 BLOCK_BYTES = 1_024
 LEVEL = 6
@@ -43,9 +44,12 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     # Text is cut before the sort: a document offers its first bytes as sample.
     cut = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("part")).where(F.length("part") >= 1)
     hashed = cut.withColumn("h", F.xxhash64("part"))
-    # Repeated texts count once; the rank is limited before the shuffle.
-    ranked = hashed.withColumn("r", F.dense_rank().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_TEXTS)
-    sample = ranked.dropDuplicates(["lang", "h"]).groupBy("lang").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("r", "part"))).alias("parts"))
+    # Repeated texts count once. Ranked within parts of a language first, so that the
+    # last rank sees at most SAMPLE_PARTS * SAMPLE_TEXTS texts of it, however many tasks there are.
+    ranked = hashed.withColumn("part_of", F.pmod("h", F.lit(SAMPLE_PARTS)))
+    for by in (["lang", "part_of"], ["lang"]):
+        ranked = ranked.withColumn("r", F.dense_rank().over(W.partitionBy(*by).orderBy("h"))).where(F.col("r") <= SAMPLE_TEXTS).dropDuplicates(["lang", "h"])
+    sample = ranked.groupBy("lang").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("r", "part"))).alias("parts"))
     out = {}
     for r in sample.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).toLocalIterator():
         joined = "\n".join(p.part for p in r.parts).lower().encode()[:DICTIONARY_BYTES]
