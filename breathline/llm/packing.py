@@ -105,6 +105,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
                     arrays.append(pa.array(columns[5], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+            del batch, texts, doc_ids  # not held while the next batch arrives
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 

@@ -155,6 +155,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", en
                 held += len(with_end)
                 if held >= chunk_ids:
                     yield row()
+            del batch, texts, doc_ids  # not held while the next batch arrives
         if ids_of:
             yield row()
 
