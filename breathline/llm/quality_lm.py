@@ -26,8 +26,9 @@ from .common import discard, materialise, slices
 from .langid import held_out
 
 ORDER = 4
-#: Quantile of a language's trusted held-out perplexities up to which documents are kept.
-QUANTILE = 0.999
+#: Quantile of a language's trusted held-out perplexities up to which documents are kept;
+#: a twentieth of these texts may be odd without setting the threshold.
+QUANTILE = 0.95
 #: Held-out trusted texts that a language needs for a threshold of its own.
 MIN_TEXTS = 20
 BROADCAST_ROWS = 1_000_000

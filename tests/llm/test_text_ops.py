@@ -136,6 +136,25 @@ def test_quality(spark, sf, documents, odd, odd_rows, empty):
     assert quality_lm.classify(empty, labels.limit(0)).count() == 0
 
 
+def test_quality_threshold_of_few_odd_texts(spark, monkeypatch):
+    """Odd trusted texts don't let bad documents of their language through."""
+    fine = [(i, "en", True, 5 + i / 1000) for i in range(60)]
+    odd = [(100 + i, "en", True, 900.0) for i in range(3)]
+    bad = [(200 + i, "en", False, 50.0) for i in range(9)]
+    found = spark.createDataFrame(fine + odd + bad, "doc_id long, lang string, calibrating boolean, perplexity double")
+    monkeypatch.setattr(quality_lm, "perplexities", lambda docs, labels, order: found)
+    kept = {r.doc_id for r in quality_lm.classify(None, None).where("kept").collect()}
+    assert kept == {i for i, *_ in fine}
+
+
+def test_quality_leaves_few_bad_documents(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    rows = quality_lm.classify(docs, labels).collect()
+    kept = lambda q: np.mean([r.kept for r in rows if truth.get(r.doc_id) == q])
+    assert kept(0) < 0.04 and kept(1) > 0.93
+
+
 # -- decontamination -----------------------------------------------------------------------
 
 
