@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,15 +81,16 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-PHASE_1 = "query int, part int, vec_id long, score long, lowest long"
+PHASE_1 = "query int, part int, vec_id long, row long, score long, lowest long"
 PHASE_3 = "query int, query_id long, vec_id long, score long"
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of each query row.
+    """query_id, rank, vec_id, score: the k best pairs of each query id.
 
-    Candidates are all rows with another vec_id and as many components. Repeated
-    rows count each. Queries without a candidate give no rows. Vectors so large that
+    Candidates of a query row are all rows with another vec_id and as many
+    components. Repeated rows count each, those of a query too: a pair of rows is
+    one of its id's pairs. Queries without a candidate give no rows. Vectors so large that
     parts of a score may pass 57 bits are an error.
     """
     spark = vectors.sparkSession
@@ -100,9 +102,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
     results = None
     for g in range(n_groups):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)) == g) if n_groups > 1 else queries
-        found = _group(own, rows.collect(), k, spark).withColumn("g", F.lit(g))  # bounded by GROUP_BYTES
+        found = _group(own, rows.collect(), k, spark)  # bounded by GROUP_BYTES
         results = found if results is None else results.unionByName(found)
-    order = W.partitionBy("g", "query").orderBy(F.desc("score"), "vec_id")
+    # Rows of one query id are of one group; the k best pairs are among the k best of each row.
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -115,9 +118,15 @@ def _group(own: DataFrame, rows: list, k: int, spark) -> DataFrame:
     sent = spark.sparkContext.broadcast(by_size)
 
     def gather(batches):
-        """Phase 1; lists of the same node are merged before they leave the task."""
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int]] = {}
+        """Phase 1; lists of the same node are merged before they leave the task.
+
+        Rows are numbered: the parts of rows that share a vec_id are not one total.
+        """
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, int]] = {}
+        first = TaskContext.get().partitionId() << 40
         for ids, matrix in _blocks(batches):
+            row_numbers = first + np.arange(len(ids))
+            first += len(ids)
             d = matrix.shape[1]
             if d not in sent.value:
                 continue
@@ -129,25 +138,25 @@ def _group(own: DataFrame, rows: list, k: int, spark) -> DataFrame:
                         other = np.flatnonzero(ids != query_ids[a + i])
                         at = other[_best(row[other], ids[other], k)]
                         key = (int(numbers[a + i]), j)
-                        x, y, low = ids[at], row[at], int(row.min())
+                        x, own, y, low = ids[at], row_numbers[at], row[at], int(row.min())
                         if key in held:
-                            x, y = np.concatenate([held[key][0], x]), np.concatenate([held[key][1], y])
+                            x, own, y = (np.concatenate(pair) for pair in zip(held[key], (x, own, y)))
                             top = _best(y, x, k)
-                            x, y, low = x[top], y[top], min(low, held[key][2])
-                        held[key] = x, y, low
+                            x, own, y, low = x[top], own[top], y[top], min(low, held[key][3])
+                        held[key] = x, own, y, low
         if held:
-            n = [len(x) for x, _, _ in held.values()]
+            n = [len(x) for x, *_ in held.values()]
             keys = np.repeat(np.array(list(held), np.int32), n, axis=0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.concatenate([x for x, _, _ in held.values()])), pa.array(np.concatenate([y for _, y, _ in held.values()])), pa.array(np.repeat(np.array([low for _, _, low in held.values()], np.int64), n))],
-                ["query", "part", "vec_id", "score", "lowest"],
+                [pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(np.concatenate([x[c] for x in held.values()])) for c in range(3)), pa.array(np.repeat(np.array([x[3] for x in held.values()], np.int64), n))],
+                ["query", "part", "vec_id", "row", "score", "lowest"],
             )
 
     lists = own.mapInArrow(gather, PHASE_1)
     low = F.min("lowest").over(W.partitionBy("query", "part"))
     rank = F.row_number().over(W.partitionBy("query", "part").orderBy(F.desc("score"), "vec_id"))
     known = lists.withColumns({"lowest": low, "r": rank}).where(F.col("r") <= k)
-    sums = known.groupBy("query", "vec_id").agg(F.sum(F.col("score") - F.col("lowest")).alias("known"))
+    sums = known.groupBy("query", "row").agg(F.sum(F.col("score") - F.col("lowest")).alias("known"))
     kth = sums.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("known")))).where(F.col("r") == k).select("query", F.col("known").alias("cutoff"))
     lowest = known.groupBy("query", "part").agg(F.min("lowest").alias("lowest")).groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("part", "lowest"))).alias("lowest"))
     # One row per query of the group: bounded, like the group.
@@ -179,13 +188,15 @@ def _group(own: DataFrame, rows: list, k: int, spark) -> DataFrame:
                     entry = shifted * m >= cutoff[:, None]
                     given_sum += np.where(entry, shifted, 0)
                     given += entry
-                if len(ids) > k:  # one entry may be the query itself
-                    better = np.partition(given_sum, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+                itself = ids[None, :] == query_ids[own][:, None]
+                if len(ids) >= k:  # rows of the query's id are no candidates
+                    others = np.where(itself, -1, given_sum)
+                    better = np.partition(others, len(ids) - k, axis=1)[:, len(ids) - k]
                     least = np.maximum(cutoff, better)
                 else:
                     least = cutoff
                 reach = given_sum * m + (m - given).astype(np.int64) * cutoff[:, None]
-                rest = (given > 0) & (reach >= least[:, None] * m) & (ids[None, :] != query_ids[own][:, None])
+                rest = (given > 0) & (reach >= least[:, None] * m) & ~itself
                 for n, i in enumerate(own):
                     at = np.flatnonzero(rest[n])
                     if len(at):

@@ -216,3 +216,24 @@ def test_top_k_edges(spark):
             own = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in good if c != q and len(w) == len(v))[:5]
             assert sorted(got.get(q, [])) == [(k + 1, c, -s) for k, (s, c) in enumerate(own)]
     assert 700 not in got and topk.top_k(df.limit(0), df.vec_id % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("copies", [2, 6])
+def test_top_k_of_repeated_rows(spark, tmp_path, copies):
+    """Repeated query rows, alike or not, and different candidates of one id."""
+    import duckdb
+
+    rng = np.random.default_rng(copies)
+    vectors = rng.normal(size=(100, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(0, vectors[0].tolist())] * (copies - 1) + [(50, rng.normal(size=64).tolist()) for _ in range(copies - 1)]
+    # Rows of id 7: each one is good for query 0 in one slice only.
+    good = np.sign(vectors[0]) * 9
+    rows += [(7, np.where(np.arange(64) // 16 == j, good, -good).tolist()) for j in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = sorted(con.execute(queries.OP7_SQL).fetchall())
+    for parts in (1, 3):
+        assert sorted(map(tuple, topk.top_k(df.repartition(parts), df.vec_id % 50 == 0).collect())) == want
