@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns plus a token-efficiency test.
 
 A random string needs more tokens of a byte-pair vocabulary than text of the
-same length. Candidates are runs of key-like characters that mix digits and
-letters; those whose characters per token are few are spans of kind
-``random``. Known digests (hexadecimal runs of the usual digest lengths) and
-identifiers (UUIDs, parts of addresses and links, dates and numbers) are no
-candidates. Spans of the fixed patterns stay as they are.
+same length. Candidates are runs of key-like characters and their parts between
+``/`` and ``=``; those whose characters per token are few are spans of kind
+``random``. No candidates are known digests (hexadecimal runs of the usual digest
+lengths), UUIDs, dates and numbers, e-mail addresses, host names, and the path of
+a link if it is but one short part in one letter case (a page's identifier). All
+else in links and dotted names is tested part by part: user names and passwords
+before a host, parts of paths, the three parts of a web token. Spans of the fixed
+patterns stay as they are.
 """
 
 from __future__ import annotations
@@ -34,9 +37,18 @@ MAX_RATIO = 2.0
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _NUMBERS = re.compile(r"[0-9/_=+-]+")
 
+#: Candidates with the signs that join parts of addresses and links.
+_WORD = re.compile(r"[A-Za-z0-9+/_=.@:%?&#~!-]{16,}")
+_PART = re.compile(r"[^/=]{16,}")
+#: A link from the end of its scheme: user names and passwords, host, path.
+_LINK = re.compile(r"://(?:[^/?#@]*@)*([^/?#@&]*)(/[^?#]*)?")
+_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,}")
+_DOTTED, _HOST = re.compile(r"[A-Za-z0-9.-]+"), re.compile(r"(?:[a-z0-9-]{1,63}\.)+[a-z]{2,15}|(?:[A-Z0-9-]{1,63}\.)+[A-Z]{2,15}")
+_PATH = re.compile(r"(?::[0-9]+)?(/[^?#]*)")
+_PAGE = re.compile(r"/(?:[a-z0-9_-]{1,24}|[A-Z0-9_-]{1,24})[/.:!]*")
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 _encodings: dict = {}
@@ -68,24 +80,69 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def _identifier(text: str, m: re.Match) -> bool:
-    run = m[0]
-    if _HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS or _UUID.fullmatch(run) or _NUMBERS.fullmatch(run):
-        return True
-    before, after = text[max(0, m.start() - 3) : m.start()], text[m.end() : m.end() + 1]
-    return before.endswith(("://", "@", "www", ".")) or after in ("@", ".") and text[m.end() + 1 : m.end() + 2].isalnum() or "://" in before
+def _identifier(run: str) -> bool:
+    return bool(_HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS or _UUID.fullmatch(run) or _NUMBERS.fullmatch(run))
+
+
+def _addresses(word: str) -> tuple[str, bytearray]:
+    """The word with blanks for schemes, e-mail addresses, host names and page identifiers; where links are (1 up to the host, 2 path)."""
+    left, marks = list(word), bytearray(len(word))
+
+    def blank(a: int, b: int) -> None:
+        left[a:b] = " " * (b - a)
+
+    def path(m: re.Match, group: int) -> None:
+        if m[group]:
+            a, b = m.span(group)
+            marks[a:b] = b"\x02" * (b - a)
+            if _PAGE.fullmatch(m[group]):
+                blank(a, b)
+
+    for m in _LINK.finditer(word):
+        marks[m.start() : m.end(1)] = b"\x01" * (m.end(1) - m.start())
+        blank(m.start(), m.start() + 3)
+        blank(*m.span(1))
+        path(m, 2)
+    if "@" in word:
+        found = list(_LOCAL.finditer(word))
+        for m, n in zip(found, found[1:]):
+            if word[m.end() : n.start()] == "@" and marks[m.start()] != 1 and (d := _DOMAIN.match(n[0])):
+                blank(m.start(), n.start() + d.end())
+    if "." in word:
+        for m in _DOTTED.finditer(word):
+            host = m[0].rstrip(".-")
+            if (m.start() == 0 or word[m.start() - 1] in "@:=&?") and not marks[m.start()] and _HOST.fullmatch(host):
+                blank(m.start(), m.start() + len(host))
+                if after := _PATH.match(word, m.end()):
+                    path(after, 1)
+    return "".join(left), marks
 
 
 def random_spans(text: str, encoder, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
     """(start, rank of kind, end) of strings that the vocabulary encodes badly."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not (_DIGIT.search(run) and _LETTER.search(run)) or _identifier(text, m):
-            continue
+
+    def test(a: int, b: int) -> bool:
+        run = text[a:b]
+        if _identifier(run):
+            return False
         tokens = sum(len(encoder.encode_ordinary(run[i : i + WINDOW])) for i in range(0, len(run), WINDOW))
         if len(run) < max_ratio * tokens:
-            found.append((m.start(), 3, m.end()))
+            found.append((a, 3, b))
+        return len(run) < max_ratio * tokens
+
+    for w in _WORD.finditer(text):
+        word, at, marks = w[0], w.start(), None
+        if not CANDIDATE.search(word):
+            continue
+        if "." in word or "@" in word or "://" in word:
+            word, marks = _addresses(word)
+        for m in CANDIDATE.finditer(word):
+            in_path = marks is not None and marks[m.start()] == 2
+            if in_path or not _identifier(m[0]) and not test(at + m.start(), at + m.end()):
+                for part in _PART.finditer(word, *m.span()):
+                    if in_path or part.span() != m.span():
+                        test(at + part.start(), at + part.end())
     return found
 
 

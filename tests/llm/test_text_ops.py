@@ -69,6 +69,26 @@ def test_random_strings_are_found_and_identifiers_left():
     assert secret_scan.find_spans("é password=q8Zt3vXw0LkP5rJ2mNc7", enc)[1] == [(2, 0, 31)]
 
 
+def test_random_parts_of_links_and_dotted_names():
+    enc = secret_scan.encoding("byte_bpe_50k.tiktoken")
+    found = lambda t: [t[a:b] for a, k, b in secret_scan.find_spans(t, enc)[1] if k == 3]
+    key = "q8Zt3vXw0LkP5rJ2mNc7"
+    web = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+    assert found(f"Bearer {'.'.join(web)} sent") == web
+    for t in ("postgres://admin:{}@db.example.com:5432/main", "https://{}@git.example.com/a/b.git", "https://hooks.example.com/services/T00000000/B00000000/{}", "hooks.example.com/services/T00000000/B00000000/{}.", "https://example.com/{}", "see www.example.com/x/{}?y=1", "deployment/configuration/production/administration/settings/{}", "x.{}", "{}.Then", "{}@", "https://example.com/find?documentation_parameter_of_the_administration_search={}&z"):
+        assert found(t.format(key)) == [key], t
+    assert found("key qwzXvKpLrTnBmHsJdGfY or xkqzvbnwrtplmhgfdsjc") == ["qwzXvKpLrTnBmHsJdGfY", "xkqzvbnwrtplmhgfdsjc"]
+    for fine in ("at d3f8a9k2l1m0n4o5p7.cloud.example.net/index.html", "https://d3f8a9k2l1m0n4o5p7.example.net:80/x", "x.a8f3k2l9x0z4q7w1e5@mail.example.com", "https://example.com/users/123e4567-e89b-12d3-a456-426614174000/profile", "https://example.com/c/d41d8cd98f00b204e9800998ecf8427E".upper(), "src/main/java/com/example/Internationalisation.java", "INTERNATIONALISATION getElementsByTagName Donaudampfschifffahrtsgesellschaft", "=" * 40, "-" * 40 + "/" * 40):
+        assert found(fine) == [], fine
+
+
+def test_random_spans_of_long_runs():
+    """Time grows with the text, whatever it is a run of."""
+    enc = secret_scan.encoding("byte_bpe_50k.tiktoken")
+    for unit in ("a", "a.", "a@", "://", "a/", "=", "a@b.", "ab.cd/", "://a@b.cd&", "=ab.cd/", "@ab.cd/x:"):
+        secret_scan.random_spans(unit * (200_000 // len(unit)), enc)
+
+
 def test_scan_and_redact(spark, odd, odd_rows, empty):
     assert secret_scan.scan(odd).count() == len(odd_rows) and secret_scan.scan(empty).count() == 0
     docs = spark.createDataFrame([(1, "a password=abcdef123 b", "s", 22), (2, "clean", "s", 5), (3, None, "s", 0)], "doc_id long, text string, source string, n_chars long")
