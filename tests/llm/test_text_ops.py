@@ -41,6 +41,16 @@ def test_language_edges(odd, odd_rows, empty):
     assert langid.keep_identified(odd).columns == odd.columns
 
 
+def test_short_clean_texts_are_identified(spark):
+    """Short labelled texts of quality 1 have no byte-level ties; repeated junk stays rejected."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    clean = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id").where("length(text) between 2 and 28").select("text", "lang").collect()
+    own = langid.Classifier(langid.learn(docs))
+    found = [own.classify(r.text) for r in clean]
+    assert clean and all(m >= langid.MIN_MARGIN for _, _, m in found)
+    assert np.mean([x == r.lang for r, (x, _, _) in zip(clean, found)]) > 0.9
+
+
 # -- secrets ------------------------------------------------------------------------
 
 
