@@ -1,16 +1,17 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The components of the vectors are cut into ``SLICES``; a slice of a candidate
-block is a node that knows only its part of each inner product. Part scores are
-shifted by the slice's lowest one, so they are never negative and only add.
-
-1. Every node gathers its k best part scores per query. Sums of the parts seen
-   so far are lower bounds of totals; the k-th best one is a safe cutoff.
-2. The cutoff is broadcast. A node gives all entries of at least cutoff / slices:
-   a candidate with less in every slice stays below the cutoff. The sums now
-   known give a better cutoff; what can't reach it even with cutoff / slices in
-   each slice not given is dropped.
-3. The rest are resolved exactly, and each block's k best go to the final rank.
+The components of the vectors are cut into ``SLICES``; a slice of a block of
+candidates is a node that has a part of each inner product.
+
+1. Every block lists its best parts of one slice, each block another slice, and
+   the totals of the few rows listed. The k-th best total of all lists is a safe
+   cutoff: at least k candidates reach it.
+2. The cutoff is broadcast. Blocks go through their slices in order. A pair goes
+   on only while what it has so far and the most that the other slices can give
+   (the product of the lengths there) reach the cutoff. A slice collects a pair
+   if its part is at least cutoff / slices: one that no slice collects stays below.
+3. Once few pairs are left, they are resolved exactly one by one. What leaves a
+   task are its k best per query of the pairs that reach the cutoff, few in all.
 
 Queries are taken in groups of bounded size, blocks of candidates where they lie.
 """
@@ -41,13 +42,19 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return usable.select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
 
 
+def _most(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+
+
+def _bounded(a: np.ndarray, b: np.ndarray) -> None:
+    if _most(a, b) >= 2**57:
+        raise ValueError("components are too large for scores of 64 bits")
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products of rows, in floating point where 53 bits are enough."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2**53:
+    if _most(a, b) < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most >= 2**57:
-        raise ValueError("components are too large for scores of 64 bits")
     return a @ b.T
 
 
@@ -71,20 +78,75 @@ def _slices(d: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
-
+#: Share of pairs of a block below which they are taken one by one.
+SPARSE = 1 / 16
+_NONE = np.iinfo(np.int64).min
 
-PHASE_1 = "query int, part int, vec_id long, row long, score long, lowest long"
+PHASE_1 = "query int, score long"
 PHASE_3 = "query int, query_id long, vec_id long, score long"
 
 
+def _pairs(q: np.ndarray, rows: np.ndarray, matrix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Exact products of pairs (rows of q, rows of matrix), some at a time."""
+    out = np.empty(len(rows), np.int64)
+    step = max(1, (1 << 20) // max(1, q.shape[1]))
+    for i in range(0, len(rows), step):
+        out[i : i + step] = (q[rows[i : i + step]] * matrix[at[i : i + step]]).sum(axis=1)
+    return out
+
+
+def _lengths(x: np.ndarray, parts: list[slice]) -> np.ndarray:
+    return np.sqrt(np.stack([(x[:, s].astype(np.float64) ** 2).sum(axis=1) for s in parts], axis=1))
+
+
+def _listed(q: np.ndarray, itself: np.ndarray, matrix: np.ndarray, part: slice, k: int) -> np.ndarray:
+    """Totals of the rows whose parts in one slice are each query's k best; _NONE where there are fewer."""
+    scores = _product(q[:, part], matrix[:, part])
+    scores[itself] = _NONE
+    k = min(k, matrix.shape[0])
+    at = np.argpartition(scores, matrix.shape[0] - k, axis=1)[:, matrix.shape[0] - k :]
+    rows = np.repeat(np.arange(len(q)), k)
+    totals = _pairs(q, rows, matrix, at.ravel()).reshape(len(q), k)
+    return np.where(np.take_along_axis(itself, at, axis=1), _NONE, totals)
+
+
+def _reaching(q: np.ndarray, itself: np.ndarray, matrix: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of the pairs whose scores reach their query's cutoff."""
+    parts = _slices(matrix.shape[1])
+    m = len(parts)
+    q_len, c_len = _lengths(q, parts), _lengths(matrix, parts)
+    share = np.where(cutoff == _NONE, _NONE, -(-cutoff // m))  # some part is at least this
+    low = cutoff.astype(np.float64)
+    low -= 1e-9 * np.abs(low) + 2  # lengths are rounded
+    known = collected = None
+    alive = ~itself
+    for j, s in enumerate(parts):
+        scores = _product(q[:, s], matrix[:, s])
+        known = scores if known is None else known + scores
+        entry = scores >= share[:, None]
+        collected = entry if collected is None else collected | entry
+        if j + 1 == m:
+            break
+        most = q_len[:, j + 1 :] @ c_len[:, j + 1 :].T
+        alive &= known + most >= low[:, None]
+        if np.count_nonzero(alive) < SPARSE * alive.size:
+            rows, at = np.nonzero(alive)
+            rest = slice(parts[j + 1].start, None)
+            totals = known[rows, at] + _pairs(q[:, rest], rows, matrix[:, rest], at)
+            reach = totals >= cutoff[rows]
+            return rows[reach], at[reach], totals[reach]
+    rows, at = np.nonzero(alive & collected & (known >= cutoff[:, None]))
+    return rows, at, known[rows, at]
+
+
+def _ranked(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each row's k best scores, ties to the smaller id."""
+    by = np.lexsort((ids, -scores, rows))
+    first = np.r_[True, rows[by][1:] != rows[by][:-1]] if len(by) else np.empty(0, bool)
+    rank = np.arange(len(by)) - np.maximum.accumulate(np.where(first, np.arange(len(by)), 0)) if len(by) else by
+    return by[rank < k]
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best pairs of each query id.
 
@@ -117,97 +179,48 @@ def _group(own: DataFrame, rows: list, k: int, spark) -> DataFrame:
         by_size[d] = np.array(numbers, np.int32), np.array([rows[i].vec_id for i in numbers], np.int64), np.array([rows[i].v for i in numbers], np.int64)
     sent = spark.sparkContext.broadcast(by_size)
 
-    def gather(batches):
-        """Phase 1; lists of the same node are merged before they leave the task.
-
-        Rows are numbered: the parts of rows that share a vec_id are not one total.
-        """
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, int]] = {}
-        first = TaskContext.get().partitionId() << 40
-        for ids, matrix in _blocks(batches):
-            row_numbers = first + np.arange(len(ids))
-            first += len(ids)
-            d = matrix.shape[1]
-            if d not in sent.value:
-                continue
-            numbers, query_ids, q = sent.value[d]
+    def meetings(batches):
+        """Blocks of candidates and blocks of queries of as many components."""
+        for n, (ids, matrix) in enumerate(_blocks(batches), TaskContext.get().partitionId()):
+            numbers, query_ids, q = sent.value.get(matrix.shape[1], ((), (), ()))
             for a in range(0, len(q), QUERY_BLOCK):
-                for j, s in enumerate(_slices(d)):
-                    scores = _product(q[a : a + QUERY_BLOCK, s], matrix[:, s])
-                    for i, row in enumerate(scores):
-                        other = np.flatnonzero(ids != query_ids[a + i])
-                        at = other[_best(row[other], ids[other], k)]
-                        key = (int(numbers[a + i]), j)
-                        x, own, y, low = ids[at], row_numbers[at], row[at], int(row.min())
-                        if key in held:
-                            x, own, y = (np.concatenate(pair) for pair in zip(held[key], (x, own, y)))
-                            top = _best(y, x, k)
-                            x, own, y, low = x[top], own[top], y[top], min(low, held[key][3])
-                        held[key] = x, own, y, low
-        if held:
-            n = [len(x) for x, *_ in held.values()]
-            keys = np.repeat(np.array(list(held), np.int32), n, axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(np.concatenate([x[c] for x in held.values()])) for c in range(3)), pa.array(np.repeat(np.array([x[3] for x in held.values()], np.int64), n))],
-                ["query", "part", "vec_id", "row", "score", "lowest"],
-            )
-
-    lists = own.mapInArrow(gather, PHASE_1)
-    low = F.min("lowest").over(W.partitionBy("query", "part"))
-    rank = F.row_number().over(W.partitionBy("query", "part").orderBy(F.desc("score"), "vec_id"))
-    known = lists.withColumns({"lowest": low, "r": rank}).where(F.col("r") <= k)
-    sums = known.groupBy("query", "row").agg(F.sum(F.col("score") - F.col("lowest")).alias("known"))
-    kth = sums.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("known")))).where(F.col("r") == k).select("query", F.col("known").alias("cutoff"))
-    lowest = known.groupBy("query", "part").agg(F.min("lowest").alias("lowest")).groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("part", "lowest"))).alias("lowest"))
-    # One row per query of the group: bounded, like the group.
-    cutoffs = {r.query: (r.cutoff, r.lowest) for r in lowest.join(kth, "query", "left").collect()}
+                own_q, own_ids = q[a : a + QUERY_BLOCK], query_ids[a : a + QUERY_BLOCK]
+                _bounded(own_q, matrix)
+                yield n, ids, matrix, numbers[a : a + QUERY_BLOCK], own_ids, own_q, ids[None, :] == own_ids[:, None]
+
+    def gather(batches):
+        """Phase 1: the k best totals that the lists of a task's blocks give each query."""
+        held = np.full((len(rows_of), k), _NONE)
+        for n, _, matrix, numbers, _, q, itself in meetings(batches):
+            parts = _slices(matrix.shape[1])
+            both = np.concatenate([held[numbers], _listed(q, itself, matrix, parts[n % len(parts)], k)], axis=1)
+            held[numbers] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        known = held != _NONE
+        if known.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(held), dtype=np.int32), known.sum(axis=1))), pa.array(held[known])], ["query", "score"])
+
+    rows_of = range(len(rows))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))
+    kth = own.mapInArrow(gather, PHASE_1).withColumn("r", rank).where(F.col("r") == k)
+    # One row per query of the group: bounded, like the group. Fewer than k listed: no cutoff.
+    cutoffs = np.full(len(rows), _NONE)
+    for r in kth.select("query", "score").collect():
+        cutoffs[r.query] = r.score
     safe = spark.sparkContext.broadcast(cutoffs)
 
     def resolve(batches):
-        """Phases 2 and 3 for each block."""
-        for ids, matrix in _blocks(batches):
-            d = matrix.shape[1]
-            if d not in sent.value:
-                continue
-            numbers, query_ids, q = sent.value[d]
-            parts = _slices(d)
-            m = len(parts)
-            out = []
-            for a in range(0, len(q), QUERY_BLOCK):
-                own = [i for i in range(a, min(len(q), a + QUERY_BLOCK)) if int(numbers[i]) in safe.value]
-                if not own:
-                    continue
-                cutoff = np.array([safe.value[int(numbers[i])][0] or 0 for i in own], np.int64)
-                given_sum = np.zeros((len(own), len(ids)), np.int64)
-                given = np.zeros((len(own), len(ids)), np.int8)
-                scores = []
-                for j, s in enumerate(parts):
-                    lows = np.array([safe.value[int(numbers[i])][1][j] for i in own], np.int64)
-                    scores.append(_product(q[own][:, s], matrix[:, s]))
-                    shifted = scores[j] - lows[:, None]
-                    entry = shifted * m >= cutoff[:, None]
-                    given_sum += np.where(entry, shifted, 0)
-                    given += entry
-                itself = ids[None, :] == query_ids[own][:, None]
-                if len(ids) >= k:  # rows of the query's id are no candidates
-                    others = np.where(itself, -1, given_sum)
-                    better = np.partition(others, len(ids) - k, axis=1)[:, len(ids) - k]
-                    least = np.maximum(cutoff, better)
-                else:
-                    least = cutoff
-                reach = given_sum * m + (m - given).astype(np.int64) * cutoff[:, None]
-                rest = (given > 0) & (reach >= least[:, None] * m) & ~itself
-                for n, i in enumerate(own):
-                    at = np.flatnonzero(rest[n])
-                    if len(at):
-                        total = sum(x[n, at] for x in scores)
-                        best = _best(total, ids[at], k)
-                        out.append((int(numbers[i]), int(query_ids[i]), ids[at][best], total[best]))
-            if out:
-                n = [len(x) for _, _, x, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([o[0] for o in out], n), pa.int32()), pa.array(np.repeat([o[1] for o in out], n), pa.int64()), pa.array(np.concatenate([o[2] for o in out])), pa.array(np.concatenate([o[3] for o in out]))],
-                    ["query", "query_id", "vec_id", "score"],
-                )
+        """Phases 2 and 3; a task's results are merged before they leave it."""
+        held = [np.empty(0, np.int64)] * 4  # query, query_id, vec_id, score
+        for _, ids, matrix, numbers, query_ids, q, itself in meetings(batches):
+            found, at, scores = _reaching(q, itself, matrix, safe.value[numbers])
+            best = _ranked(found, ids[at], scores, k)
+            found, at, scores = found[best], at[best], scores[best]
+            held = [np.concatenate(pair) for pair in zip(held, (numbers[found].astype(np.int64), query_ids[found], ids[at], scores))]
+            if len(held[0]) > 4 * k * len(rows_of):
+                keep = _ranked(held[0], held[2], held[3], k)
+                held = [x[keep] for x in held]
+        keep = _ranked(held[0], held[2], held[3], k)
+        if len(keep):
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip(held, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["query", "query_id", "vec_id", "score"])
 
     return own.mapInArrow(resolve, PHASE_3)

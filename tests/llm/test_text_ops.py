@@ -267,3 +267,33 @@ def test_top_k_of_repeated_rows(spark, tmp_path, copies):
     want = sorted(con.execute(queries.OP7_SQL).fetchall())
     for parts in (1, 3):
         assert sorted(map(tuple, topk.top_k(df.repartition(parts), df.vec_id % 50 == 0).collect())) == want
+
+
+@pytest.mark.parametrize("decay", [0.0, 0.05, 0.5])
+def test_pairs_that_reach_the_cutoff(monkeypatch, decay):
+    """Slice by slice, dense and pair by pair, nothing that reaches a cutoff is dropped; ties stay."""
+    rng = np.random.default_rng(3)
+    scale = 500 * np.exp(-decay * np.arange(48))
+    q, c = (np.rint(rng.normal(size=(n, 48)) * scale).astype(np.int64) for n in (40, 700))
+    c[100:130] = c[99]
+    full = q @ c.T
+    itself = rng.random(full.shape) < 0.01
+    cutoff = np.sort(full, axis=1)[:, -8]
+    cutoff[:3] = topk._NONE
+    want = set(zip(*(x.tolist() for x in np.nonzero(~itself & (full >= cutoff[:, None])))))
+    rows, at, scores = topk._reaching(q, itself, c, cutoff)
+    assert set(zip(rows.tolist(), at.tolist())) == want and (scores == full[rows, at]).all()
+    listed = topk._listed(q, itself, c, slice(0, 12), 5)
+    assert (np.sort(listed, axis=1)[:, 0] <= np.sort(np.where(itself, topk._NONE, full), axis=1)[:, -5]).all()
+
+
+def test_pruning_saves_products(monkeypatch):
+    """With lengths that differ, later slices are resolved for few pairs only."""
+    rng = np.random.default_rng(4)
+    scale = 500 * np.exp(-0.15 * np.arange(64))
+    q, c = (np.rint(rng.normal(size=(n, 64)) * scale).astype(np.int64) for n in (32, 4_000))
+    full, done = q @ c.T, []
+    product = topk._product
+    monkeypatch.setattr(topk, "_product", lambda a, b: done.append(a.shape[0] * b.shape[0] * a.shape[1]) or product(a, b))
+    topk._reaching(q, np.zeros(full.shape, bool), c, np.sort(full, axis=1)[:, -5])
+    assert sum(done) <= 0.5 * full.size * 64
