@@ -68,3 +68,11 @@ def slices(texts: list, limit: int = SLICE_CHARS):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(name: str, taken) -> str:
+    """A column name like ``name`` that, in any case, isn't taken."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name

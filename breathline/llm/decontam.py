@@ -7,18 +7,24 @@ last 13 words are a window of every item that holds them. A shorter item is one
 window as a whole and is noted at the state that its words lead to.
 
 The test items are gathered in groups of at most ``GROUP_WORDS`` words; each
-group has its own automaton and its own pass over the texts, so what is
-broadcast at a time is bounded whatever the size of the benchmark.
+group has its own automaton and its own pass over the texts. The automaton of a
+group is built when its pass begins, and the pass is written before the next one,
+so one automaton at a time is built, broadcast and held by a worker, whatever the
+size of the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, free_name, materialise
 
 WINDOW = 13
 #: Share of a document's words that makes it contaminated: 1 in so many.
@@ -144,21 +150,21 @@ class SuffixAutomaton:
         return spans, found
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> list[SuffixAutomaton]:
-    """Automata of the items, grouped by size; items come to the driver one by one.
+def automata(benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> Iterator[tuple[SuffixAutomaton, bool]]:
+    """Automata of the items, grouped by size, and whether each is the last; items come to the driver one by one.
 
     A null item_id is kept as an empty string; items without words are left out.
     """
-    groups, own, size = [], [], 0
+    own, size = [], 0
     for r in benchmark.selectExpr("coalesce(cast(item_id as string), '') item_id", "cast(text as string) text").toLocalIterator():
         item = words(r.text)
-        if own and size + len(item) > group_words:
-            groups.append(SuffixAutomaton(own, window))
+        if own and item and size + len(item) > group_words:
+            yield SuffixAutomaton(own, window), False
             own, size = [], 0
-        own.append((r.item_id, item))
-        size += len(item)
-    groups.append(SuffixAutomaton(own, window))
-    return groups
+        if item:
+            own.append((r.item_id, item))
+            size += len(item)
+    yield SuffixAutomaton(own, window), True
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -174,12 +180,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
     """Contamination of every document by the benchmark's windows.
 
-    Null or wordless texts have no words and no hits. Repeated items count once
-    (by id). ``spans`` lists word ranges from, to, from, to, ...
+    Null or wordless texts have no words and no hits. Rows are judged alone, those
+    with null or repeated ids too. Repeated items count once (by id). ``spans``
+    lists word ranges from, to, from, to, ...
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(array() as array<string>) items", "cast(array() as array<int>) spans")
-    groups = [sc.broadcast(g) for g in automata(benchmark, window)]
 
     def passes(group, last: bool):
         def run(batches):
@@ -196,7 +202,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                     spans.append([x for r in ranges for x in r])
                     if last:
                         n_hit = sum(b - a for a, b in ranges)
-                        sums.append((len(own), n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0 and coverage * n_hit >= len(own)))
+                        sums.append((len(own), n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), contaminated(n_hit, len(own), coverage)))
                 tail = [pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32()))]
                 if not last:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *tail], ["doc_id", "text", "items", "spans"])
@@ -209,10 +215,25 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
         return run
 
-    for k, group in enumerate(groups):
-        last = k == len(groups) - 1
-        rows = rows.mapInArrow(passes(group, last), MATCH_SCHEMA if last else "doc_id long, text string, items array<string>, spans array<int>")
-    return rows
+    return _each(spark, rows, automata(benchmark, window), passes, lambda last: MATCH_SCHEMA if last else rows.schema)
+
+
+def _each(spark, rows: DataFrame, groups, passes, schema) -> DataFrame:
+    """One pass over the rows for each automaton; all passes but the last are written."""
+    path = None
+    for automaton, last in groups:
+        sent = spark.sparkContext.broadcast(automaton)  # bounded by the words of a group
+        rows = rows.mapInArrow(passes(sent, last), schema(last))
+        if last:
+            return rows
+        rows, new_path = materialise(rows, "matched")
+        sent.unpersist()
+        discard(spark, *([path] if path else []))
+        path = new_path
+
+
+def contaminated(n_hit: int, n_words: int, coverage: int = COVERAGE) -> bool:
+    return n_hit > 0 and coverage * n_hit >= n_words
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -226,46 +247,67 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return (b"".join(out) + data[end:]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, text: str = "text", length: str = "n_chars") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, text: str = "text", length: str = "n_chars", group_words: int = GROUP_WORDS) -> DataFrame:
     """All columns of ``docs``, without contaminated documents and without windows.
 
-    A document whose hit words reach the coverage limit goes. From any other one
-    every span of at least one window is cut out, again until none is left, and
-    ``length`` is set to the new number of characters. Other rows stay as they are.
+    A document whose words hit by windows of any item reach the coverage limit goes.
+    From any other one every span of at least one window is cut out, again until
+    none is left, and ``length`` is set to the new number of characters. Other rows,
+    those with null or wordless texts too, stay as they are. Each row is judged
+    alone, whatever its id; the result doesn't depend on how items are grouped.
     """
-    sc = docs.sparkSession.sparkContext
-    has_length = length in docs.columns
-    groups = [sc.broadcast(g) for g in automata(benchmark, window)]
-
-    def passes(group):
-        def run(batches):
-            automaton = group.value
-            for batch in batches:
-                texts = batch.column(text).to_pylist()
-                lengths = batch.column(length).to_pylist() if has_length else None
-                keep = []
-                for i, t in enumerate(texts):
-                    own = words(t)
-                    spans = automaton.match(own)[0]
-                    hit = sum(b - a for a, b in spans)
-                    keep.append(not hit or coverage * hit < len(own))
-                    if not hit or not keep[-1]:
-                        continue
-                    while spans:
-                        t = without_spans(t, spans)
-                        spans = automaton.match(words(t))[0]
-                    texts[i] = t
+    spark, columns = docs.sparkSession, docs.columns
+    has_length = length in columns
+    ranges, state = free_name("spans", columns), free_name("state", columns)
+
+    def passes(first: bool, alone: bool):
+        def of_group(group, last: bool):
+            def run(batches):
+                automaton = group.value
+                for batch in batches:
+                    names = batch.schema.names
+                    texts, flats, states = batch.column(text).to_pylist(), batch.column(ranges).to_pylist(), batch.column(state).to_pylist()
+                    lengths = batch.column(length).to_pylist() if has_length else None
+                    keep = [True] * len(texts)
+                    for i, (t, flat) in enumerate(zip(texts, flats)):
+                        if not states[i]:
+                            continue
+                        own = words(t)
+                        spans = merged([*zip(flat[::2], flat[1::2]), *automaton.match(own)[0]])
+                        if not last:
+                            flats[i] = [x for r in spans for x in r]
+                            continue
+                        flats[i], states[i] = [], bool(spans)
+                        if not spans:
+                            continue
+                        keep[i] = not (first and contaminated(sum(b - a for a, b in spans), len(own), coverage))
+                        while keep[i] and spans:
+                            t = without_spans(t, spans)
+                            spans = automaton.match(words(t))[0] if alone else []
+                        texts[i] = t
+                        if has_length:
+                            lengths[i] = len(t)
+                    new = {text: pa.array(texts, pa.string()), ranges: pa.array(flats, pa.list_(pa.int32())), state: pa.array(states, pa.bool_())}
                     if has_length:
-                        lengths[i] = len(t)
-                new = {text: pa.array(texts, pa.string())} | ({length: pa.array(lengths, batch.column(length).type)} if has_length else {})
-                names = batch.schema.names
-                yield pa.RecordBatch.from_arrays([new.get(n, batch.column(i)) for i, n in enumerate(names)], names).filter(pa.array(keep, pa.bool_()))
-
-        return run
-
-    if len(groups) > 1:  # coverage counts the hits of all groups together
-        flagged = match(docs, benchmark, window, coverage).where("contaminated").select("doc_id").distinct()
-        docs = docs.join(flagged, "doc_id", "left_anti").select(docs.columns)
-    for group in groups:
-        docs = docs.mapInArrow(passes(group), docs.schema)
-    return docs
+                        new[length] = pa.array(lengths, batch.column(length).type)
+                    yield pa.RecordBatch.from_arrays([new.get(n, batch.column(i)) for i, n in enumerate(names)], names).filter(pa.array(keep, pa.bool_()))
+
+            return run
+
+        return of_group
+
+    # A row's state tells whether it is still to be matched: at first all are, later those just cut.
+    rows = docs.withColumns({ranges: F.array().cast("array<int>"), state: F.lit(True)})
+    first, path = True, None
+    while True:
+        groups = automata(benchmark, window, group_words)
+        one = next(groups)
+        alone = one[1]
+        rows = _each(spark, rows, chain([one], groups), passes(first, alone), lambda last: rows.schema)
+        if alone:
+            return rows.select(columns)
+        rows, new_path = materialise(rows, "cut")
+        discard(spark, *([path] if path else []))
+        path, first = new_path, False
+        if rows.where(state).isEmpty():
+            return rows.select(columns)

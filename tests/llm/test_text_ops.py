@@ -224,10 +224,52 @@ def test_groups_of_items(spark, monkeypatch):
     whole = sorted(map(tuple, decontam.match(docs, bench).collect()))
     full = decontam.automata
     monkeypatch.setattr(decontam, "automata", lambda b, w: full(b, w, 7))
-    assert len(decontam.automata(bench, 13)) > 1
+    assert len(list(decontam.automata(bench, 13))) > 1
     assert sorted(map(tuple, decontam.match(docs, bench).collect())) == whole
 
 
+def brute_decontaminated(rows, items, window, coverage):
+    """Rows after cutting all windows of all items at once, again and again."""
+    own = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for t in items]
+    windows = {tuple(w[i : i + min(window, len(w))]) for w in own if w for i in range(len(w) - min(window, len(w)) + 1)}
+    out = []
+    for doc_id, t, n in rows:
+        first = True
+        while t:
+            at = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()))
+            w = [m[0] for m in at]
+            hit = {j for i in range(len(w)) for x in windows if tuple(w[i : i + len(x)]) == x for j in range(i, i + len(x))}
+            if not hit:
+                break
+            if first and coverage * len(hit) >= len(w):
+                break
+            first = False
+            chars = set(range(len(t)))
+            for j in hit:
+                chars -= set(range(at[j].start(), at[j + 1].start() if j + 1 in hit else at[j].end()))
+            t = "".join(t[i] for i in sorted(chars))
+            n = len(t)
+        else:
+            first = False
+        if not (t and first and hit):
+            out.append((doc_id, t, n))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("group_words", [10**6, 14, 5])
+def test_decontaminate_equals_brute_force(spark, group_words):
+    """Whatever the groups of items; with null and repeated ids, and windows that only a cut forms."""
+    items = ["a1 a2 a3 a4 a5 a6", "b1 b2 b3 b4 b5", "c1 c2", "d1 d2 d3 d4 d5 d6 d7", "", "..."]
+    fill = " ".join(f"f{i}" for i in range(60))
+    texts = [(1, f"{fill} a1 a2 A3 a4 end"), (1, "a1 a2 a3 a4 x"), (None, "b1 b2 b3 b4"), (None, f"{fill} b1 b2 b3 b4 {fill}"), (2, f"{fill} b1 b2 a1 a2 a3 a4 b3 b4 {fill} x"), (3, f"{fill} d1 c1 b1 b2 a2 a3 a4 a5 b3 b4 c2 d2 d3 d4 {fill} {fill} {fill}"), (4, None), (5, ""), (6, fill), (6, fill)]
+    rows = [(d, t, 0) for d, t in texts]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(*r, "s", True) for r in rows], "doc_id long, text string, n_chars int, spans string, STATE boolean")
+    out = decontam.decontaminate(docs, bench, 4, 8, group_words=group_words)
+    assert out.columns == docs.columns and {r.spans for r in out.collect()} == {"s"}
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=repr) == brute_decontaminated(rows, items, 4, 8)
+
+
 # -- search -----------------------------------------------------------------------------------
 
 
