@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at a time inside a worker, so that memory follows this bound
 #: and not the number of rows in an Arrow batch.
@@ -76,3 +77,19 @@ def free_name(name: str, taken) -> str:
     while name.lower() in lower:
         name = f"_{name}"
     return name
+
+
+#: Keys that hold more than one row in so many are hot; there are at most so many of them.
+HOT = 1_000
+
+
+def with_hot(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keyed``, one row a key, whose column ``size`` is the key's number of rows.
+
+    ``total`` is the number of rows, or more. Keys of more than a HOT-th of it, HOT of
+    them at most, are broadcast; the others are joined by a shuffle, in which no key is
+    large. ``size`` is kept.
+    """
+    hot = F.broadcast(keyed.where(F.col(size) * HOT > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(size) * HOT <= total), key, how)
+    return rows.join(hot, key).unionByName(rest)

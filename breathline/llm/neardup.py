@@ -10,13 +10,18 @@
    no posting, very common ones are hardly ever posted.
 3. Each posting list counts collisions of signatures between its members. Members
    that a chain of matches joins already are skipped (skip merging), so a list
-   gives a spanning set of matches and not all its pairs. Long lists are dealt in
-   pairs of blocks.
+   gives a spanning set of matches and not all its pairs.
 4. Matches join representatives into candidate clusters. A link can only lie
    inside a cluster; there, full shingle sets confirm links, again skipping members
-   that links join already, again in pairs of blocks where a cluster is large.
+   that links join already.
 5. Components of the confirmed links are the classes of near-duplicates.
 
+Long lists and large clusters are dealt to blocks, one copy of each member, and
+the leader (the smallest id) is copied to every block. Members of a block that a
+chain joins to the leader are of one component, whatever their block. Only the
+others, the rest, are compared with the members of all blocks in a second pass. So
+copies grow with the list plus its rest times its blocks, and no link is lost.
+
 A pair at the threshold agrees on fewer than MATCHES of 64 coordinates with a
 probability of about 1e-7.
 """
@@ -27,10 +32,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shuffle_partitions, slices
+from .common import discard, free_name, materialise, shuffle_partitions, slices, with_hot
 from .components import components
 from .hashing import mix, word_hashes
 from .tokens import release
@@ -39,6 +45,8 @@ COORDINATES, MATCHES = 64, 34
 PREFIX = COORDINATES - MATCHES + 1
 #: Members of a posting list, and of a cluster, that one block holds; bytes of sets in a block.
 LIST_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 512, 256, 1 << 22
+#: Members of a list's rest that are compared with one block at a time.
+REST_BLOCK = 256
 #: Rows up to which cluster members are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -116,21 +124,20 @@ def _grouped(batches, keys: list[str]):
         yield current, pa.Table.from_batches(held)
 
 
-def _link_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
-
-
 def _kernel(batches, keys: list[str], linked):
-    """Spanning links of every group; ``linked(group, row, others)`` tells which of ``others`` a row meets."""
+    """Spanning links (a, b) of every group; ``linked`` tells which others a row meets.
+
+    ``side`` is 0 for rows that meet others, 1 for rows that are only met, 2 for the
+    leader of a list that has other blocks too: then rows that no chain joins to it
+    are given as (a, null, key).
+    """
     release()
-    a, b, n = [], [], 0
+    out, n = [], 0
     for key, group in _grouped(batches, keys):
         ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
         forest, data = _Forest(ids), linked.prepare(group)
-        across = bool(side.any())
-        for row in range(len(ids)):
-            if across and side[row]:
-                continue
+        across = bool((side == 1).any())
+        for row in np.flatnonzero(side != 1).tolist():
             rest = forest.root != forest.root[row]
             rest = rest & (side == 1) if across else rest & (np.arange(len(ids)) > row)
             others = np.flatnonzero(rest)
@@ -139,15 +146,24 @@ def _kernel(batches, keys: list[str], linked):
                 if len(met):
                     forest.join(row, met)
         x, y = forest.stars(ids)
+        none = np.full(len(x), None)
         if len(x):
-            a.append(x)
-            b.append(y)
-            n += len(x)
-        if n > 50_000:
-            yield _link_batch(a, b)
-            a, b, n = [], [], 0
-    if a:
-        yield _link_batch(a, b)
+            out.append((x, y, none))
+        leaders = np.flatnonzero(side == 2)
+        if len(leaders):
+            apart = np.unique(ids[~np.isin(forest.root, forest.root[leaders])])
+            if len(apart):
+                out.append((apart, np.full(len(apart), None), np.full(len(apart), key[0])))
+        n += len(ids)
+        if out and n > 100_000:
+            yield _found_batch(out)
+            out, n = [], 0
+    if out:
+        yield _found_batch(out)
+
+
+def _found_batch(parts: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], ["a", "b", "key"])
 
 
 class _Collisions:
@@ -155,7 +171,7 @@ class _Collisions:
 
     @staticmethod
     def prepare(group: pa.Table) -> np.ndarray:
-        return np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, COORDINATES)
+        return np.frombuffer(b"".join(group.column("data").to_pylist()), np.uint16).reshape(-1, COORDINATES)
 
     @staticmethod
     def met(data: np.ndarray, row: int, others: np.ndarray) -> np.ndarray:
@@ -169,7 +185,7 @@ class _FullSets:
         self.words, self.percent = words, percent
 
     def prepare(self, group: pa.Table) -> list[np.ndarray]:
-        return shingle_sets(group.column("text").to_pylist(), self.words)
+        return shingle_sets(group.column("data").to_pylist(), self.words)
 
     def met(self, sets: list[np.ndarray], row: int, others: np.ndarray) -> np.ndarray:
         own = sets[row]
@@ -185,19 +201,49 @@ class _FullSets:
         return others[100 * common >= self.percent * (sizes + len(own) - common)]
 
 
-def _dealt(rows: DataFrame, key: str, blocks) -> DataFrame:
-    """Rows dealt to pairs of blocks of their group (i <= j); ``side`` is 1 in the second block of a pair."""
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
-    with_pair = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    return with_pair.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("blocks", "own", "other")
+def _block(n, seed: int):
+    return F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+
 
+def _numbers(n) -> Column:
+    return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
 
-def _spanning(rows: DataFrame, key: str, linked) -> DataFrame:
-    keys = [key, "i", "j"]
-    n = shuffle_partitions(rows.sparkSession)
+
+def _dealt(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Each member (key, id, data, blocks) in one block of its list; its leader in all of them."""
+    own = rows.withColumns({"i": _block(F.col("blocks"), 7), "side": F.lit(0)})
+    return own.unionByName(leaders.withColumns({"i": _numbers(F.col("blocks")), "side": F.lit(2)})).withColumn("j", F.lit(0)).drop("blocks")
+
+
+def _dealt_again(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """The rest of each list against all its blocks: side 0 is a chunk of the rest, side 1 a block."""
+    long = rows.where("blocks > 1")
+    members = long.withColumn("i", _block(F.col("blocks"), 7))
+    apart = long.join(rest, ["key", "id"], "left_semi")
+    sizes = apart.groupBy("key").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).select("key", _numbers(F.col("blocks")).alias("i"), F.ceil(F.col("n") / REST_BLOCK).alias("chunks"))
+    # By key and block, so that no long list meets its size in one task.
+    against = members.join(sizes, ["key", "i"]).withColumns({"j": _numbers(F.col("chunks")), "side": F.lit(1)})
+    asking = apart.withColumn("i", _numbers(F.col("blocks"))).join(sizes, ["key", "i"]).withColumns({"j": _block(F.col("chunks"), 11), "side": F.lit(0)})
+    return against.unionByName(asking).drop("blocks", "chunks")
+
+
+def _spanning(dealt: DataFrame, linked) -> DataFrame:
+    keys = ["key", "i", "j"]
+    n = shuffle_partitions(dealt.sparkSession)
     # The smaller id first: a group's first row is its leader.
-    ordered = rows.repartition(n, *keys).sortWithinPartitions(*keys, "id")
-    return ordered.mapInArrow(lambda batches: _kernel(batches, keys, linked), "a long, b long")
+    ordered = dealt.repartition(n, *keys).sortWithinPartitions(*keys, "id")
+    return ordered.mapInArrow(lambda batches: _kernel(batches, keys, linked), "a long, b long, key long")
+
+
+def _links(rows: DataFrame, leaders: DataFrame, linked, name: str) -> tuple[DataFrame, list[str]]:
+    """Links (a, b) that join the members of every list as far as they meet; paths to discard."""
+    found, path = materialise(_spanning(_dealt(rows, leaders), linked), name)
+    links, paths = found.where("b is not null").select("a", "b"), [path]
+    rest = found.where("key is not null").select("key", F.col("a").alias("id")).distinct()
+    if not rest.isEmpty():
+        more, path = materialise(_spanning(_dealt_again(rows, rest), linked), name)
+        links, paths = links.unionByName(more.select("a", "b")), [*paths, path]
+    return links, paths
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -226,7 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     described, described_path = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, fingerprint binary, sig binary"), "shingles")
     classes, classes_path = materialise(
-        described.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes"
+        described.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "classes"
     )
 
     # Postings.
@@ -238,46 +284,60 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((sig | place).ravel().astype(np.int64))], ["id", "pair"])
 
     posted = classes.select("id", "sig").mapInArrow(coordinates, "id long, pair long")
-    frequent = posted.groupBy("pair").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posted.join(frequent, "pair").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("pairs"))  # at most 64 (per row of an id)
+    frequent, frequent_path = materialise(posted.groupBy("pair").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
+    total = frequent.agg(F.sum("df")).first()[0] or 0
+    shared = with_hot(posted, frequent, "pair", "df", total).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("pairs"))  # at most 64 (per row of an id)
     prefix = F.expr(f"slice(pairs, 1, greatest(0, size(pairs) - {COORDINATES - PREFIX}))")
     postings = shared.select("id", F.explode(prefix).alias("p")).select("id", "p.pair", "p.df")
 
-    # Matches: signature collisions within posting lists.
+    # Matches: signature collisions within posting lists. df counts all texts that have
+    # the pair, so it bounds the list's length.
     def halved(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16)[::2].reshape(-1, COORDINATES)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sig], pa.binary())], ["id", "sig"])
 
     short = classes.select("id", "sig").mapInArrow(halved, "id long, sig binary")
-    members = postings.join(short, "id")
-    # df counts all texts that have the pair, so it bounds the list's length.
-    matches = _spanning(_dealt(members, "pair", F.ceil(F.col("df") / LIST_BLOCK)), "pair", _Collisions()).distinct()
+    blocks = F.ceil(F.col("df") / LIST_BLOCK)
+    members = postings.join(short, "id").select(F.col("pair").alias("key"), "id", F.col("sig").alias("data"), blocks.alias("blocks"))
+    leaders = members.where("blocks > 1").groupBy("key").agg(F.min_by("data", "id").alias("data"), F.min("id").alias("id"), F.max("blocks").alias("blocks"))
+    matches, match_paths = _links(members, leaders, _Collisions(), "matches")
     clusters, clusters_path = materialise(components(matches), "clusters")
+    discard(spark, frequent_path, *match_paths)
 
-    # Links: full sets within candidate clusters.
+    # Links: full sets within candidate clusters; a cluster's root is its leader.
     sizes = clusters.join(classes.groupBy("id").agg(F.sum("n").alias("n")), clusters.node == F.col("id")).groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("members") / CLUSTER_BLOCK, F.col("shingles") * 8 / CLUSTER_BYTES))
-    wanted, wanted_path = materialise(clusters.join(sizes.select("root", blocks.alias("n_blocks")), "root").select("node", "root", "n_blocks"), "members")
+    sizes = sizes.select("root", "members", blocks.alias("blocks"))
+    wanted, wanted_path = materialise(with_hot(clusters, sizes, "root", "members", clusters.count()).select("node", F.col("root").alias("key"), "blocks"), "members")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = rows.join(few, rows.doc_id == F.col("node")).select(F.col("doc_id").alias("id"), "text", "root", "n_blocks")
-    links, links_path = materialise(_spanning(_dealt(texts, "root", F.col("n_blocks")), "root", _FullSets(words, percent)).distinct(), "confirmed")
+    texts = rows.join(few, rows.doc_id == F.col("node")).select("key", F.col("doc_id").alias("id"), F.col("text").alias("data"), "blocks")
+    links, link_paths = _links(texts, texts.where("id = key and blocks > 1"), _FullSets(words, percent), "confirmed")
     roots, roots_path = materialise(components(links), "roots")
+    discard(spark, clusters_path, wanted_path, *link_paths)
 
-    found = classes.select("fingerprint", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("fingerprint", F.coalesce("root", "id").alias("root"))
+    found = classes.select("fingerprint", "copies", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("fingerprint", "copies", F.coalesce("root", "id").alias("root"))
     # A doc_id with several texts takes the smallest root of them.
-    out = described.select("doc_id", "n_shingles", "fingerprint").join(found, "fingerprint", "left")
+    own = described.select("doc_id", "n_shingles", "fingerprint")
+    full = with_hot(own.where("fingerprint is not null"), found, "fingerprint", "copies", classes.agg(F.sum("copies")).first()[0] or 0, "left")
+    out = full.select("doc_id", "n_shingles", "root").unionByName(own.where("fingerprint is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("root")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     result = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    discard(spark, clusters_path, wanted_path, links_path)
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each near-duplicate class.
 
-    Of repeated rows with the same doc_id one stays. Rows with a null doc_id stay.
+    Rows that share the doc_id that stays: of those with the same text one stays (the
+    least by its other columns), different texts all stay. Rows with a null doc_id
+    stay, as do null and wordless texts, each with its own id. Columns may have any names.
     """
-    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    return with_id.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    key, n, rank = (free_name(x, docs.columns) for x in ("kept_id", "n_rows", "row_rank"))
+    classes = near_duplicates(docs, words, percent).where("kept and doc_id is not null")
+    kept = classes.groupBy("doc_id").agg(F.count("*").alias(n)).withColumnRenamed("doc_id", key)
+    joined = docs.where(docs.doc_id.isNotNull()).join(kept, docs.doc_id.cast("long") == F.col(key))
+    others = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t]
+    order = W.partitionBy(key, "text").orderBy(*(others or [key]))
+    repeated = joined.where(F.col(n) > 1).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return joined.where(F.col(n) == 1).select(docs.columns).unionByName(repeated.select(docs.columns)).unionByName(docs.where(docs.doc_id.isNull()))
