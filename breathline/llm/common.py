@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 2_000_000
 
 _fallback: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,14 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[0]
 
 
-def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet below the shared folder; the reread table and its path.
 
-    A written table cuts the lineage and survives the loss of executors.
+    A written table cuts the lineage and survives the loss of executors. It is
+    deleted at the end of the innermost :func:`scratch`, unless it is to be kept.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/breathline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -50,6 +55,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables written inside it when it ends; results must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_scopes.pop())
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

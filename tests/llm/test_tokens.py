@@ -84,8 +84,8 @@ def test_packing(odd, odd_rows, empty, documents):
     check_packed(rows, 4096)
     whole = defaultdict(list)
     for r in sorted(rows, key=lambda r: r.start):
-        assert r.start == 4096 * r.piece and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
-        whole[r.doc_id].extend(r.ids)
+        assert r.start == 4096 * r.piece and r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length
+        whole[r.doc_id].extend(np.frombuffer(r.ids, "<u4").tolist())
     for doc_id, text, *_ in odd_rows[:6]:
         assert whole[doc_id] == ids(WORD, text, 1)
     assert packing.pack_documents(empty).count() == 0
@@ -93,6 +93,49 @@ def test_packing(odd, odd_rows, empty, documents):
     assert check_packed(got, 4096) <= 1.02 * sum(r.length for r in got) / 4096 + 1
 
 
+def brute_best_fit(sizes, capacity, max_open):
+    """(bin, offset) of each size: the fullest open bin with room, of equal ones the last to get there."""
+    free, out, clock, last = {}, [], 0, {}
+    n = 0
+    for s in sizes:
+        fits = [b for b in free if free[b] >= s]
+        if fits:
+            b = min(fits, key=lambda b: (free[b], -last[b]))
+        else:
+            if len(free) >= max_open:
+                free.pop(min(free, key=lambda b: (free[b], -last[b])))
+            b, n = n, n + 1
+            free[b] = capacity
+        out.append((b, capacity - free[b]))
+        free[b] -= s
+        clock += 1
+        last[b] = clock
+        if not free[b]:
+            free.pop(b)
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=200), st.integers(1, 6))
+def test_bitset_equals_a_plain_search(sizes, most):
+    bins = packing.OpenBins(50, most)
+    assert [bins.place(s) for s in sizes] == brute_best_fit(sizes, 50, most)
+
+
+def test_pieces_of_closed_bins_leave_early(spark, monkeypatch):
+    """However few rows are held, a partition's bins are those of a plain search."""
+    monkeypatch.setattr(packing, "HELD_ROWS", 8)
+    rng = np.random.default_rng(0)
+    sizes = sorted(rng.integers(1, 50, 3_000).tolist(), reverse=True)
+    rows = [(k, 0, 0, s, 0) for k, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, packing.PIECES).coalesce(1)
+    monkeypatch.setattr(packing, "shuffle_partitions", lambda spark: 1)
+    got = {r.doc_id: (r.sequence_id, r.offset) for r in packing.pack(df, 50, 5).collect()}
+    assert [got[k] for k in range(len(rows))] == brute_best_fit(sizes, 50, 5)
+    with pytest.raises(ValueError, match="offset"):
+        packing.pack(df.selectExpr("*", "1 as Offset"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=200), st.integers(1, 6))
 def test_open_bins(sizes, most):
