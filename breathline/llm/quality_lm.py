@@ -7,11 +7,12 @@ sums are tables that stay distributed, and the distinct n-grams of the documents
 meet them in joins sharded by n-gram; only tables that the byte alphabet bounds
 (orders 1 and 2) are broadcast.
 
-Documents are dealt to buckets, written once with compressed texts. A bucket asks
+Documents are dealt to buckets of bounded size, written once with compressed texts. A bucket asks
 for each of its distinct n-grams once, whatever its number of documents, gets the
 log-probabilities back, and sums them per document. A document is kept where its
-perplexity is within the quantile of trusted texts of its language that were not
-counted.
+perplexity is within the threshold of its language: the quantile of trusted texts of
+the language that were not counted, drawn towards the quantile of all languages as
+if ``PRIOR_TEXTS`` more texts had that one. The rule is the same at every size.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ ORDER = 4
 #: Quantile of a language's trusted held-out perplexities up to which documents are kept;
 #: a twentieth of these texts may be odd without setting the threshold.
 QUANTILE = 0.95
-#: Held-out trusted texts that a language needs for a threshold of its own.
-MIN_TEXTS = 20
+#: Texts that the quantile of all languages counts for in a language's threshold.
+PRIOR_TEXTS = 20
+#: Bytes of text that a bucket starts within.
+BUCKET_BYTES = 1 << 24
 BROADCAST_ROWS = 1_000_000
 #: Characters of text in a compressed block.
 BLOCK_CHARS = 1 << 19
@@ -56,18 +59,18 @@ def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Non-empty texts by the task that read them, many in one compressed block a row.
+    """Non-empty texts in buckets of what a task read in a row, many in one compressed block a row.
 
     bucket, doc_ids, langs, trusted, sizes (bytes of each text), packed. All texts of a
     block are alike trusted, so that counting reads only blocks it needs.
     """
     names = ["bucket", "kind", "doc_ids", "langs", "sizes", "packed"]
-    types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+    types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):
         import zstandard
 
-        bucket, z = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=9)
+        first, read, z = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=9)
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "trusted", "text"))))
             out = []
@@ -75,11 +78,13 @@ def _packed(docs: DataFrame) -> DataFrame:
                 own = [r for r in rows if r[2] == kind and r[3]]
                 for a, b in slices([r[3] for r in own], BLOCK_CHARS):
                     texts = [r[3].encode() for r in own[a:b]]
-                    out.append((bucket, kind, [r[0] for r in own[a:b]], [r[1] for r in own[a:b]], list(map(len, texts)), z.compress(b"".join(texts))))
+                    sizes = list(map(len, texts))
+                    bucket, read = first + read // BUCKET_BYTES, read + sum(sizes)
+                    out.append((bucket, kind, [r[0] for r in own[a:b]], [r[1] for r in own[a:b]], sizes, z.compress(b"".join(texts))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return docs.mapInArrow(run, "bucket int, kind int, doc_ids array<long>, langs array<string>, sizes array<long>, packed binary")
+    return docs.mapInArrow(run, "bucket long, kind int, doc_ids array<long>, langs array<string>, sizes array<long>, packed binary")
 
 
 def _unpack(packed: bytes, sizes: list[int]) -> list[bytes]:
@@ -104,10 +109,10 @@ def _counted(packed: DataFrame, order: int, with_bucket: bool) -> DataFrame:
                         parts[:] = [_distinct(parts)]
         for bucket, parts in held.items():
             grams, n = _distinct(parts)
-            other = pa.array(np.full(len(grams), bucket, np.int32)) if with_bucket else pa.array(n)
+            other = pa.array(np.full(len(grams), bucket, np.int64)) if with_bucket else pa.array(n)
             yield pa.RecordBatch.from_arrays([pa.array(grams), other], ["gram", "bucket" if with_bucket else "n"])
 
-    return packed.select("bucket", "sizes", "packed").mapInArrow(run, "gram long, bucket int" if with_bucket else "gram long, n long")
+    return packed.select("bucket", "sizes", "packed").mapInArrow(run, "gram long, bucket long" if with_bucket else "gram long, n long")
 
 
 def model(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame, tuple[float, float, float], str]]:
@@ -150,7 +155,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
     """doc_id, lang, calibrating, perplexity of every row; null perplexity for empty texts.
 
     Trusted rows are those labelled quality 1; a fifth of them, by crc32 of doc_id,
-    is not counted and calibrates the thresholds.
+    is not counted and calibrates the thresholds. Repeated rows are counted and scored
+    each; rows with a null doc_id are never trusted.
     """
     spark = docs.sparkSession
     ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.lit(True).alias("t")).distinct()
@@ -192,16 +198,18 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """Perplexity of every row against the threshold of its language.
 
-    A language with fewer than MIN_TEXTS calibrating texts, or a null one, takes the
-    threshold of all. Empty and null texts have no perplexity and are not kept.
-    Without trusted texts there is no threshold and all other rows are kept.
+    A language without calibrating texts, or a null one, takes the threshold of all.
+    Empty and null texts have no perplexity and are not kept. Repeated rows are scored
+    and count each; a perplexity equal to the threshold is kept. Without trusted texts
+    there is no threshold and all other rows are kept.
     """
     found = perplexities(docs, labels, order)
     sample = found.where("calibrating and perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 100_000)
-    overall = sample.agg(at).first()[0]
-    own = sample.where("lang is not null").groupBy("lang").agg(at.alias("own"), F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS).select("lang", "own")
-    threshold = F.coalesce("own", F.lit(overall).cast("double"))
-    judged = found.join(own, "lang", "left").withColumn("threshold", threshold)
+    overall = F.lit(sample.agg(at).first()[0]).cast("double")
+    n = F.col("n")
+    own = sample.where("lang is not null").groupBy("lang").agg(at.alias("own"), F.count("*").alias("n"))
+    own = own.select("lang", F.exp((n * F.log("own") + PRIOR_TEXTS * F.log(overall)) / (n + PRIOR_TEXTS)).alias("own"))
+    judged = found.join(own, "lang", "left").withColumn("threshold", F.coalesce("own", overall))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return judged.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))

@@ -166,6 +166,76 @@ def test_quality(spark, sf, documents, odd, odd_rows, empty):
     assert quality_lm.classify(empty, labels.limit(0)).count() == 0
 
 
+def plain_kneser_ney(texts, order):
+    """Perplexity function of a model in plain dicts of bytes."""
+    from collections import Counter
+
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        padded = b"\x02" * (order - 1) + t + b"\x03"
+        counts[order].update(padded[i : i + order] for i in range(len(t) + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    discounts, totals, backs = [None], [None], [None]
+    for k in range(1, order + 1):
+        n = [max(1, sum(v == j for v in counts[k].values())) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [0.0] + [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) for j in (1, 2, 3)]
+        total, back = Counter(), Counter()
+        for g, v in counts[k].items():
+            total[g[:-1]] += v
+            back[g[:-1]] += d[min(v, 3)]
+        discounts.append(d), totals.append(total), backs.append(back)
+
+    def perplexity(t):
+        padded, logs = b"\x02" * (order - 1) + t + b"\x03", 0.0
+        for i in range(len(t) + 1):
+            p = 1 / 256
+            for k in range(1, order + 1):
+                g = padded[i + order - k : i + order]
+                total = totals[k][g[:-1]]
+                if total:
+                    v = counts[k][g]
+                    p = max(v - discounts[k][min(v, 3)], 0) / total + backs[k][g[:-1]] / total * p
+            logs -= np.log(p)
+        return np.exp(logs / (len(t) + 1))
+
+    return perplexity
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 24, 500])
+def test_perplexities_equal_a_plain_model(spark, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(quality_lm, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(quality_lm, "BLOCK_CHARS", 300)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices(("ba", "ke", "lo", "mü", "tu"), k=rng.randint(1, 3))) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(3, texts[3], "en"), (None, texts[0], "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(50)] + [(None, 1)], "doc_id long, quality int")
+    trusted = [i for i in range(50) if i % 3 > 0]
+    held = [i for i in trusted if zlib.crc32(str(i).encode()) % 5 == 0]
+    counted = [texts[i].encode() for i in trusted if i not in held]
+    counted += [texts[3].encode()] * (3 in trusted and 3 not in held)
+    plain = plain_kneser_ney(counted, quality_lm.ORDER)
+    rows = quality_lm.perplexities(docs, labels).collect()
+    assert len(rows) == 62 and {r.doc_id for r in rows if r.calibrating} == set(held)
+    for r in rows:
+        assert r.perplexity == pytest.approx(plain(texts[r.doc_id or 0].encode()), rel=1e-9)
+
+
+def test_quality_thresholds_of_languages(spark, monkeypatch):
+    """A language's own quantile, drawn to that of all by a fixed weight, whatever its size."""
+    found = [(i, "en", True, 5 + i / 100) for i in range(400)] + [(1000 + i, "de", True, 20.0) for i in range(7)] + [(2000, None, True, 3.0), (2001, "fr", False, 4.0)]
+    df = spark.createDataFrame(found, "doc_id long, lang string, calibrating boolean, perplexity double")
+    monkeypatch.setattr(quality_lm, "perplexities", lambda docs, labels, order: df)
+    own = {r.lang: r.threshold for r in quality_lm.classify(None, None).collect()}
+    values = sorted(p for *_, c, p in found if c)
+    overall = values[int(np.ceil(0.95 * len(values))) - 1]
+    english = sorted(p for _, lang, c, p in found if c and lang == "en")[int(np.ceil(0.95 * 400)) - 1]
+    drawn = lambda q, n: np.exp((n * np.log(q) + 20 * np.log(overall)) / (n + 20))
+    assert own["en"] == pytest.approx(drawn(english, 400)) and own["de"] == pytest.approx(drawn(20.0, 7))
+    assert own[None] == own["fr"] == pytest.approx(overall)
+
+
 def test_quality_threshold_of_few_odd_texts(spark, monkeypatch):
     """Odd trusted texts don't let bad documents of their language through."""
     fine = [(i, "en", True, 5 + i / 1000) for i in range(60)]
