@@ -131,6 +131,71 @@ def test_toxicity_separates_and_learns_only_from_its_rows(spark):
     assert all(again[r.doc_id] == r.score for r in rows)
 
 
+def dense_risk_minimum(x, n_p, prior):
+    """Adam on the non-negative risk over a dense matrix of features, those of P first."""
+    n, k = x.shape
+    x1 = np.hstack([x, np.ones((n, 1))])
+    w = np.zeros(k + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m = v = np.zeros(k + 1)
+    for t in range(1, toxicity.STEPS + 1):
+        g = x1 @ w
+        up = 1 / (1 + np.exp(-g))
+        of = lambda slope, rows: x1[rows].T @ slope[rows] / len(x1[rows])
+        p, u = slice(0, n_p), slice(n_p, n)
+        negative = np.log1p(np.exp(g))[u].mean() - prior * np.log1p(np.exp(g))[p].mean()
+        rise = of(up, u) - prior * of(up, p)
+        gradient = prior * of(up - 1, p) + rise if negative >= 0 else -rise
+        gradient[:-1] += toxicity.DECAY * w[:-1]
+        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
+        w = w - toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    return w
+
+
+def test_weights_equal_a_dense_minimum():
+    rng = np.random.default_rng(6)
+    x = (rng.random((120, 9)) < np.where(np.arange(120)[:, None] < 30, 0.4, 0.15)).astype(float)
+    text, column = np.nonzero(x)
+    for prior in (0.02, 0.3, 0.9):  # the last one drives the negative risk below zero
+        assert toxicity.minimise(text, column, 9, 30, 90, prior) == pytest.approx(dense_risk_minimum(x, 30, prior), abs=1e-5)
+
+
+def test_learned_model_equals_brute_force(spark):
+    """Features by plain sets of whole texts, chosen by the z-test; toxic words at the end of long texts count."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices(("ba", "ke", "lo", "mi", "tu"), k=3))
+    docs = [(d, " ".join([word() for _ in range(9_000 if d == 4 else 30)] + (["Grubble", "snarkish"] if d % 4 == 0 else []))) for d in range(240)]
+    labels = [(d, int(d % 4 == 0)) for d in range(0, 240, 2)]
+    free = lambda d: zlib.crc32(str(d).encode()) % 5 != 0
+    positive = [d for d, t in labels if t and free(d)]
+    unlabelled = [d for d, _ in docs if free(d)]
+    prior = np.mean([t for d, t in labels if free(d)])
+    sets = {d: set(toxicity.features([t])[0].tolist()) for d, t in docs}
+    every = sorted(set().union(*(sets[d] for d in positive)))
+    count = lambda ids: np.array([sum(f in sets[d] for d in ids) for f in every])
+    a, b, n, m = count(positive), count(unlabelled), len(positive), len(unlabelled)
+    q = (a + b + 1) / (n + m + 2)
+    z = (a / n - b / m) / np.sqrt(q * (1 - q) * (1 / n + 1 / m))
+    chosen = [f for f, x, c in zip(every, z, a) if x >= toxicity.MIN_Z and c >= toxicity.MIN_TEXTS]
+    x = np.array([[f in sets[d] for f in chosen] for d in positive + unlabelled], float)
+    want = dense_risk_minimum(x, n, prior)
+    weights, bias = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(chosen) >= 2 and np.flatnonzero(weights).tolist() == chosen
+    assert weights[chosen] == pytest.approx(want[:-1], abs=1e-5) and bias == pytest.approx(want[-1], abs=1e-5)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Rows of the larger tables that weren't learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    rows = [r for r in toxicity.score(docs, labels).where("held_out").collect() if r.doc_id in truth]
+    good, bad = ([r for r in rows if truth[r.doc_id] == t] for t in (0, 1))
+    above = np.mean([[(p.score > n.score) + 0.5 * (p.score == n.score) for n in good] for p in bad])
+    found, alarms = (np.mean([r.predicted for r in own]) for own in (bad, good))
+    print(len(bad), len(good), above, found, alarms)
+    assert len(bad) >= 20 and above > 0.9 and found > 0.7 and alarms < 0.01
+
+
 def test_toxicity_edges(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(6, 1), (7, None), (None, 1), (4, 0)], "doc_id long, toxic int")
     rows = toxicity.score(odd, labels).collect()
