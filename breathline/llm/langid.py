@@ -1,17 +1,20 @@
 """Language ID by compression.
 
-Texts are lower-cased. Every learned language has a raw-content zstandard dictionary: a bounded sample
-of its labelled texts. A text is cut into blocks;
-every block is compressed with
-every dictionary, and the language with the smallest total wins. Where the
+Texts are lower-cased. Every learned language has a raw-content zstandard dictionary: pieces of a
+bounded sample of its labelled texts. A text is cut into blocks; every block is
+compressed with every dictionary, and the language with the smallest total wins. Where the
 runner-up needs hardly more bytes, as with short texts, whose sizes tie to the byte,
 the languages are compared by finer sizes: bits under byte trigrams of the same
 dictionaries. The answer is rejected where these hardly differ either.
+
+How narrow a margin may be is calibrated on further pieces of labelled rows: the widest
+limit below which answers are at least as often wrong as right.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 from math import log2
 
 import pyarrow as pa
@@ -21,16 +24,19 @@ from pyspark.sql import functions as F
 
 from .tokens import release
 
-#: The sample: texts of a language in order of a hash, up to so many, each cut
-#: to so many characters, up to so many bytes in all; and at most so many languages,
-#: the most frequent ones. All documented bounds of the fitted classifier.
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 400, 300, 1 << 17, 64
+#: The sample: texts of a language in order of a hash, up to so many, a piece of so many
+#: characters at a hash-chosen place of each, up to so many bytes in all; all dictionaries
+#: together have at most so many. Documented bounds of the fitted classifier.
+SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES, TOTAL_BYTES = 400, 300, 1 << 17, 1 << 26
+#: Further texts of a language, and of all, whose pieces calibrate the margin.
+CALIBRATION_TEXTS, CALIBRATION_ROWS = 250, 2_000
 SAMPLE_PARTS = 64
 #: Bytes of text that are compressed on their own.
 BLOCK_BYTES = 1_024
 LEVEL = 6
-#: An answer is rejected if the runner-up needs less than this share of bytes, then of bits, more.
-MIN_MARGIN = 0.002
+#: Limits to choose from: an answer is rejected if the runner-up needs less than this share of
+#: bytes, then of bits, more.
+MARGINS = (0.002, 0.004, 0.006, 0.008, 0.01, 0.015, 0.02)
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
 
@@ -40,34 +46,58 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def learn(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionaries from text and non-null lang of the rows that aren't held out.
+@dataclass
+class Model:
+    dictionaries: dict[str, bytes]
+    min_margin: float = MARGINS[0]
+
 
-    Only sampled texts reach the driver, at most MAX_LANGUAGES * DICTIONARY_BYTES.
+def learn(docs: DataFrame) -> Model:
+    """Dictionaries and margin from text and non-null lang of the rows that aren't held out.
+
+    Only pieces of sampled texts reach the driver. All languages are learned; where they
+    are so many that dictionaries would pass TOTAL_BYTES, each is cut to its share.
     """
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "cast(text as string) text").where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Text is cut before the sort: a document offers its first bytes as sample.
-    cut = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("part")).where(F.length("part") >= 1)
-    hashed = cut.withColumn("h", F.xxhash64("part"))
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "cast(text as string) text").where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    # Text is cut before the sort: a document offers one piece, wherever in the text.
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    place = 1 + F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
+    cut = hashed.select("lang", "h", F.col("text").substr(place.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
     # Repeated texts count once. Ranked within parts of a language first, so that the
-    # last rank sees at most SAMPLE_PARTS * SAMPLE_TEXTS texts of it, however many tasks there are.
-    ranked = hashed.withColumn("part_of", F.pmod("h", F.lit(SAMPLE_PARTS)))
+    # last rank sees at most SAMPLE_PARTS times the sample of it, however many tasks there are.
+    ranked, most = cut.withColumn("part_of", F.pmod("h", F.lit(SAMPLE_PARTS))), SAMPLE_TEXTS + CALIBRATION_TEXTS
     for by in (["lang", "part_of"], ["lang"]):
-        ranked = ranked.withColumn("r", F.dense_rank().over(W.partitionBy(*by).orderBy("h"))).where(F.col("r") <= SAMPLE_TEXTS).dropDuplicates(["lang", "h"])
-    sample = ranked.groupBy("lang").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("r", "part"))).alias("parts"))
-    out = {}
-    for r in sample.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).toLocalIterator():
-        joined = "\n".join(p.part for p in r.parts).lower().encode()[:DICTIONARY_BYTES]
-        out[r.lang] = joined
-    return out
+        ranked = ranked.withColumn("r", F.dense_rank().over(W.partitionBy(*by).orderBy("h"))).where(F.col("r") <= most).dropDuplicates(["lang", "h"])
+    sample = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "h", "part"))).alias("parts"))
+    out, others = {}, []
+    for r in sample.orderBy("lang").toLocalIterator():
+        out[r.lang] = "\n".join(p.part for p in r.parts if p.r <= SAMPLE_TEXTS).lower().encode()[:DICTIONARY_BYTES]
+        others += [(p.h, r.lang, p.part) for p in r.parts if p.r > SAMPLE_TEXTS]
+        others = sorted(others)[:CALIBRATION_ROWS]
+        if sum(map(len, out.values())) > TOTAL_BYTES:
+            out = {k: v[: TOTAL_BYTES // (2 * len(out))] for k, v in out.items()}
+    return Model(out, calibrated(out, [(lang, part) for _, lang, part in others]))
+
+
+def calibrated(dictionaries: dict[str, bytes], rows: list[tuple[str, str]]) -> float:
+    """The widest limit of MARGINS whose rejects among labelled texts are at least as often wrong as right."""
+    own, chosen = Classifier(Model(dictionaries)), MARGINS[0]
+    sized = [(lang, text, own.sizes(text)) for lang, text in rows if any(map(str.isalpha, text))]
+    for own.min_margin in MARGINS:
+        answers = [(lang, *own.decide(text, sizes)) for lang, text, sizes in sized]
+        right = [answer == lang for lang, answer, _, margin in answers if margin < own.min_margin]
+        if 2 * sum(right) <= len(right):
+            chosen = own.min_margin
+    return chosen
 
 
 class Classifier:
     """Per-worker compressors of all languages."""
 
-    def __init__(self, dictionaries: dict[str, bytes]):
+    def __init__(self, model: Model):
         import zstandard as z
 
+        dictionaries, self.min_margin = model.dictionaries, model.min_margin
         self.dictionaries, self.counts = dictionaries, {}
         self.languages = sorted(dictionaries)
         self.compressors = []
@@ -101,28 +131,29 @@ class Classifier:
         """(language, score, margin as share of the smallest size)."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
-        sizes = self.sizes(text)
+        return self.decide(text, self.sizes(text))
+
+    def decide(self, text: str, sizes: list[int]) -> tuple[str, float, float]:
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         best = sizes[order[0]]
         # A byte more is taken as odds of 2.
         odds = sum(0.5 ** min(60, s - best) for s in sizes)
         margin = (sizes[order[1]] - best) / best if len(sizes) > 1 else 1.0
-        if len(sizes) > 1 and margin < MIN_MARGIN:
+        if len(sizes) > 1 and margin < self.min_margin:
             data = text.lower().encode()
-            fine = sorted((self.bits(self.languages[i], data), i) for i in order if sizes[i] - best < MIN_MARGIN * best)
+            fine = sorted((self.bits(self.languages[i], data), i) for i in order if sizes[i] - best < self.min_margin * best)
             order, margin = [i for _, i in fine], (fine[1][0] - fine[0][0]) / fine[0][0]
         return self.languages[order[0]], 1.0 / odds, margin
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
+def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Language of every whole text; ties that finer sizes don't break go to the alphabetically first language.
 
     ``und`` with score 0, rejected, where the text is null or has no letter (or
     nothing was learned). ``rejected`` also marks narrow margins; ``lang_pred``
-    then still is the best guess.
+    then still is the best guess. Repeated rows get the same answer each.
     """
-    learned = learn(docs) if dictionaries is None else dictionaries
-    sent = docs.sparkSession.sparkContext.broadcast(learned)  # bounded, see learn()
+    sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))  # bounded, see learn()
 
     def run(batches):
         release()
@@ -131,7 +162,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, min_
             found = [own.classify(t) for t in batch.column("text").to_pylist()]
             margin = [m for _, _, m in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array(margin, pa.float64()), pa.array([m < min_margin for m in margin])],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array(margin, pa.float64()), pa.array([m < own.min_margin for m in margin])],
                 ["doc_id", "held_out", "lang_pred", "score", "margin", "rejected"],
             )
 
@@ -139,18 +170,18 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, min_
     return rows.mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows whose language is identified, all columns kept; rejected rows go.
 
     One pass, without a join: rows with null or repeated ids are judged alone.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
 
     def run(batches):
         release()
         own = Classifier(sent.value)
         for batch in batches:
-            keep = [own.classify(t)[2] >= min_margin for t in batch.column("text").to_pylist()]
+            keep = [own.classify(t)[2] >= own.min_margin for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
