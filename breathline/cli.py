@@ -20,9 +20,9 @@ ANALYSERS = {"radar": (V.radar_vitals, V.RADAR_RESULT), "imu": (V.imu_vitals, V.
 
 
 def _print(rows, names: list[str]) -> int:
-    """One line a recording; errors go to stderr and don't stop the others."""
+    """One line a recording, a partition of them at a time; errors go to stderr and don't stop the others."""
     failed = 0
-    for r in sorted(rows, key=lambda r: r.session_id):
+    for r in rows.orderBy("session_id").toLocalIterator():
         if r.error:
             failed += 1
             print(f"{r.session_id}: {r.error}", file=sys.stderr)
@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     kind, sensor = a.command.split("-")
     analyse, names = ANALYSERS[sensor]
-    failed = _print(analyse(S.scan_csv(spark, a.path, sensor, None if kind == "batch" else "*.csv")).collect(), names)
+    failed = _print(analyse(S.scan_csv(spark, a.path, sensor, None if kind == "batch" else "*.csv")), names)
     return int(failed > 0 and kind == "plot")
 
 

@@ -168,13 +168,51 @@ def signal_quality(amp_ratio: str, resp_conf: str, heart_conf: str, phase_ratio:
     return F.least(F.greatest(q + F.when(F.col(present), 0.18).otherwise(0.0), zero), one)
 
 
-def clamp_band(low: str, high: str, limits: tuple[float, float], least: float) -> tuple[Column, Column]:
+def clamp_band(low: str | Column, high: str | Column, limits: tuple[float, float], least: float) -> tuple[Column, Column]:
     lo, hi = F.greatest(low, F.lit(limits[0])), F.least(high, F.lit(limits[1]))
     centre = F.least(F.greatest((lo + hi) / 2, F.lit(limits[0] + least / 2)), F.lit(limits[1] - least / 2))
     narrow = hi - lo < least
     return F.when(narrow, F.greatest(F.lit(limits[0]), centre - least / 2)).otherwise(lo), F.when(narrow, F.least(F.lit(limits[1]), centre + least / 2)).otherwise(hi)
 
 
+def heart_search_band(prior: str, deviation: str) -> tuple[Column, Column]:
+    """(low, high) about a prior rate: three deviations (0.12 where unknown), 0.40 Hz at least; the whole band without one."""
+    known = F.col(prior).isNotNull() & ~F.isnan(prior) & (F.col(prior) > 0)
+    half = F.greatest(F.lit(0.40), 3 * F.coalesce(F.col(deviation), F.lit(0.12)))
+    low, high = clamp_band(F.col(prior) - half, F.col(prior) + half, HEART_BAND, 0.80)
+    return F.when(known, low).otherwise(HEART_BAND[0]), F.when(known, high).otherwise(HEART_BAND[1])
+
+
+def presence_of_phase(df: DataFrame, amplitude: str, keys=KEYS) -> DataFrame:
+    """Presence score of recordings without profiles: how steady the peak's amplitude is."""
+    first = df.groupBy(*keys).agg(F.median(amplitude).alias("_m"))
+    spread = df.join(first, keys).groupBy(*keys).agg(F.first("_m").alias("_m"), (1.4826 * F.median(F.abs(F.col(amplitude) - F.col("_m")))).alias("_s"))
+    score = F.least(F.greatest(40 * F.col("_m") / (F.col("_s") + F.col("_m") + 1e-9), F.lit(0.0)), F.lit(100.0))
+    return spread.select(*keys, score.alias("score"), (score >= 20).alias("present"))
+
+
+def weighted_bins(scored: DataFrame, most: int = 9, keys=KEYS) -> DataFrame:
+    """Weights of the gated bins that stand out by score, and by vital-band energy if any does; the best bin.
+
+    ``scored`` has bin, score, inside, ratio and selected_bin by key. Bins without weight
+    are left out. At most ``most`` bins, of equal ones the higher.
+    """
+    all_bins = W.partitionBy(*keys)
+    nearest = F.least(F.greatest("selected_bin", F.min("bin").over(all_bins)), F.max("bin").over(all_bins))
+    inside = F.when(F.max(F.col("inside").cast("int")).over(all_bins) == 1, F.col("inside")).otherwise(F.col("bin") == nearest)
+    g = scored.withColumn("_in", inside).where("_in").withColumn("_own", F.greatest("score", F.lit(0.0)))
+    g = g.withColumn("_own", F.when(F.sum("_own").over(all_bins) > 0, F.col("_own")).otherwise(1.0))
+    level = g.groupBy(*keys).agg((F.avg("_own") + 0.2 * F.max("_own")).alias("_high"), F.percentile("_own", 0.65).alias("_cut"))
+    g = g.join(level, keys).withColumn("_vital", (F.col("_own") >= F.col("_high")) & (F.col("ratio") >= 1.8))
+    picked = F.when(F.max(F.col("_vital").cast("int")).over(all_bins) == 1, F.col("_vital")).otherwise(F.col("_own") >= F.col("_cut"))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_own"), F.desc("bin")))
+    g = g.withColumn("_picked", picked).where("_picked").withColumn("_rank", rank).where(F.col("_rank") <= most)
+    total = F.sum("_own").over(all_bins)
+    weight = F.when(total > 0, F.col("_own") / (total + 1e-12)).otherwise(1 / F.count("*").over(all_bins))
+    best = F.max_by("bin", F.struct("_own", -F.col("bin"))).over(all_bins)
+    return g.select(*keys, "bin", weight.alias("weight"), best.alias("best_bin"), F.count("*").over(all_bins).alias("n_bins"))
+
+
 def band_for_rate(fs: str, band=FRAME_RESP_BAND, least: float = 0.02) -> tuple[Column, Column]:
     """(low, high) within 92 % of half the rate; null where that is too narrow."""
     low, high = max(band[0], 1e-5), F.least(F.lit(float(band[1])), 0.5 * F.col(fs) * 0.92)

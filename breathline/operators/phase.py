@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import FRAME_RESP_BAND, HEART_BAND
+from .cleaning import clean_signal
 from .timing import KEYS, ORDER, ordered, so_far, whole
 
 _PI = math.pi
@@ -51,13 +52,19 @@ def differential_phase(long: DataFrame, keys=("session_id", "bin"), order=ORDER)
     return d.withColumn("phase", F.col("_sum") - F.coalesce(line, F.lit(0.0))).drop("ur", "ui", "_sum", "_i")
 
 
+#: Rows of a series up to which its spectrum is taken natively.
+MOST_NATIVE = 2_048
+
+
 def dft_power(df: DataFrame, x: str, keys=KEYS, order=ORDER, window: str = "hann") -> DataFrame:
     """Power by frequency number k of short series, mean-free and windowed, by a join with 0 .. n/2.
 
-    n * n/2 rows a series: for series of up to some hundred samples only.
+    n * n/2 rows a series. A series of more than MOST_NATIVE rows is an error: such
+    recordings are for the grouped spectra of ``folds``, which use an FFT.
     """
     all_rows = W.partitionBy(*keys)
     d = df.withColumns({"i": F.row_number().over(ordered(keys, order)) - 1, "n": F.count("*").over(all_rows), "mean": F.avg(x).over(all_rows)})
+    d = d.withColumn("n", F.when(F.col("n") <= MOST_NATIVE, F.col("n")).otherwise(F.raise_error(F.lit(f"series of more than {MOST_NATIVE} rows need the grouped spectra")).cast("long")))
     hann = 0.5 - 0.5 * F.cos(2 * _PI * F.col("i") / (F.col("n") - 1))
     d = d.withColumn("y", (F.col(x) - F.col("mean")) * (hann if window == "hann" else F.lit(1.0)))
     d = d.select(*keys, "i", "n", "y", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int"))).alias("k"))
@@ -129,3 +136,91 @@ def local_maxima(df: DataFrame, x: str, keys=KEYS, order=ORDER) -> DataFrame:
 def covariance(df: DataFrame, names: list[str], keys=KEYS) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     return df.groupBy(*keys).agg(*(F.covar_samp(a, b).alias(f"cov_{a}_{b}") for a, b in pairs))
+
+
+def first_component(df: DataFrame, names: list[str], keys=KEYS) -> DataFrame:
+    """First principal axis of three columns by key, and its share of the variance.
+
+    In closed form from the covariance: the largest root of a symmetric 3 x 3 matrix by
+    the cosine formula, its axis as the largest cross product of the rows less that root.
+    The axis' largest entry is positive. Without variance the axis is null, the share 0.
+    """
+    x, y, z = names
+    c = covariance(df, names, keys)
+    xx, xy, xz, yy, yz, zz = (F.col(f"cov_{a}_{b}") for a, b in ((x, x), (x, y), (x, z), (y, y), (y, z), (z, z)))
+    mean = (xx + yy + zz) / 3
+    off = xy * xy + xz * xz + yz * yz
+    c = c.withColumns({"_q": mean, "_p": F.sqrt(((xx - mean) * (xx - mean) + (yy - mean) * (yy - mean) + (zz - mean) * (zz - mean) + 2 * off) / 6)})
+    q, p = F.col("_q"), F.col("_p")
+    a, b, d = xx - q, yy - q, zz - q
+    det = a * (b * d - yz * yz) - xy * (xy * d - yz * xz) + xz * (xy * yz - b * xz)
+    turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * p * p * p)))) / 3
+    c = c.withColumn("_top", F.when(p > 0, q + 2 * p * F.cos(turn)).otherwise(q))
+    rows = [(xx - F.col("_top"), xy, xz), (xy, yy - F.col("_top"), yz), (xz, yz, zz - F.col("_top"))]
+    cross = lambda r, s: (r[1] * s[2] - r[2] * s[1], r[2] * s[0] - r[0] * s[2], r[0] * s[1] - r[1] * s[0])
+    size = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    found = [F.struct(size(v).alias("size"), *(e.alias(n) for e, n in zip(v, "abc"))) for v in (cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2]))]
+    c = c.withColumn("_v", F.greatest(*found))
+    entries = [F.col(f"_v.{n}") / F.col("_v.size") for n in "abc"]
+    largest = F.greatest(*(F.struct(F.abs(e).alias("s"), e.alias("e")) for e in entries))["e"]
+    axis = [F.when(F.col("_v.size") > 0, e * F.signum(largest)) for e in entries]
+    share = F.when(q > 0, F.col("_top") / (3 * q)).otherwise(0.0)
+    return c.select(*keys, *(e.alias(f"axis_{n}") for e, n in zip(axis, names)), share.alias("share"))
+
+
+def projected(df: DataFrame, names: list[str], keys=KEYS, out: str = "component") -> DataFrame:
+    """Adds the projection of the uncentred rows on their recording's first principal axis."""
+    axes = first_component(df, names, keys).select(*keys, *(F.col(f"axis_{n}").alias(f"_axis_{n}") for n in names))
+    dot = sum((F.col(n) * F.col(f"_axis_{n}") for n in names), F.lit(0.0))
+    return df.join(axes, keys).withColumn(out, dot).select(*df.columns, out)
+
+
+def phase_matrix(angles: DataFrame, keys=("session_id", "bin"), order=ORDER) -> DataFrame:
+    """``phase`` of each series of angles: unwrapped, less its median, cleaned."""
+    keys = list(keys)
+    u = unwrap(angles, keys=keys, order=order)
+    middle = u.groupBy(*keys).agg(F.median("phase").alias("_middle"))
+    return clean_signal(u.join(middle, keys).withColumn("phase", F.col("phase") - F.col("_middle")).drop("_middle"), "phase", keys, order)
+
+
+def aligned_mean(long: DataFrame, x: str, weights: DataFrame, reference: str = "reference_bin", keys=KEYS, order=ORDER) -> DataFrame:
+    """Weighted mean over bins of cleaned series, each turned to the sign of its product with the reference bin's.
+
+    ``weights`` has bin, weight and the reference bin by key; its bins are the ones that count.
+    """
+    keys, order = list(keys), list(order)
+    own = long.select(*keys, *order, "bin", F.col(x).alias("_x")).join(weights.select(*keys, "bin", "weight", F.col(reference).alias("_reference")), [*keys, "bin"])
+    cleaned = clean_signal(own, "_x", [*keys, "bin"], order)
+    ref = cleaned.where(F.col("bin") == F.col("_reference")).select(*keys, *order, F.col("_x").alias("_r"))
+    both = cleaned.join(ref, [*keys, *order])
+    turn = F.when(F.sum(F.col("_x") * F.col("_r")).over(W.partitionBy(*keys, "bin")) < 0, -1.0).otherwise(1.0)
+    turned = both.withColumn("_turned", turn * F.col("weight") * F.col("_x"))
+    return turned.groupBy(*keys, *order).agg((F.sum("_turned") / (F.sum("weight") + 1e-12)).alias("mean"))
+
+
+def coherent_phase(long: DataFrame, weights: DataFrame, keys=KEYS, order=ORDER) -> DataFrame:
+    """``phase``, ``raw_i`` and ``raw_q`` of weighted bins by row.
+
+    Phase: running sum of the angles of the mean cross product of successive unit
+    phasors, cleaned. I and Q: weighted sum of the bins, each turned to the heaviest one
+    by the angle of their mean product. ``weights`` has bin and weight > 0 by key.
+    """
+    keys, order = list(keys), list(order)
+    total = F.sum("weight").over(W.partitionBy(*keys)) + 1e-12
+    heaviest = F.max_by("bin", F.struct("weight", -F.col("bin"))).over(W.partitionBy(*keys))
+    w = weights.where("weight > 0").select(*keys, "bin", "weight").withColumns({"_share": F.col("weight") / total, "_heaviest": heaviest})
+    own = long.select(*keys, *order, "bin", "re", "im").join(w, [*keys, "bin"])
+    size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) + 1e-12
+    u = own.withColumns({"_a": F.col("re") / size, "_b": F.col("im") / size})
+    before = ordered([*keys, "bin"], order)
+    u = u.withColumns({"_pa": F.lag("_a").over(before), "_pb": F.lag("_b").over(before)})
+    cross = u.groupBy(*keys, *order).agg(F.sum(F.col("_share") * (F.col("_a") * F.col("_pa") + F.col("_b") * F.col("_pb"))).alias("_c"), F.sum(F.col("_share") * (F.col("_b") * F.col("_pa") - F.col("_a") * F.col("_pb"))).alias("_s"))
+    phase = clean_signal(_running(cross, F.atan2("_s", "_c"), "phase", keys, order).select(*keys, *order, "phase"), "phase", keys, order)
+    ref = own.where(F.col("bin") == F.col("_heaviest")).select(*keys, *order, F.col("re").alias("_re"), F.col("im").alias("_im"))
+    both = own.join(ref, [*keys, *order])
+    series = W.partitionBy(*keys, "bin")
+    c, d = (F.avg(e).over(series) for e in (F.col("re") * F.col("_re") + F.col("im") * F.col("_im"), F.col("im") * F.col("_re") - F.col("re") * F.col("_im")))
+    both = both.withColumns({"_c": c, "_d": d}).withColumn("_turn", F.when(F.hypot("_c", "_d") > 1e-12, F.atan2("_d", "_c")).otherwise(0.0))
+    i = F.col("weight") * (F.col("re") * F.cos("_turn") + F.col("im") * F.sin("_turn"))
+    q = F.col("weight") * (F.col("im") * F.cos("_turn") - F.col("re") * F.sin("_turn"))
+    return phase.join(both.groupBy(*keys, *order).agg(F.sum(i).alias("raw_i"), F.sum(q).alias("raw_q")), [*keys, *order])

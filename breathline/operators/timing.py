@@ -125,6 +125,21 @@ def tail(df: DataFrame, n: int, keys=KEYS, order=ORDER) -> DataFrame:
     return df.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n).drop("back")
 
 
+def bounded_history(df: DataFrame, rates: DataFrame, seconds: float = 180.0, keys=KEYS, order=ORDER) -> DataFrame:
+    """The last rows of each recording that a live history of ``seconds`` keeps at its rate: a fifth more, 32 at least."""
+    w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    most = F.greatest(F.lit(32), F.rint(seconds * F.greatest("fs", F.lit(1.0)) * 1.2))
+    ranked = df.withColumn("back", F.row_number().over(w)).join(rates.select(*keys, "fs"), keys)
+    return ranked.where(F.col("back") <= most).select(*df.columns)
+
+
+def view_horizon(df: DataFrame, seconds: float, t: str = "t_ms", keys=KEYS, order=ORDER) -> DataFrame:
+    """Rows of a live trace that its view draws (``shown``), among those of its spectrum: 30 s, 20 s or the view."""
+    last = F.last(t).over(whole(keys, order))
+    recent = df.withColumn("_last", last).where(F.col(t) >= F.col("_last") - 1000 * max(30.0, 20.0, seconds))
+    return recent.withColumn("shown", F.col(t) >= F.col("_last") - 1000 * seconds).drop("_last")
+
+
 def plot_range(df: DataFrame, x: str, least_span: float = 1e-3, keys=KEYS, order=ORDER) -> DataFrame:
     """Axis limits from finite values, less 5 % (1 to 50 rows) at either end of more than 20."""
     w = ordered(keys, order)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from .functions import dsp
+#: Fixed values, from the definition of the filters by hand (bilinear transform with warped
+#: edges): (b, a) of the second-order Butterworth band-pass of 0.1 to 0.4 Hz at 2 Hz, and of
+#: the second-order low-pass of 0.1 Hz at 20 Hz.
+BAND_PASS = ([0.13110643991662596, 0.0, -0.2622128798332519, 0.0, 0.13110643991662596], [1.0, -2.180657838602799, 2.0200041161835105, -1.0255108477134176, 0.27221493792500717])
+LOW_PASS = ([0.00024135904904198075, 0.0004827180980839615, 0.00024135904904198075], [1.0, -1.9555782403150352, 0.9565436765112032])
 
 S = "SELECT user_id AS session_id, event_id AS seq, epoch_us(ts)::DOUBLE / 1000 AS t_ms, value AS x FROM events"
 F = "SELECT label::BIGINT AS session_id, vec_id AS seq, list_slice(embedding::DOUBLE[], 1, 32) AS re, list_slice(embedding::DOUBLE[], 33, 64) AS im FROM embeddings"
 LONG = "SELECT session_id, seq, bin::INTEGER AS bin, 0.2::DOUBLE + bin * 0.02::DOUBLE AS distance_m, re[bin + 1] AS re, im[bin + 1] AS im FROM (SELECT *, unnest(range(0, 32)) AS bin FROM f)"
 AXES = """SELECT l_suppkey AS session_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS seq,
   l_discount AS ax, l_tax AS ay, l_quantity / 50 AS az, l_extendedprice / 1000 AS gx, l_quantity AS gy, l_linenumber::DOUBLE AS gz FROM lineitem"""
-SERIES = "SELECT session_id, seq, re[1] AS x FROM f"
+SERIES = "SELECT session_id * 100 + bin AS session_id, seq, re[bin + 1] AS x FROM (SELECT *, unnest(range(0, 32)) AS bin FROM f)"
 MAG = "SELECT *, list_transform(range(1, 33), lambda k: sqrt(re[k] * re[k] + im[k] * im[k])) AS a FROM f"
 PEAK = "SELECT *, list_position(a, list_max(a)) - 1 AS peak_bin FROM mag"
 ROBUST = """g AS (SELECT *, (t_ms - lag(t_ms) OVER (PARTITION BY session_id ORDER BY seq)) / 1000 AS gap FROM s),
@@ -28,16 +32,21 @@ k AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS v0, last_value(p IGNORE NUL
 filled AS (SELECT session_id, seq, coalesce(x, v0 + (v1 - v0) * (i - i0) / (i1 - i0), v0, v1, 0) AS x FROM k)"""
 
 
-def despiked(source: str, limit: float) -> str:
-    return f"""m1 AS (SELECT session_id, median(x) AS m, count(*) AS n, avg(x) AS mean FROM {source} GROUP BY session_id),
-m2 AS (SELECT session_id, median(abs(x - m)) * 1.4826 AS d FROM {source} JOIN m1 USING (session_id) GROUP BY session_id),
-spiked AS (SELECT session_id, seq, CASE WHEN n < 8 THEN x - mean WHEN d > 1e-12 THEN least(greatest(x, m - {limit} * d), m + {limit} * d) ELSE x END AS x FROM {source} JOIN m1 USING (session_id) JOIN m2 USING (session_id))"""
+def despiked(source: str, limit: float, tag: str = "") -> str:
+    return f"""{tag}m1 AS (SELECT session_id, median(x) AS m, count(*) AS n, avg(x) AS mean FROM {source} GROUP BY session_id),
+{tag}m2 AS (SELECT session_id, median(abs(x - m)) * 1.4826 AS d FROM {source} JOIN {tag}m1 USING (session_id) GROUP BY session_id),
+{tag}spiked AS (SELECT session_id, seq, CASE WHEN n < 8 THEN x - mean WHEN d > 1e-12 THEN least(greatest(x, m - {limit} * d), m + {limit} * d) ELSE x END AS x FROM {source} JOIN {tag}m1 USING (session_id) JOIN {tag}m2 USING (session_id))"""
 
 
-def detrended(source: str) -> str:
-    return f"""n0 AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1.0::DOUBLE AS i FROM {source}),
-line AS (SELECT session_id, regr_slope(x, i) AS slope, regr_intercept(x, i) AS base, count(*) AS n FROM n0 GROUP BY session_id),
-flat AS (SELECT session_id, seq, CASE WHEN n < 3 THEN x ELSE x - (base + slope * i) END AS x FROM n0 JOIN line USING (session_id))"""
+def detrended(source: str, tag: str = "") -> str:
+    return f"""{tag}n0 AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1.0::DOUBLE AS i FROM {source}),
+{tag}line AS (SELECT session_id, regr_slope(x, i) AS slope, regr_intercept(x, i) AS base, count(*) AS n FROM {tag}n0 GROUP BY session_id),
+{tag}flat AS (SELECT session_id, seq, CASE WHEN n < 3 THEN x ELSE x - (base + slope * i) END AS x FROM {tag}n0 JOIN {tag}line USING (session_id))"""
+
+
+def cleaned(source: str, tag: str = "") -> str:
+    """``flat``: finite values less spikes and line."""
+    return f"{despiked(source, 7.0, tag)}, {detrended(f'{tag}spiked', tag)}"
 
 
 POWER = """t AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n, x - avg(x) OVER (PARTITION BY session_id) AS y FROM series),
@@ -46,6 +55,10 @@ e AS (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM h),
 power AS (SELECT session_id, k, any_value(n) AS n, sum(y * cos(2 * pi() * ((i * k) % n) / n)) ** 2 + sum(y * sin(2 * pi() * ((i * k) % n) / n)) ** 2 AS power FROM e GROUP BY session_id, k)"""
 
 
+RATIO = """rz AS (SELECT *, k * 8.0::DOUBLE / n AS hz FROM power), rv AS (SELECT *, hz >= 0.1::DOUBLE AND hz <= 3.0::DOUBLE AS vital, hz >= 0.03::DOUBLE AND hz <= 3.68::DOUBLE AS wide FROM rz),
+ratios AS (SELECT session_id, CASE WHEN max(n) < 16 OR count(*) FILTER (vital) = 0 OR count(*) FILTER (wide AND NOT vital) = 0 THEN 1 ELSE avg(power) FILTER (vital) / (avg(power) FILTER (wide AND NOT vital) + 1e-18) END AS ratio FROM rv GROUP BY 1)"""
+
+
 def unwrapped(step: str, base: str = "0") -> str:
     return f"""WITH f AS ({F}), l AS ({LONG}), a AS (SELECT session_id, bin, seq, atan2(im, re) AS angle FROM l),
 d AS (SELECT *, angle - lag(angle) OVER w AS d, first_value(angle) OVER w AS first FROM a WINDOW w AS (PARTITION BY session_id, bin ORDER BY seq))
@@ -124,8 +137,8 @@ SELECT session_id, l.seq, bin, round(l.re, 6) + 0.0 AS re FROM l JOIN p USING (s
     "knn_bins": f"""WITH f AS ({F}), l AS ({LONG}), mag AS ({MAG}), p AS ({PEAK})
 SELECT session_id, seq, bin FROM l JOIN p USING (session_id, seq) QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY abs(bin - peak_bin), bin) <= 3""",
     "bin_median": f"WITH f AS ({F}), l AS ({LONG}) SELECT session_id, bin, round(median(sqrt(re * re + im * im)), 6) + 0.0 AS median_amplitude FROM l GROUP BY 1, 2",
-    "target_select": f"""WITH f AS ({F}), l AS ({LONG}), mag AS ({MAG}), p AS ({PEAK}),
-b AS (SELECT session_id, bin, distance_m, distance_m >= 0.28::DOUBLE AS far, median(sqrt(re * re + im * im)) AS a, (bin % 7)::DOUBLE AS ratio FROM l GROUP BY 1, 2, 3),
+    "target_select": f"""WITH f AS ({F}), l AS ({LONG}), mag AS ({MAG}), p AS ({PEAK}), series AS ({SERIES}), {POWER}, {RATIO},
+b AS (SELECT l.session_id, bin, distance_m, distance_m >= 0.28::DOUBLE AS far, median(sqrt(re * re + im * im)) AS a, any_value(ratio) AS ratio FROM l JOIN ratios ON ratios.session_id = l.session_id * 100 + bin GROUP BY 1, 2, 3),
 c AS (SELECT *, CASE WHEN max(far::INT) OVER (PARTITION BY session_id) = 1 THEN far ELSE true END AS searched FROM b),
 lp AS (SELECT session_id, max_by(0.2::DOUBLE + peak_bin * 0.02::DOUBLE, seq) AS peak_m FROM p GROUP BY 1),
 fl AS (SELECT session_id, median(a) + 1e-12 AS floor FROM c WHERE searched GROUP BY 1),
@@ -177,9 +190,7 @@ t AS (SELECT session_id, bin, seq, i, sum(coalesce(atan2(b * pa - a * pb, a * pa
 line AS (SELECT session_id, bin, regr_slope(x, i) AS slope, regr_intercept(x, i) AS base FROM t GROUP BY 1, 2)
 SELECT session_id, bin, seq, round(x - coalesce(base + slope * i, 0), 6) + 0.0 AS phase FROM t JOIN line USING (session_id, bin)""",
     "dft_band_peak": f"WITH f AS ({F}), series AS ({SERIES}), {POWER}, z AS (SELECT *, k * 2.0::DOUBLE / n AS hz FROM power) SELECT session_id, round(hz, 6) + 0.0 AS peak_hz, round(power, 6) + 0.0 AS power FROM z WHERE hz BETWEEN 0.1::DOUBLE AND 1.0::DOUBLE QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY power DESC, k) = 1",
-    "band_energy_ratio": f"""WITH f AS ({F}), series AS ({SERIES}), {POWER}, z AS (SELECT *, k * 8.0::DOUBLE / n AS hz FROM power),
-v AS (SELECT *, hz >= 0.1::DOUBLE AND hz <= 3.0::DOUBLE AS vital, hz >= 0.03::DOUBLE AND hz <= 3.68::DOUBLE AS wide FROM z)
-SELECT session_id, round(CASE WHEN max(n) < 16 OR count(*) FILTER (vital) = 0 OR count(*) FILTER (wide AND NOT vital) = 0 THEN 1 ELSE avg(power) FILTER (vital) / (avg(power) FILTER (wide AND NOT vital) + 1e-18) END, 6) + 0.0 AS energy_ratio FROM v GROUP BY 1""",
+    "band_energy_ratio": f"WITH f AS ({F}), series AS ({SERIES}), {POWER}, {RATIO} SELECT session_id, round(ratio, 6) + 0.0 AS energy_ratio FROM ratios",
     "acf_peak": f"""WITH f AS ({F}), series AS ({SERIES}), {detrended('series')}, d AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i, x FROM flat),
 en AS (SELECT session_id, sum(x * x) + 1e-12 AS e FROM d GROUP BY 1),
 c AS (SELECT p.session_id, q.i - p.i AS lag, sum(p.x * q.x) AS s FROM d p JOIN d q ON p.session_id = q.session_id AND q.i - p.i BETWEEN 1 AND 13 GROUP BY 1, 2),
@@ -205,18 +216,234 @@ SELECT session_id, round(max_by(e, i), 6) + 0.0 AS ema FROM r GROUP BY 1""",
 }
 
 
-def _causal(order: int, fs: float, band: tuple[float, float]) -> str:
-    """The difference equation of a causal band-pass from rest, as a recursion."""
-    b, a = (x.tolist() for x in dsp.coefficients(order, band, fs, "band"))
+def recursion(source: str, out: str, b: list[float], a: list[float], settled: bool = False) -> str:
+    """The difference equation over ``source`` (session_id, i from 1, x), from rest or from an endless first value.
+
+    A band-pass gives 0 for a constant, so its settled past has outputs of 0.
+    """
     n = len(b)
     y = " + ".join([f"({b[0]!r}::DOUBLE) * i.x", *(f"({b[k]!r}::DOUBLE) * x{k} - ({a[k]!r}::DOUBLE) * y{k}" for k in range(1, n))])
     columns = ", ".join(f"x{k}, y{k}" for k in range(1, n))
-    rest = ", ".join("0::DOUBLE, 0::DOUBLE" for _ in range(1, n))
+    past = ", ".join(("x" if settled else "0::DOUBLE") + ", 0::DOUBLE" for _ in range(1, n))
     move = ", ".join(["i.x", f"{y}", *(f"x{k - 1}, y{k - 1}" for k in range(2, n))])
-    return f"""WITH RECURSIVE s AS ({S}), i AS MATERIALIZED (SELECT session_id, seq, x, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM s),
-r(session_id, seq, i, {columns}) AS (SELECT session_id, 0::BIGINT, 0::BIGINT, {rest} FROM (SELECT DISTINCT session_id FROM i)
-UNION ALL SELECT i.session_id, i.seq, i.i, {move} FROM r JOIN i ON i.session_id = r.session_id AND i.i = r.i + 1)
-SELECT session_id, seq, round(y1, 6) + 0.0 AS y FROM r WHERE i > 0"""
+    return f"""{out}_r(session_id, i, {columns}) AS (SELECT session_id, 0::BIGINT, {past} FROM {source} WHERE i = 1
+UNION ALL SELECT i.session_id, i.i, {move} FROM {out}_r r JOIN {source} i ON i.session_id = r.session_id AND i.i = r.i + 1),
+{out} AS MATERIALIZED (SELECT session_id, i, y1 AS y FROM {out}_r WHERE i > 0)"""
+
+
+def numbered(source: str) -> str:
+    return f"SELECT session_id, seq, x, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM {source}"
+
+
+_Y = "SELECT session_id, seq, round(y, 6) + 0.0 AS y FROM y JOIN i USING (session_id, i)"
+SQL["bandpass_causal"] = f"WITH RECURSIVE s AS ({S}), i AS MATERIALIZED ({numbered('s')}), {recursion('i', 'y', *BAND_PASS)} {_Y}"
+SQL["bandpass_causal_clean"] = f"WITH RECURSIVE s AS ({S}), {cleaned('s')}, i AS MATERIALIZED ({numbered('flat')}), {recursion('i', 'y', *BAND_PASS)} {_Y}"
+#: Odd extension by 15 rows, forward and back. Sessions have 20 rows or more.
+SQL["bandpass_zero_phase"] = f"""WITH RECURSIVE s AS ({S}), {cleaned('s')}, c AS MATERIALIZED ({numbered('flat')}),
+ends AS (SELECT session_id, count(*) AS n, min_by(x, i) AS a, max_by(x, i) AS z FROM c GROUP BY 1),
+e AS MATERIALIZED (SELECT session_id, i + 15 AS i, x FROM c UNION ALL SELECT session_id, 17 - i, 2 * a - x FROM c JOIN ends USING (session_id) WHERE i BETWEEN 2 AND 16
+  UNION ALL SELECT session_id, 2 * n - i + 15, 2 * z - x FROM c JOIN ends USING (session_id) WHERE i BETWEEN n - 15 AND n - 1),
+{recursion('e', 'f', *BAND_PASS, settled=True)}, t AS MATERIALIZED (SELECT session_id, n + 31 - i AS i, y AS x FROM f JOIN ends USING (session_id)),
+{recursion('t', 'g', *BAND_PASS, settled=True)}
+SELECT session_id, seq, round(y, 6) + 0.0 AS y FROM c JOIN ends USING (session_id) JOIN g USING (session_id) WHERE g.i = ends.n + 31 - (c.i + 15)"""
+SQL["static_clutter"] = f"""WITH RECURSIVE f AS ({F}), p AS (SELECT session_id, seq, unnest(range(0, 64)) AS k, list_concat(re, im) AS v FROM f),
+s AS (SELECT session_id * 100 + k AS session_id, seq, v[k + 1] AS x FROM p), i AS MATERIALIZED ({numbered('s')}), {recursion('i', 'y', *LOW_PASS)},
+z AS (SELECT session_id // 100 AS session_id, session_id % 100 AS k, seq, CASE WHEN count(*) OVER (PARTITION BY session_id) < 4 THEN 0 ELSE y END AS y FROM y JOIN i USING (session_id, i))
+SELECT session_id, seq, (k % 32)::INTEGER AS bin, round(max(y) FILTER (k < 32), 6) + 0.0 AS re, round(max(y) FILTER (k >= 32), 6) + 0.0 AS im FROM z GROUP BY session_id, seq, k % 32"""
+
+
+# -- spectra of whole series -----------------------------------------------------------
+
+
+def welch(low: float, high: float) -> str:
+    """``inside``: Welch power of ``flat`` within a band at the rates of ``rate``; segments of 24 s, 64 rows at least."""
+    return f"""b AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS i, x, count(*) OVER (PARTITION BY session_id) AS n FROM flat),
+p AS (SELECT session_id, any_value(n) AS n, any_value(fs) AS fs, least(any_value(n), greatest(64, round_even(any_value(fs) * least(24, any_value(n) / any_value(fs)), 0)))::BIGINT AS size FROM b JOIN rate USING (session_id) GROUP BY 1),
+g AS (SELECT *, unnest(range(0, n - size + 1, size - size // 2)) AS seg FROM p),
+h AS (SELECT g.session_id, seg, size, fs, g.n, i - seg AS j, (x - avg(x) OVER (PARTITION BY g.session_id, seg)) * (0.5 - 0.5 * cos(2 * pi() * (i - seg) / size)) AS y FROM g JOIN b ON b.session_id = g.session_id AND i >= seg AND i < seg + size),
+k AS (SELECT *, unnest(range(0, size // 2 + 1)) AS k FROM h),
+q AS (SELECT session_id, seg, k, any_value(size) AS size, any_value(fs) AS fs, any_value(n) AS n, (sum(y * cos(2 * pi() * ((j * k) % size) / size)) ** 2 + sum(y * sin(2 * pi() * ((j * k) % size) / size)) ** 2) / (any_value(size) / 2) ** 2 AS p FROM k GROUP BY 1, 2, 3),
+inside AS (SELECT session_id, k, any_value(size) AS size, any_value(fs) AS fs, k * any_value(fs) / any_value(size) AS hz, avg(p) * CASE WHEN k = 0 OR 2 * k = any_value(size) THEN 1 ELSE 2 END AS p FROM q WHERE n >= 16 AND fs > 0
+  GROUP BY 1, 2 HAVING hz >= greatest({low!r}::DOUBLE, any_value(fs) / any_value(n)) AND hz <= least({high!r}::DOUBLE, 0.46::DOUBLE * any_value(fs)))"""
+
+
+def vertex(a: str, b: str, c: str) -> str:
+    return f"CASE WHEN abs({a} - 2 * {b} + {c}) > 1e-12 THEN 0.5 * ({a} - {c}) / ({a} - 2 * {b} + {c}) ELSE 0 END"
+
+
+def series_peaks(low: float, high: float) -> str:
+    """``found``: Welch, autocorrelation, fused and weighted peaks of ``s`` at the rates of ``rate``."""
+    lo, hi = f"greatest({low!r}::DOUBLE, fs / n)", f"least({high!r}::DOUBLE, 0.46::DOUBLE * fs)"
+    return f"""{cleaned('s')}, {welch(low, high)},
+wn AS (SELECT *, lag(ln(p + 1e-24)) OVER w AS y0, ln(p + 1e-24) AS y1, lead(ln(p + 1e-24)) OVER w AS y2, median(p) OVER (PARTITION BY session_id) AS mid FROM inside WINDOW w AS (PARTITION BY session_id ORDER BY k)),
+wt AS (SELECT * FROM wn QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY p DESC, k) = 1),
+we AS (SELECT session_id, CASE WHEN y0 IS NULL OR y2 IS NULL THEN hz ELSE least(greatest(hz + least(greatest({vertex('y0', 'y1', 'y2')}, -0.5), 0.5) * wt.fs / wt.size, greatest({low!r}::DOUBLE, p.fs / n)), least({high!r}::DOUBLE, 0.46::DOUBLE * p.fs)) END AS hz, wt.p / (mid + 1e-18) AS conf FROM wt JOIN p USING (session_id)),
+lr AS (SELECT session_id, n, fs, greatest(1, floor(fs / {high!r}::DOUBLE))::BIGINT AS first, least(n - 2, ceil(fs / {low!r}::DOUBLE))::BIGINT AS last FROM p WHERE n >= 12 AND fs > 0),
+ac AS (SELECT u.session_id, v.i - u.i AS l, sum(u.x * v.x) AS s FROM b u JOIN lr USING (session_id) JOIN b v ON v.session_id = u.session_id AND v.i - u.i BETWEEN 0 AND last + 1 WHERE first < last GROUP BY 1, 2),
+an AS (SELECT session_id, l, s / (max(s) FILTER (l = 0) OVER (PARTITION BY session_id) + 1e-12) AS r FROM ac),
+ap AS (SELECT *, lag(r) OVER w AS y0, lead(r) OVER w AS y2 FROM an WINDOW w AS (PARTITION BY session_id ORDER BY l)),
+lt AS (SELECT * FROM ap JOIN lr USING (session_id) WHERE l BETWEEN first AND last QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY (r > y0 AND r > y2)::INT DESC, r DESC, l) = 1),
+le AS (SELECT session_id, fs / (l + {vertex('y0', 'r', 'y2')}) AS hz, r AS conf FROM lt),
+fp AS (SELECT session_id, n, fs, least(n, round_even(fs * 20, 0))::BIGINT AS m FROM p WHERE n >= 16 AND n / fs >= 20),
+tail AS (SELECT session_id, seq, x FROM s JOIN fp USING (session_id) WHERE m >= 16 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= m),
+{cleaned('tail', 't')},
+ti AS (SELECT session_id, m, fs, n, 2 ** (floor(log2(m)) + 1) AS size, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS i, x FROM tflat JOIN fp USING (session_id)),
+th AS (SELECT session_id, size::BIGINT AS size, fs, n, i, x * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * i / (m - 1))) AS y FROM ti),
+tk AS (SELECT *, unnest(range(0, size // 2 + 1)) AS k FROM th),
+ta AS (SELECT session_id, k, any_value(size) AS size, any_value(fs) AS fs, any_value(n) AS n, sqrt(sum(y * cos(2 * pi() * ((i * k) % size) / size)) ** 2 + sum(y * sin(2 * pi() * ((i * k) % size) / size)) ** 2) AS p FROM tk GROUP BY 1, 2),
+tn AS (SELECT *, k * fs / size AS hz, lag(p) OVER w AS y0, lead(p) OVER w AS y2 FROM ta WINDOW w AS (PARTITION BY session_id ORDER BY k)),
+tb AS (SELECT *, median(p) OVER (PARTITION BY session_id) AS mid FROM tn WHERE hz >= {lo} AND hz <= {hi}),
+tt AS (SELECT * FROM tb QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY p DESC, k) = 1),
+te AS (SELECT session_id, CASE WHEN y0 IS NULL OR y2 IS NULL THEN hz ELSE least(greatest(hz + ({vertex('y0', 'p', 'y2')}) * fs / size, {lo}), {hi}) END AS hz, p / (mid + 1e-18) AS conf FROM tt),
+al AS (SELECT p.session_id, coalesce(we.hz, 0) AS welch_hz, coalesce(we.conf, 0) AS welch_confidence, coalesce(le.hz, 0) AS lag_hz, coalesce(le.conf, 0) AS lag_confidence, coalesce(te.hz, 0) AS weighted_hz, coalesce(te.conf, 0) AS weighted_confidence FROM p LEFT JOIN we USING (session_id) LEFT JOIN le USING (session_id) LEFT JOIN te USING (session_id)),
+ag AS (SELECT *, lag_hz > 0 AND lag_confidence >= 0.22::DOUBLE AND welch_hz > 0 AND welch_confidence >= 2 AND abs(lag_hz - welch_hz) <= 0.25 AS agrees FROM al),
+found AS (SELECT *, CASE WHEN agrees THEN lag_hz ELSE welch_hz END AS fused_hz, CASE WHEN agrees THEN greatest(welch_confidence, 10 * lag_confidence) ELSE welch_confidence END AS fused_confidence FROM ag)"""
+
+
+PEAKS = [f"{n}_{m}" for n in ("welch", "lag", "fused", "weighted") for m in ("hz", "confidence")]
+TWO = "rate AS (SELECT DISTINCT session_id, 2.0::DOUBLE AS fs FROM s)"
+QUICK = f"SELECT session_id, seq, t_ms / 86400 AS t_ms, x FROM ({S})"
+SQL["spectrum_peaks"] = f"WITH s AS ({S}), {TWO}, {series_peaks(0.1, 0.7)} SELECT session_id, {rounded(*PEAKS)} FROM found"
+SQL["session_vitals"] = f"""WITH s AS ({QUICK}), {ROBUST.replace('g AS', 'rg AS').replace('FROM g ', 'FROM rg ').replace('a AS', 'ra AS').replace('JOIN a ', 'JOIN ra ').replace('b AS (', 'rb AS (').replace('FROM b)', 'FROM rb)').replace('c AS (', 'rc AS (').replace('FROM c)', 'FROM rc)')},
+{series_peaks(0.1, 1.0)}, m AS (SELECT session_id, count(*) AS n, avg(x) AS mean_x FROM s GROUP BY 1)
+SELECT session_id, m.n, round(mean_x, 9) + 0.0 AS mean_x, round(rate.fs, 6) + 0.0 AS sample_rate_hz, {rounded(*PEAKS)} FROM found JOIN m USING (session_id) JOIN rate USING (session_id)"""
+SQL["band_spectra"] = f"WITH s AS ({S}), {TWO}, {cleaned('s')}, {welch(0.1, 0.7)} SELECT session_id, round(hz, 6) + 0.0 AS hz, round(p, 6) + 0.0 AS power FROM inside"
+#: Segments of 30 s are 64 rows here too, and the band has no lower limit by length; sessions have 20 rows or more.
+SQL["spectral_entropy"] = f"""WITH s AS ({S}), {TWO}, {cleaned('s')}, {welch(0.1, 0.7)}, sh AS (SELECT session_id, p / sum(p) OVER (PARTITION BY session_id) AS p, count(*) OVER (PARTITION BY session_id) AS m FROM inside)
+SELECT session_id, round(-sum(p * ln(p + 1e-18)) / ln(any_value(m)), 6) + 0.0 AS entropy FROM sh GROUP BY 1"""
+
+RADAR = f"SELECT session_id, seq, seq * 50.0::DOUBLE AS t_ms, gy AS x FROM ({AXES})"
+SIZE = f"SELECT session_id, seq, seq * 50.0::DOUBLE AS t_ms, sqrt(ax * ax + ay * ay + az * az) AS x, sqrt(gx * gx + gy * gy + gz * gz) AS turn FROM ({AXES})"
+RATES = """n AS (SELECT session_id, count(*) AS n, (max(t_ms) - min(t_ms)) / 1000 / (count(*) - 1) AS gap FROM s GROUP BY 1),
+rate AS (SELECT session_id, n, CASE WHEN n > 1 THEN 1 / gap END AS fs FROM n)"""
+
+
+def spectrum(hann: str, last: str = "") -> str:
+    """``power``: amplitude squared of mean-free series, with frequencies as an FFT's."""
+    return f"""o AS (SELECT session_id, seq, x FROM s {last}), t AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n, x - avg(x) OVER (PARTITION BY session_id) AS y FROM o),
+h AS (SELECT session_id, i, n, y * {hann} AS y FROM t), e AS (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM h),
+d AS (SELECT session_id, k, any_value(n) AS n, sum(y * cos(2 * pi() * ((i * k) % n) / n)) ** 2 + sum(y * sin(2 * pi() * ((i * k) % n) / n)) ** 2 AS power FROM e GROUP BY 1, 2),
+power AS (SELECT d.session_id, k, d.n, power, k * (1.0::DOUBLE / (d.n * (1.0::DOUBLE / fs))) AS hz, fs FROM d JOIN rate USING (session_id))"""
+
+
+def top(low: str, high: str = "1e9") -> str:
+    return f"coalesce(max_by(hz, power) FILTER (hz >= {low}::DOUBLE AND hz <= {high}::DOUBLE), 0)"
+
+
+SQL["radar_vitals"] = f"""WITH s AS ({RADAR}), {RATES}, {spectrum('(0.5 - 0.5 * cos(2 * pi() * i / n))')},
+z AS (SELECT session_id, k, hz, power * CASE WHEN 2 * k = n THEN 1 ELSE 2 END AS power FROM power WHERE k > 0), w AS (SELECT session_id, max_by(hz, power) AS hz FROM z GROUP BY 1)
+SELECT session_id, CASE WHEN n >= 10 THEN round(fs, 6) + 0.0 END AS sample_rate_hz, CASE WHEN n >= 10 THEN round(hz, 6) + 0.0 END AS peak_frequency_hz, CASE WHEN n >= 10 THEN round(hz / 70.16::DOUBLE, 6) + 0.0 END AS peak_speed_mps,
+  CASE WHEN n < 10 THEN n || ' samples are fewer than 10' END AS error FROM rate LEFT JOIN w USING (session_id)"""
+_SHORT = "CASE WHEN n > 32 THEN {} ELSE 0 END"
+SQL["radar_stats"] = f"""WITH s AS ({RADAR}), {RATES}, {spectrum('(0.5 - 0.5 * cos(2 * pi() * i / (n - 1)))', 'QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 4096')},
+w AS (SELECT session_id, {top('0.05')} AS peak, {top('0.1', '0.6')} * 60 AS resp FROM power GROUP BY 1)
+SELECT session_id, round(coalesce(fs, 500), 6) + 0.0 AS sample_rate_hz, round({_SHORT.format('peak')}, 6) + 0.0 AS peak_hz, round({_SHORT.format('resp')}, 6) + 0.0 AS resp_bpm, round({_SHORT.format('peak')} / 70.16::DOUBLE, 6) + 0.0 AS speed_mps, NULL::VARCHAR AS error
+FROM rate JOIN w USING (session_id)"""
+SQL["imu_stats"] = f"""WITH s AS ({SIZE}), {RATES}, {spectrum('(0.5 - 0.5 * cos(2 * pi() * i / (n - 1)))')},
+w AS (SELECT session_id, {top('0.1', '0.6')} * 60 AS resp, {top('0.65', '4.0')} * 60 AS heart FROM power GROUP BY 1), r AS (SELECT session_id, sqrt(avg(x * x)) AS a, sqrt(avg(turn * turn)) AS g FROM s GROUP BY 1)
+SELECT session_id, round(coalesce(fs, 100), 6) + 0.0 AS sample_rate_hz, round(a, 6) + 0.0 AS accel_rms_g, round(g, 6) + 0.0 AS gyro_rms_dps, round({_SHORT.format('resp')}, 6) + 0.0 AS resp_bpm, round({_SHORT.format('heart')}, 6) + 0.0 AS heart_bpm, NULL::VARCHAR AS error
+FROM rate JOIN w USING (session_id) JOIN r USING (session_id)"""
+
+
+# -- trackers as recursions -------------------------------------------------------------
+
+MEASURED = f"""SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i, 0.7::DOUBLE + (x % 100) / 50 AS hz, 0.5::DOUBLE + (x % 7) / 10 AS dt, x % 31 AS confidence, (x % 11) / 10 AS quality, seq % 23 <> 0 AS present FROM ({S})"""
+_COV = ("rr", "rv", "rb", "vv", "vb", "bb")
+SQL["kalman_track"] = f"""WITH RECURSIVE m AS MATERIALIZED ({MEASURED}),
+k(session_id, i, locked, missed, r, v, b, {', '.join(_COV)}) AS (
+SELECT DISTINCT session_id, 0::BIGINT, false, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, {', '.join('0::DOUBLE' for _ in _COV)} FROM m
+UNION ALL
+SELECT session_id, i, still, CASE WHEN still THEN miss ELSE 0 END, CASE WHEN still THEN r ELSE 0 END, v, b, {', '.join(_COV)} FROM (
+ SELECT session_id, i, CASE WHEN locked THEN miss < 12 ELSE sure END AS still, CASE WHEN locked THEN miss ELSE 0 END AS miss,
+  CASE WHEN locked THEN r ELSE hz END AS r, CASE WHEN locked THEN v ELSE 0 END AS v, CASE WHEN locked THEN b ELSE 0 END AS b,
+  CASE WHEN locked THEN rr ELSE 0.10::DOUBLE * 0.10::DOUBLE END AS rr, CASE WHEN locked THEN rv ELSE 0 END AS rv, CASE WHEN locked THEN rb ELSE 0 END AS rb,
+  CASE WHEN locked THEN vv ELSE 0.06::DOUBLE * 0.06::DOUBLE END AS vv, CASE WHEN locked THEN vb ELSE 0 END AS vb, CASE WHEN locked THEN bb ELSE 0.03::DOUBLE * 0.03::DOUBLE END AS bb FROM (
+  SELECT session_id, i, hz, sure, locked, CASE WHEN takes THEN 0 ELSE miss END AS miss,
+   CASE WHEN takes THEN least(greatest(r + rr / sp * off, 0.65::DOUBLE), 3) ELSE r END AS r, CASE WHEN takes THEN v + rv / sp * off ELSE v END AS v, CASE WHEN takes THEN b + rb / sp * off ELSE b END AS b,
+   CASE WHEN takes THEN rr - rr / sp * rr ELSE rr END AS rr, CASE WHEN takes THEN rv - rr / sp * rv ELSE rv END AS rv, CASE WHEN takes THEN rb - rr / sp * rb ELSE rb END AS rb,
+   CASE WHEN takes THEN vv - rv / sp * rv ELSE vv END AS vv, CASE WHEN takes THEN vb - rv / sp * rb ELSE vb END AS vb, CASE WHEN takes THEN bb - rb / sp * rb ELSE bb END AS bb FROM (
+   SELECT *, locked AND sure AND (off * off / sp <= 9 OR miss > 4) AS takes FROM (
+    SELECT *, hz - r AS off, greatest(rr + least(greatest(0.22::DOUBLE / sqrt(greatest(confidence, 1)), 0.035::DOUBLE), 0.22::DOUBLE) ** 2, 1e-9) AS sp FROM (
+     SELECT session_id, i, hz, confidence, sure, locked, missed + 1 AS miss, least(greatest(r + d * v + d * d / 2 * b, 0.65::DOUBLE), 3) AS r, v + d * b AS v, b,
+      rr + 2 * d * rv + d * d * rb + d * d * vv + d * d * d * vb + d ** 4 / 4 * bb + q * d ** 4 / 4 AS rr, rv + d * (rb + vv) + 1.5 * d * d * vb + d ** 3 / 2 * bb + q * d ** 3 / 2 AS rv,
+      rb + d * vb + d * d / 2 * bb + q * d * d / 2 AS rb, vv + 2 * d * vb + d * d * bb + q * d * d AS vv, vb + d * bb + q * d AS vb, bb + q AS bb FROM (
+      SELECT k.*, m.i, m.hz, m.confidence, least(greatest(m.dt, 0.05::DOUBLE), 2) AS d, 0.065::DOUBLE * 0.065::DOUBLE AS q, m.hz >= 0.65::DOUBLE AND m.hz <= 3 AND m.confidence >= 14 AND m.quality >= 0.25 AS sure
+      FROM (SELECT * EXCLUDE (i), i AS at FROM k) k JOIN m ON m.session_id = k.session_id AND m.i = k.at + 1)))))))
+SELECT session_id, seq, round(CASE WHEN locked THEN r ELSE 0 END, 6) + 0.0 AS tracked_hz FROM k JOIN m USING (session_id, i)"""
+SQL["rate_stabiliser"] = f"""WITH RECURSIVE m AS MATERIALIZED (SELECT * REPLACE (hz / 3 AS hz) FROM ({MEASURED})),
+k(session_id, i, shown, candidate, votes, missed) AS (SELECT DISTINCT session_id, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::BIGINT, 0::BIGINT FROM m
+UNION ALL
+SELECT session_id, i, CASE kind WHEN 'absent' THEN 0 WHEN 'lost' THEN 0 WHEN 'near' THEN shown + (hz - shown) * CASE WHEN confidence >= 8 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END WHEN 'won' THEN hz ELSE shown END,
+ CASE WHEN kind = 'absent' THEN 0 WHEN kind IN ('won', 'vote') THEN new_candidate ELSE candidate END, CASE kind WHEN 'vote' THEN new_votes WHEN 'missed' THEN votes ELSE 0 END, CASE WHEN kind IN ('missed', 'lost') THEN missed + 1 ELSE 0 END FROM (
+ SELECT *, CASE WHEN NOT present THEN 'absent' WHEN NOT good AND missed < 40 THEN 'missed' WHEN NOT good THEN 'lost' WHEN shown > 0 AND abs(hz - shown) <= 0.1::DOUBLE THEN 'near'
+  WHEN new_votes >= CASE WHEN shown > 0 THEN 4 WHEN confidence >= 8 THEN 1 ELSE 2 END THEN 'won' ELSE 'vote' END AS kind FROM (
+  SELECT k.*, m.i, m.hz, m.confidence, m.present, m.hz >= 0.9::DOUBLE * 0.1::DOUBLE AND m.hz <= 1.05::DOUBLE AND m.confidence >= 4 AND m.quality >= 0.25 AS good,
+   CASE WHEN abs(m.hz - candidate) <= 0.06::DOUBLE THEN candidate ELSE m.hz END AS new_candidate, CASE WHEN abs(m.hz - candidate) <= 0.06::DOUBLE THEN votes + 1 ELSE 1 END AS new_votes
+  FROM (SELECT * EXCLUDE (i), i AS at FROM k) k JOIN m ON m.session_id = k.session_id AND m.i = k.at + 1)))
+SELECT session_id, seq, round(shown, 6) + 0.0 AS shown_hz FROM k JOIN m USING (session_id, i)"""
+
+
+def unit(x: str, y: str, z: str) -> str:
+    return f"sqrt({x} * {x} + {y} * {y} + {z} * {z})"
+
+
+SQL["complementary_filter"] = f"""WITH RECURSIVE a AS MATERIALIZED (SELECT session_id, seq, ax, ay, az, radians(gx) AS p, radians(gy) AS q, radians(gz) AS r FROM ({AXES})),
+k(session_id, seq, x, y, z) AS (SELECT session_id, seq, ax / n, ay / n, az / n FROM (SELECT *, {unit('ax', 'ay', 'az')} AS n FROM a) WHERE seq = 1
+UNION ALL
+SELECT session_id, seq, x / n, y / n, z / n FROM (SELECT *, {unit('x', 'y', 'z')} AS n FROM (
+ SELECT session_id, seq, 0.98::DOUBLE * tx + 0.02::DOUBLE * ax / m AS x, 0.98::DOUBLE * ty + 0.02::DOUBLE * ay / m AS y, 0.98::DOUBLE * tz + 0.02::DOUBLE * az / m AS z FROM (
+  SELECT session_id, seq, ax, ay, az, m, x / n AS tx, y / n AS ty, z / n AS tz FROM (SELECT *, {unit('x', 'y', 'z')} AS n, {unit('ax', 'ay', 'az')} AS m FROM (
+   SELECT a.session_id, a.seq, ax, ay, az, x - (q * z - r * y) * 0.05::DOUBLE AS x, y - (r * x - p * z) * 0.05::DOUBLE AS y, z - (p * y - q * x) * 0.05::DOUBLE AS z FROM k JOIN a ON a.session_id = k.session_id AND a.seq = k.seq + 1))))))
+SELECT session_id, seq, round(x, 6) + 0.0 AS g_x, round(y, 6) + 0.0 AS g_y, round(z, 6) + 0.0 AS g_z FROM k"""
+
 
+# -- stores, histories, bins ----------------------------------------------------------------
 
-SQL["bandpass_causal"] = _causal(2, 2.0, (0.1, 0.4))
+SQL["csv_radar"] = f'WITH s AS ({S}) SELECT t_ms AS "Timestamp_ms", x * 10 AS "RawADC", x AS "Voltage_mV" FROM s'
+SQL["csv_imu"] = f"""WITH a AS ({AXES}) SELECT 'imu' AS sensor, seq * 50.0::DOUBLE AS "Time_ms", ax, ay, az, gx, gy, gz FROM a"""
+SQL["csv_frames"] = f"""WITH f AS ({F}), mag AS ({MAG}), p AS ({PEAK})
+SELECT seq AS "Frame", round(0.2::DOUBLE + peak_bin * 0.02::DOUBLE, 6) + 0.0 AS peak_distance_m, round(list_max(a), 6) + 0.0 AS peak_amplitude, 32::INTEGER AS n_bins, round(list_sum(list_transform(re, lambda x: round(x, 8))), 8) + 0.0 AS total_re FROM p"""
+SQL["session_store"] = f"""WITH s AS ({S}) SELECT 1 + session_id % 2 AS id, 'radar' AS sensor, count(*) AS sample_count, true AS stopped, count(*) AS n, round(avg(x), 6) + 0.0 AS mean_mv FROM s GROUP BY session_id % 2"""
+SQL["snapshot_since"] = f"WITH s AS ({S}) SELECT session_id, seq, x FROM s QUALIFY session_id % 3 = 0 OR seq > max(seq) OVER (PARTITION BY session_id) - session_id * 7"
+SQL["bounded_history"] = f"WITH s AS ({S}) SELECT session_id, seq, x FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= greatest(32, round_even(30 * greatest(session_id % 3 / 10, 1) * 1.2::DOUBLE, 0))"
+SQL["view_horizon"] = f"""WITH s AS ({QUICK}), l AS (SELECT *, max_by(t_ms, seq) OVER (PARTITION BY session_id) AS last FROM s) SELECT session_id, seq, x, t_ms >= last - 5000 AS shown FROM l WHERE t_ms >= last - 30000"""
+SQL["heart_search_band"] = f"""WITH s AS ({S}), p AS (SELECT seq, CASE WHEN seq % 9 > 0 THEN x / 150 - 0.2::DOUBLE END AS prior, CASE WHEN seq % 4 > 0 THEN (x % 50) / 100 END AS deviation FROM s),
+h AS (SELECT *, greatest(0.4::DOUBLE, 3 * coalesce(deviation, 0.12::DOUBLE)) AS half FROM p), b AS (SELECT *, greatest(prior - half, 0.65::DOUBLE) AS lo, least(prior + half, 3) AS hi FROM h),
+c AS (SELECT *, hi - lo < 0.8::DOUBLE AS narrow, least(greatest((lo + hi) / 2, 1.05::DOUBLE), 2.6::DOUBLE) AS mid FROM b)
+SELECT seq, round(CASE WHEN prior IS NULL OR prior <= 0 THEN 0.65::DOUBLE WHEN narrow THEN greatest(0.65::DOUBLE, mid - 0.4::DOUBLE) ELSE lo END, 6) + 0.0 AS low, round(CASE WHEN prior IS NULL OR prior <= 0 THEN 3 WHEN narrow THEN least(3, mid + 0.4::DOUBLE) ELSE hi END, 6) + 0.0 AS high FROM c"""
+SQL["presence_of_phase"] = f"""WITH s AS ({S}), m AS (SELECT session_id, median(x) AS m FROM s GROUP BY 1), d AS (SELECT session_id, any_value(m) AS m, 1.4826 * median(abs(x - m)) AS d FROM s JOIN m USING (session_id) GROUP BY 1),
+c AS (SELECT session_id, least(greatest(40 * m / (d + m + 1e-9), 0), 100) AS score FROM d) SELECT session_id, round(score, 6) + 0.0 AS score, score >= 20 AS present FROM c"""
+SQL["weighted_bins"] = f"""WITH f AS ({F}), l AS ({LONG}), a AS (SELECT session_id, bin, median(sqrt(re * re + im * im)) AS score FROM l GROUP BY 1, 2),
+b AS (SELECT *, bin >= 5 AND session_id % 4 > 0 AND bin < 25 - session_id % 3 * 9 AS own, ((bin * 7 + session_id) % 5) * CASE WHEN session_id % 2 = 0 THEN 0.1::DOUBLE ELSE 0.7::DOUBLE END AS ratio FROM a),
+c AS (SELECT * FROM b QUALIFY CASE WHEN max(own::INT) OVER (PARTITION BY session_id) = 1 THEN own ELSE bin = 31 END),
+e AS (SELECT session_id, avg(score) + 0.2 * max(score) AS high, quantile_cont(score, 0.65) AS cut FROM c GROUP BY 1),
+g AS (SELECT *, score >= high AND ratio >= 1.8::DOUBLE AS vital FROM c JOIN e USING (session_id)),
+h AS (SELECT * FROM g QUALIFY CASE WHEN max(vital::INT) OVER (PARTITION BY session_id) = 1 THEN vital ELSE score >= cut END),
+t AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, bin DESC) <= 9)
+SELECT session_id, bin, round(score / (sum(score) OVER w + 1e-12), 6) + 0.0 AS weight, first_value(bin) OVER (PARTITION BY session_id ORDER BY score DESC, bin) AS best_bin, count(*) OVER w AS n_bins FROM t WINDOW w AS (PARTITION BY session_id)"""
+#: By power iteration.
+COMPONENT = f"""a AS ({AXES}), c AS MATERIALIZED (SELECT session_id, covar_samp(ax, ax) AS xx, covar_samp(ax, ay) AS xy, covar_samp(ax, az) AS xz, covar_samp(ay, ay) AS yy, covar_samp(ay, az) AS yz, covar_samp(az, az) AS zz FROM a GROUP BY 1),
+k(session_id, i, x, y, z) AS (SELECT session_id, 0, 0.5::DOUBLE, 0.6::DOUBLE, 0.7::DOUBLE FROM c UNION ALL SELECT session_id, i + 1, x / n, y / n, z / n FROM (SELECT *, {unit('x', 'y', 'z')} AS n FROM (
+ SELECT session_id, i, xx * x + xy * y + xz * z AS x, xy * x + yy * y + yz * z AS y, xz * x + yz * y + zz * z AS z FROM k JOIN c USING (session_id) WHERE i < 60))),
+v AS (SELECT session_id, x, y, z, (x * (xx * x + xy * y + xz * z) + y * (xy * x + yy * y + yz * z) + z * (xz * x + yz * y + zz * z)) / (xx + yy + zz) AS share,
+  sign(CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN x WHEN abs(y) >= abs(z) THEN y ELSE z END) AS turn FROM k JOIN c USING (session_id) WHERE i = 60)"""
+SQL["first_component"] = f"WITH RECURSIVE {COMPONENT} SELECT session_id, round(x * turn, 6) + 0.0 AS axis_ax, round(y * turn, 6) + 0.0 AS axis_ay, round(z * turn, 6) + 0.0 AS axis_az, round(share, 6) + 0.0 AS share FROM v"
+SQL["projected_component"] = f"WITH RECURSIVE {COMPONENT} SELECT session_id, seq, round(turn * (ax * x + ay * y + az * z), 6) + 0.0 AS component FROM a JOIN v USING (session_id)"
+SQL["polynomial_detrend"] = f"""WITH s AS ({S}), {detrended('s')}, m AS (SELECT session_id, avg(x) AS mean, count(*) AS n FROM s GROUP BY 1) SELECT session_id, seq, round(CASE WHEN n < 24 THEN s.x - mean ELSE flat.x END, 7) + 0.0 AS x FROM s JOIN flat USING (session_id, seq) JOIN m USING (session_id)"""
+_UNWRAPPED = f"CASE WHEN abs(d) < pi() THEN d WHEN {MOD} = -pi() AND d > 0 THEN pi() ELSE {MOD} END"
+SQL["phase_matrix"] = f"""WITH f AS ({F}), l AS ({LONG}), a AS (SELECT session_id * 100 + bin AS session_id, seq, atan2(im, re) AS angle FROM l),
+d AS (SELECT *, angle - lag(angle) OVER w AS d, first_value(angle) OVER w AS first FROM a WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+u AS (SELECT session_id, seq, first + sum(coalesce({_UNWRAPPED}, 0)) OVER (PARTITION BY session_id ORDER BY seq) AS p FROM d), s AS (SELECT session_id, seq, p - median(p) OVER (PARTITION BY session_id) AS x FROM u),
+{cleaned('s')} SELECT session_id // 100 AS session_id, (session_id % 100)::INTEGER AS bin, seq, round(x, 6) + 0.0 AS phase FROM flat"""
+THREE = "w AS (SELECT session_id, bin, a / (sum(a) OVER (PARTITION BY session_id) + 1e-12) AS w FROM (SELECT session_id, bin, median(sqrt(re * re + im * im)) AS a FROM l WHERE bin BETWEEN 8 AND 10 GROUP BY 1, 2))"
+SQL["aligned_mean"] = f"""WITH f AS ({F}), l AS ({LONG}), {THREE}, s AS (SELECT session_id * 100 + bin AS session_id, seq, re AS x FROM l WHERE bin BETWEEN 8 AND 10), {cleaned('s')},
+c AS (SELECT session_id // 100 AS session_id, session_id % 100 AS bin, seq, x FROM flat), r AS (SELECT session_id, seq, x AS r FROM c WHERE bin = 8),
+t AS (SELECT session_id, bin, CASE WHEN sum(x * r) < 0 THEN -1 ELSE 1 END AS turn FROM c JOIN r USING (session_id, seq) GROUP BY 1, 2)
+SELECT session_id, seq, round(sum(turn * w * x) / (sum(w) + 1e-12), 6) + 0.0 AS mean FROM c JOIN t USING (session_id, bin) JOIN w USING (session_id, bin) GROUP BY 1, 2"""
+SQL["coherent_phase"] = f"""WITH f AS ({F}), l AS ({LONG}), {THREE}, o AS (SELECT l.session_id, l.bin, seq, re, im, w, w / (sum(w) OVER (PARTITION BY l.session_id, seq) + 1e-12) AS share, sqrt(re * re + im * im) + 1e-12 AS n FROM l JOIN w USING (session_id, bin)),
+p AS (SELECT *, re / n AS a, im / n AS b, lag(re / n) OVER v AS pa, lag(im / n) OVER v AS pb FROM o WINDOW v AS (PARTITION BY session_id, bin ORDER BY seq)),
+x AS (SELECT session_id, seq, atan2(sum(share * (b * pa - a * pb)), sum(share * (a * pa + b * pb))) AS step FROM p GROUP BY 1, 2), s AS (SELECT session_id, seq, sum(coalesce(step, 0)) OVER (PARTITION BY session_id ORDER BY seq) AS x FROM x), {cleaned('s')},
+h AS (SELECT session_id, max_by(bin, w) AS bin FROM w GROUP BY 1), r AS (SELECT o.session_id, seq, re AS hr, im AS hi FROM o JOIN h USING (session_id, bin)),
+t AS (SELECT session_id, bin, atan2(avg(im * hr - re * hi), avg(re * hr + im * hi)) AS turn FROM o JOIN r USING (session_id, seq) GROUP BY 1, 2),
+z AS (SELECT session_id, seq, sum(w * (re * cos(turn) + im * sin(turn))) AS raw_i, sum(w * (im * cos(turn) - re * sin(turn))) AS raw_q FROM o JOIN t USING (session_id, bin) GROUP BY 1, 2)
+SELECT session_id, seq, round(x, 6) + 0.0 AS phase, round(raw_i, 6) + 0.0 AS raw_i, round(raw_q, 6) + 0.0 AS raw_q FROM flat JOIN z USING (session_id, seq)"""

@@ -25,6 +25,7 @@ from ..constants import (
     RESP_CONFIDENCE_MIN,
 )
 from ..functions import dsp, frames
+from ..operators.grouped import per_session
 
 RADAR_RESULT = ["sample_rate_hz", "peak_frequency_hz", "peak_speed_mps"]
 IMU_RESULT = ["sample_rate_hz", "respiratory_bpm", "displacement_bpm", "heart_bpm"]
@@ -43,19 +44,17 @@ def _numbers(names: list[str]) -> str:
 
 
 def _by_session(samples: DataFrame, key: str, columns: list[str], analyse: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
-    """``analyse`` over each session's rows in order; its failure becomes the row's ``error``."""
-    kind = dict(samples.dtypes)[key]
+    """``analyse`` over each session's rows in order; its failure, of whatever kind, becomes the row's ``error``."""
     names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        session = group[key].iloc[0]
+    def run(rows: pd.DataFrame) -> dict:
         try:
-            row = analyse(group.sort_values("seq", kind="stable")) | {"error": None}
-        except ValueError as e:
-            row = {"error": str(e)}
-        return pd.DataFrame([{n: row.get(n) for n in names} | {key: session}], columns=[key, *names, "error"]).assign(error=row["error"])
+            row = analyse(rows) | {"error": None}
+        except Exception as e:  # a bad recording must not stop the others
+            row = {"error": str(e) if isinstance(e, ValueError) else f"{type(e).__name__}: {e}"}
+        return {n: [row.get(n)] for n in [*names, "error"]}
 
-    return samples.select(key, "seq", *columns).groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}, error string")
+    return per_session(samples, columns, run, f"{schema}, error string", key)
 
 
 def _enough(group: pd.DataFrame, least: int = 10) -> None:

@@ -7,6 +7,8 @@ supplier. The SQL of each query is in :mod:`breathline.oracles`.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +40,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="breathline-")
+    return f"{base.rstrip('/')}/breathline/recordings-{uuid.uuid4().hex}"
+
+
 # -- stand-ins -------------------------------------------------------------------
 
 
@@ -66,8 +74,14 @@ def axes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bin_series(spark: SparkSession, sf: str) -> DataFrame:
-    """One series a session: the real part of bin 0."""
-    return frames(spark, sf).select(KEY, "seq", F.col("re")[0].alias("x"))
+    """One series a session and bin: its real part. session_id is 100 * session + bin."""
+    long = long_frames(spark, sf)
+    return long.select((F.col(KEY) * 100 + F.col("bin")).alias(KEY), "seq", F.col("re").alias("x"))
+
+
+def quick_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The samples with a day taken as a second, so that rates are about 2 Hz, each session's its own."""
+    return samples(spark, sf).withColumn("t_ms", F.col("t_ms") / 86_400)
 
 
 def measurements(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,6 +121,48 @@ def imu_line_parse(spark, sf):
     return S.parse_lines(a.select(KEY, "Time_ms", line.alias("line")).withColumnRenamed("Time_ms", "host"), "imu", time_ms=F.col("host")).drop("host")
 
 
+def _stored(spark, df, sensor):
+    """The samples written as one CSV recording and scanned again."""
+    path = scratch(spark)
+    return S.scan_csv(spark, S.save_csv(df, path, sensor), sensor)
+
+
+@query
+def csv_radar(spark, sf):
+    s = samples(spark, sf).select(F.col("seq"), F.col("t_ms").alias("Timestamp_ms"), (F.col("x") * 10).alias("RawADC"), F.col("x").alias("Voltage_mV"))
+    return _stored(spark, s, "radar").select(*RADAR_COLUMNS)
+
+
+@query
+def csv_imu(spark, sf):
+    a = axes(spark, sf)
+    sensor, back = S.open_csv(spark, S.save_csv(a.withColumn("seq", F.col(KEY) * 1_000_000 + F.col("seq")), scratch(spark), "imu"))
+    return back.select(F.lit(sensor).alias("sensor"), *IMU_COLUMNS)
+
+
+@query
+def csv_frames(spark, sf):
+    back = _stored(spark, frame_samples(spark, sf), "a121")
+    total = F.aggregate("Real", F.lit(0.0), lambda s, x: s + x)
+    return back.select("Frame", R("PeakDistance_m").alias("peak_distance_m"), R("PeakAmplitude").alias("peak_amplitude"), F.size("Imag").alias("n_bins"), (F.round(total, 8) + 0.0).alias("total_re"))
+
+
+@query
+def session_store(spark, sf):
+    """Two stored sessions: created, filled, finished, listed, loaded."""
+    store = S.SessionStore(spark, scratch(spark))
+    s = samples(spark, sf).select(KEY, "seq", F.col("t_ms").alias("Timestamp_ms"), (F.col("x") * 10).alias("RawADC"), F.col("x").alias("Voltage_mV"))
+    parts = []
+    for half in (0, 1):
+        number, rows = store.create("radar"), s.where(F.col(KEY) % 2 == half)
+        store.append(number, "radar", rows)
+        store.finish(number, store.load(number, "radar").count(), {"half": float(half)})
+        parts.append(store.load(number, "radar"))
+    loaded = parts[0].unionByName(parts[1]).groupBy(KEY).agg(F.count("*").alias("n"), R(F.avg("Voltage_mV")).alias("mean_mv"))
+    listed = S.newest_sessions(store.sessions()).select("id", "sensor", "sample_count", F.col("stopped_at").isNotNull().alias("stopped"))
+    return listed.join(loaded, F.col("id") == F.col(KEY)).select("id", "sensor", "sample_count", "stopped", "n", "mean_mv")
+
+
 @query
 def json_array_roundtrip(spark, sf):
     d = frames(spark, sf).withColumn("back", S.decode_array(S.encode_array("re")))
@@ -228,6 +284,25 @@ def tail_n(spark, sf):
     return T.tail(samples(spark, sf), 12).select(KEY, "seq", "x")
 
 
+@query
+def snapshot_since(spark, sf):
+    s = samples(spark, sf)
+    offsets = s.groupBy(KEY).agg(F.max("seq").alias("top")).where(F.col(KEY) % 3 > 0).select(KEY, (F.col("top") - F.col(KEY) * 7).alias("offset"))
+    return live.since(s, offsets).select(KEY, "seq", "x")
+
+
+@query
+def bounded_history(spark, sf):
+    s = samples(spark, sf)
+    rates = s.select(KEY).distinct().withColumn("fs", F.col(KEY) % 3 / 10.0)
+    return T.bounded_history(s, rates, 30.0).select(KEY, "seq", "x")
+
+
+@query
+def view_horizon(spark, sf):
+    return T.view_horizon(quick_samples(spark, sf), 5.0).select(KEY, "seq", "x", "shown")
+
+
 @query
 def plot_range(spark, sf):
     return T.plot_range(samples(spark, sf), "x").select(KEY, R("y_min").alias("y_min"), R("y_max").alias("y_max"))
@@ -317,7 +392,9 @@ def bin_median(spark, sf):
 @query
 def target_select(spark, sf):
     f = frames(spark, sf)
-    med = B.bin_medians(B.explode_bins(f)).withColumn("energy_ratio", F.col("bin") % 7 * 1.0)
+    ratios = P.energy_ratio(P.dft_power(bin_series(spark, sf), "x"), F.lit(8.0))
+    ratios = ratios.select(F.floor(F.col(KEY) / 100).alias(KEY), (F.col(KEY) % 100).cast("int").alias("bin"), "energy_ratio")
+    med = B.bin_medians(B.explode_bins(f)).join(ratios, [KEY, "bin"])
     latest = B.project_frame(f).groupBy(KEY).agg(F.max_by("peak_distance_m", "seq").alias("peak_m"))
     return B.select_target(med, latest).select(KEY, "target_bin", R("score").alias("score"))
 
@@ -335,6 +412,25 @@ def session_plan(spark, sf):
     return B.session_plan(config).select("p_partkey", "start_point", "step_length", "num_points", "sweeps_per_frame", R("planned_end_m").alias("planned_end_m"))
 
 
+@query
+def weighted_bins(spark, sf):
+    b = B.bin_medians(long_frames(spark, sf))
+    scored = b.select(KEY, "bin", F.col("median_amplitude").alias("score"), ((F.col("bin") >= 5) & (F.col(KEY) % 4 > 0) & (F.col("bin") < 25 - F.col(KEY) % 3 * 9)).alias("inside"), ((F.col("bin") * 7 + F.col(KEY)) % 5 * F.when(F.col(KEY) % 2 == 0, 0.1).otherwise(0.7)).alias("ratio"), F.lit(40).alias("selected_bin"))
+    return B.weighted_bins(scored).select(KEY, "bin", R("weight").alias("weight"), "best_bin", "n_bins")
+
+
+@query
+def heart_search_band(spark, sf):
+    s = samples(spark, sf).select("seq", F.when(F.col("seq") % 9 > 0, F.col("x") / 150 - 0.2).alias("prior"), F.when(F.col("seq") % 4 > 0, F.col("x") % 50 / 100).alias("deviation"))
+    low, high = B.heart_search_band("prior", "deviation")
+    return s.select("seq", R(low).alias("low"), R(high).alias("high"))
+
+
+@query
+def presence_of_phase(spark, sf):
+    return B.presence_of_phase(samples(spark, sf), "x").select(KEY, R("score").alias("score"), "present")
+
+
 @query
 def circle_fit(spark, sf):
     c = B.circle_fit(long_frames(spark, sf))
@@ -347,6 +443,17 @@ def covariance(spark, sf):
     return c.select(KEY, *(R(n).alias(n) for n in c.columns if n != KEY))
 
 
+@query
+def first_component(spark, sf):
+    c = P.first_component(axes(spark, sf), ["ax", "ay", "az"])
+    return c.select(KEY, *(R(n).alias(n) for n in ("axis_ax", "axis_ay", "axis_az", "share")))
+
+
+@query
+def projected_component(spark, sf):
+    return P.projected(axes(spark, sf), ["ax", "ay", "az"]).select(KEY, "seq", R("component").alias("component"))
+
+
 @query
 def presence_quality(spark, sf):
     s = samples(spark, sf).select("seq", (1 + F.col("x") / 500).alias("amp"), (F.col("x") % 6).alias("ratio"), (F.col("seq") % 4).alias("bins"), (F.col("x") % 20).alias("rc"), (F.col("x") % 40).alias("hc"))
@@ -397,6 +504,27 @@ def differential_phase(spark, sf):
     return P.differential_phase(long_frames(spark, sf)).select(KEY, "bin", "seq", R("phase").alias("phase"))
 
 
+@query
+def phase_matrix(spark, sf):
+    return P.phase_matrix(angles(spark, sf)).select(KEY, "bin", "seq", R("phase").alias("phase"))
+
+
+def three_bins(spark, sf):
+    b = B.bin_medians(long_frames(spark, sf)).withColumn("selected_bin", F.lit(9))
+    return B.shares(B.nearest_k(b), "median_amplitude").select(KEY, "bin", "weight", F.lit(8).alias("reference_bin"))
+
+
+@query
+def aligned_mean(spark, sf):
+    return P.aligned_mean(long_frames(spark, sf), "re", three_bins(spark, sf)).select(KEY, "seq", R("mean").alias("mean"))
+
+
+@query
+def coherent_phase(spark, sf):
+    c = P.coherent_phase(long_frames(spark, sf), three_bins(spark, sf))
+    return c.select(KEY, "seq", *(R(n).alias(n) for n in ("phase", "raw_i", "raw_q")))
+
+
 def _power(spark, sf):
     return P.dft_power(bin_series(spark, sf), "x")
 
@@ -489,7 +617,33 @@ def bandpass_zero_phase(spark, sf):
 
 @query
 def spectrum_peaks(spark, sf):
-    return L.spectrum_peaks(samples(spark, sf), 2.0, (0.1, 0.7))
+    return L.spectrum_peaks(samples(spark, sf), 2.0, (0.1, 0.7)).select(KEY, *(R(n).alias(n) for n in L.PEAKS))
+
+
+@query
+def band_spectra(spark, sf):
+    return L.band_spectra(samples(spark, sf), 2.0, (0.1, 0.7)).select(KEY, R("hz").alias("hz"), R("power").alias("power"))
+
+
+@query
+def spectral_entropy(spark, sf):
+    return L.spectral_entropies(samples(spark, sf), 2.0, (0.1, 0.7)).select(KEY, R("entropy").alias("entropy"))
+
+
+@query
+def polynomial_detrend(spark, sf):
+    return L.polynomial_detrend(samples(spark, sf)).withColumn("x", F.round("x", 7) + 0.0)
+
+
+@query
+def harmonics_removed(spark, sf):
+    s = samples(spark, sf).withColumn("base_hz", F.lit(0.4))
+    return L.harmonics_removed(s, 2.5).withColumn("x", R("x"))
+
+
+@query
+def static_clutter(spark, sf):
+    return L.clutter_trace(frames(spark, sf), 20.0, 0.1).select(KEY, "seq", "bin", R("re").alias("re"), R("im").alias("im"))
 
 
 # -- analysers ---------------------------------------------------------------------------------
@@ -499,9 +653,13 @@ def radar_samples(spark, sf):
     return axes(spark, sf).select(KEY, "seq", F.col("Time_ms").alias("Timestamp_ms"), F.col("gy").alias("Voltage_mV"))
 
 
+def _rounded(df, names):
+    return df.select(KEY, *(R(n).alias(n) for n in names), "error")
+
+
 @query
 def radar_vitals(spark, sf):
-    return V.radar_vitals(radar_samples(spark, sf))
+    return _rounded(V.radar_vitals(radar_samples(spark, sf)), V.RADAR_RESULT)
 
 
 @query
@@ -516,7 +674,7 @@ def imu_view(spark, sf):
 
 @query
 def radar_stats(spark, sf):
-    return V.radar_stats(radar_samples(spark, sf))
+    return _rounded(V.radar_stats(radar_samples(spark, sf)), V.RADAR_STATS)
 
 
 @query
@@ -526,7 +684,7 @@ def imu_vitals(spark, sf):
 
 @query
 def imu_stats(spark, sf):
-    return V.imu_stats(axes(spark, sf))
+    return _rounded(V.imu_stats(axes(spark, sf)), V.IMU_STATS)
 
 
 def frame_samples(spark, sf):
@@ -557,11 +715,9 @@ def live_trace(spark, sf):
 
 @query
 def session_vitals(spark, sf):
-    """The flagship: robust rate natively, then spectra of each session in one grouped pass."""
-    s = samples(spark, sf)
-    rates = T.robust_rate(s).select(KEY, (F.round("fs", 12) + 0.0).alias("sample_rate_hz"))
-    stats = s.groupBy(KEY).agg(F.count("*").alias("n"), R(F.avg("x")).alias("mean_x"))
-    return stats.join(rates, KEY).join(L.spectrum_peaks(s, 2.0, FRAME_RESP_BAND), KEY)
+    """The flagship: rate, mean and spectral peaks of every session at its own rate, one exchange by session."""
+    found = L.session_peaks(quick_samples(spark, sf), FRAME_RESP_BAND)
+    return found.select(KEY, "n", (F.round("mean_x", 9) + 0.0).alias("mean_x"), *(R(n).alias(n) for n in ("sample_rate_hz", *L.PEAKS)))
 
 
 flagship = session_vitals

@@ -1,43 +1,64 @@
-"""Recordings made in the tests, and result comparison."""
+"""Scenes of reflectors that recordings are made of, and result comparison."""
+
+from dataclasses import dataclass, field
+from math import pi, sin
 
 import numpy as np
 import pandas as pd
 
-DISTANCES = np.linspace(0.2, 1.2, 81)
+from breathline.schemas import A121_COLUMNS
+
+#: 56 bins of 2 cm.
+RANGE = 0.30 + 0.02 * np.arange(56)
+
+
+@dataclass
+class Reflector:
+    """Something at a distance that turns the phase of what it reflects over time."""
+
+    at: float
+    strength: float
+    turn: callable = lambda t: 0.0
+    width: float = 0.03
 
+    def seen(self, distances, t):
+        return self.strength * np.exp(-(((distances - self.at) / self.width) ** 2)) * np.exp(1j * self.turn(t))
 
-def bump(at, height, width):
-    """Amplitude over the range, centred on the bin nearest a distance."""
-    centre = DISTANCES[np.abs(DISTANCES - at).argmin()]
-    return height * np.exp(-0.5 * ((DISTANCES - centre) / width) ** 2)
 
+@dataclass
+class Scene:
+    """Reflectors, a constant background and noise; ``frames`` are rows of a recording."""
 
-def bin_at(distance, distances=DISTANCES):
-    return int(np.abs(distances - distance).argmin())
+    reflectors: list
+    background: complex = 0
+    noise: float = 0.0
+    seed: int = 0
+    distances: np.ndarray = field(default_factory=lambda: RANGE)
 
+    def profiles(self, seconds, fs):
+        rng, d = np.random.default_rng(self.seed), self.distances
+        for k in range(round(seconds * fs)):
+            z = self.background + sum(r.seen(d, k / fs) for r in self.reflectors)
+            yield k, z + self.noise * (rng.normal(size=len(d)) + 1j * rng.normal(size=len(d)))
 
-def recording(n, profile, fs=20.0, distances=DISTANCES):
-    """Frames of a complex profile over time, rounded like stored arrays."""
-    rows = []
-    for frame in range(n):
-        z = profile(frame / fs)
-        size, k = np.abs(z), int(np.abs(z).argmax())
-        rows.append((frame / fs * 1000, frame, distances[k], size[k], np.angle(z[k]), size.mean(), *(np.round(a, 6) for a in (distances, size, np.angle(z), z.real, z.imag))))
-    from breathline.schemas import A121_COLUMNS
+    def recording(self, seconds, fs=25.0):
+        rows = []
+        for k, z in self.profiles(seconds, fs):
+            size, peak = np.abs(z), int(np.abs(z).argmax())
+            arrays = [np.round(a, 8) for a in (self.distances, size, np.angle(z), z.real, z.imag)]
+            rows.append((1000 * k / fs, k, self.distances[peak], size[peak], np.angle(z[peak]), size.mean(), *arrays))
+        return pd.DataFrame(rows, columns=A121_COLUMNS)
 
-    return pd.DataFrame(rows, columns=A121_COLUMNS)
+    def live(self, seconds, fs=25.0, first=0):
+        return [{"timestamp_ms": 1000 * (k + first) / fs, "frame": k + first, "distances": self.distances, "real": z.real, "imag": z.imag} for k, z in self.profiles(seconds, fs)]
 
 
-def vitals_profile(seed=42, offset=0.0):
-    rng, target = np.random.default_rng(seed), bin_at(0.62)
+def wave(size, hz):
+    return lambda t: size * sin(2 * pi * hz * t)
 
-    def profile(t):
-        amplitude = 35 + 2 * rng.normal(size=81) + bump(0.62, 180, 0.035)
-        phase = 0.5 * rng.normal(size=81)
-        phase[target - 1 : target + 2] = 0.32 * np.sin(2 * np.pi * 0.25 * t) + 0.08 * np.sin(2 * np.pi * 1.2 * t) + 0.03 * rng.normal(size=3)
-        return amplitude * np.exp(1j * phase) + offset
 
-    return profile
+def chest(breath_hz=0.3, heart_hz=1.1, breath=0.45, heart=0.07):
+    return lambda t: wave(breath, breath_hz)(t) + wave(heart, heart_hz)(t)
 
 
 def same_rows(spark_rows, columns, duck_rows):

@@ -54,3 +54,89 @@ def test_sliding_stats(spark):
     df = spark.createDataFrame(rows, "session_id string, t double, x double").withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
     full = live.sliding_stats(df, "ts", "x").where("n = 10").collect()
     assert full and all(r["mean"] == 1.5 for r in full)
+
+
+def test_history_is_bounded(spark, tmp_path):
+    """The last rows of each session's trace, whatever came before."""
+    assert live.history_rows(20.0) == 4_320 and live.history_rows(0.1) == 216
+    source, seen = str(tmp_path / "in"), {}
+    schema = "session_id string, frame long, time_s double, raw_phase double, raw_i double, raw_q double, resp_signal double, heart_signal double"
+    for part in (range(300), range(300, 520)):
+        rows = [("a", k, k / 20, *[float(k)] * 5) for k in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        out = live.live_history(spark.readStream.schema(schema).parquet(source), 0.5).writeStream.outputMode("update")
+        query = out.foreachBatch(lambda b, k: seen.update({r.session_id: r for r in b.collect()})).option("checkpointLocation", str(tmp_path / "cp"))
+        assert query.trigger(availableNow=True).start().awaitTermination(120)
+    most = live.history_rows(0.5)
+    assert seen["a"].frame == list(range(520 - most, 520)) and seen["a"].raw_i == [float(k) for k in range(520 - most, 520)]
+
+
+def test_snapshots_by_offset(spark):
+    rows = spark.createDataFrame([(s, k) for s in ("a", "b", "c") for k in range(5)], "session_id string, seq long")
+    offsets = spark.createDataFrame([("a", 2), ("b", 9)], "session_id string, offset long")
+    assert sorted(map(tuple, live.since(rows, offsets).collect())) == [("a", 3), ("a", 4), *(("c", k) for k in range(5))]
+    assert live.since(rows).count() == 15
+
+
+def test_analysis_of_each_tick_covers_its_horizon(spark, tmp_path):
+    from helpers import Reflector, Scene, chest
+
+    scene = Scene([Reflector(0.74, 60, chest())], noise=0.3, seed=3)
+    rows = scene.recording(50).assign(session_id="s1")
+    rows["seq"] = rows.Frame
+    df = spark.createDataFrame(rows.map(lambda v: v.tolist() if isinstance(v, np.ndarray) else v))
+    source = str(tmp_path / "in")
+    for part in ("Frame < 600", "Frame >= 600"):
+        df.where(part).coalesce(1).write.mode("append").parquet(source)
+        query = live.analyse(spark.readStream.schema(df.schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "cp"), window_s=10.0, trigger=None, max_frames=10_000)
+        assert query.awaitTermination(240)
+    found = {r.request_id: r for r in spark.read.parquet(str(tmp_path / "out/vitals")).collect()}
+    assert live.horizon(10.0) == 30 and live.horizon(60.0) == 80
+    assert set(found) == {0, 1} and found[1].error is None
+    assert found[1].resp_bpm == pytest.approx(18, abs=0.6) and found[1].target_distance_m == pytest.approx(0.74)
+
+
+def test_lines_of_a_device(tmp_path):
+    """A terminal gives its bytes once and can't be sought; a batch can be planned again."""
+    import os
+    import tty
+
+    from breathline.sources.serial_lines import LineReader
+
+    master, slave = os.openpty()
+    tty.setraw(slave)
+    reader = LineReader(os.ttyname(slave), 1 << 12)
+    os.write(master, b"1,2,3\n4,5")
+    lines, first = reader.read({"at": 0})
+    assert [t for _, t in lines] == ["1,2,3"]
+    os.write(master, b",6\r\n7,8,9\n")
+    lines, second = reader.read(first)
+    assert [t for _, t in lines] == ["4,5,6", "7,8,9"]
+    assert [t for _, t in reader.readBetweenOffsets(first, second)] == ["4,5,6", "7,8,9"]
+    assert list(reader.read(second)[0]) == []
+    for _ in range(3):  # a line beyond the limit is dropped, its end too
+        os.write(master, b"x" * 2_000)
+        lines, second = reader.read(second)
+        assert list(lines) == []
+    os.write(master, b"x\nfine\n")
+    assert [t for _, t in reader.read(second)[0]] == ["fine"]
+    os.close(master)
+    os.close(slave)
+
+
+def test_long_line_of_a_file_does_not_stall(tmp_path):
+    from breathline.sources.serial_lines import LineReader
+
+    path = tmp_path / "log"
+    path.write_bytes(b"a\n" + b"y" * 500 + b"\nb\n" + b"z" * 90)
+    reader, at, seen = LineReader(str(path), 64), {"at": 0}, []
+    for _ in range(12):
+        lines, at = reader.read(at)
+        seen += [t for _, t in lines]
+    assert seen == ["a", "b"]
+    with path.open("ab") as f:
+        f.write(b"\nc\n")
+    for _ in range(3):
+        lines, at = reader.read(at)
+        seen += [t for _, t in lines]
+    assert seen == ["a", "b", "c"]
