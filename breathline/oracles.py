@@ -143,8 +143,8 @@ c AS (SELECT *, CASE WHEN max(far::INT) OVER (PARTITION BY session_id) = 1 THEN
 lp AS (SELECT session_id, max_by(0.2::DOUBLE + peak_bin * 0.02::DOUBLE, seq) AS peak_m FROM p GROUP BY 1),
 fl AS (SELECT session_id, median(a) + 1e-12 AS floor FROM c WHERE searched GROUP BY 1),
 d AS (SELECT session_id, bin, searched, peak_m, distance_m, CASE WHEN searched THEN a / floor ELSE 0 END + 0.15::DOUBLE * least(greatest(ratio, 0), 5) AS score FROM c JOIN lp USING (session_id) JOIN fl USING (session_id)),
-e AS (SELECT *, max(score) OVER (PARTITION BY session_id) AS best, first_value(bin) OVER (PARTITION BY session_id ORDER BY abs(distance_m - peak_m), bin) AS near FROM d),
-g AS (SELECT session_id, bin, score + CASE WHEN bin = near AND searched AND peak_m > 0 THEN 0.5 * best ELSE 0 END AS score FROM e)
+best AS (SELECT *, max(score) OVER (PARTITION BY session_id) AS best, first_value(bin) OVER (PARTITION BY session_id ORDER BY abs(distance_m - peak_m), bin) AS near FROM d),
+g AS (SELECT session_id, bin, score + CASE WHEN bin = near AND searched AND peak_m > 0 THEN 0.5 * best ELSE 0 END AS score FROM best)
 SELECT session_id, bin AS target_bin, round(score, 6) + 0.0 AS score FROM g QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, bin) = 1""",
     "candidate_weights": f"""WITH f AS ({F}), l AS ({LONG}), b AS (SELECT session_id, bin, median(sqrt(re * re + im * im)) AS a FROM l WHERE bin BETWEEN 8 AND 10 GROUP BY 1, 2)
 SELECT session_id, bin, round(a / (sum(a) OVER (PARTITION BY session_id) + 1e-12), 6) + 0.0 AS weight FROM b""",

@@ -1,16 +1,16 @@
 import pytest
-from test_vitals import radar_tone
+from test_vitals import doppler
 
 from breathline.cli import main
 from breathline.sources.serial_lines import LineReader, SerialLines
 
 
 def test_commands(spark, tmp_path, capsys):
-    radar_tone().to_csv(tmp_path / "radar_raw_1.csv", index=False)
-    radar_tone().head(4).to_csv(tmp_path / "radar_raw_2.csv", index=False)
+    doppler().to_csv(tmp_path / "radar_raw_1.csv", index=False)
+    doppler().head(4).to_csv(tmp_path / "radar_raw_2.csv", index=False)
     assert main(["batch-radar", str(tmp_path)]) == 0
     out = capsys.readouterr()
-    assert "radar_raw_1.csv: sample_rate_hz=100" in out.out and "radar_raw_2.csv" in out.err
+    assert "radar_raw_1.csv: sample_rate_hz=80" in out.out and "radar_raw_2.csv" in out.err
     assert main(["plot-radar", str(tmp_path / "radar_raw_2.csv")]) == 1
     assert main(["detect", str(tmp_path / "radar_raw_1.csv")]) == 0
     assert main(["plan-frames"]) == 0
