@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from test_vitals import radar_tone
+from test_vitals import doppler
 
 from breathline.operators import bins as B
 from breathline.operators import cleaning as C
@@ -31,11 +31,11 @@ def test_arrays(spark):
 
 def test_csv_scan_analyse_and_save(spark, tmp_path):
     for k in range(2):
-        radar_tone().to_csv(tmp_path / f"radar_raw_{k}.csv", index=False)
+        doppler().to_csv(tmp_path / f"radar_raw_{k}.csv", index=False)
     (tmp_path / "other.csv").write_text("a,b\n1,2\n")
     df = S.scan_csv(spark, str(tmp_path), "radar")
     rows = V.radar_vitals(df).collect()
-    assert len(rows) == 2 and all(1.8 <= r.peak_frequency_hz <= 2.2 for r in rows)
+    assert len(rows) == 2 and all(6.9 <= r.peak_frequency_hz <= 7.1 for r in rows)
     assert S.open_csv(spark, str(tmp_path / "radar_raw_0.csv"))[0] == "radar"
     assert [r.label for r in S.list_files(spark, str(tmp_path), "radar").collect()] == ["radar_raw_1.csv", "radar_raw_0.csv"]
     out = S.save_csv(df.where("session_id = 'radar_raw_0.csv'"), str(tmp_path / "out"), "radar")
@@ -56,11 +56,11 @@ def test_store_round_trip(spark, tmp_path):
     assert store.sessions().count() == 0
     one, two = store.create("radar"), store.create("imu", "x.csv")
     assert (one, two) == (1, 2)
-    df = spark.createDataFrame(radar_tone().head(50).assign(seq=np.arange(50)))
+    df = spark.createDataFrame(doppler().head(50).assign(seq=np.arange(50)))
     store.append(one, "radar", df)
     store.finish(one, 50, {"resp_bpm": 15.0})
     back = store.load(one, "radar").toPandas()
-    assert back.Voltage_mV.tolist() == radar_tone().head(50).Voltage_mV.tolist()
+    assert back.Voltage_mV.tolist() == doppler().head(50).Voltage_mV.tolist()
     done = {r.id: r for r in store.sessions().collect()}
     assert done[1].sample_count == 50 and done[1].stopped_at and done[2].stopped_at is None
     with pytest.raises(ValueError):
