@@ -6,6 +6,14 @@ from __future__ import annotations
 #: edges): (b, a) of the second-order Butterworth band-pass of 0.1 to 0.4 Hz at 2 Hz, and of
 #: the second-order low-pass of 0.1 Hz at 20 Hz.
 BAND_PASS = ([0.13110643991662596, 0.0, -0.2622128798332519, 0.0, 0.13110643991662596], [1.0, -2.180657838602799, 2.0200041161835105, -1.0255108477134176, 0.27221493792500717])
+#: Of the live trace at 20 Hz: first-order high-pass of 0.04 Hz, second-order band-pass of 0.1 to
+#: 1 Hz, third-order one of 0.65 to 3 Hz.
+LIVE_LEVEL = ([0.9937559649536571, -0.9937559649536571], [1.0, -0.9875119299073142])
+LIVE_RESP = ([0.016581931669303045, 0.0, -0.03316386333860609, 0.0, 0.016581931669303045], [1.0, -3.5862398081169085, 4.846289804288024, -2.9304272168201377, 0.6704579059531743])
+LIVE_HEART = (
+    [0.027171780063721753, 0.0, -0.08151534019116527, 0.0, 0.08151534019116527, 0.0, -0.027171780063721753],
+    [1.0, -4.097521456746443, 7.296427636512965, -7.310099388868765, 4.376412677117433, -1.4810247785375679, 0.2194733574359357],
+)
 LOW_PASS = ([0.00024135904904198075, 0.0004827180980839615, 0.00024135904904198075], [1.0, -1.9555782403150352, 0.9565436765112032])
 
 S = "SELECT user_id AS session_id, event_id AS seq, epoch_us(ts)::DOUBLE / 1000 AS t_ms, value AS x FROM events"
@@ -447,3 +455,20 @@ h AS (SELECT session_id, max_by(bin, w) AS bin FROM w GROUP BY 1), r AS (SELECT
 t AS (SELECT session_id, bin, atan2(avg(im * hr - re * hi), avg(re * hr + im * hi)) AS turn FROM o JOIN r USING (session_id, seq) GROUP BY 1, 2),
 z AS (SELECT session_id, seq, sum(w * (re * cos(turn) + im * sin(turn))) AS raw_i, sum(w * (im * cos(turn) - re * sin(turn))) AS raw_q FROM o JOIN t USING (session_id, bin) GROUP BY 1, 2)
 SELECT session_id, seq, round(x, 6) + 0.0 AS phase, round(raw_i, 6) + 0.0 AS raw_i, round(raw_q, 6) + 0.0 AS raw_q FROM flat JOIN z USING (session_id, seq)"""
+#: Of the harmonics of 0.4 Hz only 0.8 Hz lies in the heart band and below 0.46 * 2.5 Hz: two waves, solved by Cramer's rule.
+SQL["harmonics_removed"] = f"""WITH s0 AS ({S}), {cleaned('s0', 'c')}, w AS (SELECT session_id, seq, x, sin(2 * pi() * 0.8::DOUBLE * i / 2.5::DOUBLE) AS a, cos(2 * pi() * 0.8::DOUBLE * i / 2.5::DOUBLE) AS b FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS i FROM cflat)),
+n AS (SELECT session_id, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * x) AS ax, sum(b * x) AS bx FROM w GROUP BY 1),
+s AS (SELECT session_id, seq, x - ((ax * bb - bx * ab) * a + (bx * aa - ax * ab) * b) / (aa * bb - ab * ab) AS x FROM w JOIN n USING (session_id)),
+{cleaned('s')} SELECT session_id, seq, round(CASE WHEN n < 24 THEN w.x ELSE flat.x END, 6) + 0.0 AS x FROM flat JOIN w USING (session_id, seq) JOIN n USING (session_id)"""
+SQL["live_trace"] = f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM ({F})), l AS (SELECT session_id, seq, i, bin, 0.2::DOUBLE + bin * 0.02::DOUBLE AS distance_m, re[bin + 1] AS re, im[bin + 1] AS im FROM (SELECT *, unnest(range(0, 32)) AS bin FROM f)),
+sel AS (SELECT session_id, bin AS own, distance_m AS target FROM l WHERE i = 1 AND distance_m >= 0.28::DOUBLE QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sqrt(re * re + im * im) DESC, bin) = 1),
+g AS MATERIALIZED (SELECT l.*, own, target, session_id * 100 + bin AS sid, sqrt(re * re + im * im) AS size, atan2(im, re) AS angle FROM l JOIN sel USING (session_id) WHERE bin BETWEEN own - 1 AND own + 1),
+d AS (SELECT sid, i, angle - lag(angle) OVER (PARTITION BY sid ORDER BY i) AS d FROM g),
+u AS MATERIALIZED (SELECT sid AS session_id, i, sum(coalesce(CASE WHEN d > pi() THEN d - 2 * pi() WHEN d < -pi() THEN d + 2 * pi() ELSE d END, 0)) OVER (PARTITION BY sid ORDER BY i) AS x FROM d),
+{recursion('u', 'level', *LIVE_LEVEL)}, moved AS MATERIALIZED (SELECT session_id, i, y AS x FROM level), {recursion('moved', 'resp', *LIVE_RESP)}, {recursion('moved', 'heart', *LIVE_HEART)},
+e AS (SELECT sid, i, exp(-i / 400.0::DOUBLE) * sum(CASE WHEN i = 1 THEN 1 ELSE 1 - exp(-1 / 400.0::DOUBLE) END * size * exp(i / 400.0::DOUBLE)) OVER (PARTITION BY sid ORDER BY i) AS smooth FROM g),
+w1 AS (SELECT g.session_id, g.seq, g.i, g.sid, bin, own, target, re, im, u.x AS phase, resp.y AS r, heart.y AS h, smooth / (sum(smooth) OVER (PARTITION BY g.session_id, g.i) + 1e-12) AS w, count(*) OVER (PARTITION BY g.session_id, g.i) AS m
+  FROM g JOIN e USING (sid, i) JOIN u ON u.session_id = g.sid AND u.i = g.i JOIN resp ON resp.session_id = g.sid AND resp.i = g.i JOIN heart ON heart.session_id = g.sid AND heart.i = g.i),
+w2 AS (SELECT *, CASE WHEN m > 1 THEN 0.35::DOUBLE * w + CASE WHEN bin = own THEN 0.65::DOUBLE ELSE 0 END ELSE w END AS v FROM w1)
+SELECT session_id::VARCHAR AS session_id, seq AS frame, own::BIGINT AS selected_index, round(target, 6) + 0.0 AS target_distance_m, round((i - 1) * 0.05::DOUBLE, 6) + 0.0 AS time_s, round(max(phase) FILTER (bin = own), 6) + 0.0 AS raw_phase,
+ round(max(re) FILTER (bin = own), 6) + 0.0 AS raw_i, round(max(im) FILTER (bin = own), 6) + 0.0 AS raw_q, round(sum(v * r) / (sum(v) + 1e-12), 6) + 0.0 AS resp_signal, round(sum(v * h) / (sum(v) + 1e-12), 6) + 0.0 AS heart_signal FROM w2 GROUP BY session_id, seq, i, own, target"""

@@ -708,9 +708,11 @@ def frame_stats(spark, sf):
 
 @query
 def live_trace(spark, sf):
-    f = frames(spark, sf)
+    """Frames at 20 Hz, in the order of their numbers."""
+    f = frames(spark, sf).withColumn("i", F.row_number().over(W.partitionBy(KEY).orderBy("seq")))
     distances = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.lit(0.2) + k * F.lit(0.02))
-    return live.recorded_traces(f.select(KEY, (F.col("seq") * 50.0).alias("timestamp_ms"), F.col("seq").alias("frame"), distances.alias("distances"), F.col("re").alias("real"), F.col("im").alias("imag")))
+    out = live.recorded_traces(f.select(KEY, (F.col("i") * 50.0).alias("timestamp_ms"), F.col("seq").alias("frame"), distances.alias("distances"), F.col("re").alias("real"), F.col("im").alias("imag")))
+    return out.select(KEY, "frame", "selected_index", *(R(n).alias(n) for n in ("target_distance_m", "time_s", "raw_phase", "raw_i", "raw_q", "resp_signal", "heart_signal")))
 
 
 @query
