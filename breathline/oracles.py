@@ -14,6 +14,11 @@ LIVE_HEART = (
     [0.027171780063721753, 0.0, -0.08151534019116527, 0.0, 0.08151534019116527, 0.0, -0.027171780063721753],
     [1.0, -4.097521456746443, 7.296427636512965, -7.310099388868765, 4.376412677117433, -1.4810247785375679, 0.2194733574359357],
 )
+#: Of the analyser at 2 Hz: second-order low-pass of 0.1 Hz, second-order band-pass of 0.1 to 0.92 Hz,
+#: third-order one of 0.65 to 0.92 Hz.
+FRAME_STILL = ([0.020083365564211232, 0.040166731128422464, 0.020083365564211232], [1.0, -1.561018075800718, 0.641351538057563])
+FRAME_RESP = ([0.668774252767284, 0.0, -1.337548505534568, 0.0, 0.668774252767284], [1.0, 0.0872941174941284, -1.221789458279622, -0.03645123368826283, 0.4504454300560408])
+FRAME_HEART = ([0.03830909878457767, 0.0, -0.11492729635373301, 0.0, 0.11492729635373301, 0.0, -0.03830909878457767], [1.0, 3.7160974178151753, 6.103919359928876, 5.785679366852963, 3.377576627642097, 1.1415748728377846, 0.17173621648207624])
 LOW_PASS = ([0.00024135904904198075, 0.0004827180980839615, 0.00024135904904198075], [1.0, -1.9555782403150352, 0.9565436765112032])
 
 S = "SELECT user_id AS session_id, event_id AS seq, epoch_us(ts)::DOUBLE / 1000 AS t_ms, value AS x FROM events"
@@ -279,12 +284,20 @@ def vertex(a: str, b: str, c: str) -> str:
     return f"CASE WHEN abs({a} - 2 * {b} + {c}) > 1e-12 THEN 0.5 * ({a} - {c}) / ({a} - 2 * {b} + {c}) ELSE 0 END"
 
 
-def series_peaks(low: float, high: float) -> str:
-    """``found``: Welch, autocorrelation, fused and weighted peaks of ``s`` at the rates of ``rate``."""
+def series_peaks(low: float, high: float, rejected: bool = False) -> str:
+    """``found``: Welch, autocorrelation, fused and weighted peaks of ``s`` at the rates of ``rate``.
+
+    ``rejected``: a table of that name has a list hs of rates by session; the fused peak keeps off them.
+    """
+    notch = "(1 - 0.5 * exp(-0.5 * ((inside.hz - h) / greatest(0.02::DOUBLE, 0.015::DOUBLE * h)) ** 2))"
+    score = f"coalesce(list_reduce(list_prepend(1.0::DOUBLE, list_transform(hs, lambda h: {notch})), lambda a, c: a * c), 1) * p" if rejected else "p"
+    kept = "len(list_filter(hs, lambda h: abs(lag_hz - h) <= greatest(0.04::DOUBLE, 0.03::DOUBLE * h))) = 0" if rejected else "true"
+    rejects = "LEFT JOIN rejected USING (session_id)" if rejected else ""
     lo, hi = f"greatest({low!r}::DOUBLE, fs / n)", f"least({high!r}::DOUBLE, 0.46::DOUBLE * fs)"
     return f"""{cleaned('s')}, {welch(low, high)},
-wn AS (SELECT *, lag(ln(p + 1e-24)) OVER w AS y0, ln(p + 1e-24) AS y1, lead(ln(p + 1e-24)) OVER w AS y2, median(p) OVER (PARTITION BY session_id) AS mid FROM inside WINDOW w AS (PARTITION BY session_id ORDER BY k)),
-wt AS (SELECT * FROM wn QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY p DESC, k) = 1),
+wc AS (SELECT inside.*, {score} AS score FROM inside {rejects}),
+wn AS (SELECT *, lag(ln(score + 1e-24)) OVER w AS y0, ln(score + 1e-24) AS y1, lead(ln(score + 1e-24)) OVER w AS y2, median(p) OVER (PARTITION BY session_id) AS mid FROM wc WINDOW w AS (PARTITION BY session_id ORDER BY k)),
+wt AS (SELECT * FROM wn QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, k) = 1),
 we AS (SELECT session_id, CASE WHEN y0 IS NULL OR y2 IS NULL THEN hz ELSE least(greatest(hz + least(greatest({vertex('y0', 'y1', 'y2')}, -0.5), 0.5) * wt.fs / wt.size, greatest({low!r}::DOUBLE, p.fs / n)), least({high!r}::DOUBLE, 0.46::DOUBLE * p.fs)) END AS hz, wt.p / (mid + 1e-18) AS conf FROM wt JOIN p USING (session_id)),
 lr AS (SELECT session_id, n, fs, greatest(1, floor(fs / {high!r}::DOUBLE))::BIGINT AS first, least(n - 2, ceil(fs / {low!r}::DOUBLE))::BIGINT AS last FROM p WHERE n >= 12 AND fs > 0),
 ac AS (SELECT u.session_id, v.i - u.i AS l, sum(u.x * v.x) AS s FROM b u JOIN lr USING (session_id) JOIN b v ON v.session_id = u.session_id AND v.i - u.i BETWEEN 0 AND last + 1 WHERE first < last GROUP BY 1, 2),
@@ -304,7 +317,7 @@ tb AS (SELECT *, median(p) OVER (PARTITION BY session_id) AS mid FROM tn WHERE h
 tt AS (SELECT * FROM tb QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY p DESC, k) = 1),
 te AS (SELECT session_id, CASE WHEN y0 IS NULL OR y2 IS NULL THEN hz ELSE least(greatest(hz + ({vertex('y0', 'p', 'y2')}) * fs / size, {lo}), {hi}) END AS hz, p / (mid + 1e-18) AS conf FROM tt),
 al AS (SELECT p.session_id, coalesce(we.hz, 0) AS welch_hz, coalesce(we.conf, 0) AS welch_confidence, coalesce(le.hz, 0) AS lag_hz, coalesce(le.conf, 0) AS lag_confidence, coalesce(te.hz, 0) AS weighted_hz, coalesce(te.conf, 0) AS weighted_confidence FROM p LEFT JOIN we USING (session_id) LEFT JOIN le USING (session_id) LEFT JOIN te USING (session_id)),
-ag AS (SELECT *, lag_hz > 0 AND lag_confidence >= 0.22::DOUBLE AND welch_hz > 0 AND welch_confidence >= 2 AND abs(lag_hz - welch_hz) <= 0.25 AS agrees FROM al),
+ag AS (SELECT *, {kept} AND lag_hz > 0 AND lag_confidence >= 0.22::DOUBLE AND welch_hz > 0 AND welch_confidence >= 2 AND abs(lag_hz - welch_hz) <= 0.25 AS agrees FROM al {rejects}),
 found AS (SELECT *, CASE WHEN agrees THEN lag_hz ELSE welch_hz END AS fused_hz, CASE WHEN agrees THEN greatest(welch_confidence, 10 * lag_confidence) ELSE welch_confidence END AS fused_confidence FROM ag)"""
 
 
@@ -472,3 +485,69 @@ w1 AS (SELECT g.session_id, g.seq, g.i, g.sid, bin, own, target, re, im, u.x AS
 w2 AS (SELECT *, CASE WHEN m > 1 THEN 0.35::DOUBLE * w + CASE WHEN bin = own THEN 0.65::DOUBLE ELSE 0 END ELSE w END AS v FROM w1)
 SELECT session_id::VARCHAR AS session_id, seq AS frame, own::BIGINT AS selected_index, round(target, 6) + 0.0 AS target_distance_m, round((i - 1) * 0.05::DOUBLE, 6) + 0.0 AS time_s, round(max(phase) FILTER (bin = own), 6) + 0.0 AS raw_phase,
  round(max(re) FILTER (bin = own), 6) + 0.0 AS raw_i, round(max(im) FILTER (bin = own), 6) + 0.0 AS raw_q, round(sum(v * r) / (sum(v) + 1e-12), 6) + 0.0 AS resp_signal, round(sum(v * h) / (sum(v) + 1e-12), 6) + 0.0 AS heart_signal FROM w2 GROUP BY session_id, seq, i, own, target"""
+
+
+# -- the analyser of range profiles ---------------------------------------------------------
+
+_CIRCLE = SQL["circle_fit"].rpartition("SELECT session_id, bin, ")[0]
+_REACH = "least(0.92::DOUBLE, 0.46::DOUBLE * 2)"
+ANALYSED = f"""f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY session_id) AS n FROM ({F})),
+l AS MATERIALIZED (SELECT session_id, bin::INTEGER AS bin, i, n, 0.2::DOUBLE + bin * 0.02::DOUBLE AS distance_m, re[bin + 1] AS re, im[bin + 1] AS im FROM (SELECT *, unnest(range(0, 32)) AS bin FROM f)),
+parts AS MATERIALIZED (SELECT (session_id * 100 + bin) * 2 AS session_id, i, re AS x FROM l UNION ALL SELECT (session_id * 100 + bin) * 2 + 1, i, im FROM l),
+{recursion('parts', 'still', *FRAME_STILL)},
+moving AS (SELECT l.session_id, bin, l.i, n, distance_m, sqrt((re - a.y) ** 2 + (im - b.y) ** 2) AS size FROM l JOIN still a ON a.session_id = (l.session_id * 100 + bin) * 2 AND a.i = l.i JOIN still b ON b.session_id = (l.session_id * 100 + bin) * 2 + 1 AND b.i = l.i),
+seen AS MATERIALIZED (SELECT session_id, bin, any_value(n) AS n, any_value(distance_m) AS distance_m, distance_m >= 0.28::DOUBLE AS searched, median(size) AS typical,
+  sum(size * exp(-1.0::DOUBLE / 40) ** (n - i) * CASE WHEN i = 1 THEN 1 ELSE 1 - exp(-1.0::DOUBLE / 40) END) AS smooth FROM moving GROUP BY session_id, bin, moving.distance_m),
+circle AS MATERIALIZED ({_CIRCLE} SELECT session_id, bin, cx, cy, plausible FROM y),
+phase AS MATERIALIZED (WITH z AS (SELECT session_id, bin, i, CASE WHEN plausible THEN re - cx ELSE re END AS re, CASE WHEN plausible THEN im - cy ELSE im END AS im FROM l JOIN circle USING (session_id, bin)),
+  u AS (SELECT session_id, bin, i, re / (sqrt(re * re + im * im) + 1e-12) AS a, im / (sqrt(re * re + im * im) + 1e-12) AS b FROM z),
+  p AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM u WINDOW w AS (PARTITION BY session_id, bin ORDER BY i)),
+  s AS (SELECT session_id, bin, i, sum(coalesce(atan2(b * pa - a * pb, a * pa + b * pb), 0)) OVER (PARTITION BY session_id, bin ORDER BY i) AS x FROM p),
+  line AS (SELECT session_id, bin, regr_slope(x, i) AS slope, regr_intercept(x, i) AS base FROM s GROUP BY 1, 2)
+  SELECT session_id, bin, i, x - coalesce(base + slope * i, 0) AS x FROM s JOIN line USING (session_id, bin)),
+vital AS MATERIALIZED (WITH series AS (SELECT session_id * 100 + bin AS session_id, i AS seq, x FROM phase), {POWER}, z AS (SELECT *, k * (1.0::DOUBLE / (n * 0.5::DOUBLE)) AS hz FROM power),
+  v AS (SELECT *, hz >= 0.1::DOUBLE AND hz <= 0.46::DOUBLE * 2 AS vital, hz >= 0.03::DOUBLE AND hz <= 0.46::DOUBLE * 2 AS wide FROM z)
+  SELECT session_id // 100 AS session_id, session_id % 100 AS bin, CASE WHEN max(n) < 16 OR count(*) FILTER (vital) = 0 OR count(*) FILTER (wide AND NOT vital) = 0 THEN 1 ELSE avg(power) FILTER (vital) / (avg(power) FILTER (wide AND NOT vital) + 1e-18) END AS ratio FROM v GROUP BY session_id),
+latest AS (WITH f AS ({F}), mag AS ({MAG}), p AS ({PEAK}) SELECT session_id, 0.2::DOUBLE + peak_bin * 0.02::DOUBLE AS peak_m, list_max(a) AS peak_amplitude, list_avg(a) AS mean_amplitude FROM p QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1),
+floors AS (SELECT session_id, median(typical) + 1e-12 AS floor FROM seen WHERE searched GROUP BY 1),
+scored AS (SELECT session_id, bin, n, searched, distance_m, typical, floor, smooth, ratio, peak_m, CASE WHEN searched THEN typical / floor ELSE 0 END + 0.15::DOUBLE * least(greatest(ratio, 0), 5) AS score FROM seen JOIN floors USING (session_id) JOIN vital USING (session_id, bin) JOIN latest USING (session_id)),
+lifted AS (SELECT *, score + CASE WHEN bin = first_value(bin) OVER (PARTITION BY session_id ORDER BY abs(distance_m - peak_m), bin) AND searched AND peak_m > 0 THEN 0.5 * max(score) OVER (PARTITION BY session_id) ELSE 0 END AS total FROM scored),
+target AS MATERIALIZED (SELECT session_id, n, bin AS own, distance_m AS target_m, typical / floor AS amp_ratio, ratio AS phase_ratio FROM lifted QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY total DESC, bin) = 1),
+gate AS MATERIALIZED (SELECT session_id, bin, own, target.n, smooth FROM seen JOIN target USING (session_id) WHERE abs(distance_m - target_m) <= 0.05::DOUBLE QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY abs(bin - own), bin) <= 3),
+weight AS (SELECT session_id, bin, own, n, count(*) OVER w AS m, smooth / (sum(smooth) OVER w + 1e-12) AS w FROM gate WINDOW w AS (PARTITION BY session_id)),
+turned AS (SELECT session_id, bin, i, atan2(im, re) - lag(atan2(im, re)) OVER (PARTITION BY session_id, bin ORDER BY i) AS d FROM l JOIN gate USING (session_id, bin)),
+wrapped AS (SELECT session_id * 100 + bin AS session_id, i AS seq, sum(coalesce({MOD}, 0)) OVER (PARTITION BY session_id, bin ORDER BY i) AS x FROM turned),
+{cleaned('wrapped', 'w_')}, w_i AS MATERIALIZED ({numbered('w_flat')}), {recursion('w_i', 'breath', *FRAME_RESP)},
+late AS (SELECT breath.session_id, breath.i AS seq, y AS x FROM breath JOIN target ON target.session_id = breath.session_id // 100 WHERE breath.i > n - 40 AND n >= 40), {cleaned('late', 'l_')},
+tones AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS j, x FROM l_flat), waves AS (SELECT session_id, j, x * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * j / 39)) AS y, unnest(range(0, 33)) AS k FROM tones),
+sums AS (SELECT session_id // 100 AS session_id, k, sqrt(sum(y * cos(2 * pi() * ((j * k) % 64) / 64)) ** 2 + sum(y * sin(2 * pi() * ((j * k) % 64) / 64)) ** 2) AS a FROM waves GROUP BY waves.session_id, k),
+level AS (SELECT session_id, k, k / 32.0::DOUBLE AS hz, avg(a) AS p FROM sums GROUP BY 1, 2), near AS (SELECT *, lag(p) OVER w AS y0, lead(p) OVER w AS y2 FROM level WINDOW w AS (PARTITION BY session_id ORDER BY k)),
+band AS (SELECT near.*, n, median(p) OVER (PARTITION BY session_id) AS mid FROM near JOIN target USING (session_id) WHERE hz >= greatest(0.1::DOUBLE, 2.0::DOUBLE / n) AND hz <= {_REACH}),
+resp AS (SELECT session_id, least(greatest(hz + ({vertex('y0', 'p', 'y2')}) / 32, greatest(0.1::DOUBLE, 2.0::DOUBLE / n)), {_REACH}) AS hz, p / (mid + 1e-18) AS conf FROM band QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY p DESC, k) = 1),
+breathing AS (SELECT session_id, target.n, coalesce(hz, 0) AS hz, coalesce(conf, 0) AS conf, coalesce(hz >= 0.9::DOUBLE * 0.1::DOUBLE AND hz <= {_REACH} AND conf >= 4, false) AS sure FROM target LEFT JOIN resp USING (session_id)),
+bins AS (SELECT session_id * 100 + bin AS session_id, i AS seq, x FROM phase JOIN gate USING (session_id, bin)), {cleaned('bins', 'b_')},
+own AS (SELECT session_id // 100 AS session_id, session_id % 100 AS bin, seq AS i, x FROM b_flat), main AS (SELECT own.session_id, i, x AS r FROM own JOIN target USING (session_id) WHERE bin = target.own),
+signs AS (SELECT session_id, bin, CASE WHEN sum(x * r) < 0 THEN -1 ELSE 1 END AS sign FROM own JOIN main USING (session_id, i) GROUP BY 1, 2),
+mixed AS (SELECT session_id, i AS seq, sum(sign * w * x) / (sum(w) + 1e-12) AS x FROM own JOIN signs USING (session_id, bin) JOIN weight USING (session_id, bin) GROUP BY 1, 2), {cleaned('mixed', 'm_')}, beats AS MATERIALIZED ({numbered('m_flat')}),
+ends AS (SELECT session_id, count(*) AS n, min_by(x, i) AS a, max_by(x, i) AS z FROM beats GROUP BY 1),
+wide AS MATERIALIZED (SELECT session_id, i + 21 AS i, x FROM beats UNION ALL SELECT session_id, 23 - i, 2 * a - x FROM beats JOIN ends USING (session_id) WHERE i BETWEEN 2 AND 22
+  UNION ALL SELECT session_id, 2 * n - i + 21, 2 * z - x FROM beats JOIN ends USING (session_id) WHERE i BETWEEN n - 21 AND n - 1),
+{recursion('wide', 'ahead', *FRAME_HEART, settled=True)}, behind AS MATERIALIZED (SELECT session_id, n + 43 - i AS i, y AS x FROM ahead JOIN ends USING (session_id)), {recursion('behind', 'twice', *FRAME_HEART, settled=True)},
+pulse AS MATERIALIZED (SELECT session_id, n + 22 - twice.i AS seq, y AS x FROM twice JOIN ends USING (session_id) WHERE twice.i BETWEEN 22 AND n + 21),
+heart AS (WITH s AS (SELECT * FROM pulse), rate AS (SELECT DISTINCT session_id, 2.0::DOUBLE AS fs FROM pulse),
+  rejected AS (SELECT session_id, CASE WHEN sure THEN list_filter(list_transform(range(2, 8), lambda k: k * hz), lambda h: h >= 0.85::DOUBLE * 0.65::DOUBLE AND h <= 1.05::DOUBLE * 3) ELSE [] END AS hs FROM breathing),
+  {series_peaks(0.65, 3.0, rejected=True)} SELECT session_id, fused_hz AS hz, fused_confidence AS conf FROM found),
+judged AS (SELECT target.*, m, breathing.hz AS r_hz, breathing.conf AS r_conf, CASE WHEN target.n >= 20 THEN heart.hz ELSE 0 END AS h_hz, CASE WHEN target.n >= 20 THEN heart.conf ELSE 0 END AS h_conf,
+  least(greatest((amp_ratio - 1) * 35 + least(m, 5) * 6 + least(greatest(phase_ratio, 0), 5) * 10, 0), 100) AS score FROM target JOIN (SELECT DISTINCT session_id, m FROM weight) USING (session_id) JOIN breathing USING (session_id) JOIN heart USING (session_id)),
+shown AS (SELECT *, score >= 20 AND (amp_ratio >= 1.08::DOUBLE OR phase_ratio >= 1.30::DOUBLE) AS present FROM judged),
+rates AS (SELECT *, CASE WHEN present THEN r_conf ELSE 0 END AS resp_confidence, CASE WHEN present THEN h_conf ELSE 0 END AS heart_confidence FROM shown),
+numbers AS (SELECT *, CASE WHEN n >= 40 AND resp_confidence >= 4 THEN r_hz ELSE 0 END AS resp_hz, CASE WHEN heart_confidence >= 14 THEN h_hz ELSE 0 END AS heart_hz, 2.0::DOUBLE AS sample_rate_hz, target_m AS target_distance_m, target_m - 0.05::DOUBLE AS gate_min_m, target_m + 0.05::DOUBLE AS gate_max_m,
+  peak_m AS peak_distance_m, score AS presence_score, least(greatest(0.18::DOUBLE * ln(1 + greatest(amp_ratio - 1, 0)) + 0.22::DOUBLE * least(resp_confidence / 5, 1) + 0.22::DOUBLE * least(heart_confidence / 5, 1) + 0.20::DOUBLE * least(greatest(phase_ratio, 0) / 4, 1) + CASE WHEN present THEN 0.18::DOUBLE ELSE 0 END, 0), 1) AS signal_quality
+  FROM rates JOIN latest USING (session_id)), all_numbers AS (SELECT *, resp_hz * 60 AS resp_bpm, heart_hz * 60 AS heart_bpm FROM numbers)"""
+_FRAME_NUMBERS = (
+    "sample_rate_hz", "target_distance_m", "gate_min_m", "gate_max_m", "peak_distance_m", "peak_amplitude", "mean_amplitude", "presence_score",
+    "resp_bpm", "heart_bpm", "resp_hz", "heart_hz", "resp_confidence", "heart_confidence", "signal_quality",
+)
+#: Sessions have 30 to 900 frames.
+SQL["frame_vitals"] = f"WITH RECURSIVE {ANALYSED} SELECT session_id, {rounded(*_FRAME_NUMBERS)}, present, own AS selected_index, m::INTEGER AS candidate_bins, NULL::VARCHAR AS error FROM all_numbers"
+SQL["frame_stats"] = f"""WITH RECURSIVE {ANALYSED} SELECT session_id, {rounded(*(n for n in _FRAME_NUMBERS if n not in ('resp_hz', 'heart_hz', 'resp_confidence', 'heart_confidence', 'signal_quality')))}, present::INTEGER::DOUBLE AS present, NULL::VARCHAR AS error FROM all_numbers"""

@@ -688,9 +688,10 @@ def imu_stats(spark, sf):
 
 
 def frame_samples(spark, sf):
-    f = B.project_frame(frames(spark, sf))
+    """Frames at 2 Hz, in the order of their numbers, so that recordings are long enough for rates."""
+    f = B.project_frame(frames(spark, sf)).withColumn("i", F.row_number().over(W.partitionBy(KEY).orderBy("seq")))
     return f.select(
-        KEY, "seq", (F.col("seq") * 50.0).alias("Timestamp_ms"), F.col("seq").alias("Frame"), F.col("peak_distance_m").alias("PeakDistance_m"), F.col("peak_amplitude").alias("PeakAmplitude"),
+        KEY, "seq", (F.col("i") * 500.0).alias("Timestamp_ms"), F.col("seq").alias("Frame"), F.col("peak_distance_m").alias("PeakDistance_m"), F.col("peak_amplitude").alias("PeakAmplitude"),
         F.col("peak_phase_rad").alias("PeakPhase_rad"), F.col("mean_amplitude").alias("MeanAmplitude"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.lit(0.2) + k * F.lit(0.02)).alias("Distances_m"),
         F.col("amplitude").alias("Amplitude"), F.col("phase").alias("Phase"), F.col("re").alias("Real"), F.col("im").alias("Imag"),
     )
@@ -698,12 +699,13 @@ def frame_samples(spark, sf):
 
 @query
 def frame_vitals(spark, sf):
-    return V.frame_vitals(frame_samples(spark, sf))
+    found = V.frame_vitals(frame_samples(spark, sf))
+    return found.select(KEY, *(R(n).alias(n) for n in V.FRAME_NUMBERS), "present", "selected_index", "candidate_bins", "error")
 
 
 @query
 def frame_stats(spark, sf):
-    return V.frame_stats(frame_samples(spark, sf))
+    return _rounded(V.frame_stats(frame_samples(spark, sf)), V.FRAME_STATS)
 
 
 @query
