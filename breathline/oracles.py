@@ -551,3 +551,81 @@ _FRAME_NUMBERS = (
 #: Sessions have 30 to 900 frames.
 SQL["frame_vitals"] = f"WITH RECURSIVE {ANALYSED} SELECT session_id, {rounded(*_FRAME_NUMBERS)}, present, own AS selected_index, m::INTEGER AS candidate_bins, NULL::VARCHAR AS error FROM all_numbers"
 SQL["frame_stats"] = f"""WITH RECURSIVE {ANALYSED} SELECT session_id, {rounded(*(n for n in _FRAME_NUMBERS if n not in ('resp_hz', 'heart_hz', 'resp_confidence', 'heart_confidence', 'signal_quality')))}, present::INTEGER::DOUBLE AS present, NULL::VARCHAR AS error FROM all_numbers"""
+
+
+# -- the inertial analyser ------------------------------------------------------------------
+
+#: Fourth-order Butterworth band-passes at 25 Hz as second-order sections (b, a), from
+#: their poles by hand, each with a gain of 1 at the centre.
+SLOW = [
+    ([0.10559116569126444, 0.0, -0.10559116569126444], [1.0, -1.8242491391769096, 0.8359162775270101]),
+    ([0.14356469874563987, 0.0, -0.14356469874563987], [1.0, -1.9009950902235513, 0.9216461185772541]),
+    ([0.03346393517152271, 0.0, -0.03346393517152271], [1.0, -1.9468974085131336, 0.9479986131832936]),
+    ([0.026205627250779052, 0.0, -0.026205627250779052], [1.0, -1.9850352374898776, 0.985697649713637]),
+]
+FAST = [
+    ([0.49663322127346776, 0.0, -0.49663322127346776], [1.0, -0.8831162676326009, 0.26141068093027436]),
+    ([0.7399405722579228, 0.0, -0.7399405722579228], [1.0, -0.8934762664888459, 0.6121956755089271]),
+    ([0.19906483413155815, 0.0, -0.19906483413155815], [1.0, -1.665266585534414, 0.7039522247123374]),
+    ([0.17556820221419342, 0.0, -0.17556820221419342], [1.0, -1.8812276457334165, 0.9079843562922582]),
+]
+
+
+def cascade(source: str, out: str, sections: list) -> str:
+    """Sections in a row, forward, from an endless first value; what they hold then is nothing but for the first."""
+    steps = []
+    for k, (b, a) in enumerate(sections):
+        last = out if k == len(sections) - 1 else f"{out}{k}"
+        steps.append(recursion(source, last, b, a, settled=k == 0))
+        if last != out:
+            steps.append(f"{last}x AS MATERIALIZED (SELECT session_id, i, y AS x FROM {last})")
+            source = f"{last}x"
+    return ", ".join(steps)
+
+
+def there_and_back(source: str, out: str, sections: list, pad: int) -> str:
+    """Zero-phase filter of series numbered from 1, with odd extension by ``pad`` rows; (session_id, i, x)."""
+    return f"""{out}_n AS (SELECT session_id, count(*) AS n, min_by(x, i) AS a, max_by(x, i) AS z FROM {source} GROUP BY 1),
+{out}_w AS MATERIALIZED (SELECT session_id, i + {pad} AS i, x FROM {source} UNION ALL SELECT session_id, {pad + 2} - i, 2 * a - x FROM {source} JOIN {out}_n USING (session_id) WHERE i BETWEEN 2 AND {pad + 1}
+  UNION ALL SELECT session_id, 2 * n - i + {pad}, 2 * z - x FROM {source} JOIN {out}_n USING (session_id) WHERE i BETWEEN n - {pad} AND n - 1),
+{cascade(f'{out}_w', f'{out}_f', sections)}, {out}_t AS MATERIALIZED (SELECT session_id, n + {2 * pad + 1} - i AS i, y AS x FROM {out}_f JOIN {out}_n USING (session_id)),
+{cascade(f'{out}_t', f'{out}_b', sections)}, {out} AS MATERIALIZED (SELECT session_id, n + {pad + 1} - b.i AS i, y AS x FROM {out}_b b JOIN {out}_n USING (session_id) WHERE b.i BETWEEN {pad + 1} AND n + {pad})"""
+
+
+def top_peaks(source: str, out: str, distance: int) -> str:
+    """Local maxima, higher ones first, none nearer than ``distance`` to one kept before."""
+    return f"""{out}_m AS (SELECT session_id, i, x, row_number() OVER (PARTITION BY session_id ORDER BY x DESC) AS r FROM (SELECT * FROM {source} WINDOW w AS (PARTITION BY session_id ORDER BY i) QUALIFY x > lag(x) OVER w AND x > lead(x) OVER w)),
+{out}_g(session_id, r, kept) AS (SELECT DISTINCT session_id, 0::BIGINT, []::BIGINT[] FROM {source} UNION ALL
+ SELECT g.session_id, m.r, CASE WHEN len(list_filter(kept, lambda q: abs(q - m.i) < {distance})) = 0 THEN list_append(kept, m.i) ELSE kept END FROM {out}_g g JOIN {out}_m m ON m.session_id = g.session_id AND m.r = g.r + 1),
+{out} AS (SELECT session_id, unnest(max_by(kept, r)) AS p FROM {out}_g GROUP BY 1)"""
+
+
+_GRAVITY = SQL["complementary_filter"].removeprefix("WITH RECURSIVE ").rpartition("\nSELECT")[0].replace("0.05::DOUBLE", "0.04::DOUBLE")
+#: Principal axes by squaring the covariance, its trace kept at 1.
+_SQUARED = "xx * xx + xy * xy + xz * xz, xx * xy + xy * yy + xz * yz, xx * xz + xy * yz + xz * zz, xy * xy + yy * yy + yz * yz, xy * xz + yy * yz + yz * zz, xz * xz + yz * yz + zz * zz"
+_NAMES = ("xx", "xy", "xz", "yy", "yz", "zz")
+SQL["imu_vitals"] = f"""WITH RECURSIVE {_GRAVITY},
+six AS MATERIALIZED (SELECT session_id * 16 AS session_id, seq AS i, ax AS x FROM a UNION ALL SELECT session_id * 16 + 1, seq, ay FROM a UNION ALL SELECT session_id * 16 + 2, seq, az FROM a
+  UNION ALL SELECT session_id * 16 + 4, seq, x FROM k UNION ALL SELECT session_id * 16 + 5, seq, y FROM k UNION ALL SELECT session_id * 16 + 6, seq, z FROM k),
+three AS MATERIALIZED (SELECT session_id, i, x FROM six WHERE session_id % 16 < 4),
+{there_and_back('six', 'slow', SLOW, 27)}, {there_and_back('three', 'fast', FAST, 27)},
+part AS (SELECT session_id // 16 AS session_id, session_id % 16 // 4 AS kind, session_id % 4 AS axis, i, x FROM slow UNION ALL SELECT session_id // 16, 2, session_id % 4, i, x FROM fast),
+vec AS MATERIALIZED (SELECT session_id * 4 + kind AS session_id, i, max(x) FILTER (axis = 0) AS x, max(x) FILTER (axis = 1) AS y, max(x) FILTER (axis = 2) AS z FROM part GROUP BY session_id, kind, i),
+cov AS (SELECT session_id, covar_samp(x, x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, y) AS yy, covar_samp(y, z) AS yz, covar_samp(z, z) AS zz FROM vec GROUP BY 1),
+sq(session_id, step, {', '.join(_NAMES)}) AS (SELECT session_id, 0, {', '.join(f'{n} / (xx + yy + zz)' for n in _NAMES)} FROM cov UNION ALL SELECT session_id, step + 1, {', '.join(f'{n} / (xx + yy + zz)' for n in _NAMES)} FROM (SELECT session_id, step, {', '.join(f'{e} AS {n}' for e, n in zip(_SQUARED.split(', '), _NAMES))} FROM sq WHERE step < 22)),
+col AS (SELECT session_id, CASE WHEN xx >= yy AND xx >= zz THEN [xx, xy, xz] WHEN yy >= zz THEN [xy, yy, yz] ELSE [xz, yz, zz] END AS v FROM sq WHERE step = 22),
+axis AS (SELECT session_id, list_transform(v, lambda e: e / sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3])) AS v FROM col),
+along AS MATERIALIZED (SELECT session_id // 4 AS session_id, session_id % 4 AS kind, i, (x * v[1] + y * v[2] + z * v[3]) * sign(CASE WHEN abs(v[1]) >= abs(v[2]) AND abs(v[1]) >= abs(v[3]) THEN v[1] WHEN abs(v[2]) >= abs(v[3]) THEN v[2] ELSE v[3] END) AS x FROM vec JOIN axis USING (session_id)),
+tilt AS MATERIALIZED (SELECT session_id, i, degrees(x) AS x FROM along WHERE kind = 1),
+moved AS (SELECT session_id, i, coalesce((x + lag(x) OVER w) / 2 * 0.04::DOUBLE, 0) AS d FROM along WHERE kind = 0 WINDOW w AS (PARTITION BY session_id ORDER BY i)), speed AS (SELECT session_id, i, sum(d) OVER (PARTITION BY session_id ORDER BY i) AS v FROM moved),
+stepped AS (SELECT session_id, i, coalesce((v + lag(v) OVER w) / 2 * 0.04::DOUBLE, 0) AS d FROM speed WINDOW w AS (PARTITION BY session_id ORDER BY i)), way AS (SELECT session_id, i, sum(d) OVER (PARTITION BY session_id ORDER BY i) AS x FROM stepped),
+line AS (SELECT session_id, regr_slope(x, i) AS slope, regr_intercept(x, i) AS base FROM way GROUP BY 1), path AS MATERIALIZED (SELECT session_id, i, x - base - slope * i AS x FROM way JOIN line USING (session_id)),
+{top_peaks('tilt', 'tips', 37)}, {top_peaks('path', 'turns', 37)},
+high AS (SELECT tips.session_id, p, x AS h FROM tips JOIN tilt ON tilt.session_id = tips.session_id AND tilt.i = p),
+edge AS (SELECT high.session_id, p, h, max(i) FILTER (i < p AND x > h) AS l, min(i) FILTER (i > p AND x > h) AS r FROM high JOIN tilt USING (session_id) GROUP BY 1, 2, 3),
+rise AS (SELECT edge.session_id, p, h - greatest(min(x) FILTER (i > coalesce(l, 0) AND i <= p), min(x) FILTER (i >= p AND i < coalesce(r, 1000000000))) AS prominence FROM edge JOIN tilt USING (session_id) GROUP BY edge.session_id, p, h),
+breaths AS (SELECT session_id, count(*) AS c FROM rise WHERE prominence >= 0.0005::DOUBLE GROUP BY 1), sways AS (SELECT session_id, count(*) AS c FROM turns GROUP BY 1),
+s AS (SELECT session_id, i AS seq, x FROM along WHERE kind = 2), n AS (SELECT session_id, count(*) AS n FROM s GROUP BY 1), rate AS (SELECT session_id, n, 25.0::DOUBLE AS fs FROM n), {spectrum('1')},
+pulse AS (SELECT session_id, {top('0.65', '4.0')} * 60 AS bpm FROM power GROUP BY 1)
+SELECT n.session_id, 25.0::DOUBLE AS sample_rate_hz, round(coalesce(breaths.c, 0) / ((n - 1) * 0.04::DOUBLE / 60), 6) + 0.0 AS respiratory_bpm, round(coalesce(sways.c, 0) / ((n - 1) * 0.04::DOUBLE / 60), 6) + 0.0 AS displacement_bpm, round(bpm, 6) + 0.0 AS heart_bpm, NULL::VARCHAR AS error
+FROM n JOIN pulse USING (session_id) LEFT JOIN breaths USING (session_id) LEFT JOIN sways USING (session_id)"""

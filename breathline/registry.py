@@ -679,7 +679,8 @@ def radar_stats(spark, sf):
 
 @query
 def imu_vitals(spark, sf):
-    return V.imu_vitals(axes(spark, sf))
+    """At 25 Hz."""
+    return _rounded(V.imu_vitals(axes(spark, sf).withColumn("Time_ms", F.col("seq") * 40.0)), V.IMU_RESULT)
 
 
 @query
