@@ -629,3 +629,26 @@ s AS (SELECT session_id, i AS seq, x FROM along WHERE kind = 2), n AS (SELECT se
 pulse AS (SELECT session_id, {top('0.65', '4.0')} * 60 AS bpm FROM power GROUP BY 1)
 SELECT n.session_id, 25.0::DOUBLE AS sample_rate_hz, round(coalesce(breaths.c, 0) / ((n - 1) * 0.04::DOUBLE / 60), 6) + 0.0 AS respiratory_bpm, round(coalesce(sways.c, 0) / ((n - 1) * 0.04::DOUBLE / 60), 6) + 0.0 AS displacement_bpm, round(bpm, 6) + 0.0 AS heart_bpm, NULL::VARCHAR AS error
 FROM n JOIN pulse USING (session_id) LEFT JOIN breaths USING (session_id) LEFT JOIN sways USING (session_id)"""
+
+
+# -- views ------------------------------------------------------------------------------
+
+#: Second-order band-passes of 0.1 to 0.7 Hz and of 0.65 to 3 Hz at 20 Hz, as above.
+VIEW_RESP = [([0.20078443336478757, 0.0, -0.20078443336478757], [1.0, -1.7623014104847556, 0.797350500978769]), ([0.038948278521618446, 0.0, -0.038948278521618446], [1.0, -1.9594923827232358, 0.9606899349821317])]
+VIEW_HEART = [([0.48305901149900893, 0.0, -0.48305901149900893], [1.0, -0.9603349285926864, 0.44861767548339115]), ([0.1826015411834471, 0.0, -0.1826015411834471], [1.0, -1.7440331190764604, 0.7915715060865789])]
+
+
+def listed(source: str, x: str, by: str = "i") -> str:
+    return f"(SELECT session_id, list(round({x}, 6) + 0.0 ORDER BY {by}) AS v FROM {source} GROUP BY 1)"
+
+
+#: Sessions have from 202 to 4,096 rows.
+SQL["radar_view"] = f"""WITH RECURSIVE stats AS ({SQL['radar_stats']}), o0 AS ({RADAR}), last AS (SELECT session_id, max(t_ms) AS last FROM o0 GROUP BY 1),
+s AS (SELECT session_id, seq, t_ms, x FROM o0 JOIN last USING (session_id) WHERE t_ms >= last - 10000), rate AS (SELECT DISTINCT session_id, 20.0::DOUBLE AS fs FROM s), v AS MATERIALIZED (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i, t_ms, x FROM s),
+{spectrum('(0.5 - 0.5 * cos(2 * pi() * i / (n - 1)))')}, {cleaned('s')}, c AS MATERIALIZED (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i, x FROM flat),
+{there_and_back('c', 'slow', VIEW_RESP, 15)}, {there_and_back('c', 'quick', VIEW_HEART, 15)}, w AS (SELECT session_id, i, (t_ms - min(t_ms) OVER (PARTITION BY session_id)) / 1000 AS t, x FROM v)
+SELECT stats.* EXCLUDE (error), tt.v AS t, xx.v AS x, hh.v AS hz, aa.v AS amplitude, rr.v AS resp, bb.v AS heart, NULL::VARCHAR AS error FROM stats JOIN {listed('w', 't')} tt USING (session_id) JOIN {listed('w', 'x')} xx USING (session_id)
+JOIN {listed('power', 'hz', 'k')} hh USING (session_id) JOIN {listed('power', 'sqrt(power) / n', 'k')} aa USING (session_id) JOIN {listed('slow', 'x')} rr USING (session_id) JOIN {listed('quick', 'x')} bb USING (session_id)"""
+SQL["imu_view"] = f"""WITH stats AS ({SQL['imu_stats']}), s AS ({SIZE}), {RATES}, {spectrum('(0.5 - 0.5 * cos(2 * pi() * i / (n - 1)))')}, w AS (SELECT session_id, seq AS i, (t_ms - min(t_ms) OVER (PARTITION BY session_id)) / 1000 AS t, x FROM s)
+SELECT stats.* EXCLUDE (error), tt.v AS t, xx.v AS x, hh.v AS hz, aa.v AS amplitude, []::DOUBLE[] AS resp, []::DOUBLE[] AS heart, NULL::VARCHAR AS error FROM stats JOIN {listed('w', 't')} tt USING (session_id) JOIN {listed('w', 'x')} xx USING (session_id)
+JOIN {listed('power', 'hz', 'k')} hh USING (session_id) JOIN {listed('power', 'sqrt(power) / n', 'k')} aa USING (session_id)"""

@@ -657,6 +657,11 @@ def _rounded(df, names):
     return df.select(KEY, *(R(n).alias(n) for n in names), "error")
 
 
+def _arrays_rounded(df, names):
+    arrays = [F.transform(n, lambda x: F.round(x, 6) + 0.0).alias(n) for n in ("t", "x", "hz", "amplitude", "resp", "heart")]
+    return df.select(KEY, *(R(n).alias(n) for n in names), *arrays, "error")
+
+
 @query
 def radar_vitals(spark, sf):
     return _rounded(V.radar_vitals(radar_samples(spark, sf)), V.RADAR_RESULT)
@@ -664,12 +669,12 @@ def radar_vitals(spark, sf):
 
 @query
 def radar_view(spark, sf):
-    return views.radar_view(radar_samples(spark, sf))
+    return _arrays_rounded(views.radar_view(radar_samples(spark, sf)), V.RADAR_STATS)
 
 
 @query
 def imu_view(spark, sf):
-    return views.imu_view(axes(spark, sf), None)
+    return _arrays_rounded(views.imu_view(axes(spark, sf), None), V.IMU_STATS)
 
 
 @query

@@ -15,9 +15,8 @@ def test_equals_sql(name, spark, sf, duck):
     assert same_rows(rows, columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_runs(name, spark, sf):
-    assert registry.queries()[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
 def test_entry(spark):
