@@ -16,6 +16,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -149,7 +151,9 @@ def random_spans(text: str, encoder, max_ratio: float = MAX_RATIO) -> list[tuple
 def find_spans(text: str, encoder, max_ratio: float = MAX_RATIO) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans; a random span inside a base span adds nothing."""
     base = base_spans(text)
-    extra = [x for x in random_spans(text, encoder, max_ratio) if not any(a <= x[0] and x[2] <= b for a, _, b in base)]
+    starts, reach = [a for a, _, _ in base], [*accumulate((b for _, _, b in base), max)]
+    # The base spans that start no later than a span reach as far as the last entry before its place.
+    extra = [x for x in random_spans(text, encoder, max_ratio) if not (i := bisect_right(starts, x[0])) or reach[i - 1] < x[2]]
     return base, sorted(base + extra)
 
 
