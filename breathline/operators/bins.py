@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import BASE_STEP, FRAME_RESP_BAND, HEART_BAND, MIN_TARGET_DISTANCE, RANGE_STEPS
-from .timing import KEYS
+from .timing import KEYS, medians
 
 
 def magnitude(*parts: str | Column) -> Column:
@@ -78,8 +78,8 @@ def nearest_k(bins: DataFrame, selected: str = "selected_bin", k: int = 3, keys=
     return bins.withColumn("near", F.row_number().over(w)).where(F.col("near") <= k).drop("near")
 
 
-def bin_medians(long: DataFrame, keys=KEYS) -> DataFrame:
-    return long.groupBy(*keys, "bin", "distance_m").agg(F.median(magnitude("re", "im")).alias("median_amplitude"))
+def bin_medians(long: DataFrame, keys=KEYS, long_recordings: bool = False) -> DataFrame:
+    return medians(long, magnitude("re", "im"), "median_amplitude", [*keys, "bin", "distance_m"], long_recordings)
 
 
 def select_target(bins: DataFrame, latest_peak: DataFrame, keys=KEYS) -> DataFrame:

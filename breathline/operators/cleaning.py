@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .timing import KEYS, ORDER, finite, ordered, so_far
+from .timing import KEYS, ORDER, finite, medians, ordered, so_far
 
 
 def interp_gaps(df: DataFrame, x: str = "x", keys=KEYS, order=ORDER) -> DataFrame:
@@ -25,14 +25,16 @@ def interp_gaps(df: DataFrame, x: str = "x", keys=KEYS, order=ORDER) -> DataFram
     return df.withColumn(x, filled).drop("_v", "_i", "_at", "_v0", "_i0", "_v1", "_i1")
 
 
-def despike(df: DataFrame, x: str = "x", limit: float = 7.0, keys=KEYS) -> DataFrame:
+def despike(df: DataFrame, x: str = "x", limit: float = 7.0, keys=KEYS, long: bool = False) -> DataFrame:
     """Values clipped at ``limit`` robust deviations; recordings under 8 rows only lose their mean.
 
-    Two exact medians, each one aggregate by key joined back to the rows.
+    Two exact medians, each one aggregate by key joined back to the rows; ``long`` as in ``timing.medians``.
     """
-    first = df.groupBy(*keys).agg(F.median(x).alias("_m"), F.count("*").alias("_n"), F.avg(x).alias("_avg"))
+    first = df.groupBy(*keys).agg(*([] if long else [F.median(x).alias("_m")]), F.count("*").alias("_n"), F.avg(x).alias("_avg"))
+    if long:
+        first = first.join(medians(df, x, "_m", keys, long), keys, "left")
     with_median = df.join(first, keys)
-    spread = with_median.groupBy(*keys).agg((F.median(F.abs(F.col(x) - F.col("_m"))) * 1.4826).alias("_s"))
+    spread = medians(with_median, F.abs(F.col(x) - F.col("_m")), "_s", keys, long).withColumn("_s", F.col("_s") * 1.4826)
     low, high = F.col("_m") - limit * F.col("_s"), F.col("_m") + limit * F.col("_s")
     clipped = F.when(F.col("_s") > 1e-12, F.least(F.greatest(F.col(x), low), high)).otherwise(F.col(x))
     value = F.when(F.col("_n") < 8, F.col(x) - F.col("_avg")).otherwise(clipped)

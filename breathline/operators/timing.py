@@ -35,6 +35,26 @@ def gaps(df: DataFrame, t: str = "t_ms", keys=KEYS, order=ORDER) -> DataFrame:
     return df.where(finite(t)).withColumn("gap", (F.col(t) - F.lag(t).over(ordered(keys, order))) / 1000)
 
 
+def medians(df: DataFrame, x: str | Column, out: str, keys=KEYS, long: bool = False) -> DataFrame:
+    """Exact median of the non-null values of each key.
+
+    An aggregate holds a key's distinct values in one task, which is fine for recordings of
+    some hours. With ``long`` it holds a sketch of bounded size instead; only the values
+    between its 49th and 51st percentile are counted and ranked, by Spark's sort.
+    """
+    if not long:
+        return df.groupBy(*keys).agg(F.median(x).alias(out))
+    own = df.select(*keys, (F.col(x) if isinstance(x, str) else x).cast("double").alias("_x")).where("_x is not null")
+    # Ranks are off by a thousandth at most, so both middle values lie between.
+    marks = own.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [0.49, 0.51], 1_000).alias("_q"))
+    placed = own.join(marks, keys).groupBy(*keys, F.when(F.col("_x") < F.col("_q")[0], F.lit(None)).otherwise(F.col("_x")).alias("_x")).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first("_q").alias("_q"))
+    # Smaller values are one row, the null, which sorts first.
+    ranked = placed.where(F.col("_x").isNull() | (F.col("_x") <= F.col("_q")[1])).withColumn("_c", F.sum("_c").over(W.partitionBy(*keys).orderBy(F.asc_nulls_first("_x")).rowsBetween(W.unboundedPreceding, 0)))
+    at = lambda rank: F.min(F.when(F.col("_c") > rank, F.col("_x")))
+    middle = (at(F.floor((F.col("_n") - 1) / 2)) + at(F.ceil((F.col("_n") - 1) / 2))) / 2
+    return ranked.groupBy(*keys).agg(middle.alias(out))
+
+
 def rate_of_all_gaps(df: DataFrame, default: float, t: str = "t_ms", keys=KEYS) -> DataFrame:
     """Rate of time-sorted samples; the mean of all gaps telescopes to span / (n - 1)."""
     span = (F.max(t) - F.min(t)) / 1000
@@ -54,16 +74,18 @@ def rate_of_positive_gaps(df: DataFrame, default: float, t: str = "t_ms", keys=K
     return gaps(df, t, keys, order).groupBy(*keys).agg(F.coalesce(1 / F.avg(ahead), F.lit(float(default))).alias("fs"))
 
 
-def robust_rate(df: DataFrame, default: float = 20.0, t: str = "t_ms", keys=KEYS, order=ORDER) -> DataFrame:
+def robust_rate(df: DataFrame, default: float = 20.0, t: str = "t_ms", keys=KEYS, order=ORDER, long: bool = False) -> DataFrame:
     """Rate from usual gaps, or count over elapsed time where gaps come in bursts.
 
-    Both passes group by the same keys, so the gaps are exchanged once.
+    Both passes group by the same keys, so the gaps are exchanged once. ``long`` as in :func:`medians`.
     """
     g = gaps(df, t, keys, order)
     by, gap = F.struct(*order), F.col("gap")
     first = g.groupBy(*keys).agg(
-        F.count("*").alias("n"), ((F.max_by(t, by) - F.min_by(t, by)) / 1000).alias("elapsed"), F.median(F.when(gap > 0, gap)).alias("middle"), F.sum((gap <= 0).cast("long")).alias("back")
+        F.count("*").alias("n"), ((F.max_by(t, by) - F.min_by(t, by)) / 1000).alias("elapsed"), *([] if long else [F.median(F.when(gap > 0, gap)).alias("middle")]), F.sum((gap <= 0).cast("long")).alias("back")
     )
+    if long:
+        first = first.join(medians(g, F.when(gap > 0, gap), "middle", keys, long), keys, "left")
     usual = F.when((gap > 0.25 * F.col("middle")) & (gap < 4 * F.col("middle")), gap)
     short = (gap > 0) & (gap < F.greatest(F.lit(0.002), 0.2 * F.col("middle")))
     second = g.join(first, keys).groupBy(*keys).agg(

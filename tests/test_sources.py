@@ -106,3 +106,15 @@ def test_cleaning_edges(spark):
 
     mine = C.clean_signal(spark.createDataFrame(big)).orderBy("seq").toPandas().x
     assert mine.to_numpy() == pytest.approx(clean(big.x))
+
+
+def test_medians_of_long_recordings(spark):
+    """Few values or many, ties, nulls: ranks within a bracket give the same median."""
+    rng = np.random.default_rng(4)
+    series = [[1.0], [1.0, 2.0], [3.0] * 40, [None, 2.0, 7.0, None], [None], rng.normal(size=5_001).tolist(), rng.integers(0, 9, 4_000).astype(float).tolist(), [0.0] * 900 + [1.0] * 900]
+    df = spark.createDataFrame([(k, i, float(50 * i + v if v else 50 * i), v) for k, own in enumerate(series) for i, v in enumerate(own)], "session_id int, seq int, t_ms double, x double")
+    plain, ranked = ({r.session_id: r.m for r in T.medians(df, "x", "m", long=long).collect()} for long in (False, True))
+    assert {k: v for k, v in plain.items() if v is not None} == ranked
+    some = df.where("session_id > 4")
+    for f in (lambda long: T.robust_rate(some, long=long), lambda long: C.despike(some.select("session_id", "seq", "x"), limit=1.0, long=long)):
+        assert sorted(map(tuple, f(True).collect())) == sorted(map(tuple, f(False).collect()))
