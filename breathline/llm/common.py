@@ -94,17 +94,26 @@ def free_name(name: str, taken) -> str:
     return name
 
 
-#: Keys that hold more than one row in so many are hot; there are at most so many of them.
-HOT = 1_000
+#: A key is hot if it holds more than this share of all rows, one in so many, and more rows
+#: than a task takes easily. There are at most HOT hot keys.
+HOT, HOT_ROWS = 1_000, 100_000
+
+
+def has_hot(keyed: DataFrame, size: str, total: int) -> bool:
+    """Whether a key's number of rows ``size`` makes it hot among ``total`` rows, or more."""
+    return total > HOT_ROWS and not keyed.where((F.col(size) * HOT > total) & (F.col(size) > HOT_ROWS)).isEmpty()
 
 
 def with_hot(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``keyed``, one row a key, whose column ``size`` is the key's number of rows.
 
-    ``total`` is the number of rows, or more. Keys of more than a HOT-th of it, HOT of
-    them at most, are broadcast; the others are joined by a shuffle, in which no key is
-    large. ``size`` is kept.
+    ``total`` is the number of rows, or more. Hot keys, HOT of them at most, are
+    broadcast; the others are joined by a shuffle, in which no key is large. ``size``
+    is kept. ``rows`` and ``keyed`` are read more than once where there are hot keys.
     """
-    hot = F.broadcast(keyed.where(F.col(size) * HOT > total))
-    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(size) * HOT <= total), key, how)
+    if not has_hot(keyed, size, total):
+        return rows.join(keyed, key, how)
+    is_hot = (F.col(size) * HOT > total) & (F.col(size) > HOT_ROWS)
+    hot = F.broadcast(keyed.where(is_hot))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(~is_hot), key, how)
     return rows.join(hot, key).unionByName(rest)

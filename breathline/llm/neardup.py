@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     total = frequent.agg(F.sum("df")).first()[0] or 0
     shared = with_hot(posted, frequent, "pair", "df", total).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("pairs"))  # at most 64 (per row of an id)
     prefix = F.expr(f"slice(pairs, 1, greatest(0, size(pairs) - {COORDINATES - PREFIX}))")
-    postings = shared.select("id", F.explode(prefix).alias("p")).select("id", "p.pair", "p.df")
+    postings, postings_path = materialise(shared.select("id", F.explode(prefix).alias("p")).select("id", "p.pair", "p.df"), "postings")
 
     # Matches: signature collisions within posting lists. df counts all texts that have
     # the pair, so it bounds the list's length.
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     leaders = members.where("blocks > 1").groupBy("key").agg(F.min_by("data", "id").alias("data"), F.min("id").alias("id"), F.max("blocks").alias("blocks"))
     matches, match_paths = _links(members, leaders, _Collisions(), "matches")
     clusters, clusters_path = materialise(components(matches), "clusters")
-    discard(spark, frequent_path, *match_paths)
+    discard(spark, frequent_path, postings_path, *match_paths)
 
     # Links: full sets within candidate clusters; a cluster's root is its leader.
     sizes = clusters.join(classes.groupBy("id").agg(F.sum("n").alias("n")), clusters.node == F.col("id")).groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))

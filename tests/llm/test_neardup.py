@@ -6,6 +6,7 @@ from itertools import combinations
 
 import pytest
 from helpers import same_rows
+from pyspark.sql import functions as F
 
 from breathline.llm import queries
 from breathline.llm.components import components
@@ -149,10 +150,28 @@ def test_odd_rows(odd, odd_rows, empty):
     assert near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(60)] + [(200, 100), (150, 100), (7, 7)]
+@pytest.mark.parametrize("hot_rows", [100_000, 3])
+def test_components(spark, monkeypatch, hot_rows):
+    """With hubs split off too."""
+    from breathline.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(common, "HOT", 30)
+    links = [(i, i + 1) for i in range(60)] + [(200, 100), (150, 100), (7, 7)] + [(300, 310 + i) for i in range(40)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
-    assert got == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100} | {300: 300} | {310 + i: 300 for i in range(40)}
+
+
+def test_hot_keys_are_split_off(spark, monkeypatch):
+    from breathline.llm import common
+
+    rows = spark.createDataFrame([(k, i) for k in range(20) for i in range(60 if k == 3 else 2)] + [(99, 0)], "k long, i long")
+    keyed = rows.where("k < 15").groupBy("k").count().withColumn("x", F.col("k") * 10)
+    want = sorted(map(tuple, rows.join(keyed, "k", "left").collect()), key=repr)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT", 5)
+    assert common.has_hot(keyed, "count", 99)
+    assert sorted(map(tuple, common.with_hot(rows, keyed, "k", "count", 99, "left").collect()), key=repr) == want
 
 
 def test_sets_are_of_words():
