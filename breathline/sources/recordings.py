@@ -158,10 +158,18 @@ class SessionStore:
         df = self.spark.createDataFrame([tuple(row.get(f.split()[0]) for f in SESSIONS.split(", "))], SESSIONS)
         df.withColumn("version", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/sessions")
 
+    def _claimed(self, number: int) -> bool:
+        """Whether this writer is the one that created the id's marker, which the file system lets only one do."""
+        jvm = self.spark._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(f"{self.path}/ids/{number}")
+        return marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(marker)
+
     def create(self, sensor: str, csv_path: str | None = None) -> int:
         if sensor not in COLUMNS:
             raise ValueError(f"unknown sensor {sensor}")
         new = (self._log().agg(F.max("id")).first()[0] or 0) + 1
+        while not self._claimed(new):  # by another writer
+            new += 1
         self._append(id=new, sensor=sensor, started_at=f"{datetime.now():%Y-%m-%dT%H:%M:%S}", csv_path=csv_path, sample_count=0, stats_json="{}")
         return new
 

@@ -118,3 +118,14 @@ def test_medians_of_long_recordings(spark):
     some = df.where("session_id > 4")
     for f in (lambda long: T.robust_rate(some, long=long), lambda long: C.despike(some.select("session_id", "seq", "x"), limit=1.0, long=long)):
         assert sorted(map(tuple, f(True).collect())) == sorted(map(tuple, f(False).collect()))
+
+
+def test_two_writers_get_different_sessions(spark, tmp_path, monkeypatch):
+    """Both read the store before either has written."""
+    a, b = (S.SessionStore(spark, str(tmp_path / "store")) for _ in range(2))
+    before = a._log()
+    for store in (a, b):
+        monkeypatch.setattr(store, "_log", lambda: before)
+    assert (a.create("radar"), b.create("imu"), a.create("imu")) == (1, 2, 3)
+    found = S.SessionStore(spark, str(tmp_path / "store")).sessions()
+    assert sorted((r.id, r.sensor) for r in found.collect()) == [(1, "radar"), (2, "imu"), (3, "imu")]
