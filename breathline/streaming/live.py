@@ -165,28 +165,48 @@ def horizon(window_s: float) -> float:
     return max(window_s + 20.0, 30.0)
 
 
+#: Ticks without frames after which a session's recent frames are let go.
+IDLE_TICKS = 600
+
+
 def analyse(frames: DataFrame, path: str, checkpoint: str, window_s: float = 10.0, trigger: str | None = ANALYSE, **options) -> StreamingQuery:
     """Vitals of the trailing horizon of every session that got frames, at each tick.
 
-    Frames (with columns Timestamp_ms and Frame, as stored) are kept below ``path``/frames
-    by session; results are appended to ``path``/vitals with the tick as request_id, so that
-    stale ones can be told. A tick that is run again replaces its own files.
+    Frames have columns Timestamp_ms and Frame, as stored. A tick reads the recent frames
+    that the one before it left below ``path``/recent, adds its own, and leaves those of
+    each session's horizon, so it reads and writes no more than that. Results are appended
+    to ``path``/vitals with the tick as request_id, so that stale ones can be told. A tick
+    that is run again replaces its own files.
     """
 
     def tick(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/frames/tick={number}")
-        stored = spark.read.parquet(f"{path}/frames").where(F.col("tick") <= number)
-        named = stored.join(batch.select("session_id").distinct(), "session_id", "left_semi")
-        last = named.groupBy("session_id").agg(F.max("Timestamp_ms").alias("last_ms"))
-        recent = named.join(last, "session_id").where(F.col("Timestamp_ms") >= F.col("last_ms") - 1000 * horizon(window_s)).drop("last_ms", "tick")
-        found = vitals.frame_vitals(recent, **options).withColumn("request_id", F.lit(number).cast("long"))
-        found.write.mode("overwrite").parquet(f"{path}/vitals/tick={number}")
+        own = batch.withColumn("tick", F.lit(number).cast("long"))
+        if _exists(spark, f"{path}/recent/{number - 1}"):
+            own = spark.read.schema(own.schema).parquet(f"{path}/recent/{number - 1}").unionByName(own)
+        last = own.groupBy("session_id").agg(F.max("Timestamp_ms").alias("last_ms"), F.max("tick").alias("last_tick"))
+        recent = own.join(last, "session_id").where((F.col("Timestamp_ms") >= F.col("last_ms") - 1000 * horizon(window_s)) & (F.col("last_tick") > number - IDLE_TICKS))
+        recent.select(own.columns).write.mode("overwrite").parquet(f"{path}/recent/{number}")
+        kept = spark.read.schema(own.schema).parquet(f"{path}/recent/{number}")
+        active = kept.where(F.col("tick") == number).select("session_id").distinct()
+        found = vitals.frame_vitals(kept.join(active, "session_id", "left_semi").drop("tick"), **options)
+        found.withColumn("request_id", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/vitals/tick={number}")
+        if number > 1:  # the one before this may be asked for again
+            _path(spark, f"{path}/recent/{number - 2}", "delete", True)
 
     writer = frames.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
+def _path(spark: SparkSession, path: str, method: str, *args):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return getattr(p.getFileSystem(spark._jsc.hadoopConfiguration()), method)(p, *args)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _path(spark, path, "exists")
+
+
 def since(rows: DataFrame, offsets: DataFrame | None = None, keys=("session_id",), order: str = "seq") -> DataFrame:
     """Snapshot of stored rows past each session's ``offset``; all rows of sessions without one."""
     if offsets is None:

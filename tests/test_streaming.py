@@ -86,14 +86,16 @@ def test_analysis_of_each_tick_covers_its_horizon(spark, tmp_path):
     rows["seq"] = rows.Frame
     df = spark.createDataFrame(rows.map(lambda v: v.tolist() if isinstance(v, np.ndarray) else v))
     source = str(tmp_path / "in")
-    for part in ("Frame < 600", "Frame >= 600"):
+    for part in ("Frame < 300", "Frame between 300 and 699", "Frame >= 700"):
         df.where(part).coalesce(1).write.mode("append").parquet(source)
         query = live.analyse(spark.readStream.schema(df.schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "cp"), window_s=10.0, trigger=None, max_frames=10_000)
         assert query.awaitTermination(240)
     found = {r.request_id: r for r in spark.read.parquet(str(tmp_path / "out/vitals")).collect()}
     assert live.horizon(10.0) == 30 and live.horizon(60.0) == 80
-    assert set(found) == {0, 1} and found[1].error is None
-    assert found[1].resp_bpm == pytest.approx(18, abs=0.6) and found[1].target_distance_m == pytest.approx(0.74)
+    assert set(found) == {0, 1, 2} and found[2].error is None
+    assert found[2].resp_bpm == pytest.approx(18, abs=0.6) and found[2].target_distance_m == pytest.approx(0.74)
+    left = {p.name: spark.read.parquet(str(p)) for p in (tmp_path / "out/recent").iterdir()}
+    assert set(left) == {"1", "2"} and left["2"].agg({"Frame": "min"}).first()[0] == 1249 - 30 * 25
 
 
 def test_lines_of_a_device(tmp_path):
