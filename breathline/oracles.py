@@ -508,7 +508,7 @@ phase AS MATERIALIZED (WITH z AS (SELECT session_id, bin, i, CASE WHEN plausible
 vital AS MATERIALIZED (WITH series AS (SELECT session_id * 100 + bin AS session_id, i AS seq, x FROM phase), {POWER}, z AS (SELECT *, k * (1.0::DOUBLE / (n * 0.5::DOUBLE)) AS hz FROM power),
   v AS (SELECT *, hz >= 0.1::DOUBLE AND hz <= 0.46::DOUBLE * 2 AS vital, hz >= 0.03::DOUBLE AND hz <= 0.46::DOUBLE * 2 AS wide FROM z)
   SELECT session_id // 100 AS session_id, session_id % 100 AS bin, CASE WHEN max(n) < 16 OR count(*) FILTER (vital) = 0 OR count(*) FILTER (wide AND NOT vital) = 0 THEN 1 ELSE avg(power) FILTER (vital) / (avg(power) FILTER (wide AND NOT vital) + 1e-18) END AS ratio FROM v GROUP BY session_id),
-latest AS (WITH f AS ({F}), mag AS ({MAG}), p AS ({PEAK}) SELECT session_id, 0.2::DOUBLE + peak_bin * 0.02::DOUBLE AS peak_m, list_max(a) AS peak_amplitude, list_avg(a) AS mean_amplitude FROM p QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1),
+latest AS MATERIALIZED (WITH f AS ({F}), mag AS ({MAG}), p AS ({PEAK}) SELECT session_id, 0.2::DOUBLE + peak_bin * 0.02::DOUBLE AS peak_m, list_max(a) AS peak_amplitude, list_avg(a) AS mean_amplitude FROM p QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1),
 floors AS (SELECT session_id, median(typical) + 1e-12 AS floor FROM seen WHERE searched GROUP BY 1),
 scored AS (SELECT session_id, bin, n, searched, distance_m, typical, floor, smooth, ratio, peak_m, CASE WHEN searched THEN typical / floor ELSE 0 END + 0.15::DOUBLE * least(greatest(ratio, 0), 5) AS score FROM seen JOIN floors USING (session_id) JOIN vital USING (session_id, bin) JOIN latest USING (session_id)),
 lifted AS (SELECT *, score + CASE WHEN bin = first_value(bin) OVER (PARTITION BY session_id ORDER BY abs(distance_m - peak_m), bin) AND searched AND peak_m > 0 THEN 0.5 * max(score) OVER (PARTITION BY session_id) ELSE 0 END AS total FROM scored),
@@ -537,13 +537,13 @@ pulse AS MATERIALIZED (SELECT session_id, n + 22 - twice.i AS seq, y AS x FROM t
 heart AS (WITH s AS (SELECT * FROM pulse), rate AS (SELECT DISTINCT session_id, 2.0::DOUBLE AS fs FROM pulse),
   rejected AS (SELECT session_id, CASE WHEN sure THEN list_filter(list_transform(range(2, 8), lambda k: k * hz), lambda h: h >= 0.85::DOUBLE * 0.65::DOUBLE AND h <= 1.05::DOUBLE * 3) ELSE [] END AS hs FROM breathing),
   {series_peaks(0.65, 3.0, rejected=True)} SELECT session_id, fused_hz AS hz, fused_confidence AS conf FROM found),
-judged AS (SELECT target.*, m, breathing.hz AS r_hz, breathing.conf AS r_conf, CASE WHEN target.n >= 20 THEN heart.hz ELSE 0 END AS h_hz, CASE WHEN target.n >= 20 THEN heart.conf ELSE 0 END AS h_conf,
+judged AS MATERIALIZED (SELECT target.*, m, breathing.hz AS r_hz, breathing.conf AS r_conf, CASE WHEN target.n >= 20 THEN heart.hz ELSE 0 END AS h_hz, CASE WHEN target.n >= 20 THEN heart.conf ELSE 0 END AS h_conf,
   least(greatest((amp_ratio - 1) * 35 + least(m, 5) * 6 + least(greatest(phase_ratio, 0), 5) * 10, 0), 100) AS score FROM target JOIN (SELECT DISTINCT session_id, m FROM weight) USING (session_id) JOIN breathing USING (session_id) JOIN heart USING (session_id)),
 shown AS (SELECT *, score >= 20 AND (amp_ratio >= 1.08::DOUBLE OR phase_ratio >= 1.30::DOUBLE) AS present FROM judged),
-rates AS (SELECT *, CASE WHEN present THEN r_conf ELSE 0 END AS resp_confidence, CASE WHEN present THEN h_conf ELSE 0 END AS heart_confidence FROM shown),
+rates AS MATERIALIZED (SELECT shown.*, CASE WHEN present THEN r_conf ELSE 0 END AS resp_confidence, CASE WHEN present THEN h_conf ELSE 0 END AS heart_confidence, peak_m, peak_amplitude, mean_amplitude FROM shown JOIN latest USING (session_id)),
 numbers AS (SELECT *, CASE WHEN n >= 40 AND resp_confidence >= 4 THEN r_hz ELSE 0 END AS resp_hz, CASE WHEN heart_confidence >= 14 THEN h_hz ELSE 0 END AS heart_hz, 2.0::DOUBLE AS sample_rate_hz, target_m AS target_distance_m, target_m - 0.05::DOUBLE AS gate_min_m, target_m + 0.05::DOUBLE AS gate_max_m,
   peak_m AS peak_distance_m, score AS presence_score, least(greatest(0.18::DOUBLE * ln(1 + greatest(amp_ratio - 1, 0)) + 0.22::DOUBLE * least(resp_confidence / 5, 1) + 0.22::DOUBLE * least(heart_confidence / 5, 1) + 0.20::DOUBLE * least(greatest(phase_ratio, 0) / 4, 1) + CASE WHEN present THEN 0.18::DOUBLE ELSE 0 END, 0), 1) AS signal_quality
-  FROM rates JOIN latest USING (session_id)), all_numbers AS (SELECT *, resp_hz * 60 AS resp_bpm, heart_hz * 60 AS heart_bpm FROM numbers)"""
+  FROM rates), all_numbers AS (SELECT *, resp_hz * 60 AS resp_bpm, heart_hz * 60 AS heart_bpm FROM numbers)"""
 _FRAME_NUMBERS = (
     "sample_rate_hz", "target_distance_m", "gate_min_m", "gate_max_m", "peak_distance_m", "peak_amplitude", "mean_amplitude", "presence_score",
     "resp_bpm", "heart_bpm", "resp_hz", "heart_hz", "resp_confidence", "heart_confidence", "signal_quality",
