@@ -30,7 +30,8 @@ from .tokens import release
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES, TOTAL_BYTES = 400, 300, 1 << 17, 1 << 26
 #: Further texts of a language, and of all, whose pieces calibrate the margin.
 CALIBRATION_TEXTS, CALIBRATION_ROWS = 250, 2_000
-SAMPLE_PARTS = 64
+#: A language's texts are ranked in so many parts, by hash, and so many of a part go on.
+SAMPLE_PARTS, PART_TEXTS = 64, 48
 #: Bytes of text that are compressed on their own.
 BLOCK_BYTES = 1_024
 LEVEL = 6
@@ -64,9 +65,9 @@ def learn(docs: DataFrame) -> Model:
     place = 1 + F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
     cut = hashed.select("lang", "h", F.col("text").substr(place.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
     # Repeated texts count once. Ranked within parts of a language first, so that the
-    # last rank sees at most SAMPLE_PARTS times the sample of it, however many tasks there are.
-    ranked, most = cut.withColumn("part_of", F.pmod("h", F.lit(SAMPLE_PARTS))), SAMPLE_TEXTS + CALIBRATION_TEXTS
-    for by in (["lang", "part_of"], ["lang"]):
+    # last rank sees at most SAMPLE_PARTS * PART_TEXTS texts of it, however many tasks there are.
+    ranked = cut.withColumn("part_of", F.pmod(F.xxhash64("h"), F.lit(SAMPLE_PARTS)))
+    for by, most in ((["lang", "part_of"], PART_TEXTS), (["lang"], SAMPLE_TEXTS + CALIBRATION_TEXTS)):
         ranked = ranked.withColumn("r", F.dense_rank().over(W.partitionBy(*by).orderBy("h"))).where(F.col("r") <= most).dropDuplicates(["lang", "h"])
     sample = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "h", "part"))).alias("parts"))
     out, others = {}, []
@@ -173,7 +174,8 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows whose language is identified, all columns kept; rejected rows go.
 
-    One pass, without a join: rows with null or repeated ids are judged alone.
+    One pass, without a join: rows with null or repeated ids are judged alone. Null
+    texts and texts without a letter go, as do ties that finer sizes don't break.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
 
