@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions, slices
-from .tokens import encoder
+from .tokens import MAX_PIECES, encoder
 
 CAPACITY = 4096
 MAX_OPEN = 4096
 #: Emptiest bins of a partition whose pieces are packed again in the next round.
 HANDED_ON = 64
-#: Rows that a worker holds before it looks for those of closed bins.
-HELD_ROWS = 1 << 15
+#: Bytes of rows that a worker holds before it looks for those of closed bins.
+HELD_BYTES = 1 << 23
 #: Partitions whose handed-on pieces meet in one of the next round.
 FAN_IN = 64
 
@@ -86,16 +86,18 @@ class OpenBins:
         return found
 
 
-def token_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, max_pieces: int = MAX_PIECES) -> DataFrame:
     """Whole texts as ids with ``end_id`` appended, cut only above ``capacity``.
 
     A null text is empty (one piece, the end id alone). Repeated rows, and rows with
     the same or a null id, each give their pieces. ``with_ids`` adds the ids of a
-    piece as little-endian unsigned 32-bit integers.
+    piece as little-endian unsigned integers, of 2 bytes where all of them fit, else 4
+    (the number of bytes over ``length`` tells). ``max_pieces`` bounds the table of
+    encoded pieces in a worker: a smaller one takes less memory and more time.
     """
 
     def run(batches):
-        own = encoder(vocabulary, path)
+        own = encoder(vocabulary, path, max_pieces)
         for batch in batches:
             texts, doc_ids = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
             for a, b in slices(texts):
@@ -106,7 +108,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
                 for doc_id, n, end in zip(doc_ids[a:b], (lengths + 1).tolist(), ends.tolist()):
                     for k, at in enumerate(range(0, n, capacity)):
                         x = ids[end - n + at : end - n + min(n, at + capacity)]
-                        rows.append((doc_id, k, at, len(x), zlib.crc32(x.tobytes()), x.tobytes() if with_ids else None))
+                        rows.append((doc_id, k, at, len(x), zlib.crc32(x.tobytes()), (x if x.max() >> 16 else x.astype("<u2")).tobytes() if with_ids else None))
                 columns = list(zip(*rows))
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -135,13 +137,13 @@ def _round(pieces: DataFrame, partitions: int, level: int, capacity: int, max_op
         for batch in batches:
             placed = np.array([bins.place(x) for x in batch.column("length").to_pylist()], np.int64).reshape(-1, 2)
             held.append(pa.RecordBatch.from_arrays([*batch.columns, pa.array(placed[:, 0]), pa.array(placed[:, 1])], [*carried, "bin", "offset"]))
-            n += batch.num_rows
-            if n >= HELD_ROWS + 2 * kept:
+            n += held[-1].nbytes
+            if n >= HELD_BYTES + 2 * kept:
                 table = pa.Table.from_batches(held)
                 stays = np.isin(table.column("bin").to_numpy(), bins.open_numbers())
                 yield from given(table.filter(pa.array(~stays)), np.empty(0, np.int64))
                 held = table.filter(pa.array(stays)).combine_chunks().to_batches()
-                n = kept = sum(b.num_rows for b in held)
+                n = kept = sum(b.nbytes for b in held)
         if held:
             # With one partition all bins are final.
             again = set() if last else bins.emptiest(HANDED_ON, max(1, capacity // 256))

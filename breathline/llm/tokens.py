@@ -32,13 +32,14 @@ _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _encoders: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
-def encoder(name: str, path: str | None = None) -> "PieceEncoder":
+def encoder(name: str, path: str | None = None, max_pieces: int = MAX_PIECES) -> "PieceEncoder":
     """The worker's encoder for a vocabulary file, kept between tasks."""
     import public_tokenizers
 
     key = (name, path or public_tokenizers.path(name))
     if key not in _encoders:
         _encoders[key] = PieceEncoder(key[1])
+    _encoders[key].max_pieces = max_pieces
     return _encoders[key]
 
 

@@ -84,12 +84,21 @@ def test_packing(odd, odd_rows, empty, documents):
     check_packed(rows, 4096)
     whole = defaultdict(list)
     for r in sorted(rows, key=lambda r: r.start):
-        assert r.start == 4096 * r.piece and r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length
-        whole[r.doc_id].extend(np.frombuffer(r.ids, "<u4").tolist())
+        own = np.frombuffer(r.ids, f"<u{len(r.ids) // r.length}").astype("<u4")
+        assert r.start == 4096 * r.piece and r.ids_crc32 == zlib.crc32(own) and len(own) == r.length and len(r.ids) == 2 * r.length
+        whole[r.doc_id].extend(own.tolist())
     for doc_id, text, *_ in odd_rows[:6]:
         assert whole[doc_id] == ids(WORD, text, 1)
     assert packing.pack_documents(empty).count() == 0
     got = packing.pack_documents(documents).collect()
+    pieces = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.piece):
+        pieces[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for r in documents.collect():
+        own = np.array(ids(WORD, r.text, 1), "<u4")
+        cuts = range(0, len(own), 4096)
+        assert pieces.pop(r.doc_id) == [(k, at, len(own[at : at + 4096]), zlib.crc32(own[at : at + 4096])) for k, at in enumerate(cuts)]
+    assert not pieces
     assert check_packed(got, 4096) <= 1.02 * sum(r.length for r in got) / 4096 + 1
 
 
@@ -124,7 +133,7 @@ def test_bitset_equals_a_plain_search(sizes, most):
 
 def test_pieces_of_closed_bins_leave_early(spark, monkeypatch):
     """However few rows are held, a partition's bins are those of a plain search."""
-    monkeypatch.setattr(packing, "HELD_ROWS", 8)
+    monkeypatch.setattr(packing, "HELD_BYTES", 400)
     rng = np.random.default_rng(0)
     sizes = sorted(rng.integers(1, 50, 3_000).tolist(), reverse=True)
     rows = [(k, 0, 0, s, 0) for k, s in enumerate(sizes)]
