@@ -47,7 +47,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end id alone; repeated rows are packed each. The
     sequences are what a training run reads: ids of one sequence_id by offset.
     """
-    return packing.pack_documents(docs, with_ids=True)
+    # Executors still hold what earlier stages took, so workers keep small tables.
+    return packing.pack_documents(docs, with_ids=True, max_pieces=250_000)
 
 
 STAGES = [
