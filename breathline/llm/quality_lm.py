@@ -33,7 +33,7 @@ QUANTILE = 0.95
 #: Texts that the quantile of all languages counts for in a language's threshold.
 PRIOR_TEXTS = 20
 #: Bytes of text that a bucket starts within.
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 25
 BROADCAST_ROWS = 1_000_000
 #: Characters of text in a compressed block.
 BLOCK_CHARS = 1 << 19
