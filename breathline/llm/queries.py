@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from . import quality_lm
 from .common import table
 from .decontam import match
+from .exact_dedup import exact_duplicates
 from .langid import classify
+from .lexical import search
+from .lloyd import lloyd
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pfor import read_token_files, write_token_files
@@ -81,6 +84,68 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+q AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+),
+tf AS MATERIALIZED (
+  SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t
+),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY t),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(w)::BIGINT * n_docs) // n_terms AS m FROM d, c WHERE len(w) > 0),
+s AS (
+  SELECT q.item_id, m.r, m.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m)))::BIGINT AS score
+  FROM q JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY q.item_id, m.r, m.doc_id
+),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t)::BIGINT AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
+"""
+
+
+def _op13_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """One pair of tables a round: nearest centroids of all vectors, and the centroids moved."""
+    nearest = """a{i} AS MATERIALIZED (
+  SELECT vec_id, e, c, d FROM (
+    SELECT r, vec_id, v.e, k.c, list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, k.e) + list_inner_product(k.e, k.e) AS d FROM v, k{i} k
+  ) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+)"""
+    moved = """m{i} AS (
+  SELECT c, list(floor(s / n) ORDER BY j) AS e
+  FROM (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, unnest(range(1, {dim} + 1)) AS j FROM a{before}) GROUP BY c, j) GROUP BY c
+),
+k{i} AS MATERIALIZED (SELECT k.c, coalesce(m.e, k.e) AS e FROM k{before} k LEFT JOIN m{i} m USING (c))"""
+    steps = [nearest.format(i=0)]
+    for i in range(1, rounds + 1):
+        steps += [moved.format(i=i, before=i - 1, dim=dim), nearest.format(i=i)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+k0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), e) - 1)::INTEGER AS c, e FROM v QUALIFY c < {k}),
+{", ".join(steps)},
+f AS (SELECT c, sha256(array_to_string(list_transform(e, lambda x: x::BIGINT), ',')) AS h FROM k{rounds})
+SELECT vec_id, c AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN f USING (c)
+"""
+
+
+OP13_SQL = _op13_sql()
+
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))
@@ -123,6 +188,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -135,8 +212,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_quality_lm": op9_quality_lm,
         "op10_decontamination": op10_decontamination,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_centroid_clusters": op13_centroid_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {
+        "op5_minhash_near_dedup": OP5_SQL,
+        "op7_exact_top_k": OP7_SQL,
+        "op10_decontamination": OP10_SQL,
+        "op11_ranked_search": OP11_SQL,
+        "op12_exact_dedup": OP12_SQL,
+        "op13_centroid_clusters": OP13_SQL,
+    }
