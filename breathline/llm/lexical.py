@@ -4,10 +4,13 @@
    every term of the items, the shard's documents that hold it and how often. Corpus
    counts (documents, terms, documents of a term) are sums over the index.
 2. With the counts, a shard's postings become impacts, and a term has a maximum impact
-   there. For every item the lists of its terms are walked together. The pivot is the
-   first document at which the maximum impacts of the lists so far reach the worst score
-   of the item's heap: no document before it can enter, and the lists jump to it. A task
-   keeps an item's heap from shard to shard, so later shards are skipped mostly.
+   there. An item's lists are walked together through windows of documents. The pivot is
+   chosen from the maximum impacts: the lists before it can't reach the worst score of the
+   item's heap, so documents that only they hold are skipped unread. Of the others, the
+   pivot documents are those at which the maxima of the lists that hold them, and of those
+   before the pivot, reach that score; the lists before the pivot jump from one to the
+   next and give up on each as soon as it can't get there. A task keeps an item's heap
+   from window to window and shard to shard, so later shards are skipped mostly.
 3. The heaps of all tasks, k rows an item each, are merged by rank.
 
 A shard is one row of the written index, bounded by its text. The items' terms are a
@@ -16,7 +19,6 @@ stated query set: they are broadcast in groups of bounded size, each with its ow
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -38,8 +40,8 @@ GROUP_TERMS = 200_000
 SHARD_CHARS, PIECE = 4_000_000, 1_000_000
 
 INDEX = "doc_id array<long>, n array<long>, term array<int>, size array<int>, at array<int>, tf array<int>"
-
-_END = 1 << 62
+#: Documents of a window while a heap isn't full; later, a window is what is left of a shard.
+WINDOW = 256
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -96,66 +98,54 @@ class _Shard:
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "term", "size", "at", "tf"])
 
 
-def wand(lists: list[tuple[list[int], list[int], int]], heap: list, k: int, ids: list) -> int:
-    """Puts a shard's documents that belong among the k best on the heap; the number of documents scored.
+def wand(lists: list[tuple[np.ndarray, np.ndarray, int]], heap: list, k: int, ids: list) -> int:
+    """Puts a shard's documents that belong among the k best on the heap; the number of documents that were pivots.
 
-    A list has a term's documents in ascending order with _END last, their impacts, and
-    the largest of them. Heap entries are (score, rank of the id, id), the worst first;
-    of equal scores the smaller id is better.
+    A list has a term's documents in ascending order, their impacts, and the largest of
+    them. The heap is in order: score, its best first, then smaller ids, null ones last.
     """
-    docs, impacts, most = zip(*lists)
-    at = [0] * len(lists)
-    front = sorted((d[0], j) for j, d in enumerate(docs))
-    floor, scored = heap[0][0] if len(heap) == k else 1, 0
-    while True:
-        bound = 0
-        for p, (pivot, j) in enumerate(front):
-            bound += most[j]
-            if bound >= floor:
+    lists = sorted(lists, key=lambda x: x[2])
+    reach = np.cumsum([most for *_, most in lists])
+    start = scored = 0
+    while start < len(ids):
+        full = len(heap) == k
+        floor = 1
+        if full:
+            worst, worst_id = heap[-1]
+            # Ids ascend: where none that comes is smaller than the worst one's, equal scores don't count.
+            floor = worst + (ids[start] is None or worst_id is not None and worst_id <= ids[start])
+        # Lists before the pivot can't bring a document to the floor, not all of them together.
+        pivot = int(np.searchsorted(reach, floor))
+        if pivot == len(lists):
+            break
+        end = len(ids) if full else min(len(ids), start + WINDOW)
+        ahead = lists[pivot:]
+        if start or end < len(ids):
+            cuts = [np.searchsorted(docs, [start, end]) for docs, *_ in ahead]
+            ahead = [(docs[a:b], impact[a:b], most) for (docs, impact, most), (a, b) in zip(ahead, cuts)]
+        at = np.concatenate([docs for docs, *_ in ahead]) - start
+        own, bound = np.zeros((2, end - start), np.int64)
+        np.add.at(own, at, np.concatenate([impact for _, impact, _ in ahead]))
+        np.add.at(bound, at, np.repeat([most for *_, most in ahead], [len(docs) for docs, *_ in ahead]))
+        rest = int(reach[pivot - 1]) if pivot else 0
+        at = np.flatnonzero((bound > 0) & (bound >= floor - rest))
+        scored += len(at)
+        score = own[at]
+        for j in range(pivot - 1, -1, -1):  # jumps to the pivots left
+            keep = score >= floor - reach[j]
+            at, score = at[keep], score[keep]
+            if not len(at):
                 break
-        else:
-            return scored
-        if pivot == _END:
-            return scored
-        if front[0][0] == pivot:
-            score = 0
-            for q, (doc, j) in enumerate(front):
-                if doc != pivot:
-                    break
-                i = at[j]
-                score += impacts[j][i]
-                at[j] = i + 1
-                front[q] = docs[j][i + 1], j
-            scored += 1
-            if score >= floor:
-                doc_id = ids[pivot]
-                entry = score, -_END * 4 if doc_id is None else -doc_id, doc_id
-                if len(heap) < k:
-                    heapq.heappush(heap, entry)
-                elif entry[:2] > heap[0][:2]:
-                    heapq.heapreplace(heap, entry)
-                floor = heap[0][0] if len(heap) == k else 1
-        else:
-            for q in range(p):
-                doc, j = front[q]
-                if doc < pivot:
-                    at[j] = i = _reach(docs[j], pivot, at[j])
-                    front[q] = docs[j][i], j
-        front.sort()
-
-
-def _reach(docs: list[int], doc: int, low: int) -> int:
-    """First place from ``low`` on whose document is at least ``doc``, by doubling steps and halving."""
-    step, high = 1, low
-    while docs[high] < doc:
-        low, high, step = high + 1, min(high + step, len(docs) - 1), 2 * step
-    while low < high:
-        middle = (low + high) // 2
-        if docs[middle] < doc:
-            low = middle + 1
-        else:
-            high = middle
-    return low
+            docs, impact, _ = lists[j]
+            place = docs.searchsorted(at + start)
+            held = docs.take(place, mode="clip") == at + start
+            score = score + held * impact.take(place, mode="clip")
+        keep = score >= floor
+        found = [(x, ids[d + start]) for d, x in zip(at[keep].tolist(), score[keep].tolist())]
+        if found:
+            heap[:] = sorted([*heap, *found], key=lambda e: (-e[0], e[1] is None, e[1] or 0))[:k]
+        start = end
+    return scored
 
 
 def weight(n_docs: int, df: int) -> int:
@@ -244,11 +234,11 @@ def _group(index: DataFrame, items: list[tuple[object, list[int]]], found: Struc
                             continue
                         if t not in lists:
                             a, b = starts[t]
-                            lists[t] = [*at[a:b].tolist(), _END], impact[a:b].tolist(), int(impact[a:b].max())
+                            lists[t] = at[a:b], impact[a:b], int(impact[a:b].max())
                         mine.append(lists[t])
                     if mine:
                         wand(mine, heap, k, ids)
-        out = [(item, e[2], e[0]) for heap, (item, _) in zip(heaps, own_items) for e in heap]
+        out = [(item, doc_id, score) for heap, (item, _) in zip(heaps, own_items) for score, doc_id in heap]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), types)], schema=types)
 
