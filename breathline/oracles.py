@@ -652,3 +652,25 @@ JOIN {listed('power', 'hz', 'k')} hh USING (session_id) JOIN {listed('power', 's
 SQL["imu_view"] = f"""WITH stats AS ({SQL['imu_stats']}), s AS ({SIZE}), {RATES}, {spectrum('(0.5 - 0.5 * cos(2 * pi() * i / (n - 1)))')}, w AS (SELECT session_id, seq AS i, (t_ms - min(t_ms) OVER (PARTITION BY session_id)) / 1000 AS t, x FROM s)
 SELECT stats.* EXCLUDE (error), tt.v AS t, xx.v AS x, hh.v AS hz, aa.v AS amplitude, []::DOUBLE[] AS resp, []::DOUBLE[] AS heart, NULL::VARCHAR AS error FROM stats JOIN {listed('w', 't')} tt USING (session_id) JOIN {listed('w', 'x')} xx USING (session_id)
 JOIN {listed('power', 'hz', 'k')} hh USING (session_id) JOIN {listed('power', 'sqrt(power) / n', 'k')} aa USING (session_id)"""
+
+# -- long recordings -------------------------------------------------------------------
+
+WHOLE = f"SELECT session_id % 3 AS session_id, seq, t_ms, x FROM ({S})"
+_AHEAD = "w AS (PARTITION BY session_id ORDER BY seq)"
+_STEP = f"d AS (SELECT session_id, seq, x / 80 - lag(x / 80) OVER w AS d, first_value(x / 80) OVER w AS first FROM s WINDOW {_AHEAD})"
+_SUM = "round(sum(coalesce({step}, 0)) OVER (PARTITION BY session_id ORDER BY seq){base}, 6) + 0.0"
+_LIVE = "CASE WHEN d > pi() THEN d - 2 * pi() WHEN d < -pi() THEN d + 2 * pi() ELSE d END"
+SQL["long_unwrap"] = f"""WITH s AS ({WHOLE}), {_STEP} SELECT session_id, seq, {_SUM.format(step=_LIVE, base="")} AS live, {_SUM.format(step=MOD, base="")} AS mod,
+{_SUM.format(step=f"CASE WHEN abs(d) < pi() THEN d WHEN {MOD} = -pi() AND d > 0 THEN pi() ELSE {MOD} END", base=" + first")} AS first FROM d"""
+SQL["long_turned_phase"] = f"""WITH s AS ({WHOLE}), {_STEP} SELECT session_id, seq, {_SUM.format(step=MOD, base="")} AS phase FROM d"""
+SQL["long_integral"] = f"""WITH s AS (SELECT session_id, seq, t_ms % 86400000 / 86400000 + seq / 100::DOUBLE AS t, x / 1000 AS x FROM ({WHOLE})),
+a AS (SELECT session_id, seq, t, coalesce((x + lag(x) OVER w) / 2 * (t - lag(t) OVER w), 0) AS step FROM s WINDOW {_AHEAD}),
+v AS (SELECT session_id, seq, t, sum(step) OVER w AS v FROM a WINDOW {_AHEAD}), b AS (SELECT session_id, seq, v, coalesce((v + lag(v) OVER w) / 2 * (t - lag(t) OVER w), 0) AS step FROM v WINDOW {_AHEAD})
+SELECT session_id, seq, round(v, 6) + 0.0 AS velocity, round(sum(step) OVER w, 3) + 0.0 AS path FROM b WINDOW {_AHEAD}"""
+for _name in ("time_rebase", "clean_signal", "bandpass_causal", "bandpass_causal_clean", "bandpass_zero_phase", "band_spectra"):
+    _long = {"time_rebase": "long_rebase", "clean_signal": "long_clean", "bandpass_causal_clean": "long_bandpass_clean", "band_spectra": "long_spectrum"}
+    SQL[_long.get(_name, f"long_{_name}")] = SQL[_name].replace(f"s AS ({S})", f"s AS ({WHOLE})")
+#: From the first value on: y = keep * y + (1 - keep) * x, a weighted sum of all values so far.
+SQL["long_average"] = f"""WITH RECURSIVE s AS ({WHOLE}), i AS MATERIALIZED ({numbered("s")}),
+r(session_id, i, y) AS (SELECT session_id, 1::BIGINT, x FROM i WHERE i = 1 UNION ALL SELECT i.session_id, i.i, exp(-1 / 40::DOUBLE) * y + (1 - exp(-1 / 40::DOUBLE)) * i.x FROM r JOIN i ON i.session_id = r.session_id AND i.i = r.i + 1)
+SELECT session_id, seq, round(y, 6) + 0.0 AS y FROM r JOIN i USING (session_id, i)"""

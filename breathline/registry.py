@@ -7,8 +7,6 @@ supplier. The SQL of each query is in :mod:`breathline.oracles`.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .constants import DOPPLER_HZ_PER_MPS, FRAME_RESP_BAND, HEART_BAND
 from .operators import bins as B
+from .operators import chunked as K
 from .operators import cleaning as C
 from .operators import folds as L
 from .operators import phase as P
@@ -25,6 +24,7 @@ from .operators import timing as T
 from .plans import views
 from .plans import vitals as V
 from .schemas import A121_COLUMNS, IMU_COLUMNS, RADAR_COLUMNS, detect_sensor
+from .shared import new_path
 from .sources import recordings as S
 from .streaming import live
 
@@ -42,8 +42,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="breathline-")
-    return f"{base.rstrip('/')}/breathline/recordings-{uuid.uuid4().hex}"
+    return new_path(spark, "recordings")
 
 
 # -- stand-ins -------------------------------------------------------------------
@@ -730,6 +729,71 @@ def session_vitals(spark, sf):
     return found.select(KEY, "n", (F.round("mean_x", 9) + 0.0).alias("mean_x"), *(R(n).alias(n) for n in ("sample_rate_hz", *L.PEAKS)))
 
 
+# -- long recordings ------------------------------------------------------------------------
+
+
+def long_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """All samples as three recordings, a third of the table each; the rate is taken as 2 Hz."""
+    return samples(spark, sf).withColumn(KEY, F.col(KEY) % 3)
+
+
+@query
+def long_unwrap(spark, sf):
+    """The samples as angles, unwrapped by the three rules."""
+    angle = long_samples(spark, sf).select(KEY, "seq", (F.col("x") / 80).alias("angle"))
+    by_rule = [K.unwrapped(angle, rule=rule, out=rule) for rule in K.UNWRAPS]
+    joined = by_rule[0].join(by_rule[1], [KEY, "seq"]).join(by_rule[2], [KEY, "seq"])
+    return joined.select(KEY, "seq", *(R(rule).alias(rule) for rule in K.UNWRAPS))
+
+
+@query
+def long_turned_phase(spark, sf):
+    """The samples' sine and cosine as phasors, turned by the running angles between them."""
+    angle = F.col("x") / 80
+    return K.turned_phase(long_samples(spark, sf).select(KEY, "seq", F.cos(angle).alias("re"), F.sin(angle).alias("im"))).withColumn("phase", R("phase"))
+
+
+@query
+def long_integral(spark, sf):
+    s = long_samples(spark, sf).withColumns({"t": F.col("t_ms") % 86_400_000 / 86_400_000 + F.col("seq") / 100, "x": F.col("x") / 1000})
+    return K.running_integrals(s, "x", "t", ["velocity", "path"]).select(KEY, "seq", R("velocity").alias("velocity"), (F.round("path", 3) + 0.0).alias("path"))
+
+
+@query
+def long_rebase(spark, sf):
+    return K.rebased(long_samples(spark, sf)).select(KEY, "seq", R("since_min").alias("since_min"), R("since_first").alias("since_first"))
+
+
+@query
+def long_clean(spark, sf):
+    return K.clean_signal(gappy(spark, sf).withColumn(KEY, F.col(KEY) % 3)).withColumn("x", R("x"))
+
+
+@query
+def long_bandpass_causal(spark, sf):
+    return K.filter_causal(long_samples(spark, sf), 2.0, (0.1, 0.4)).withColumn("y", R("y"))
+
+
+@query
+def long_bandpass_clean(spark, sf):
+    return K.filter_clean(long_samples(spark, sf), 2.0, (0.1, 0.4)).withColumn("y", R("y"))
+
+
+@query
+def long_bandpass_zero_phase(spark, sf):
+    return K.filter_zero_phase(long_samples(spark, sf), 2.0, (0.1, 0.4)).withColumn("y", R("y"))
+
+
+@query
+def long_average(spark, sf):
+    return K.moving_average(long_samples(spark, sf), 2.0, 20.0).withColumn("y", R("y"))
+
+
+@query
+def long_spectrum(spark, sf):
+    return K.band_spectra(long_samples(spark, sf), 2.0, (0.1, 0.7)).select(KEY, R("hz").alias("hz"), R("power").alias("power"))
+
+
 flagship = session_vitals
 
 
