@@ -41,6 +41,66 @@ def sessions(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[obje
         yield current, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
+def starts(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows at which a key changes, the first one included."""
+    change = np.zeros(batch.num_rows, bool)
+    change[0] = True
+    for k in keys:
+        column = batch.column(k)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        change[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(change)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """(key values, batches) of each series over sorted batches; a series may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = starts(batch, keys)
+        for a, b in zip(at, [*at[1:], batch.num_rows]):
+            own = batch.slice(int(a), int(b - a))
+            name = tuple(own.column(k)[0].as_py() for k in keys)
+            if held and name != last:
+                yield last, held
+                held = []
+            last = name
+            held.append(own)
+    if held:
+        yield last, held
+
+
+def per_series(df: DataFrame, x: str, f: Callable[[np.ndarray], dict], schema: str, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of ``f`` for the values of each series in order: a dict of arrays of equal length, the keys aside."""
+    fields = StructType.fromDDL(schema)
+    full = StructType([*(df.schema[k] for k in keys), *fields])
+    types = to_arrow_schema(full)
+
+    def run(batches):
+        names, found, n = [], [], 0
+
+        def gathered():
+            sizes = [len(d[types.names[-1]]) for d in found]
+            own = [pa.array([name[i] for name, size in zip(names, sizes) for _ in range(size)], types.field(k).type) for i, k in enumerate(keys)]
+            own += [pa.array(np.concatenate([d[c.name] for d in found]), types.field(c.name).type, from_pandas=False) for c in fields]
+            return pa.RecordBatch.from_arrays(own, schema=types)
+
+        for name, own in runs(batches, keys):
+            names.append(name)
+            found.append(f(np.concatenate([b.column(x).to_numpy(zero_copy_only=False) for b in own]).astype(float)))
+            n += len(found[-1][types.names[-1]])
+            if n >= GATHERED:
+                yield gathered()
+                names, found, n = [], [], 0
+        if n:
+            yield gathered()
+
+    return df.select(*keys, *order, x).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
+
+
 def per_session(df: DataFrame, columns: list[str], f: Callable[[pd.DataFrame], dict], schema: str, key: str = "session_id", order: str = "seq") -> DataFrame:
     """Rows of ``f`` for each session: a dict of columns of equal length, the key aside.
 

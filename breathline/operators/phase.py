@@ -1,15 +1,17 @@
-"""Phase unwrapping and short spectra over (key, bin) series, natively."""
+"""Phase unwrapping over (key, bin) series in native expressions, and their spectra."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import FRAME_RESP_BAND, HEART_BAND
 from .cleaning import clean_signal
+from .grouped import per_series
 from .timing import KEYS, ORDER, ordered, so_far, whole
 
 _PI = math.pi
@@ -52,26 +54,22 @@ def differential_phase(long: DataFrame, keys=("session_id", "bin"), order=ORDER)
     return d.withColumn("phase", F.col("_sum") - F.coalesce(line, F.lit(0.0))).drop("ur", "ui", "_sum", "_i")
 
 
-#: Rows of a series up to which its spectrum is taken natively.
-MOST_NATIVE = 2_048
-
-
 def dft_power(df: DataFrame, x: str, keys=KEYS, order=ORDER, window: str = "hann") -> DataFrame:
-    """Power by frequency number k of short series, mean-free and windowed, by a join with 0 .. n/2.
+    """Power by frequency number k of whole series, mean-free and windowed.
 
-    n * n/2 rows a series. A series of more than MOST_NATIVE rows is an error: such
-    recordings are for the grouped spectra of ``folds``, which use an FFT.
+    One exchange by series and one FFT each, many series an Arrow batch; a worker holds
+    one series. What isn't a number counts as the mean.
     """
-    all_rows = W.partitionBy(*keys)
-    d = df.withColumns({"i": F.row_number().over(ordered(keys, order)) - 1, "n": F.count("*").over(all_rows), "mean": F.avg(x).over(all_rows)})
-    d = d.withColumn("n", F.when(F.col("n") <= MOST_NATIVE, F.col("n")).otherwise(F.raise_error(F.lit(f"series of more than {MOST_NATIVE} rows need the grouped spectra")).cast("long")))
-    hann = 0.5 - 0.5 * F.cos(2 * _PI * F.col("i") / (F.col("n") - 1))
-    d = d.withColumn("y", (F.col(x) - F.col("mean")) * (hann if window == "hann" else F.lit(1.0)))
-    d = d.select(*keys, "i", "n", "y", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int"))).alias("k"))
-    # The turn is reduced first: i * k mod n is exact.
-    turn = 2 * _PI * ((F.col("i") * F.col("k")) % F.col("n")) / F.col("n")
-    s = d.groupBy(*keys, "k").agg(F.first("n").alias("n"), F.sum(F.col("y") * F.cos(turn)).alias("c"), F.sum(F.col("y") * F.sin(turn)).alias("s"))
-    return s.select(*keys, "k", "n", (F.col("c") * F.col("c") + F.col("s") * F.col("s")).alias("power"))
+
+    def power(v: np.ndarray) -> dict:
+        n = len(v)
+        good = np.isfinite(v)
+        y = np.where(good, v - (v[good].mean() if good.any() else 0.0), 0.0)
+        if window == "hann":
+            y = y * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / max(n - 1, 1)))
+        return {"k": np.arange(n // 2 + 1, dtype=np.int32), "n": np.full(n // 2 + 1, n), "power": np.abs(np.fft.rfft(y)) ** 2}
+
+    return per_series(df.withColumn(x, F.col(x).cast("double")), x, power, "k int, n long, power double", list(keys), list(order))
 
 
 def band_top(power: DataFrame, rates: DataFrame, band: tuple[float, float], keys=KEYS) -> DataFrame:
