@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from .operators.bins import session_plan
 from .plans import vitals as V
 from .sources import recordings as S
+from .sources.files import analyse_files
 
 ANALYSERS = {"radar": (V.radar_vitals, V.RADAR_RESULT), "imu": (V.imu_vitals, V.IMU_RESULT)}
 
@@ -57,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     kind, sensor = a.command.split("-")
     analyse, names = ANALYSERS[sensor]
-    failed = _print(analyse(S.scan_csv(spark, a.path, sensor, None if kind == "batch" else "*.csv")), names)
+    failed = _print(analyse_files(spark, a.path, sensor, analyse, None if kind == "batch" else "*.csv"), names)
     return int(failed > 0 and kind == "plot")
 
 

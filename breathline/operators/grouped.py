@@ -1,6 +1,6 @@
 """Numpy functions over whole recordings: one exchange by session, many sessions an Arrow batch.
 
-Spark exchanges and sorts the rows by session and order; a worker cuts its sorted
+Rows of a store that is clustered by session need no exchange. Spark exchanges and sorts the rows by session and order; a worker cuts its sorted
 batches into sessions and gathers the results of many before it hands them on. It
 holds the rows of one session and one batch.
 """
@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -73,6 +74,16 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         yield last, held
 
 
+def placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a series together and in order, with their number in it.
+
+    The window asks Spark for that; a table clustered by the keys has it without an
+    exchange. (A repartition of such a table can be left out with its buckets unread.)
+    """
+    free = "_place" + "_" * max(map(len, df.columns))
+    return df.withColumn(free, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def per_series(df: DataFrame, x: str, f: Callable[[np.ndarray], dict], schema: str, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of ``f`` for the values of each series in order: a dict of arrays of equal length, the keys aside."""
     fields = StructType.fromDDL(schema)
@@ -98,7 +109,7 @@ def per_series(df: DataFrame, x: str, f: Callable[[np.ndarray], dict], schema: s
         if n:
             yield gathered()
 
-    return df.select(*keys, *order, x).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
+    return placed(df.select(*keys, *order, x), keys, order).mapInArrow(run, full)
 
 
 def per_session(df: DataFrame, columns: list[str], f: Callable[[pd.DataFrame], dict], schema: str, key: str = "session_id", order: str = "seq") -> DataFrame:
@@ -127,8 +138,7 @@ def per_session(df: DataFrame, columns: list[str], f: Callable[[pd.DataFrame], d
         if n:
             yield _batch(out, types)
 
-    ordered = df.select(key, order, *columns).repartition(key).sortWithinPartitions(key, order)
-    return ordered.mapInArrow(run, full)
+    return placed(df.select(key, order, *columns), [key], [order]).mapInArrow(run, full)
 
 
 def _batch(parts: list[list], types: pa.Schema) -> pa.RecordBatch:

@@ -93,7 +93,6 @@ q AS (SELECT session_id, list_transform(p, lambda v: try_cast(v AS DOUBLE)) AS p
 SELECT session_id, p[1] AS "Timestamp_ms", p[2] AS "RawADC", p[3] AS "Voltage_mV" FROM q WHERE len(p) = 3 AND len(list_filter(p, lambda v: v IS NULL)) = 0""",
     "imu_line_parse": f"""WITH a AS ({AXES}) SELECT session_id, seq * 50.0::DOUBLE AS "Time_ms", seq::DOUBLE AS ax, gy AS ay, gz AS az, seq::DOUBLE AS gx, gy, gz FROM a WHERE seq % 13 <> 0""",
     "json_array_roundtrip": f"WITH f AS ({F}), r AS (SELECT seq, list_transform(re, lambda x: round(x, 8)) AS b FROM f) SELECT seq, len(b)::INTEGER AS n, round(list_reduce(list_prepend(0.0::DOUBLE, b), lambda a, x: a + x), 10) + 0.0 AS total, b[4] + 0.0 AS fourth FROM r",
-    "sensor_detect": "SELECT * FROM (VALUES ('r', 'radar'), ('f', 'a121'), ('i', 'imu'), ('both', 'radar')) t(name, sensor)",
     "session_list_topk": "SELECT o_orderkey AS id, lower(o_orderpriority) AS sensor, strftime(o_orderdate, '%Y-%m-%d') AS started_at, o_custkey % 9 AS sample_count FROM orders ORDER BY id DESC LIMIT 500",
     "catalogue_union": """WITH o AS (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 500)
 SELECT 'file' AS source, 'radar' AS sensor, c_name AS label, '' AS samples, '/raw/' || c_name AS path FROM customer
@@ -420,10 +419,10 @@ SELECT session_id, seq, round(x, 6) + 0.0 AS g_x, round(y, 6) + 0.0 AS g_y, roun
 
 # -- stores, histories, bins ----------------------------------------------------------------
 
-SQL["csv_radar"] = f'WITH s AS ({S}) SELECT t_ms AS "Timestamp_ms", x * 10 AS "RawADC", x AS "Voltage_mV" FROM s'
-SQL["csv_imu"] = f"""WITH a AS ({AXES}) SELECT 'imu' AS sensor, seq * 50.0::DOUBLE AS "Time_ms", ax, ay, az, gx, gy, gz FROM a"""
+SQL["csv_radar"] = f'WITH s AS ({S}) SELECT session_id, t_ms AS "Timestamp_ms", x * 10 AS "RawADC", x AS "Voltage_mV" FROM s'
+SQL["csv_imu"] = f"""WITH a AS ({AXES}) SELECT session_id, seq * 50.0::DOUBLE AS "Time_ms", ax, ay, az, gx, gy, gz FROM a"""
 SQL["csv_frames"] = f"""WITH f AS ({F}), mag AS ({MAG}), p AS ({PEAK})
-SELECT seq AS "Frame", round(0.2::DOUBLE + peak_bin * 0.02::DOUBLE, 6) + 0.0 AS peak_distance_m, round(list_max(a), 6) + 0.0 AS peak_amplitude, 32::INTEGER AS n_bins, round(list_sum(list_transform(re, lambda x: round(x, 8))), 8) + 0.0 AS total_re FROM p"""
+SELECT session_id, seq AS "Frame", round(0.2::DOUBLE + peak_bin * 0.02::DOUBLE, 6) + 0.0 AS peak_distance_m, round(list_max(a), 6) + 0.0 AS peak_amplitude, 32::INTEGER AS n_bins, round(list_sum(list_transform(re, lambda x: round(x, 8))), 8) + 0.0 AS total_re FROM p"""
 SQL["session_store"] = f"""WITH s AS ({S}) SELECT 1 + session_id % 2 AS id, 'radar' AS sensor, count(*) AS sample_count, true AS stopped, count(*) AS n, round(avg(x), 6) + 0.0 AS mean_mv FROM s GROUP BY session_id % 2"""
 SQL["snapshot_since"] = f"WITH s AS ({S}) SELECT session_id, seq, x FROM s QUALIFY session_id % 3 = 0 OR seq > max(seq) OVER (PARTITION BY session_id) - session_id * 7"
 SQL["bounded_history"] = f"WITH s AS ({S}) SELECT session_id, seq, x FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= greatest(32, round_even(30 * greatest(session_id % 3 / 10, 1) * 1.2::DOUBLE, 0))"
@@ -674,3 +673,15 @@ for _name in ("time_rebase", "clean_signal", "bandpass_causal", "bandpass_causal
 SQL["long_average"] = f"""WITH RECURSIVE s AS ({WHOLE}), i AS MATERIALIZED ({numbered("s")}),
 r(session_id, i, y) AS (SELECT session_id, 1::BIGINT, x FROM i WHERE i = 1 UNION ALL SELECT i.session_id, i.i, exp(-1 / 40::DOUBLE) * y + (1 - exp(-1 / 40::DOUBLE)) * i.x FROM r JOIN i ON i.session_id = r.session_id AND i.i = r.i + 1)
 SELECT session_id, seq, round(y, 6) + 0.0 AS y FROM r JOIN i USING (session_id, i)"""
+
+
+# -- files and the clustered store -----------------------------------------------------
+
+_RADAR_NAMES, _IMU_NAMES = "['Timestamp_ms', 'RawADC', 'Voltage_mV']", "['Time_ms', 'ax', 'ay', 'az', 'gx', 'gy', 'gz']"
+_FRAME_NAMES = "['Timestamp_ms', 'Frame', 'PeakDistance_m', 'PeakAmplitude', 'PeakPhase_rad', 'MeanAmplitude', 'Distances_m', 'Amplitude', 'Phase', 'Real', 'Imag']"
+SQL["sensor_detect"] = f"""WITH p AS (SELECT p_partkey, [{_RADAR_NAMES}, list_append({_FRAME_NAMES}, 'extra'), {_IMU_NAMES}, list_concat({_RADAR_NAMES}, {_IMU_NAMES}), {_RADAR_NAMES}[1:2], list_concat({_FRAME_NAMES}[1:10], {_IMU_NAMES})][p_size % 6 + 1] AS c FROM part)
+SELECT p_partkey, CASE WHEN list_has_all(c, {_RADAR_NAMES}) THEN 'radar' WHEN list_has_all(c, {_FRAME_NAMES}) THEN 'a121' WHEN list_has_all(c, {_IMU_NAMES}) THEN 'imu' END AS sensor FROM p"""
+SQL["batch_radar"] = f"""SELECT session_id::VARCHAR AS session_id, sample_rate_hz, peak_frequency_hz, peak_speed_mps, error FROM ({SQL["radar_vitals"]})
+UNION ALL SELECT 'respiratory_6axis_raw_' || k || '.csv', NULL, NULL, NULL, 'missing radar columns: Timestamp_ms, RawADC, Voltage_mV' FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey <= 3)"""
+SQL["batch_imu"] = SQL["imu_vitals"]
+SQL["clustered_store"] = f"""WITH s AS ({S}) SELECT session_id, 'radar' AS sensor, count(*) + (session_id % 2 = 0)::INT AS sample_count, count(*) AS n, round(avg(x), 6) + 0.0 AS mean_mv, min_by(x, seq) AS first_mv FROM s GROUP BY 1"""

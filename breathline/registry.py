@@ -23,9 +23,11 @@ from .operators import phase as P
 from .operators import timing as T
 from .plans import views
 from .plans import vitals as V
-from .schemas import A121_COLUMNS, IMU_COLUMNS, RADAR_COLUMNS, detect_sensor
+from .schemas import A121_COLUMNS, IMU_COLUMNS, RADAR_COLUMNS, detected
 from .shared import new_path
+from .sources import files as N
 from .sources import recordings as S
+from .sources.clustered import ClusteredStore
 from .streaming import live
 
 KEY = "session_id"
@@ -121,29 +123,63 @@ def imu_line_parse(spark, sf):
 
 
 def _stored(spark, df, sensor):
-    """The samples written as one CSV recording and scanned again."""
+    """The sessions written as named CSV files, listed, scanned again; session_id is what the files are named after."""
     path = scratch(spark)
-    return S.scan_csv(spark, S.save_csv(df, path, sensor), sensor)
+    N.save_recordings(df, path, sensor)
+    listed = S.list_files(spark, path, sensor).select(F.col("label").alias(KEY))
+    return N.scan_files(spark, path, sensor)[0].join(listed, KEY).withColumn(KEY, N.session_of(KEY, sensor).cast("long"))
+
+
+def voltages(spark, sf):
+    return samples(spark, sf).select(KEY, "seq", F.col("t_ms").alias("Timestamp_ms"), (F.col("x") * 10).alias("RawADC"), F.col("x").alias("Voltage_mV"))
 
 
 @query
 def csv_radar(spark, sf):
-    s = samples(spark, sf).select(F.col("seq"), F.col("t_ms").alias("Timestamp_ms"), (F.col("x") * 10).alias("RawADC"), F.col("x").alias("Voltage_mV"))
-    return _stored(spark, s, "radar").select(*RADAR_COLUMNS)
+    return _stored(spark, voltages(spark, sf), "radar").select(KEY, *RADAR_COLUMNS)
 
 
 @query
 def csv_imu(spark, sf):
-    a = axes(spark, sf)
-    sensor, back = S.open_csv(spark, S.save_csv(a.withColumn("seq", F.col(KEY) * 1_000_000 + F.col("seq")), scratch(spark), "imu"))
-    return back.select(F.lit(sensor).alias("sensor"), *IMU_COLUMNS)
+    return _stored(spark, axes(spark, sf), "imu").select(KEY, *IMU_COLUMNS)
 
 
 @query
 def csv_frames(spark, sf):
     back = _stored(spark, frame_samples(spark, sf), "a121")
     total = F.aggregate("Real", F.lit(0.0), lambda s, x: s + x)
-    return back.select("Frame", R("PeakDistance_m").alias("peak_distance_m"), R("PeakAmplitude").alias("peak_amplitude"), F.size("Imag").alias("n_bins"), (F.round(total, 8) + 0.0).alias("total_re"))
+    return back.select(KEY, "Frame", R("PeakDistance_m").alias("peak_distance_m"), R("PeakAmplitude").alias("peak_amplitude"), F.size("Imag").alias("n_bins"), (F.round(total, 8) + 0.0).alias("total_re"))
+
+
+@query
+def batch_radar(spark, sf):
+    """All recordings of a folder in one job; one of its files has another sensor's columns."""
+    path = scratch(spark)
+    N.save_recordings(radar_samples(spark, sf).withColumn("RawADC", F.lit(0.0)), path, "radar")
+    N.save_recordings(axes(spark, sf).where(F.col(KEY) <= 3).withColumn(KEY, F.concat(F.lit("respiratory_6axis_raw_"), F.col(KEY), F.lit(".csv"))), path, "imu")
+    found = N.analyse_files(spark, path, "radar", V.radar_vitals, "r*.csv").withColumn(KEY, N.session_of(KEY, "radar"))
+    return _rounded(found, V.RADAR_RESULT)
+
+
+@query
+def batch_imu(spark, sf):
+    path = scratch(spark)
+    N.save_recordings(axes(spark, sf).withColumn("Time_ms", F.col("seq") * 40.0), path, "imu")
+    return _rounded(N.analyse_files(spark, path, "imu", V.imu_vitals).withColumn(KEY, N.session_of(KEY, "imu").cast("long")), V.IMU_RESULT)
+
+
+@query
+def clustered_store(spark, sf):
+    """Samples of all sessions in a clustered store: appended in two parts, compacted, joined to their sessions."""
+    store, s = ClusteredStore(spark, scratch(spark), 8), voltages(spark, sf)
+    for half in (0, 1):
+        store.append("radar", s.where(F.col("seq") % 2 == half))
+    store.record(s.groupBy(KEY).agg(F.count("*").alias("sample_count")).select(KEY, F.lit("radar").alias("sensor"), "sample_count", F.lit(0).alias("seq")))
+    store.compact("radar")
+    store.record(store.sessions().where(F.col(KEY) % 2 == 0).select(KEY, "sensor", (F.col("sample_count") + 1).alias("sample_count"), F.lit(1).alias("seq")))
+    first = F.col("seq") == F.min("seq").over(W.partitionBy(KEY))
+    marked = store.joined("radar").withColumn("first", first)
+    return marked.groupBy(KEY, "sensor", "sample_count").agg(F.count("*").alias("n"), R(F.avg("voltage_mv")).alias("mean_mv"), F.max(F.when(F.col("first"), F.col("voltage_mv"))).alias("first_mv"))
 
 
 @query
@@ -170,8 +206,11 @@ def json_array_roundtrip(spark, sf):
 
 @query
 def sensor_detect(spark, sf):
-    found = [(name, detect_sensor(columns)) for name, columns in (("r", RADAR_COLUMNS), ("f", [*A121_COLUMNS, "extra"]), ("i", IMU_COLUMNS), ("both", RADAR_COLUMNS + IMU_COLUMNS))]
-    return spark.createDataFrame(found, "name string, sensor string")
+    """Sensors of a catalogue's entries by their column names, some with more columns, some with too few."""
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 6).alias("kind"))
+    names = [RADAR_COLUMNS, [*A121_COLUMNS, "extra"], IMU_COLUMNS, RADAR_COLUMNS + IMU_COLUMNS, RADAR_COLUMNS[:2], A121_COLUMNS[:-1] + IMU_COLUMNS]
+    columns = F.array(*(F.array(*(F.lit(c) for c in own)) for own in names))
+    return p.select("p_partkey", detected(columns[F.col("kind").cast("int")]).alias("sensor"))
 
 
 def sessions(spark, sf):

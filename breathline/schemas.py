@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _D = T.DoubleType()
@@ -35,6 +37,14 @@ def detect_sensor(columns: Iterable[str]) -> str:
     raise ValueError("no known sensor has these columns: " + ", ".join(sorted(have)))
 
 
+def detected(columns: Column) -> Column:
+    """``detect_sensor`` of an array of column names; null where no sensor has these."""
+    found = F.lit(None).cast("string")
+    for sensor in ("imu", "a121", "radar"):
+        found = F.when(F.size(F.array_except(F.array(*(F.lit(c) for c in COLUMNS[sensor])), columns)) == 0, sensor).otherwise(found)
+    return found
+
+
 def require_columns(columns: Iterable[str], sensor: str) -> None:
     missing = [c for c in COLUMNS[sensor] if c not in set(columns)]
     if missing:

@@ -97,14 +97,14 @@ def ordered_ports(available: list[str], preferred: str | None = None) -> list[st
 
 
 def save_csv(df: DataFrame, path: str, sensor: str, order: str = "seq") -> str:
-    """Write a recording; too few rows are an error. Arrays become JSON text."""
+    """Write one recording to a file of its own, named by the time; too few rows are an error. Its path."""
+    from .files import file_name, save_recordings
+
     if df.limit(LEAST_ROWS[sensor]).count() < LEAST_ROWS[sensor]:
         raise ValueError(f"fewer than {LEAST_ROWS[sensor]} samples")
-    if sensor == "a121":
-        df = df.withColumns({c: encode_array(c) for c in FRAME_ARRAYS})
-    out = f"{path}/{BATCH_GLOB[sensor].replace('_*_', '_6axis_').replace('*.csv', '')}{datetime.now():%Y-%m-%d_%H-%M-%S}.csv"
-    df.orderBy(order).select(*COLUMNS[sensor]).write.option("header", True).csv(out)
-    return out
+    stamp = f"{datetime.now():%Y-%m-%d_%H-%M-%S}"
+    save_recordings(df.withColumn("session_id", F.lit(stamp)), path, sensor, order=order)
+    return f"{path.rstrip('/')}/{file_name(sensor, stamp)}"
 
 
 def list_files(spark: SparkSession, path: str, sensor: str) -> DataFrame:
@@ -184,6 +184,8 @@ class SessionStore:
         import json
 
         old = self.sessions().where(F.col("id") == session_id).first()
+        if old is None:
+            raise ValueError(f"no session {session_id}")
         self._append(**old.asDict() | {"stopped_at": f"{datetime.now():%Y-%m-%dT%H:%M:%S}", "sample_count": sample_count, "stats_json": json.dumps(stats)})
 
     def load(self, session_id: int, sensor: str) -> DataFrame:
