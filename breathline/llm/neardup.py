@@ -246,13 +246,39 @@ def _links(rows: DataFrame, leaders: DataFrame, linked, name: str) -> tuple[Data
     return links, paths
 
 
+def _texts(rows: DataFrame, wanted: DataFrame, several: DataFrame, words: int) -> DataFrame:
+    """key, id, data, blocks: a text of each wanted class (node, key, blocks, of, fingerprint).
+
+    Where a doc_id has several texts, its rows' fingerprints tell which class is whose.
+    """
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    columns = ["key", F.col("node").alias("id"), F.col("text").alias("data"), "blocks"]
+    some = not several.isEmpty()
+    single = wanted.join(several, "of", "left_anti") if some else wanted
+    texts = rows.join(small(single), rows.doc_id == F.col("of")).select(*columns)
+    if not some:
+        return texts
+
+    def told(batches):
+        release()
+        for batch in batches:
+            own = batch.column("text").to_pylist()
+            marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for x, y in slices(own) for s in shingle_sets(own[x:y], words)]
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), batch.column("text")], ["fingerprint", "text"])
+
+    many = wanted.join(several, "of", "left_semi")
+    asked = rows.join(small(many.select(F.col("of").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
+    known = asked.mapInArrow(told, "fingerprint binary, text string").where("fingerprint is not null").groupBy("fingerprint").agg(F.min("text").alias("text"))
+    return texts.unionByName(known.join(many, "fingerprint").select(*columns))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the near-duplicate class of every row.
 
     component_id is the smallest doc_id reachable over links of at least
     ``percent`` % similarity; kept says that it is the row's own. Null or wordless
     texts have no shingles and no links. Rows that share a doc_id are one node:
-    each has the links of all. A row with a null doc_id links nothing; its
+    each has the links of all; the work grows with their number. A row with a null doc_id links nothing; its
     component_id is null and it is kept. Ties don't occur: classes are unordered.
     """
     spark = docs.sparkSession
@@ -271,9 +297,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fingerprint, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fingerprint", "sig"])
 
     described, described_path = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, fingerprint binary, sig binary"), "shingles")
-    classes, classes_path = materialise(
-        described.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "classes"
-    )
+    grouped = described.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint")
+    grouped = grouped.agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
+    # Classes are told by numbers of their own: one doc_id may have many texts.
+    classes, classes_path = materialise(grouped.withColumn("number", F.monotonically_increasing_id()), "classes")
+    numbered = classes.select(F.col("number").alias("id"), "sig")
 
     # Postings.
     def coordinates(batches):
@@ -283,10 +311,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             ids = np.repeat(batch.column("id").to_numpy(), COORDINATES)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((sig | place).ravel().astype(np.int64))], ["id", "pair"])
 
-    posted = classes.select("id", "sig").mapInArrow(coordinates, "id long, pair long")
+    posted = numbered.mapInArrow(coordinates, "id long, pair long")
     frequent, frequent_path = materialise(posted.groupBy("pair").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
     total = frequent.agg(F.sum("df")).first()[0] or 0
-    shared = with_hot(posted, frequent, "pair", "df", total).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("pairs"))  # at most 64 (per row of an id)
+    shared = with_hot(posted, frequent, "pair", "df", total).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("pairs"))  # at most 64
     prefix = F.expr(f"slice(pairs, 1, greatest(0, size(pairs) - {COORDINATES - PREFIX}))")
     postings, postings_path = materialise(shared.select("id", F.explode(prefix).alias("p")).select("id", "p.pair", "p.df"), "postings")
 
@@ -297,7 +325,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16)[::2].reshape(-1, COORDINATES)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sig], pa.binary())], ["id", "sig"])
 
-    short = classes.select("id", "sig").mapInArrow(halved, "id long, sig binary")
+    short = numbered.mapInArrow(halved, "id long, sig binary")
     blocks = F.ceil(F.col("df") / LIST_BLOCK)
     members = postings.join(short, "id").select(F.col("pair").alias("key"), "id", F.col("sig").alias("data"), blocks.alias("blocks"))
     leaders = members.where("blocks > 1").groupBy("key").agg(F.min_by("data", "id").alias("data"), F.min("id").alias("id"), F.max("blocks").alias("blocks"))
@@ -306,15 +334,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     discard(spark, frequent_path, postings_path, *match_paths)
 
     # Links: full sets within candidate clusters; a cluster's root is its leader.
-    sizes = clusters.join(classes.groupBy("id").agg(F.sum("n").alias("n")), clusters.node == F.col("id")).groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    sizes = clusters.join(classes.select(F.col("number").alias("node"), "n"), "node").groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("members") / CLUSTER_BLOCK, F.col("shingles") * 8 / CLUSTER_BYTES))
     sizes = sizes.select("root", "members", blocks.alias("blocks"))
-    wanted, wanted_path = materialise(with_hot(clusters, sizes, "root", "members", clusters.count()).select("node", F.col("root").alias("key"), "blocks"), "members")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = rows.join(few, rows.doc_id == F.col("node")).select("key", F.col("doc_id").alias("id"), F.col("text").alias("data"), "blocks")
+    placed = with_hot(clusters, sizes, "root", "members", clusters.count()).select("node", F.col("root").alias("key"), "blocks")
+    own = classes.select(F.col("number").alias("node"), F.col("id").alias("of"), "fingerprint")
+    wanted, wanted_path = materialise(placed.join(own, "node"), "members")
+    several, several_path = materialise(classes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("of")), "several-texts")
+    texts = _texts(rows, wanted, several, words)
     links, link_paths = _links(texts, texts.where("id = key and blocks > 1"), _FullSets(words, percent), "confirmed")
-    roots, roots_path = materialise(components(links), "roots")
-    discard(spark, clusters_path, wanted_path, *link_paths)
+    named = links.join(own.select(F.col("node").alias("a"), F.col("of").alias("of_a")), "a").join(own.select(F.col("node").alias("b"), F.col("of").alias("of_b")), "b")
+    roots, roots_path = materialise(components(named.where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))), "roots")
+    discard(spark, clusters_path, wanted_path, several_path, *link_paths)
 
     found = classes.select("fingerprint", "copies", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("fingerprint", "copies", F.coalesce("root", "id").alias("root"))
     # A doc_id with several texts takes the smallest root of them.

@@ -186,3 +186,18 @@ def test_forest():
     f = _Forest(np.array([5, 9, 5, 7]))
     f.join(0, np.array([3]))
     assert sorted(zip(*(x.tolist() for x in f.stars(np.array([5, 9, 5, 7]))))) == [(7, 5)]
+
+
+def test_many_texts_of_one_id(spark):
+    """Chunks under one doc_id, short and different: work grows with their number, near copies are found."""
+    import time
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = [" ".join(word() for _ in range(12)) for _ in range(5_000)]
+    copies = [" ".join([*texts[k].split(), "tail"]) for k in range(0, 5_000, 500)]
+    rows = [(7, t) for t in texts] + [(1_000 + k, t) for k, t in enumerate(copies)] + [(9_000, texts[1]), (9_001, word())]
+    began = time.time()
+    found = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("doc_id > 7").collect()}
+    assert time.time() - began < 200
+    assert all(found[1_000 + k].component_id == 7 for k in range(10)) and found[9_000].component_id == 7 and found[9_001].kept
