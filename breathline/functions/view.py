@@ -111,8 +111,12 @@ def _traced(view: View, rows: list[dict]) -> list[dict]:
 
 def framed(view: View, rows: list[dict], recent: Recent) -> tuple[View, list[dict]]:
     """Frames that came together: (view, outputs). Repeated and late ones are dropped."""
-    last = view.chain.last_frame
-    new = [r for r in rows if last is None or r["frame"] is None or r["frame"] > last]
+    last, new = view.chain.last_frame, []
+    for r in rows:  # before the rate is estimated from them
+        number = r.get("frame")
+        if number is None or last is None or number > last:
+            new.append(r)
+            last = last if number is None else number
     out = _traced(view, new)
     for r in new:
         second = int(r["timestamp_ms"] // 1000)
