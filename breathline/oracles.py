@@ -423,6 +423,14 @@ SQL["csv_radar"] = f'WITH s AS ({S}) SELECT session_id, t_ms AS "Timestamp_ms",
 SQL["csv_imu"] = f"""WITH a AS ({AXES}) SELECT session_id, seq * 50.0::DOUBLE AS "Time_ms", ax, ay, az, gx, gy, gz FROM a"""
 SQL["csv_frames"] = f"""WITH f AS ({F}), mag AS ({MAG}), p AS ({PEAK})
 SELECT session_id, seq AS "Frame", round(0.2::DOUBLE + peak_bin * 0.02::DOUBLE, 6) + 0.0 AS peak_distance_m, round(list_max(a), 6) + 0.0 AS peak_amplitude, 32::INTEGER AS n_bins, round(list_sum(list_transform(re, lambda x: round(x, 8))), 8) + 0.0 AS total_re FROM p"""
+SQL["sweep_frames"] = """WITH e AS (SELECT label::BIGINT AS session_id, vec_id AS seq, embedding::DOUBLE[] AS v, CASE WHEN vec_id % 3 = 0 THEN [2, 3] ELSE [0, 1, 2, 3] END AS s,
+  CASE WHEN vec_id % 5 <> 1 THEN vec_id / 64::DOUBLE END AS tick FROM embeddings),
+m AS (SELECT *, list_transform(range(1, 9), lambda p: list_sum(list_transform(s, lambda n: v[16 * n + p])) / len(s)) AS re, list_transform(range(1, 9), lambda p: list_sum(list_transform(s, lambda n: v[16 * n + 8 + p])) / len(s)) AS im FROM e),
+a AS (SELECT *, list_transform(range(1, 9), lambda p: sqrt(re[p] * re[p] + im[p] * im[p])) AS a, row_number() OVER w - 1 AS frame, min(tick) OVER w AS first FROM m WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+p AS (SELECT *, list_position(a, list_max(a)) AS peak FROM a)
+SELECT session_id, seq, frame AS "Frame", round(1000 + coalesce((tick - first) * 1000, frame * 1000 / 32::DOUBLE), 6) + 0.0 AS timestamp_ms,
+  CASE WHEN seq % 2 = 0 THEN 0.25::DOUBLE + (peak - 1) * 0.125::DOUBLE ELSE (peak - 1)::DOUBLE END AS peak_distance_m, round(list_max(a), 6) + 0.0 AS peak_amplitude, round(atan2(im[peak], re[peak]), 6) + 0.0 AS peak_phase_rad,
+  round(list_sum(a) / 8, 6) + 0.0 AS mean_amplitude, 8::INTEGER AS n_points, round(list_sum(re), 6) + 0.0 AS total_re, round(list_sum(im), 6) + 0.0 AS total_im FROM p"""
 SQL["session_store"] = f"""WITH s AS ({S}) SELECT 1 + session_id % 2 AS id, 'radar' AS sensor, count(*) AS sample_count, true AS stopped, count(*) AS n, round(avg(x), 6) + 0.0 AS mean_mv FROM s GROUP BY session_id % 2"""
 SQL["snapshot_since"] = f"WITH s AS ({S}) SELECT session_id, seq, x FROM s QUALIFY session_id % 3 = 0 OR seq > max(seq) OVER (PARTITION BY session_id) - session_id * 7"
 SQL["bounded_history"] = f"WITH s AS ({S}) SELECT session_id, seq, x FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= greatest(32, round_even(30 * greatest(session_id % 3 / 10, 1) * 1.2::DOUBLE, 0))"

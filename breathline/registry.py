@@ -20,6 +20,7 @@ from .operators import chunked as K
 from .operators import cleaning as C
 from .operators import folds as L
 from .operators import phase as P
+from .operators import sweeps as U
 from .operators import timing as T
 from .plans import views
 from .plans import vitals as V
@@ -198,6 +199,29 @@ def session_store(spark, sf):
     return listed.join(loaded, F.col("id") == F.col(KEY)).select("id", "sensor", "sample_count", "stopped", "n", "mean_mv")
 
 
+def sweep_results(spark, sf):
+    """Each vector as four sweeps of eight complex points; a third of the results also has subframes of two sweeps, ticks lack in a fifth, distances fit in half."""
+    e = table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    sweeps = lambda numbers, k: F.array(*(F.slice("v", 16 * n + 8 * k + 1, 8) for n in numbers))
+    frame = lambda *numbers: F.struct(sweeps(numbers, 0).alias("re"), sweeps(numbers, 1).alias("im"))
+    i = F.col("vec_id")
+    return e.select(
+        F.col("label").cast("long").alias(KEY), i.alias("seq"), frame(0, 1, 2, 3).alias("frame"), F.when(i % 3 == 0, F.array(frame(2, 3), frame(0, 1))).alias("subframes"),
+        F.when(i % 5 != 1, i / 64).alias("tick_s"), F.transform(F.sequence(F.lit(0), F.when(i % 2 == 0, 7).otherwise(6)), lambda k: 0.25 + k * 0.125).alias("distances"),
+    )
+
+
+@query
+def sweep_frames(spark, sf):
+    """Results with all their sweeps as rows of recordings."""
+    rows = U.frame_rows(sweep_results(spark, sf), 32.0, 1000.0, "distances")
+    total = lambda c: R(F.aggregate(c, F.lit(0.0), lambda s, x: s + x))
+    return rows.select(
+        KEY, "seq", "Frame", R("Timestamp_ms").alias("timestamp_ms"), R("PeakDistance_m").alias("peak_distance_m"), R("PeakAmplitude").alias("peak_amplitude"), R("PeakPhase_rad").alias("peak_phase_rad"),
+        R("MeanAmplitude").alias("mean_amplitude"), F.size("Real").alias("n_points"), total("Real").alias("total_re"), total("Imag").alias("total_im"),
+    )
+
+
 @query
 def json_array_roundtrip(spark, sf):
     d = frames(spark, sf).withColumn("back", S.decode_array(S.encode_array("re")))
