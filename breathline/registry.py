@@ -30,6 +30,7 @@ from .sources import files as N
 from .sources import recordings as S
 from .sources.clustered import ClusteredStore
 from .streaming import live
+from .streaming.capture import Capture
 
 KEY = "session_id"
 
@@ -199,6 +200,21 @@ def session_store(spark, sf):
     return listed.join(loaded, F.col("id") == F.col(KEY)).select("id", "sensor", "sample_count", "stopped", "n", "mean_mv")
 
 
+@query
+def capture_sinks(spark, sf):
+    """All samples captured as a stream of several micro-batches into stored rows and CSV files; what each sink has of a session."""
+    path, sent = scratch(spark), scratch(spark)
+    voltages(spark, sf).repartitionByRange(4, "seq").write.parquet(sent)
+    capture = Capture(S.SessionStore(spark, f"{path}/store"), f"{path}/csv", "radar")
+    stream = spark.readStream.schema(voltages(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(sent)
+    capture.start(stream, f"{path}/checkpoint", None).awaitTermination()
+    done = capture.finish()
+    files = N.scan_files(spark, capture.folder, "radar")[0].withColumn(KEY, N.session_of(KEY, "radar").cast("long"))
+    of = lambda df, c, name: df.groupBy(KEY).agg(F.count("*").alias(f"n_{name}"), R(F.avg(c)).alias(f"mean_mv_{name}"))
+    both = of(capture.samples(), "voltage_mv", "rows").join(of(files, "Voltage_mV", "file"), KEY, "left")
+    return done.join(both, KEY).select(KEY, "samples", "error", "n_rows", "n_file", "mean_mv_rows", "mean_mv_file")
+
+
 def sweep_results(spark, sf):
     """Each vector as four sweeps of eight complex points; a third of the results also has subframes of two sweeps, ticks lack in a fifth, distances fit in half."""
     e = table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))

@@ -136,6 +136,11 @@ def save_recordings(df: DataFrame, path: str, sensor: str, key: str = "session_i
     few = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") < least) | F.col(key).isNull()).first()
     if few:
         raise ValueError(f"session {few[0]} has fewer than {least} samples" if few[0] is not None else "rows without a session")
+    save_pieces(df, path, sensor, key, order, overwrite)
+
+
+def save_pieces(df: DataFrame, path: str, sensor: str, key: str = "session_id", order: str = "seq", overwrite: bool = True) -> None:
+    """As :func:`save_recordings`, for sessions of any size; files that are there are replaced."""
     if sensor == "a121":
         df = df.withColumns({c: encode_array(c) for c in FRAME_ARRAYS})
     own = df.select(F.col(key).cast("string").alias("session_id"), F.col(order).alias("_order"), *COLUMNS[sensor])

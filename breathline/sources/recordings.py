@@ -158,6 +158,12 @@ class SessionStore:
         df = self.spark.createDataFrame([tuple(row.get(f.split()[0]) for f in SESSIONS.split(", "))], SESSIONS)
         df.withColumn("version", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/sessions")
 
+    def enter(self, sessions: DataFrame) -> None:
+        """Rows of any number of sessions, with the columns of ``SESSIONS``."""
+        names = [f.split() for f in SESSIONS.split(", ")]
+        rows = sessions.select(*(F.col(n).cast(t).alias(n) for n, t in names))
+        rows.withColumn("version", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/sessions")
+
     def _claimed(self, number: int) -> bool:
         """Whether this writer is the one that created the id's marker, which the file system lets only one do."""
         jvm = self.spark._jvm
