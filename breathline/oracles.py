@@ -423,8 +423,8 @@ SQL["csv_radar"] = f'WITH s AS ({S}) SELECT session_id, t_ms AS "Timestamp_ms",
 SQL["csv_imu"] = f"""WITH a AS ({AXES}) SELECT session_id, seq * 50.0::DOUBLE AS "Time_ms", ax, ay, az, gx, gy, gz FROM a"""
 SQL["csv_frames"] = f"""WITH f AS ({F}), mag AS ({MAG}), p AS ({PEAK})
 SELECT session_id, seq AS "Frame", round(0.2::DOUBLE + peak_bin * 0.02::DOUBLE, 6) + 0.0 AS peak_distance_m, round(list_max(a), 6) + 0.0 AS peak_amplitude, 32::INTEGER AS n_bins, round(list_sum(list_transform(re, lambda x: round(x, 8))), 8) + 0.0 AS total_re FROM p"""
-SQL["capture_sinks"] = f"""WITH g AS (SELECT session_id, count(*) AS n, round(avg(x), 6) + 0.0 AS mean_mv FROM ({S}) GROUP BY 1)
-SELECT session_id, n AS samples, CASE WHEN n < 10 THEN 'fewer than 10 samples' END AS error, n AS n_rows, CASE WHEN n >= 10 THEN n END AS n_file, mean_mv AS mean_mv_rows, CASE WHEN n >= 10 THEN mean_mv END AS mean_mv_file FROM g"""
+SQL["capture_sinks"] = f"""WITH g AS (SELECT session_id, count(*) AS n, sum(round(x * 1000)::BIGINT)::BIGINT AS total_uv FROM ({S}) GROUP BY 1)
+SELECT session_id, n AS samples, CASE WHEN n < 10 THEN 'fewer than 10 samples' END AS error, n AS n_rows, CASE WHEN n >= 10 THEN n END AS n_file, total_uv AS total_uv_rows, CASE WHEN n >= 10 THEN total_uv END AS total_uv_file FROM g"""
 SQL["sweep_frames"] = """WITH e AS (SELECT label::BIGINT AS session_id, vec_id AS seq, embedding::DOUBLE[] AS v, CASE WHEN vec_id % 3 = 0 THEN [2, 3] ELSE [0, 1, 2, 3] END AS s,
   CASE WHEN vec_id % 5 <> 1 THEN vec_id / 64::DOUBLE END AS tick FROM embeddings),
 m AS (SELECT *, list_transform(range(1, 9), lambda p: list_sum(list_transform(s, lambda n: v[16 * n + p])) / len(s)) AS re, list_transform(range(1, 9), lambda p: list_sum(list_transform(s, lambda n: v[16 * n + 8 + p])) / len(s)) AS im FROM e),

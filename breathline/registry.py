@@ -210,9 +210,9 @@ def capture_sinks(spark, sf):
     capture.start(stream, f"{path}/checkpoint", None).awaitTermination()
     done = capture.finish()
     files = N.scan_files(spark, capture.folder, "radar")[0].withColumn(KEY, N.session_of(KEY, "radar").cast("long"))
-    of = lambda df, c, name: df.groupBy(KEY).agg(F.count("*").alias(f"n_{name}"), R(F.avg(c)).alias(f"mean_mv_{name}"))
+    of = lambda df, c, name: df.groupBy(KEY).agg(F.count("*").alias(f"n_{name}"), F.sum(F.round(F.col(c) * 1000).cast("long")).alias(f"total_uv_{name}"))
     both = of(capture.samples(), "voltage_mv", "rows").join(of(files, "Voltage_mV", "file"), KEY, "left")
-    return done.join(both, KEY).select(KEY, "samples", "error", "n_rows", "n_file", "mean_mv_rows", "mean_mv_file")
+    return done.join(both, KEY).select(KEY, "samples", "error", "n_rows", "n_file", "total_uv_rows", "total_uv_file")
 
 
 def sweep_results(spark, sf):

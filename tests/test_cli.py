@@ -1,7 +1,10 @@
+import numpy as np
+import pandas as pd
 import pytest
 from test_vitals import doppler
 
 from breathline.cli import main
+from breathline.sources.frame_files import Layout, encoded
 from breathline.sources.serial_lines import LineReader, SerialLines
 
 
@@ -20,6 +23,31 @@ def test_commands(spark, tmp_path, capsys):
         main(["nothing"])
 
 
+def test_capture_commands(spark, tmp_path, capsys):
+    line, out = tmp_path / "tty", tmp_path / "raw"
+    line.write_text("".join(f"{r.Timestamp_ms},{r.RawADC},{r.Voltage_mV}\nnoise\n" for r in doppler().itertuples()))
+    assert main(["capture-radar", "-p", str(line), "-o", str(out), "--seconds", "1"]) == 0
+    said = capsys.readouterr().out
+    (saved,) = out.glob("radar_raw_*.csv")
+    assert f"saved {saved}" in said and "sample_rate_hz=80" in said
+    assert np.allclose(pd.read_csv(saved).to_numpy(), doppler()[["Timestamp_ms", "RawADC", "Voltage_mV"]].to_numpy())
+    line.write_text("1,2,3,4,5,6\n" * 3)
+    assert main(["capture-imu", "-p", str(line), "-o", str(out), "--seconds", "1", "--no-plot"]) == 1
+    assert "fewer than 10 samples" in capsys.readouterr().err
+    line.write_text("")
+    assert main(["capture-imu", "-p", str(line), "-o", str(out), "--seconds", "0"]) == 1
+    assert "no samples" in capsys.readouterr().err
+
+
+def test_frames_of_a_folder(spark, tmp_path, capsys):
+    layout = Layout(0, 1, 2, 20.0, 0.0, 0.25, 0.25)
+    iq = np.zeros((5, 1, 1, 2, 2), int)
+    iq[:, 0, 0, 1, 0] = range(1, 6)
+    (tmp_path / "s.sweeps").write_bytes(layout.head() + encoded(layout, np.full(5, np.nan), iq))
+    assert main(["test-frames", str(tmp_path), "--frames", "2"]) == 0
+    assert capsys.readouterr().out.splitlines() == [f"s frame 00{k}: peak=0.500 m, amplitude={k + 1}.0, phase=0.00 rad" for k in (0, 1)]
+
+
 def test_lines_wait_for_their_end(tmp_path):
     path = tmp_path / "tty"
     path.write_bytes(b"1,2,3\r\n4,5")
