@@ -15,12 +15,65 @@ FIELDS = ("time_s", "raw_phase", "raw_i", "raw_q", "resp_signal", "heart_signal"
 class _Causal:
     """An IIR filter over all bins with its memory; without coefficients it passes values on."""
 
-    def __init__(self, design: tuple[np.ndarray, np.ndarray] | None, m: int, kind=float):
+    def __init__(self, design: tuple[np.ndarray, np.ndarray] | None, m: int):
         self.design = design
-        self.z = None if design is None else np.zeros((max(map(len, design)), m), kind)
+        self.z = None if design is None else np.zeros((max(map(len, design)), m))
 
-    def step(self, v: np.ndarray) -> np.ndarray:
-        return v if self.design is None else dsp.filter_causal(*self.design, v[None, :], self.z)[0]
+    def run(self, x: np.ndarray) -> np.ndarray:
+        return x if self.design is None else dsp.filter_causal(*self.design, x, self.z)
+
+
+class _Average(_Causal):
+    """Exponential average, from the first value on."""
+
+    def __init__(self, keep: float, m: int):
+        super().__init__((np.array([1 - keep]), np.array([1.0, -keep])), m)
+        self.keep, self.begun = keep, False
+
+    def run(self, x: np.ndarray) -> np.ndarray:
+        if not self.begun:
+            self.z[0], self.begun = self.keep * x[0], True
+        return super().run(x)
+
+
+class _Turns:
+    """Running sum of an angle's steps, each taken the short way round; 0 at first."""
+
+    def __init__(self, m: int):
+        self.angle, self.total = None, np.zeros(m)
+
+    def run(self, angle: np.ndarray) -> np.ndarray:
+        steps = np.diff(angle, axis=0, prepend=angle[:1] if self.angle is None else self.angle[None, :])
+        steps -= 2 * np.pi * ((steps > np.pi).astype(float) - (steps < -np.pi))
+        out = np.cumsum(np.vstack([self.total, steps]), axis=0)[1:]
+        self.angle, self.total = angle[-1], out[-1]
+        return out
+
+
+class _Clock:
+    """Which frames are new, and their seconds: always rising, by a frame's length where their times don't."""
+
+    def __init__(self, fs: float):
+        self.frame_s = 1 / max(fs, 1e-9)
+        self.frame = self.ms = self.first_ms = self.seconds = None
+
+    def passes(self, frame: int | None, ms: float) -> bool:
+        last, own = (self.ms, ms) if frame is None else (self.frame, frame)
+        return last is None or own > last
+
+    def tick(self, frame: int | None, ms: float) -> float:
+        self.first_ms = ms if self.first_ms is None else self.first_ms
+        seconds = (ms - self.first_ms) / 1000
+        self.seconds = seconds if self.seconds is None or seconds > self.seconds else self.seconds + self.frame_s
+        self.ms, self.frame = ms, self.frame if frame is None else frame
+        return self.seconds
+
+
+def _mixed(smooth: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """Weights of the bins of each frame: shares of their amplitudes, most of it for the one that leads, so a neighbour can't cancel it."""
+    share = lambda w: w / (w.sum(axis=1, keepdims=True) + 1e-12)
+    weights = share(np.maximum(smooth, 0))
+    return share(0.35 * weights + 0.65 * leads) if len(leads) > 1 and leads.any() else weights
 
 
 class LiveTrace:
@@ -33,15 +86,14 @@ class LiveTrace:
 
     def __init__(self, target_m: float | None = None, use_gating: bool = False, half_width: float = GATE_HALF_WIDTH):
         self.target_m, self.use_gating, self.half_width = target_m, use_gating, half_width
-        self.fs, self.distances, self.selected = 0.0, np.empty(0), None
-        self._forget()
+        self.fs, self.distances, self.selected, self.clock = 0.0, np.empty(0), None, _Clock(0.0)
 
-    def _forget(self) -> None:
-        self.last_frame = self.last_ms = self.first_ms = self.last_s = self.smooth = self.angle = None
+    @property
+    def last_frame(self) -> int | None:
+        return self.clock.frame
 
     def _start(self, fs: float, distances: np.ndarray) -> None:
         m = len(distances)
-        self._forget()
         self.selected = self.selected if self.selected is not None and self.selected < m else None
         self.fs, self.distances = float(fs), np.asarray(distances, float)
         band = lambda b, n: (r := dsp.band_for_rate(b, fs)) and dsp.coefficients(n, r, fs, "band")
@@ -49,8 +101,8 @@ class LiveTrace:
         self.level = _Causal(dsp.coefficients(1, edge, fs, "high") if 0 < edge < fs / 2 else None, m)
         resp, heart = band(FRAME_RESP_BAND, 2), band(HEART_BAND, 3)
         self.resp, self.heart = _Causal(resp, m), _Causal(heart, m) if heart else None
-        self.sum = np.zeros(m)
-        self.keep = math.exp(-1 / max(fs * RATE_WINDOW_S, 1e-9))
+        self.turns, self.clock = _Turns(m), _Clock(fs)
+        self.average = _Average(math.exp(-1 / max(fs * RATE_WINDOW_S, 1e-9)), m)
 
     def feed(self, rows: list[dict]) -> list[dict]:
         """Outputs of new frames, in order: rows have timestamp_ms, frame, distances, real, imag."""
@@ -60,50 +112,34 @@ class LiveTrace:
         distances = rows[-1]["distances"]
         if len(distances) != len(self.distances) or self.fs <= 0 or abs(fs - self.fs) / self.fs > 0.20:
             self._start(fs, distances)
-        return [out for r in rows if (out := self._step(r)) is not None]
-
-    def _late(self, r: dict) -> bool:
-        if r.get("frame") is not None:
-            return self.last_frame is not None and r["frame"] <= self.last_frame
-        return self.last_ms is not None and r["timestamp_ms"] <= self.last_ms
-
-    def _step(self, r: dict) -> dict | None:
+        m, taken, seconds = len(self.distances), [], []
+        for r in rows:
+            frame, ms = r.get("frame"), float(r["timestamp_ms"])
+            if self.clock.passes(frame, ms) and min(len(r["real"]), len(r["imag"])) >= m:
+                taken.append(r)
+                seconds.append(self.clock.tick(frame, ms))
+        return self._block(taken, seconds) if taken else []
+
+    def _block(self, rows: list[dict], seconds: list[float]) -> list[dict]:
+        """Outputs of frames that are new, through all filters together; how frames are cut into blocks makes no difference."""
         m = len(self.distances)
-        if self._late(r) or len(r["real"]) < m or len(r["imag"]) < m:
-            return None
-        z = np.asarray(r["real"], float)[:m] + 1j * np.asarray(r["imag"], float)[:m]
-        size, angle = np.abs(z), np.angle(z)
-        self.smooth = size if self.smooth is None else self.keep * self.smooth + (1 - self.keep) * size
-        if self.angle is not None:
-            d = angle - self.angle
-            self.sum = self.sum + d - 2 * np.pi * (d > np.pi) + 2 * np.pi * (d < -np.pi)
-        self.angle = angle
-        at = self._select()
+        z = np.array([np.asarray(r["real"], float)[:m] + 1j * np.asarray(r["imag"], float)[:m] for r in rows])
+        smooth, phase = self.average.run(np.abs(z)), self.turns.run(np.angle(z))
+        at = self._select(smooth[0])
         bins = frames.gate(self.distances, at, self.half_width, self.use_gating)
-        weights = np.maximum(self.smooth[bins], 0)
-        weights = weights / (weights.sum() + 1e-12)
-        if len(bins) > 1 and at in bins:  # the selected bin leads, so a neighbour can't cancel it
-            weights = 0.35 * weights + 0.65 * (bins == at)
-            weights = weights / (weights.sum() + 1e-12)
-        moved = self.level.step(self.sum)
-        resp = self.resp.step(moved)
-        heart = self.heart.step(moved) if self.heart else np.zeros(m)
-        ms = float(r["timestamp_ms"])
-        self.first_ms = ms if self.first_ms is None else self.first_ms
-        seconds = (ms - self.first_ms) / 1000
-        if self.last_s is not None and seconds <= self.last_s:
-            seconds = self.last_s + 1 / max(self.fs, 1e-9)
-        self.last_s, self.last_ms = seconds, ms
-        if r.get("frame") is not None:
-            self.last_frame = r["frame"]
-        values = (seconds, self.sum[at], z[at].real, z[at].imag, resp[bins] @ weights, heart[bins] @ weights)
-        return {"frame": r.get("frame"), "selected_index": at, "target_distance_m": float(self.distances[at])} | dict(zip(FIELDS, map(float, values)))
-
-    def _select(self) -> int:
+        weights = _mixed(smooth[:, bins], bins == at)
+        moved = self.level.run(phase)
+        resp, heart = self.resp.run(moved), self.heart.run(moved) if self.heart else np.zeros_like(moved)
+        mean = lambda x: (x[:, bins] * weights).sum(axis=1)
+        values = np.column_stack([seconds, phase[:, at], z[:, at].real, z[:, at].imag, mean(resp), mean(heart)])
+        target = float(self.distances[at])
+        return [{"frame": r.get("frame"), "selected_index": at, "target_distance_m": target} | dict(zip(FIELDS, v)) for r, v in zip(rows, values.tolist())]
+
+    def _select(self, smooth: np.ndarray) -> int:
         """A given target's nearest bin; else the first frame's best one, kept from then on."""
         if self.target_m is not None and np.isfinite(self.target_m) and self.target_m > 0:
             self.selected = int(np.abs(self.distances - self.target_m).argmin())
         elif self.selected is None:
-            self.selected = int(np.where(frames.beyond_leakage(self.distances), self.smooth, -np.inf).argmax())
+            self.selected = int(np.where(frames.beyond_leakage(self.distances), smooth, -np.inf).argmax())
         self.selected = min(max(self.selected, 0), len(self.distances) - 1)
         return self.selected

@@ -228,6 +228,23 @@ def _gated(resp: tuple[float, float], heart: tuple[float, float], length_s: floa
     return {"resp_hz": resp_hz, "heart_hz": heart_hz, "resp_bpm": 60 * resp_hz, "heart_bpm": 60 * heart_hz, "resp_confidence": resp_conf, "heart_confidence": heart_conf}
 
 
+def _heart(source, fs: float, prior, reject, zero_phase: bool) -> tuple[np.ndarray, tuple[float, float]]:
+    """The heart's part of a phase and its (Hz, confidence)."""
+    signal = dsp.bandpass_columns(source, fs, HEART_BAND, 3, zero_phase)[:, 0]
+    return signal, dsp.fused_peak(signal, fs, dsp.heart_band(*prior), reject)
+
+
+def _around(at: float, half_width: float) -> dict[str, float]:
+    return {"target_distance_m": at, "gate_min_m": at - half_width, "gate_max_m": at + half_width}
+
+
+def _steadiness(amplitude: np.ndarray) -> float:
+    """Presence by amplitudes alone, 0 to 100: their middle against their middle and spread."""
+    middle = np.median(amplitude)
+    spread = 1.4826 * np.median(np.abs(amplitude - middle))
+    return float(np.clip(40 * middle / (spread + middle + 1e-9), 0, 100))
+
+
 def _from_profiles(z, distances, seconds, fs, latest_peak, half_width, target_m, prior, use_gating) -> dict:
     band = dsp.band_for_rate(FRAME_RESP_BAND, fs)
     moving = z - dsp.static_clutter(z, fs, (band or FRAME_RESP_BAND)[0])
@@ -243,19 +260,15 @@ def _from_profiles(z, distances, seconds, fs, latest_peak, half_width, target_m,
     length = len(z) / max(fs, 1e-9)
     resp_hz, resp_conf, resp_signal = frames.breathing(z, fs, bins)
     sure = length >= RATE_WINDOW_S and resp_conf >= RESP_CONFIDENCE_MIN and 0.9 * FRAME_RESP_BAND[0] <= resp_hz <= min(1.05 * FRAME_RESP_BAND[1], 0.46 * fs)
-    reject = [k * resp_hz for k in range(2, 8) if 0.85 * HEART_BAND[0] <= k * resp_hz <= 1.05 * HEART_BAND[1]] if sure else []
-    source = frames.aligned_mean(phase[:, bins], weights, reference)
-    heart_signal = dsp.bandpass_columns(source, fs, HEART_BAND, 3, True)[:, 0]
-    heart = dsp.fused_peak(heart_signal, fs, dsp.heart_band(*prior), reject) if len(heart_signal) / max(fs, 1e-9) >= 10 else (0.0, 0.0)
+    heart_signal, heart = _heart(frames.aligned_mean(phase[:, bins], weights, reference), fs, prior, dsp.harmonics(resp_hz) if sure else (), True)
     floor = np.median(typical[frames.beyond_leakage(distances)]) + 1e-12
     amp_ratio, phase_ratio = float(typical[at] / floor), float(ratio[at])
     score, present = frames.presence(amp_ratio, len(bins), phase_ratio)
-    rates = _gated((resp_hz, resp_conf), heart, length, present)
+    rates = _gated((resp_hz, resp_conf), heart if length >= 10 else (0.0, 0.0), length, present)
     n = min(len(seconds), len(resp_signal), len(heart_signal))
     tail = lambda x: x[len(x) - n :]
     return rates | {
-        "target_distance_m": float(distances[at]), "gate_min_m": float(distances[at]) - half_width, "gate_max_m": float(distances[at]) + half_width,
-        "presence_score": score, "present": present, "selected_index": at, "candidate_bins": len(bins),
+        **_around(float(distances[at]), half_width), "presence_score": score, "present": present, "selected_index": at, "candidate_bins": len(bins),
         "signal_quality": frames.quality(amp_ratio, rates["resp_confidence"], rates["heart_confidence"], phase_ratio, present),
         "times_s": tail(seconds), "resp_signal": tail(resp_signal), "heart_signal": tail(heart_signal),
         "raw_phase": phase[:, at], "raw_i": moving[:, at].real, "raw_q": moving[:, at].imag, "distances_m": distances, "latest_amplitude": smooth,
@@ -263,23 +276,20 @@ def _from_profiles(z, distances, seconds, fs, latest_peak, half_width, target_m,
 
 
 def _from_phase(rows, seconds, fs, half_width, target_m, prior) -> dict:
-    """Rates from the peak's phase alone, where a recording has no profiles."""
-    phase = dsp.clean(np.unwrap(rows["PeakPhase_rad"].to_numpy(float)))
-    resp_signal = dsp.bandpass_columns(phase, fs, FRAME_RESP_BAND)[:, 0]
-    resp = dsp.weighted_peak(resp_signal, [1.0], fs, FRAME_RESP_BAND)
-    heart_signal = dsp.bandpass_columns(dsp.without_harmonics(phase, fs, resp[0]), fs, HEART_BAND, 3)[:, 0]
-    heart = dsp.fused_peak(heart_signal, fs, dsp.heart_band(*prior), [k * resp[0] for k in range(2, 7)] if resp[0] > 0 else [])
-    length = len(phase) / max(fs, 1e-9)
-    amplitude = rows["PeakAmplitude"].to_numpy(float) if "PeakAmplitude" in rows else np.zeros(1)
-    middle = np.median(amplitude)
-    score = float(np.clip(40 * middle / (1.4826 * np.median(np.abs(amplitude - middle)) + middle + 1e-9), 0, 100))
-    rates = _gated(resp, heart if length >= 10 else (0.0, heart[1]), length, score >= 20)
-    at = float(target_m) if target_m is not None else float(np.median(rows["PeakDistance_m"])) if "PeakDistance_m" in rows else 0.0
-    quality = 0.25 * min(rates["resp_confidence"] / 5, 1) + 0.25 * min(rates["heart_confidence"] / 5, 1) + 0.25 * (score >= 20)
-    return rates | {
-        "target_distance_m": at, "gate_min_m": at - half_width, "gate_max_m": at + half_width, "presence_score": score, "present": score >= 20,
-        "candidate_bins": 1, "signal_quality": quality, "times_s": seconds, "raw_phase": phase, "resp_signal": resp_signal, "heart_signal": heart_signal,
-    }
+    """Rates from the peak's phase alone, where a recording has no profiles: one bin, whose amplitudes tell presence."""
+    values = {n: rows[c].to_numpy(float) for n, c in (("phase", "PeakPhase_rad"), ("amplitude", "PeakAmplitude"), ("distance", "PeakDistance_m")) if c in rows}
+    phase, length = dsp.clean(np.unwrap(values["phase"])), len(rows) / max(fs, 1e-9)
+    signal = dsp.bandpass_columns(phase, fs, FRAME_RESP_BAND)[:, 0]
+    resp = dsp.weighted_peak(signal, [1.0], fs, FRAME_RESP_BAND)
+    multiples = resp[0] * np.arange(2, 7)
+    heart_signal, heart = _heart(dsp.without_harmonics(phase, fs, resp[0]), fs, prior, multiples, False)
+    score = _steadiness(values.get("amplitude", np.zeros(1)))
+    present = score >= 20
+    rates = _gated(resp, (heart[0] * (length >= 10), heart[1]), length, present)
+    sure = np.minimum([rates["resp_confidence"] / 5, rates["heart_confidence"] / 5, float(present)], 1)
+    at = float(np.median(values.get("distance", np.zeros(1)))) if target_m is None else float(target_m)
+    traces = {"times_s": seconds, "raw_phase": phase, "resp_signal": signal, "heart_signal": heart_signal}
+    return rates | traces | _around(at, half_width) | {"presence_score": score, "present": present, "candidate_bins": 1, "signal_quality": float(sure.sum() / 4)}
 
 
 def frame_vitals(samples: DataFrame, key: str = "session_id", traces: bool = False, **options) -> DataFrame:
