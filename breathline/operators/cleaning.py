@@ -53,12 +53,19 @@ def clean_signal(df: DataFrame, x: str = "x", keys=KEYS, order=ORDER) -> DataFra
     return detrend(despike(interp_gaps(df, x, keys, order), x, keys=keys), x, keys, order)
 
 
-def oversample_average(df: DataFrame, raw: str = "raw", block: int = 64, keys=KEYS, order=ORDER) -> DataFrame:
-    """Integer means of full blocks of raw counts, with the uncalibrated voltage."""
+def oversample_average(df: DataFrame, raw: str = "raw", block: int = 64, keys=KEYS, order=ORDER, gain: str | None = None, offset: str | None = None) -> DataFrame:
+    """Integer means of full blocks of raw counts, with their voltage.
+
+    ``gain`` (in 65536ths of a millivolt a count) and ``offset`` (millivolts) name columns with
+    the fitted line of a session's converter; without them, and where either is null, counts
+    are taken to be even over the converter's range. The fit's table for the range's top end isn't used.
+    """
     b = F.floor((F.row_number().over(ordered(keys, order)) - 1) / block).alias("block")
-    summed = df.select(*keys, b, raw).groupBy(*keys, "block").agg(F.sum(raw).alias("s"), F.count("*").alias("n")).where(F.col("n") == block)
+    line = [F.max(c).cast("long").alias(n) if c else F.lit(None).cast("long").alias(n) for c, n in ((gain, "_gain"), (offset, "_offset"))]
+    summed = df.select(*keys, b, raw, *(c for c in (gain, offset) if c)).groupBy(*keys, "block").agg(F.sum(raw).alias("s"), F.count("*").alias("n"), *line).where(F.col("n") == block)
     mean = F.floor(F.col("s") / block)
-    return summed.select(*keys, "block", mean.cast("long").alias("raw_adc"), F.floor(mean * 3100 / 4095).cast("long").alias("voltage_mv"))
+    fitted = F.floor((F.col("_gain") * mean + 32768) / 65536) + F.col("_offset")
+    return summed.select(*keys, "block", mean.cast("long").alias("raw_adc"), F.coalesce(fitted, F.floor(mean * 3100 / 4095)).cast("long").alias("voltage_mv"))
 
 
 def tilt_and_displacement(df: DataFrame, baseline_rows: int = 200, block: int = 10, keys=KEYS, order=ORDER) -> DataFrame:

@@ -105,6 +105,9 @@ UNION ALL SELECT 'store', lower(o_orderpriority), strftime(o_orderdate, '%Y-%m-%
     "rank_ports": "SELECT n_name AS device, CASE WHEN n_nationkey % 3 = 0 THEN 30 ELSE 10 END::BIGINT AS score FROM nation WHERE n_nationkey % 3 < 2",
     "oversample_average": f"""WITH s AS ({S}), r AS (SELECT session_id, floor(x * 8)::BIGINT AS raw, (row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1) // 16 AS block FROM s),
 g AS (SELECT session_id, block, floor(sum(raw) / 16) AS m FROM r GROUP BY 1, 2 HAVING count(*) = 16) SELECT session_id, block, m::BIGINT AS raw_adc, floor(m * 3100 / 4095)::BIGINT AS voltage_mv FROM g""",
+    "oversample_calibrated": f"""WITH s AS ({S}), r AS (SELECT session_id, floor(x * 8)::BIGINT AS raw, (row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1) // 16 AS block FROM s),
+g AS (SELECT session_id, block, floor(sum(raw) / 16)::BIGINT AS m FROM r GROUP BY 1, 2 HAVING count(*) = 16)
+SELECT session_id, block, m AS raw_adc, (CASE WHEN session_id % 3 > 0 THEN ((40000 + 7 * session_id) * m + 32768) // 65536 + 75 + session_id % 140 ELSE m * 3100 // 4095 END)::BIGINT AS voltage_mv FROM g""",
     "imu_scaling": f"""WITH a AS ({AXES}), r AS (SELECT session_id, seq, list_transform(range(0, 6), lambda j: ((seq * (2 * j + 4)) % 256) * 256 + (seq * (2 * j + 3)) % 256) AS r FROM a),
 v AS (SELECT session_id, seq, list_transform(r, lambda x: CASE WHEN x >= 32768 THEN x - 65536 ELSE x END) AS r FROM r)
 SELECT session_id, seq, round(r[1] * 0.061::DOUBLE / 1000, 6) + 0.0 AS ax, round(r[2] * 0.061::DOUBLE / 1000, 6) + 0.0 AS ay, round(r[3] * 0.061::DOUBLE / 1000, 6) + 0.0 AS az,
