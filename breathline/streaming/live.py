@@ -106,22 +106,30 @@ def history_rows(fs: float) -> int:
     return max(32, round(HISTORY_S * max(fs, 1.0) * 1.2))
 
 
-def live_history(traces: DataFrame, fs: float) -> DataFrame:
+def live_history(traces: DataFrame, fs: float, idle: str | None = "10 minutes") -> DataFrame:
     """The bounded history of each session of a stream of traces (update mode): the last rows, as arrays.
 
-    State is the history itself, cut to ``history_rows``.
+    State is the history itself, cut to ``history_rows``; it is dropped when a session is
+    idle, as in :func:`live_traces`.
     """
     most, fields = history_rows(fs), ["frame", *FIELDS]
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         old = pickle.loads(state.get[0]) if state.exists else None
         new = pd.concat([*([] if old is None else [old]), *batches])[fields]
         kept = new.sort_values(["frame"], kind="stable").tail(most).reset_index(drop=True)
         state.update((pickle.dumps(kept),))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([[key[0], *(kept[c].tolist() for c in fields)]], columns=["session_id", *fields])
 
     schema = "session_id string, frame array<long>, " + ", ".join(f"{f} array<double>" for f in FIELDS)
-    return traces.groupBy("session_id").applyInPandasWithState(run, schema, "history binary", "update", GroupStateTimeout.NoTimeout)
+    return traces.groupBy("session_id").applyInPandasWithState(run, schema, "history binary", "update", timeout)
 
 
 def recorded_traces(frames: DataFrame, **options) -> DataFrame:

@@ -64,13 +64,39 @@ def test_history_is_bounded(spark, tmp_path):
     for part in (range(300), range(300, 520)):
         rows = [("a", k, k / 20, *[float(k)] * 5) for k in part]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        out = live.live_history(spark.readStream.schema(schema).parquet(source), 0.5).writeStream.outputMode("update")
+        out = live.live_history(spark.readStream.schema(schema).parquet(source), 0.5, None).writeStream.outputMode("update")
         query = out.foreachBatch(lambda b, k: seen.update({r.session_id: r for r in b.collect()})).option("checkpointLocation", str(tmp_path / "cp"))
         assert query.trigger(availableNow=True).start().awaitTermination(120)
     most = live.history_rows(0.5)
     assert seen["a"].frame == list(range(520 - most, 520)) and seen["a"].raw_i == [float(k) for k in range(520 - most, 520)]
 
 
+def test_idle_histories_are_dropped(spark, tmp_path):
+    source, seen = str(tmp_path / "in"), {}
+    schema = "session_id string, frame long, time_s double, raw_phase double, raw_i double, raw_q double, resp_signal double, heart_signal double"
+
+    def send(frames):
+        spark.createDataFrame([("a", k, k / 20, *[float(k)] * 5) for k in frames], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def until(frames):
+        for _ in range(120):
+            if seen.get("a") == frames:
+                break
+            query.awaitTermination(0.5)
+        assert seen["a"] == frames
+
+    send(range(3))
+    out = live.live_history(spark.readStream.schema(schema).parquet(source), 0.5, "3 seconds").writeStream.outputMode("update")
+    query = out.foreachBatch(lambda b, k: seen.update({r.session_id: r.frame for r in b.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        until([0, 1, 2])
+        query.awaitTermination(10)
+        send(range(5, 7))
+        until([5, 6])
+    finally:
+        query.stop()
+
+
 def test_snapshots_by_offset(spark):
     rows = spark.createDataFrame([(s, k) for s in ("a", "b", "c") for k in range(5)], "session_id string, seq long")
     offsets = spark.createDataFrame([("a", 2), ("b", 9)], "session_id string, offset long")
