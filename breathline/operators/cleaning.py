@@ -15,11 +15,10 @@ def interp_gaps(df: DataFrame, x: str = "x", keys=KEYS, order=ORDER) -> DataFram
     good = F.when(finite(x), F.col(x))
     i = F.row_number().over(w)
     df = df.withColumns({"_v": good}).withColumns({"_i": i, "_at": F.when(F.col("_v").isNotNull(), i)})
-    before, after = so_far(keys, order), w.rowsBetween(0, W.unboundedFollowing)
-    df = df.withColumns({
-        "_v0": F.last("_v", ignorenulls=True).over(before), "_i0": F.last("_at", ignorenulls=True).over(before),
-        "_v1": F.first("_v", ignorenulls=True).over(after), "_i1": F.first("_at", ignorenulls=True).over(after),
-    })
+    # What follows is what precedes from the other end: Spark goes through a frame up to the last row anew for each row.
+    before, after = so_far(keys, order), so_far(keys, [F.desc("_i")])
+    df = df.withColumns({f"_{n}0": F.last(c, ignorenulls=True).over(before) for n, c in (("v", "_v"), ("i", "_at"))})
+    df = df.withColumns({f"_{n}1": F.last(c, ignorenulls=True).over(after) for n, c in (("v", "_v"), ("i", "_at"))})
     between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_i") - F.col("_i0")) / (F.col("_i1") - F.col("_i0"))
     filled = F.coalesce("_v", between, "_v0", "_v1", F.lit(0.0))
     return df.withColumn(x, filled).drop("_v", "_i", "_at", "_v0", "_i0", "_v1", "_i1")
