@@ -83,9 +83,9 @@ def radar_vitals(samples: DataFrame, key: str = "session_id") -> DataFrame:
 
 
 def positive_gap_rate(times_ms: np.ndarray, default: float) -> float:
-    gaps = np.diff(times_ms) / 1000
-    gaps = gaps[gaps > 0]
-    return float(1 / gaps.mean()) if gaps.size else default
+    gaps = np.diff(times_ms)
+    gaps = gaps[gaps > 0]  # summed in milliseconds: a rate that is off by a rounding moves frequencies over a band's edge
+    return float(1 / (gaps.sum() / 1000 / gaps.size)) if gaps.size else default
 
 
 def _top_in(f: np.ndarray, p: np.ndarray, low: float, high: float) -> float:
