@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from breathline.plans import views
 from breathline.plans import vitals as V
 
 
@@ -19,3 +20,9 @@ def test_even_gaps_give_their_rate():
 
 def test_a_heart_rate_at_the_edge_is_found():
     assert V.imu_stat_numbers(imu(555, 4.0))["heart_bpm"] == pytest.approx(240)
+
+
+def test_the_view_shows_the_same_heart_rate(spark):
+    rows = spark.createDataFrame(imu(555, 4.0).assign(session_id=1, seq=range(555)))
+    shown = views.imu_view(rows, None).first()
+    assert shown.heart_bpm == pytest.approx(240) and shown.hz[111] == pytest.approx(4)
