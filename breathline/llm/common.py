@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at a time inside a worker, so that memory follows this bound
 #: and not the number of rows in an Arrow batch.
 SLICE_CHARS = 2_000_000
+#: Rows of a batch whose texts a worker holds as Python strings at a time.
+PART_ROWS = 1_000
 
 _fallback: list[str] = []
 _scopes: list[list[str]] = []
+_kept: list[dict] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +89,32 @@ def slices(texts: list, limit: int = SLICE_CHARS):
         yield start, len(texts)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in pieces of at most ``rows``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch  # not held while the next one arrives
+
+
+def kept() -> dict:
+    """What a worker keeps between tasks, until a stage that doesn't use it calls :func:`release`."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def release(*but: dict) -> None:
+    """Give back what earlier stages left in this worker: what they kept, and memory that is free but held."""
+    for own in _kept:
+        if not any(own is b for b in but):
+            own.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialise
+from .common import discard, free_name, materialise, parts, release
 
 WINDOW = 13
 #: Share of a document's words that makes it contaminated: 1 in so many.
@@ -189,8 +189,9 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
     def passes(group, last: bool):
         def run(batches):
+            release()
             automaton = group.value
-            for batch in batches:
+            for batch in parts(batches):
                 texts = batch.column("text").to_pylist()
                 items, spans, sums = [], [], []
                 for text, before, flat in zip(texts, batch.column("items").to_pylist(), batch.column("spans").to_pylist()):
@@ -263,8 +264,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     def passes(first: bool, alone: bool):
         def of_group(group, last: bool):
             def run(batches):
+                release()
                 automaton = group.value
-                for batch in batches:
+                for batch in parts(batches):
                     names = batch.schema.names
                     texts, flats, states = batch.column(text).to_pylist(), batch.column(ranges).to_pylist(), batch.column(state).to_pylist()
                     lengths = batch.column(length).to_pylist() if has_length else None

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tokens import release
+from .common import parts, release
 
 #: The sample: texts of a language in order of a hash, up to so many, a piece of so many
 #: characters at a hash-chosen place of each, up to so many bytes in all; all dictionaries
@@ -159,7 +159,7 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches):
         release()
         own = Classifier(sent.value)
-        for batch in batches:
+        for batch in parts(batches):
             found = [own.classify(t) for t in batch.column("text").to_pylist()]
             margin = [m for _, _, m in found]
             yield pa.RecordBatch.from_arrays(
@@ -182,7 +182,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches):
         release()
         own = Classifier(sent.value)
-        for batch in batches:
+        for batch in parts(batches):
             keep = [own.classify(t)[2] >= own.min_margin for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

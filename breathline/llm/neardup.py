@@ -36,10 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialise, shuffle_partitions, slices, with_hot
+from .common import discard, free_name, materialise, parts, release, shuffle_partitions, slices, with_hot
 from .components import components
 from .hashing import mix, word_hashes
-from .tokens import release
 
 COORDINATES, MATCHES = 64, 34
 PREFIX = COORDINATES - MATCHES + 1
@@ -261,7 +260,7 @@ def _texts(rows: DataFrame, wanted: DataFrame, several: DataFrame, words: int) -
 
     def told(batches):
         release()
-        for batch in batches:
+        for batch in parts(batches):
             own = batch.column("text").to_pylist()
             marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for x, y in slices(own) for s in shingle_sets(own[x:y], words)]
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), batch.column("text")], ["fingerprint", "text"])
@@ -286,7 +285,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     def describe(batches):
         release()
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column("text").to_pylist()
             n, fingerprint, sig = [], [], []
             for x, y in slices(texts):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, slices
+from .common import materialise, parts, release, shuffle_partitions, slices
 from .tokens import MAX_PIECES, encoder
 
 CAPACITY = 4096
@@ -98,7 +98,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
 
     def run(batches):
         own = encoder(vocabulary, path, max_pieces)
-        for batch in batches:
+        for batch in parts(batches):
             texts, doc_ids = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
             for a, b in slices(texts):
                 ids, lengths = own.encode(texts[a:b])
@@ -116,7 +116,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
                     arrays.append(pa.array(columns[5], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
-            del batch, texts, doc_ids  # not held while the next batch arrives
+            del batch, texts, doc_ids  # not held while the next ones arrive
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
@@ -127,6 +127,7 @@ def _round(pieces: DataFrame, partitions: int, level: int, capacity: int, max_op
     carried = pieces.columns
 
     def run(batches):
+        release()  # the tables of encoded pieces too
         base = (level << 56) + (TaskContext.get().partitionId() << 32)
         bins, held, n, kept = OpenBins(capacity, max_open), [], 0, 0
 

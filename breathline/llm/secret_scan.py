@@ -22,6 +22,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import kept, parts, release
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -53,14 +55,15 @@ _PAGE = re.compile(r"/(?:[a-z0-9_-]{1,24}|[A-Z0-9_-]{1,24})[/.:!]*")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
-_encodings: dict = {}
+_encodings: dict = kept()
 
 
 def encoding(vocabulary: str, path: str | None = None):
-    """The worker's tiktoken encoding of a ranks file."""
+    """The worker's tiktoken encoding of a ranks file, kept between tasks; what other stages kept goes."""
     import public_tokenizers
     import tiktoken
 
+    release(_encodings)
     path = path or public_tokenizers.path(vocabulary)
     if path not in _encodings:
         with open(path, "rb") as lines:
@@ -170,7 +173,7 @@ def scan(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", path: str |
 
     def run(batches):
         enc = encoding(vocabulary, path)
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 base, spans = find_spans(text or "", enc, max_ratio)
@@ -193,7 +196,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str = "byte_bpe_
 
     def run(batches):
         enc = encoding(vocabulary, path)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(text).to_pylist()
             lengths = batch.column(length).to_pylist() if has_length else None
             for i, t in enumerate(texts):

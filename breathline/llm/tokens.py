@@ -19,6 +19,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import kept, release
+
 #: Distinct pieces kept by a worker; the table is emptied when it is full.
 MAX_PIECES = 1_000_000
 #: Longer pieces are encoded each time they occur.
@@ -29,13 +31,15 @@ _PLAIN = re.compile(r"[!-;=-~¡-ʯ]+")
 _WORD_SIGN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?])")
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-_encoders: dict[tuple[str, str], "PieceEncoder"] = {}
+_encoders: dict[tuple[str, str], "PieceEncoder"] = kept()
 
 
 def encoder(name: str, path: str | None = None, max_pieces: int = MAX_PIECES) -> "PieceEncoder":
-    """The worker's encoder for a vocabulary file, kept between tasks."""
+    """The worker's encoder for a vocabulary file, kept between tasks; what other stages kept goes."""
     import public_tokenizers
 
+    release(_encoders)
+
     key = (name, path or public_tokenizers.path(name))
     if key not in _encoders:
         _encoders[key] = PieceEncoder(key[1])
@@ -43,19 +47,6 @@ def encoder(name: str, path: str | None = None, max_pieces: int = MAX_PIECES) ->
     return _encoders[key]
 
 
-def release() -> None:
-    """Give back the tables that an earlier stage left in this worker; other stages call it."""
-    import ctypes
-    import gc
-
-    if _encoders:
-        _encoders.clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
-
-
 class _Numbers(dict):
     """Piece -> its number; an unknown piece gets the next one and is noted."""
 
