@@ -29,6 +29,8 @@ from ..schemas import COLUMNS, CSV_SCHEMA, FRAME_ARRAYS
 from ..shared import written
 from .recordings import BATCH_GLOB, LEAST_ROWS, encode_array
 
+#: Bytes up to which a file is read as one value and not by its lines.
+SMALL = 1 << 20
 #: Part of a recording's name before its id.
 PREFIX = {sensor: glob.replace("_*_", "_6axis_").replace("*.csv", "") for sensor, glob in BATCH_GLOB.items()}
 
@@ -57,34 +59,48 @@ class Reported(WriterCommitMessage):
     files: list[tuple[str, str]] = field(default_factory=list)
 
 
+def hidden_files(batches: Iterator[pa.RecordBatch], folder: str, sensor: str) -> Iterator[tuple[object, str, str, int]]:
+    """(session, hidden file, its name to be, lines) of each session of sorted batches, once its file is written."""
+    os.makedirs(folder, exist_ok=True)
+    options = pyarrow.csv.WriteOptions(include_header=False, quoting_style="needed")
+    out, found, lines = None, (None, "", ""), 0
+    try:
+        for batch in batches:
+            at = starts(batch, ["session_id"]) if batch.num_rows else []
+            for a, b in zip(at, [*at[1:], batch.num_rows]):
+                own = batch.slice(int(a), int(b - a))
+                session = own.column("session_id")[0].as_py()
+                if out is None or session != found[0]:
+                    if out:
+                        out.close()
+                        out = None
+                        yield *found, lines
+                    name = file_name(sensor, session)
+                    found, lines = (session, f".{name}.{uuid.uuid4().hex}", name), 0
+                    out = open(os.path.join(folder, found[1]), "wb")
+                    out.write((",".join(COLUMNS[sensor]) + "\n").encode())
+                pyarrow.csv.write_csv(own.select(COLUMNS[sensor]), out, options)
+                lines += own.num_rows
+        if out:
+            out.close()
+            out = None
+            yield *found, lines
+    finally:
+        if out:  # broken off
+            out.close()
+            os.remove(os.path.join(folder, found[1]))
+
+
 class FileWriter(DataSourceArrowWriter):
     def __init__(self, folder: str, sensor: str, overwrite: bool):
         self.folder, self.sensor, self.overwrite = folder, sensor, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Reported:
-        os.makedirs(self.folder, exist_ok=True)
-        done, out, current = Reported(), None, None
-        options = pyarrow.csv.WriteOptions(include_header=False, quoting_style="needed")
+        done = Reported()
         try:
-            for batch in iterator:
-                at = starts(batch, ["session_id"]) if batch.num_rows else []
-                for a, b in zip(at, [*at[1:], batch.num_rows]):
-                    own = batch.slice(int(a), int(b - a))
-                    session = own.column("session_id")[0].as_py()
-                    if out is None or session != current:
-                        if out:
-                            out.close()
-                        name = file_name(self.sensor, session)
-                        done.files.append((f".{name}.{uuid.uuid4().hex}", name))
-                        out = open(os.path.join(self.folder, done.files[-1][0]), "wb")
-                        out.write((",".join(COLUMNS[self.sensor]) + "\n").encode())
-                        current = session
-                    pyarrow.csv.write_csv(own.select(COLUMNS[self.sensor]), out, options)
-            if out:
-                out.close()
+            for _, hidden, name, _ in hidden_files(iterator, self.folder, self.sensor):
+                done.files.append((hidden, name))
         except BaseException:
-            if out:
-                out.close()
             self.abort([done])
             raise
         return done
@@ -124,6 +140,11 @@ def _mounted(path: str) -> str:
     return path.rstrip("/")
 
 
+def line_fields(sensor: str) -> list[Column]:
+    """The sensor's columns as the fields of a line: arrays as JSON text."""
+    return [encode_array(c).alias(c) if c in FRAME_ARRAYS and sensor == "a121" else F.col(c) for c in COLUMNS[sensor]]
+
+
 def save_recordings(df: DataFrame, path: str, sensor: str, key: str = "session_id", order: str = "seq", overwrite: bool = False) -> None:
     """Write every session to its own named file below ``path``, a folder that all executors have mounted.
 
@@ -136,14 +157,7 @@ def save_recordings(df: DataFrame, path: str, sensor: str, key: str = "session_i
     few = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") < least) | F.col(key).isNull()).first()
     if few:
         raise ValueError(f"session {few[0]} has fewer than {least} samples" if few[0] is not None else "rows without a session")
-    save_pieces(df, path, sensor, key, order, overwrite)
-
-
-def save_pieces(df: DataFrame, path: str, sensor: str, key: str = "session_id", order: str = "seq", overwrite: bool = True) -> None:
-    """As :func:`save_recordings`, for sessions of any size; files that are there are replaced."""
-    if sensor == "a121":
-        df = df.withColumns({c: encode_array(c) for c in FRAME_ARRAYS})
-    own = df.select(F.col(key).cast("string").alias("session_id"), F.col(order).alias("_order"), *COLUMNS[sensor])
+    own = df.select(F.col(key).cast("string").alias("session_id"), F.col(order).alias("_order"), *line_fields(sensor))
     df.sparkSession.dataSource.register(RecordingFiles)
     ready = placed(own, ["session_id"], ["_order"])
     place = ready.columns[-1]
@@ -161,9 +175,14 @@ def scan_files(spark: SparkSession, path: str, sensor: str, glob: str | None = N
     text = spark.read.option("pathGlobFilter", glob).text(path)
     # Spark's own list of the files: empty ones have no line to be seen by.
     files = spark.createDataFrame([(n,) for n in sorted({unquote(f.rsplit("/", 1)[-1]) for f in text.inputFiles()})], "session_id string")
+    name, size = F.col("_metadata.file_name").alias("session_id"), F.col("_metadata.file_size")
     # A line's place: a file's lines are read in order within a split; its splits follow each other.
     seq = F.col("_metadata.file_block_start") * 1_000_000 + F.monotonically_increasing_id() % (1 << 33)
-    lines = text.select(F.col("_metadata.file_name").alias("session_id"), seq.cast("long").alias("seq"), F.col("value").alias("line")).where(F.trim("line") != "")
+    large = text.where(size > SMALL).select(name, seq.cast("long").alias("seq"), F.col("value").alias("line"))
+    # To open a file for its lines takes several times as long as to read a small one whole.
+    content = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    small = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(size <= SMALL).select(name, F.posexplode(F.split(content, "[\r\n]+")).alias("seq", "line"))
+    lines = large.unionByName(small.withColumn("seq", F.col("seq").cast("long"))).where(F.trim("line") != "")
     heads = files.join(lines.groupBy("session_id").agg(F.min_by("line", "seq").alias("header"), F.min("seq").alias("first"), F.count("*").alias("n")), "session_id", "left")
     names = F.transform(F.split("header", ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
     wanted = F.array(*(F.lit(c) for c in COLUMNS[sensor]))

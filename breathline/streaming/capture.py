@@ -1,11 +1,11 @@
 """Capturing a stream of samples into two sinks that agree: stored rows and named CSV files.
 
 A micro-batch has a number and leaves its rows in both sinks under it: rows below
-``<store>/<sensor>_samples/batch=<n>``, and the sessions' lines as hidden pieces in the CSV
-folder. Then a marker says that the batch is whole. A batch that is run again after a crash,
+``<store>/<sensor>_samples/batch=<n>``, and the lines' fields as hidden pieces in the CSV
+folder, a file a task however many sessions there are. Then a marker says that the batch is whole. A batch that is run again after a crash,
 between the sinks too, replaces what it had left, so nothing is there twice. Only
-batches up to the marker count, for both sinks. ``finish`` joins the pieces of each
-session to its named file, many sessions at a time.
+batches up to the marker count, for both sinks. ``finish`` brings the lines of each
+session together and writes its named file, one after the other in many tasks.
 
 Work and files of a batch don't grow with what was captured before it.
 """
@@ -14,47 +14,36 @@ from __future__ import annotations
 
 import filecmp
 import os
-import uuid
 from collections.abc import Iterator
 from datetime import datetime
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.grouped import placed
 from ..schemas import COLUMNS, CSV_SCHEMA, FRAME_ARRAYS, STORED, T
 from ..shared import written
-from ..sources.files import _mounted, file_name, save_pieces
+from ..sources.files import _mounted, hidden_files, line_fields
 from ..sources.recordings import LEAST_ROWS, SessionStore, load_session
 from .live import PERSIST, _exists, _path
 
 #: Folder of the pieces within the CSV folder; scans and listings don't see it.
 PIECES = ".pieces"
-FINISHED = "session_id long, samples long, path string, error string"
-
-
-def _joined(folder: str, pieces: str, sensor: str, last: int, session: int, samples: int) -> tuple[str | None, str | None]:
-    """A session's pieces as its file: (path, error). A second attempt makes the same file."""
-    if samples < LEAST_ROWS[sensor]:
-        return None, f"fewer than {LEAST_ROWS[sensor]} samples"
-    name = file_name(sensor, session)
-    hidden, path = os.path.join(folder, f".{name}.{uuid.uuid4().hex}"), os.path.join(folder, name)
-    lines = 0
-    with open(hidden, "wb") as out:
-        out.write((",".join(COLUMNS[sensor]) + "\n").encode())
-        for n in range(last + 1):
-            piece = os.path.join(pieces, str(n), name)
-            if os.path.exists(piece):
-                with open(piece, "rb") as f:
-                    next(f)
-                    for line in f:
-                        out.write(line)
-                        lines += 1
-    if lines != samples or os.path.exists(path) and not filecmp.cmp(hidden, path, shallow=False):
-        os.remove(hidden)
-        return None, f"{lines} lines of {samples} samples" if lines != samples else f"{name} is there already"
-    os.replace(hidden, path)
+#: Files that a task names before it reports them.
+GATHERED = 1_000
+
+
+def _named(folder: str, hidden: str, name: str) -> tuple[str | None, str | None]:
+    """A hidden file given its name: (path, error). A second attempt makes the same file."""
+    own, path = os.path.join(folder, hidden), os.path.join(folder, name)
+    if os.path.exists(path) and not filecmp.cmp(own, path, shallow=False):
+        os.remove(own)
+        return None, f"{name} is there already"
+    os.replace(own, path)
     return path, None
 
 
@@ -68,7 +57,7 @@ class Capture:
         self.folder = _mounted(folder)
         self.rows = f"{store.path}/{name}/{sensor}_samples"
         self.marks = f"{store.path}/{name}/{sensor}_whole"
-        self.pieces = os.path.join(self.folder, PIECES, f"{name}-{sensor}")
+        self.pieces = f"file://{os.path.abspath(self.folder)}/{PIECES}/{name}-{sensor}"
 
     # -- batches
 
@@ -77,7 +66,7 @@ class Capture:
         own.write.mode("overwrite").parquet(f"{self.rows}/batch={number}")
 
     def _store_lines(self, batch: DataFrame, number: int) -> None:
-        save_pieces(batch, os.path.join(self.pieces, str(number)), self.sensor)
+        batch.select("session_id", "seq", *line_fields(self.sensor)).write.mode("overwrite").parquet(f"{self.pieces}/batch={number}")
 
     def add(self, batch: DataFrame, number: int) -> None:
         """A micro-batch: session_id, seq and the sensor's columns. Rows without a session are dropped."""
@@ -125,15 +114,26 @@ class Capture:
         A session with too few samples has an error and no file; another recording's file
         stays. May be called again, and after more was captured into other sessions.
         """
-        last, folder, pieces, sensor = self.last(), self.folder, self.pieces, self.sensor
+        folder, sensor, last = self.folder, self.sensor, self.last()
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                found = [(s, n, *_joined(folder, pieces, sensor, last, s, n)) for s, n in zip(b["session_id"].tolist(), b["samples"].tolist())]
-                yield pd.DataFrame(found, columns=["session_id", "samples", "path", "error"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files = hidden_files(batches, folder, sensor)
+            while found := [(session, n, *_named(folder, hidden, name)) for session, hidden, name, n in islice(files, GATHERED)]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types.types)], schema=types)
 
         sessions = self.samples().groupBy("session_id").agg(F.count("*").alias("samples"))
-        done = written(sessions.mapInPandas(run, FINISHED), "captured")
+        done = sessions.limit(0).selectExpr("session_id", "samples", "string(null) path", "string(null) error")
+        types = to_arrow_schema(done.schema)
+        if last >= 0:
+            pieces = self.spark.read.parquet(self.pieces).where(F.col("batch") <= last)
+            count = F.coalesce("lines", F.lit(0))
+            error = F.when(F.col("samples") < LEAST_ROWS[sensor], f"fewer than {LEAST_ROWS[sensor]} samples").when(count != F.col("samples"), F.concat(count, F.lit(" lines of "), "samples", F.lit(" samples")))
+            counted = sessions.join(pieces.groupBy("session_id").agg(F.count("*").alias("lines")), "session_id", "left")
+            judged = written(counted.select("session_id", "samples", F.lit(None).cast("string").alias("path"), error.alias("error")), "judged")
+            whole = pieces.join(judged.where("error is null").select("session_id"), "session_id", "left_semi")
+            ready = placed(whole, ["session_id"], ["batch", "seq"])
+            ready = ready.where(F.col(ready.columns[-1]) > 0).select("session_id", *COLUMNS[sensor])
+            done = written(judged.where("error is not null").unionByName(ready.mapInArrow(run, done.schema)), "captured")
         now = f"{datetime.now():%Y-%m-%dT%H:%M:%S}"
         new = done.where("error is null").join(self.store.sessions().select(F.col("id").alias("session_id")), "session_id", "left_anti")
         self.store.enter(new.select(F.col("session_id").alias("id"), F.lit(sensor).alias("sensor"), F.lit(now).alias("started_at"), F.lit(now).alias("stopped_at"), F.col("path").alias("csv_path"), F.col("samples").alias("sample_count"), F.lit("{}").alias("stats_json")))

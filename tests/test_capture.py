@@ -81,3 +81,15 @@ def test_finish(spark, tmp_path):
     assert [r.seq for r in capture.load(4).collect()] == list(range(10))
     with pytest.raises(ValueError, match="unknown sensor"):
         Capture(store, str(tmp_path), "sonar")
+
+
+def test_pieces_dont_grow_with_sessions(spark, tmp_path):
+    """A batch leaves a file a task, not one a session; finish gives each session its own."""
+    sent, store = tmp_path / "sent", SessionStore(spark, str(tmp_path / "store"))
+    capture = Capture(store, str(tmp_path / "csv"), "radar")
+    send(spark, sent, rows(range(40), 0, 11))
+    send(spark, sent, rows(range(40), 11, 1))
+    run(spark, capture, sent, tmp_path)
+    pieces = [p for p in (tmp_path / "csv" / ".pieces").rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]
+    assert capture.last() == 1 and len(pieces) == 2
+    assert len(agree(spark, capture, rows(range(40), 0, 12))) == 40

@@ -79,6 +79,23 @@ def test_odd_files_dont_stop_a_batch(spark, tmp_path):
     assert [r.error for r in N.analyse_files(spark, str(only), "radar", V.radar_vitals).collect()] == ["missing radar columns: Timestamp_ms, RawADC, Voltage_mV"]
 
 
+def test_small_and_large_files_give_the_same_lines(spark, tmp_path, monkeypatch):
+    """Files are read whole up to a size and by lines beyond it, and one isn't opened by the other's reader."""
+    head = "Timestamp_ms,RawADC,Voltage_mV"
+    (tmp_path / "radar_raw_1.csv").write_bytes(f"\ufeff{head}\r\n1,2,3\r\n\r\n4,5,6\r\n".encode())
+    (tmp_path / "radar_raw_2.csv").write_text(f"\n{head}\n7,8,9\n" + "\n" * 3 + "10,11,\u00e9\n" * 40)
+    (tmp_path / "radar_raw_3.csv").write_text("")
+    found = []
+    for limit in (1 << 20, 100, 0):
+        monkeypatch.setattr(N, "SMALL", limit)
+        rows, problems = N.scan_files(spark, str(tmp_path), "radar")
+        own = rows.orderBy("session_id", "seq").select("session_id", *RADAR_COLUMNS).collect()
+        found.append(([tuple(r) for r in own], [tuple(r) for r in problems.collect()]))
+    assert found[0] == found[1] == found[2]
+    assert len(found[0][0]) == 43 and found[0][0][:3] == [("radar_raw_1.csv", 1.0, 2.0, 3.0), ("radar_raw_1.csv", 4.0, 5.0, 6.0), ("radar_raw_2.csv", 7.0, 8.0, 9.0)]
+    assert found[0][1] == [("radar_raw_3.csv", "the file is empty")]
+
+
 def test_frames_with_malformed_arrays(spark, tmp_path):
     line = '0,{k},0.3,1.0,0.1,0.5,"[0.2,0.3]","[1,2]","[0,0]","[1,2]","{im}"\n'
     (tmp_path / "a121_sparse_iq_1.csv").write_text(",".join(A121_COLUMNS) + "\n" + "".join(line.format(k=k, im="[0,0]") for k in range(3)))
