@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of results that are gathered before they leave a worker.
 GATHERED = 20_000
+#: Rows of recordings that are gathered for a function of many at once.
+ABREAST = 60_000
 
 
 def sessions(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pd.DataFrame]]:
@@ -28,15 +30,14 @@ def sessions(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[obje
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key)
-        names = keys.to_pylist()
-        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
-        frame = batch.to_pandas()
+        cuts = [*starts(batch, [key]).tolist(), batch.num_rows]
+        frame = batch.drop_columns([key]).to_pandas()
         for a, b in zip(cuts, cuts[1:]):
-            if held and names[a] != current:
+            name = batch.column(key)[a].as_py()
+            if held and name != current:
                 yield current, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
                 held = []
-            current = names[a]
+            current = name
             held.append(frame.iloc[a:b])
     if held:
         yield current, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
@@ -117,6 +118,11 @@ def per_session(df: DataFrame, columns: list[str], f: Callable[[pd.DataFrame], d
 
     ``f`` gets the session's rows in order; ``schema`` tells the types of its columns.
     """
+    return per_sessions(df, columns, lambda groups: [f(rows) for rows in groups], schema, key, order, 1)
+
+
+def per_sessions(df: DataFrame, columns: list[str], f: Callable[[list[pd.DataFrame]], list[dict]], schema: str, key: str = "session_id", order: str = "seq", least: int = ABREAST) -> DataFrame:
+    """:func:`per_session` for a function of a list of sessions, which have ``least`` rows together but for the last ones."""
     kinds = dict(df.dtypes)
     full = StructType.fromDDL(f"`{key}` {kinds[key]}, {schema}")
     types = to_arrow_schema(full)
@@ -124,14 +130,14 @@ def per_session(df: DataFrame, columns: list[str], f: Callable[[pd.DataFrame], d
     def run(batches):
         out: list[list] = [[] for _ in types]
         n = 0
-        for session, rows in sessions(batches, key):
-            found = f(rows)
-            columns_of = [found[name] for name in types.names[1:]]
-            size = len(columns_of[0])
-            out[0].append([session] * size)
-            for column, values in zip(out[1:], columns_of):
-                column.append(values)
-            n += size
+        for names, groups in _gathered(sessions(batches, key), least):
+            for session, found in zip(names, f(groups)):
+                columns_of = [found[name] for name in types.names[1:]]
+                size = len(columns_of[0])
+                out[0].append([session] * size)
+                for column, values in zip(out[1:], columns_of):
+                    column.append(values)
+                n += size
             if n >= GATHERED:
                 yield _batch(out, types)
                 out, n = [[] for _ in types], 0
@@ -141,6 +147,20 @@ def per_session(df: DataFrame, columns: list[str], f: Callable[[pd.DataFrame], d
     return placed(df.select(key, order, *columns), [key], [order]).mapInArrow(run, full)
 
 
+def _gathered(found: Iterator[tuple[object, pd.DataFrame]], least: int) -> Iterator[tuple[list, list[pd.DataFrame]]]:
+    """Sessions and their rows in lists of ``least`` rows or more."""
+    names, groups, n = [], [], 0
+    for name, rows in found:
+        names.append(name)
+        groups.append(rows)
+        n += len(rows)
+        if n >= least:
+            yield names, groups
+            names, groups, n = [], [], 0
+    if groups:
+        yield names, groups
+
+
 def _batch(parts: list[list], types: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for column, field in zip(parts, types):

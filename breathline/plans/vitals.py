@@ -8,6 +8,7 @@ they were stored). A session that can't be analysed gives a row with ``error``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from ..constants import (
     RESP_CONFIDENCE_MIN,
 )
 from ..functions import dsp, frames
-from ..operators.grouped import per_session
+from ..operators.grouped import per_session, per_sessions
 
 RADAR_RESULT = ["sample_rate_hz", "peak_frequency_hz", "peak_speed_mps"]
 IMU_RESULT = ["sample_rate_hz", "respiratory_bpm", "displacement_bpm", "heart_bpm"]
@@ -43,15 +44,20 @@ def _numbers(names: list[str]) -> str:
     return ", ".join(f"{n} double" for n in names)
 
 
+def _attempt(analyse: Callable[..., dict], *parts) -> dict:
+    """What ``analyse`` gives, or its failure, of whatever kind, as ``error``: a bad recording must not stop the others."""
+    try:
+        return analyse(*parts)
+    except Exception as e:
+        return {"error": str(e) if isinstance(e, ValueError) else f"{type(e).__name__}: {e}"}
+
+
 def _by_session(samples: DataFrame, key: str, columns: list[str], analyse: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
     """``analyse`` over each session's rows in order; its failure, of whatever kind, becomes the row's ``error``."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(rows: pd.DataFrame) -> dict:
-        try:
-            row = analyse(rows) | {"error": None}
-        except Exception as e:  # a bad recording must not stop the others
-            row = {"error": str(e) if isinstance(e, ValueError) else f"{type(e).__name__}: {e}"}
+        row = _attempt(analyse, rows)
         return {n: [row.get(n)] for n in [*names, "error"]}
 
     return per_session(samples, columns, run, f"{schema}, error string", key)
@@ -116,18 +122,33 @@ def radar_stats(samples: DataFrame, key: str = "session_id") -> DataFrame:
 _AXES, _TURNS = ["ax", "ay", "az"], ["gx", "gy", "gz"]
 
 
-def imu_numbers(group: pd.DataFrame) -> dict[str, float]:
-    """Breath counts from tilt and displacement, heart rate from the spectrum; rows aren't sorted by time."""
+@lru_cache(maxsize=64)
+def _imu_filters(fs: float) -> tuple[np.ndarray, np.ndarray]:
+    return dsp.sections(4, IMU_RESP_BAND, fs), dsp.sections(4, IMU_HEART_BAND, fs)
+
+
+def _columns(group: pd.DataFrame, names: list[str]) -> np.ndarray:
+    return np.stack([group[c].to_numpy(float) for c in names], axis=1)
+
+
+def _imu_series(group: pd.DataFrame) -> dict:
+    """What the analyser reads of a recording, and its filters; rows aren't sorted by time."""
     _enough(group)
-    t = (group["Time_ms"].to_numpy(float) - float(group["Time_ms"].iloc[0])) / 1000
+    t = group["Time_ms"].to_numpy(float)
+    t = (t - t[0]) / 1000
     gaps = np.diff(t)
-    fs = 1 / gaps.mean() if gaps.mean() > 0 else 100.0
-    accel, gyro = group[_AXES].to_numpy(float), group[_TURNS].to_numpy(float)
-    slow, fast = dsp.sections(4, IMU_RESP_BAND, fs), dsp.sections(4, IMU_HEART_BAND, fs)
-    motion = dsp.first_component(dsp.filter_zero_phase(slow, accel))[0]
-    down = dsp.gravity(accel, gyro, np.concatenate([[gaps.mean()], gaps]))
-    tilt = np.degrees(dsp.first_component(dsp.filter_zero_phase(slow, down))[0])
-    beat = dsp.first_component(dsp.filter_zero_phase(fast, accel))[0]
+    fs = float(1 / gaps.mean()) if gaps.mean() > 0 else 100.0
+    slow, fast = _imu_filters(fs)
+    if len(t) <= (pad := dsp.extension(slow)):
+        raise ValueError(f"{len(t)} samples are too few for an extension of {pad}")
+    return {"t": t, "fs": fs, "slow": slow, "fast": fast, "gaps": np.concatenate([[gaps.mean()], gaps]), "accel": _columns(group, _AXES), "gyro": _columns(group, _TURNS)}
+
+
+def _imu_rates(own: dict, down: np.ndarray, beat: np.ndarray) -> dict[str, float]:
+    """Breath counts from tilt and displacement, heart rate from the spectrum. ``down``: filtered axes, then gravity's."""
+    t, fs = own["t"], own["fs"]
+    motion, tilt = dsp.first_component(down[:, :3])[0], np.degrees(dsp.first_component(down[:, 3:])[0])
+    beat = dsp.first_component(beat)[0]
     f, p = np.fft.rfftfreq(len(beat), 1 / fs), np.abs(np.fft.rfft(beat - beat.mean()))
     path = dsp.remove_line(dsp.running_integral(dsp.running_integral(motion, t), t))
     distance, minutes = max(1, int(1.5 * fs)), max(t[-1] / 60, 1e-9)
@@ -139,8 +160,28 @@ def imu_numbers(group: pd.DataFrame) -> dict[str, float]:
     }
 
 
+def imu_recordings(groups: list[pd.DataFrame]) -> list[dict]:
+    """Numbers or the error of each recording; what runs along rows does so for all of them at once."""
+    found = [_attempt(_imu_series, g) for g in groups]
+    own = [f for f in found if "error" not in f]
+    down = dsp.gravities(*([f[n] for f in own] for n in ("accel", "gyro", "gaps")))
+    slow = dsp.filter_abreast([f["slow"] for f in own], [np.hstack([f["accel"], d]) for f, d in zip(own, down)])
+    fast = dsp.filter_abreast([f["fast"] for f in own], [f["accel"] for f in own])
+    rates = iter([_attempt(_imu_rates, *parts) for parts in zip(own, slow, fast)])
+    return [f if "error" in f else next(rates) for f in found]
+
+
+def imu_numbers(group: pd.DataFrame) -> dict[str, float]:
+    """Those of one recording; ValueError where it can't be analysed."""
+    found = imu_recordings([group])[0]
+    if "error" in found:
+        raise ValueError(found["error"])
+    return found
+
+
 def imu_vitals(samples: DataFrame, key: str = "session_id") -> DataFrame:
-    return _by_session(samples, key, ["Time_ms", *_AXES, *_TURNS], imu_numbers, _numbers(IMU_RESULT))
+    whole = lambda groups: [{n: [row.get(n)] for n in [*IMU_RESULT, "error"]} for row in imu_recordings(groups)]
+    return per_sessions(samples, ["Time_ms", *_AXES, *_TURNS], whole, f"{_numbers(IMU_RESULT)}, error string", key)
 
 
 def imu_stat_numbers(group: pd.DataFrame) -> dict[str, float]:

@@ -157,11 +157,13 @@ def save_recordings(df: DataFrame, path: str, sensor: str, key: str = "session_i
     few = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") < least) | F.col(key).isNull()).first()
     if few:
         raise ValueError(f"session {few[0]} has fewer than {least} samples" if few[0] is not None else "rows without a session")
-    own = df.select(F.col(key).cast("string").alias("session_id"), F.col(order).alias("_order"), *line_fields(sensor))
+    # Rows that are together by their session stay so; only of these types no two values have one text.
+    session = F.col(key) if dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint", "string") else F.col(key).cast("string")
+    own = df.select(session.alias("session_id"), F.col(order).alias("_order"), *line_fields(sensor))
     df.sparkSession.dataSource.register(RecordingFiles)
     ready = placed(own, ["session_id"], ["_order"])
     place = ready.columns[-1]
-    ready.where(F.col(place) > 0).drop(place, "_order").write.format("recordings").option("sensor", sensor).mode("overwrite" if overwrite else "append").save(_mounted(path))
+    ready.where(F.col(place) > 0).drop(place, "_order").withColumn("session_id", F.col("session_id").cast("string")).write.format("recordings").option("sensor", sensor).mode("overwrite" if overwrite else "append").save(_mounted(path))
 
 
 def scan_files(spark: SparkSession, path: str, sensor: str, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -172,35 +174,46 @@ def scan_files(spark: SparkSession, path: str, sensor: str, glob: str | None = N
     malformed arrays; they give no rows. A field that isn't a number is null.
     """
     glob = glob or ("*.csv" if path.endswith(".csv") else BATCH_GLOB[sensor])
-    text = spark.read.option("pathGlobFilter", glob).text(path)
-    # Spark's own list of the files: empty ones have no line to be seen by.
-    files = spark.createDataFrame([(n,) for n in sorted({unquote(f.rsplit("/", 1)[-1]) for f in text.inputFiles()})], "session_id string")
     name, size = F.col("_metadata.file_name").alias("session_id"), F.col("_metadata.file_size")
+    read = lambda kind: spark.read.format(kind).option("pathGlobFilter", glob).load(path)
     # A line's place: a file's lines are read in order within a split; its splits follow each other.
     seq = F.col("_metadata.file_block_start") * 1_000_000 + F.monotonically_increasing_id() % (1 << 33)
-    large = text.where(size > SMALL).select(name, seq.cast("long").alias("seq"), F.col("value").alias("line"))
-    # To open a file for its lines takes several times as long as to read a small one whole.
-    content = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
-    small = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(size <= SMALL).select(name, F.posexplode(F.split(content, "[\r\n]+")).alias("seq", "line"))
-    lines = large.unionByName(small.withColumn("seq", F.col("seq").cast("long"))).where(F.trim("line") != "")
-    heads = files.join(lines.groupBy("session_id").agg(F.min_by("line", "seq").alias("header"), F.min("seq").alias("first"), F.count("*").alias("n")), "session_id", "left")
-    names = F.transform(F.split("header", ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    text = read("text")
+    # Spark's own list of the files: empty ones are not read.
+    files = spark.createDataFrame([(n,) for n in sorted({unquote(f.rsplit("/", 1)[-1]) for f in text.inputFiles()})], "session_id string")
+    lines = text.where(size > SMALL).select(name, seq.cast("long").alias("seq"), F.col("value").alias("line")).where(F.trim("line") != "")
+    found = lines.groupBy("session_id").agg(F.min_by("line", "seq").alias("header"), F.min("seq").alias("first"), (F.count("*") > 1).alias("more"))
+    # To open a file for its lines takes several times as long as to read a small one whole, which also has its header at hand.
+    small = read("binaryFile").where(size <= SMALL).select(name, F.col("content").cast("string").alias("content"))
+    small = small.withColumn("content", F.when(F.startswith("content", F.lit("\ufeff")), F.expr("substring(content, 2)")).otherwise(F.col("content")))
+    header = F.nullif(F.regexp_extract("content", " *[^\r\n ][^\r\n]*", 0), F.lit(""))
+    first = F.size(F.split(F.regexp_extract("content", "^[\r\n ]*", 0), "[\r\n]+")) - 1
+    small_heads = small.select("session_id", header.alias("header"), first.cast("long").alias("first"), F.col("content").rlike("[^\r\n ][^\r\n]*[\r\n][\r\n ]*[^\r\n ]").alias("more"))
     wanted = F.array(*(F.lit(c) for c in COLUMNS[sensor]))
+    names_of = lambda header: F.transform(F.split(header, ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    names = names_of("header")
     lacks = F.array_except(wanted, names)
     error = (
         F.when(F.col("header").isNull(), F.lit("the file is empty"))
         .when(F.size(lacks) > 0, F.concat(F.lit(f"missing {sensor} columns: "), F.array_join(lacks, ", ")))
-        .when(F.col("n") < 2, F.lit("the file has no samples"))
+        .when(~F.col("more"), F.lit("the file has no samples"))
     )
-    heads = written(heads.select("session_id", "first", names.alias("names"), error.alias("error")), "headers")  # one row a file
+    heads = files.join(found.unionByName(small_heads), "session_id", "left").select("session_id", "first", names.alias("names"), error.alias("error"))
+    heads = written(heads.repartition("session_id"), "headers")  # one row a file
     problems = heads.where("error is not null").select("session_id", "error")
     most = heads.where("error is null").agg(F.max(F.size("names"))).first()[0] or 1
-    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(most)), {"mode": "PERMISSIVE"})
-    samples = lines.join(heads.where("error is null").drop("error"), "session_id").where(F.col("seq") > F.col("first")).withColumn("fields", fields)
-    samples = samples.withColumn("fields", F.array(*(F.col(f"fields.c{i}") for i in range(most))))
+    parsed = F.from_csv("line", ", ".join(f"c{i} string" for i in range(most)), {"mode": "PERMISSIVE"})
+    places = F.transform(wanted, lambda c: F.array_position("names", c).cast("int") - 1).alias("places")
+    of_large = lines.join(heads.where("error is null").select("session_id", "first", places), "session_id")
+    whole = small.withColumn("names", names_of(header)).where(F.size(F.array_except(wanted, "names")) == 0)
+    # what a file has once is computed before its lines are
+    whole = whole.select("session_id", first.cast("long").alias("first"), places, F.split("content", "[\r\n]+").alias("lines"))
+    of_small = whole.select("session_id", "first", "places", F.posexplode("lines").alias("seq", "line")).where(F.trim("line") != "")
+    samples = of_large.unionByName(of_small.withColumn("seq", F.col("seq").cast("long"))).where(F.col("seq") > F.col("first"))
+    fields = F.when(F.contains("line", F.lit('"')), F.transform(F.array(parsed), lambda p: F.array(*(p[f"c{i}"] for i in range(most))))[0]).otherwise(F.split("line", ","))
+    samples = samples.withColumn("fields", fields)
     types = {f.name: f.dataType for f in CSV_SCHEMA[sensor]}
-    at = lambda c: F.get("fields", F.array_position("names", F.lit(c)).cast("int") - 1)
-    rows = samples.select("session_id", "seq", *(at(c).try_cast(types[c]).alias(c) for c in COLUMNS[sensor]))
+    rows = samples.select("session_id", "seq", *(F.get("fields", F.col("places")[i]).try_cast(types[c]).alias(c) for i, c in enumerate(COLUMNS[sensor])))
     if sensor != "a121":
         return rows, problems
     decoded = rows.withColumns({c: F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<double>")).otherwise(F.from_json(c, "array<double>")) for c in FRAME_ARRAYS})

@@ -169,3 +169,17 @@ def test_compaction_keeps_rows_and_breaks_off_safely(spark, tmp_path, monkeypatc
     assert [(r.session_id, r.sample_count) for r in again.sessions().collect()] == [(1, 7)]
     with pytest.raises(ValueError, match="unknown sensor"):
         store.append("sonar", df)
+
+
+def test_small_files_are_read_as_lines_are(spark, tmp_path, monkeypatch):
+    """Marks, blank lines, quotes and another order of columns, in files read whole and by lines."""
+    head = "Voltage_mV,RawADC,Timestamp_ms,more\r\n"
+    (tmp_path / "radar_raw_1.csv").write_bytes(b"\xef\xbb\xbf\r\n  \r\n" + head.encode() + b"3.5,2,10,a\r\n\r\n4.5,x\r\n")
+    (tmp_path / "radar_raw_2.csv").write_text('RawADC,"Timestamp_ms",Voltage_mV\n"1",2,"3"\n4,5,6,7\n')
+    read = lambda: [tuple(r)[:1] + tuple(r)[2:] for r in N.scan_files(spark, str(tmp_path), "radar")[0].orderBy("session_id", "seq").collect()]
+    whole = read()
+    assert [r[1:] for r in whole if "2.csv" in r[0]] == [(2.0, 1.0, 3.0), (5.0, 4.0, 6.0)]
+    assert len(whole) == 4
+    monkeypatch.setattr(N, "SMALL", 0)
+    key = lambda rows: sorted(map(repr, rows))
+    assert key(read()) == key(whole)
